@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,24 @@ def dropped(df: DataFrame) -> None:
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Ids that may be broadcast: 8 bytes each, so at most about 16 MB as a hashed relation.
+BROADCAST_IDS = 500_000
+
+
+def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    """Whether a written table has at most ``most`` rows, so that broadcasting it is bounded."""
+    return df.limit(most + 1).count() <= most
+
+
+def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in the written table ``ids``: without a shuffle of ``df`` while ``ids`` is small, by a shuffle join beyond that."""
+    ids = ids.select(key)
+    return df.join(F.broadcast(ids) if small_enough(ids) else ids, key, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in the written table ``ids``; rows with a null key stay."""
+    ids = ids.select(key)
+    return df.join(F.broadcast(ids) if small_enough(ids) else ids, key, "left_anti").select(df.columns)

@@ -39,8 +39,8 @@ def _powers(n: int) -> np.ndarray:
     global _POW
     while _POW.size < n:
         base = np.uint64(0xD6E8FEB86659FD93)
-        top = _POW[-1] * base
-        _POW = np.concatenate([_POW, _POW * top])
+        with np.errstate(over="ignore"):
+            _POW = np.concatenate([_POW, _POW * (_POW[-1] * base)])
     return _POW
 
 
