@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup
+from tessera.llm import decontam, language_id, linededup, neardup, spm
 from tessera.llm._store import written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language prediction is rejected go."""
+    return language_id.keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One occurrence of each group of near-equal lines stays; no document goes."""
+    return linededup.deduplicate(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
     return neardup.deduplicate(docs)
 
 
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its token ids."""
+    return spm.encode_documents(docs)
+
+
 STAGES = [
+    ("language_id", language),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", benchmark),
+    ("sentencepiece", encode),
 ]
 
+#: SQL can't express the stages; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
