@@ -35,7 +35,7 @@ SHINGLE = 5
 #: Items that are held in memory at once; a larger benchmark is searched in blocks of so many, one scan of the documents each.
 ITEM_BLOCK = 5_000
 #: Words whose bit counts are summed at once.
-SPAN = 1 << 14
+SPAN = 1 << 11
 
 
 def _grid(n: int) -> int:
@@ -48,18 +48,22 @@ def _grid(n: int) -> int:
     return w
 
 
-def _windows(h: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
-    """SimHash of h[s : s + w] for each s in ``start`` (sorted)."""
-    out = np.empty(start.size, np.uint64)
-    i = 0
-    while i < start.size:
-        j = max(i + 1, int(np.searchsorted(start, start[i] + SPAN)))
-        lo, hi = int(start[i]), int(start[j - 1]) + w
-        total = np.zeros((hi - lo + 1, 64), np.uint32 if w > 65000 else np.uint16)
-        np.cumsum(np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=total.dtype, out=total[1:])
-        at = start[i:j] - lo
-        out[i:j] = np.packbits(total[at + w] - total[at] > w // 2, axis=1).view(np.uint64)[:, 0]
-        i = j
+def _windows(h: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """For each (starts, w): the SimHash of h[s : s + w] for every start s, sorted.  One pass sums the bits for all lengths."""
+    out = [np.empty(start.size, np.uint64) for start, _ in wanted]
+    over = max((w for _, w in wanted), default=0)
+    kind = np.uint16 if over < 1 << 16 else np.uint32
+    for lo in range(0, h.size, SPAN):
+        hi = min(h.size, lo + SPAN + over)
+        total = np.zeros((hi - lo + 1, 64), kind)
+        np.cumsum(np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=total[1:])
+        for (start, w), o in zip(wanted, out, strict=True):
+            i, j = np.searchsorted(start, (lo, lo + SPAN))
+            if i < j:
+                at = start[i:j] - lo
+                n = total[at + w]
+                n -= total[at]
+                o[i:j] = np.packbits(n > w // 2, axis=1).view(np.uint64)[:, 0]
     return out
 
 
@@ -69,6 +73,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.n, self.grams, self.classes = [], [], [], {}
         by_class: dict[int, list] = {}
+        all_words: list[np.ndarray] = [np.empty(0, np.uint64)]
         for item, text in items:
             h = Words([text.lower()], lower=False).h
             if not h.size:
@@ -76,9 +81,13 @@ class Index:
             w, k = _grid(h.size), len(self.ids)
             self.ids.append(item)
             self.n.append(h.size)
+            all_words.append(h)
             self.grams.append(_shingles(h))
             offsets = np.arange(h.size - w + 1)
-            by_class.setdefault(w, []).append((k, offsets, _windows(h, offsets, w)))
+            by_class.setdefault(w, []).append((k, offsets, _windows(h, [(offsets, w)])[0]))
+        self.lengths = np.array(self.n, np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.words = np.concatenate(all_words)
         for w, found in by_class.items():
             stride = max(1, min(o.size for _, o, _ in found) // 3)
             item = np.concatenate([np.full(o.size, k) for k, o, _ in found])
@@ -126,6 +135,20 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
+def _aligned(h, off, win, entry, text, begin, item, index):
+    """Those pairs within the radius, once for each alignment, that have a quarter of the item's words in place.  With similarity 0.75 the longest stretch without an edit is over a quarter, and windows inside it give its alignment."""
+    _, once = np.unique(np.stack([begin, item]), axis=1, return_index=True) if win.size else (None, np.empty(0, np.int64))
+    win, entry, text, begin, item = win[once], entry[once], text[once], begin[once], item[once]
+    n = index.lengths[item]
+    row = np.repeat(np.arange(win.size), n)
+    j = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+    at = begin[row] + j
+    inside = (at >= off[text[row]]) & (at < off[text[row] + 1])
+    same = inside & (h[np.where(inside, at, 0)] == index.words[index.first[item[row]] + j])
+    ok = 4 * np.bincount(row, same, minlength=win.size) >= n
+    return zip(win[ok].tolist(), entry[ok].tolist(), text[ok].tolist(), item[ok].tolist(), strict=True)
+
+
 def _starts(off: np.ndarray, w: int, stride: int) -> np.ndarray:
     """Window starts of every text with w words or more: each ``stride`` words and the last place."""
     n = np.diff(off)
@@ -143,15 +166,12 @@ def search(texts: list, index: Index) -> list[tuple]:
             words = Words([t.lower() if t else None for t in texts[x:y]], lower=False)
             off = words.off
             seen = set()
-            for w, (stride, item, offset, fp, _) in index.classes.items():
-                start = _starts(off, w, stride)
-                if not start.size:
-                    continue
-                mine = _windows(words.h, start, w)
+            wanted = [(_starts(off, w, c[0]), w) for w, c in index.classes.items()]
+            for (start, w), mine in zip(wanted, _windows(words.h, wanted), strict=True):
+                _, item, offset, fp, _ = index.classes[w]
                 win, entry = index.near(mine, w)
-                for i, e in zip(win.tolist(), entry.tolist(), strict=True):
-                    d = int(np.searchsorted(off, start[i], "right")) - 1
-                    k = int(item[e])
+                text = np.searchsorted(off, start[win], "right") - 1
+                for i, e, d, k in _aligned(words.h, off, win, entry, text, start[win] - offset[entry], item[entry], index):
                     begin = max(int(start[i]) - int(offset[e]), int(off[d]))
                     end = min(begin + index.n[k], int(off[d + 1]))
                     if (d, k, begin) in seen:
