@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # fixed values: the Lanczos coefficients (g = 7, n = 9)
 _LANCZOS = (
@@ -117,49 +118,49 @@ def f_upper_np(f, d1, d2):
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return pd.Series(0.5 * _erfc(-x.to_numpy(float) / math.sqrt(2)), index=x.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_cdf_np(t, df), index=t.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_tailed(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(2 * t_upper_np(np.abs(t), df), index=t.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_inv(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_inv_np(p, df), index=p.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_upper_np(f, d1.to_numpy(float), d2.to_numpy(float)), index=f.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def beta_cdf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(beta_inc(a, b, x), index=x.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def gamma_cdf(x: pd.Series, h: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series(gamma_inc(h, x * rate), index=x.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def gamma_pdf(x: pd.Series, h: pd.Series, rate: pd.Series) -> pd.Series:
     with np.errstate(divide="ignore", invalid="ignore"):
         v = np.exp(h * np.log(rate) + (h - 1) * np.log(x) - rate * x - ln_gamma(h))
     return pd.Series(np.where(x > 0, v, 0.0), index=x.index)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def map_p(v: pd.Series, kind: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Signed two-tailed p of a statistic: kind 1 t, 2 r, 4 F, 12 z."""
     v, kind, d1, d2 = (x.to_numpy(float) for x in (v, kind, d1, d2))

@@ -951,6 +951,96 @@ def top_trials(t):
     return t("orders").withColumn("place", F.row_number().over(w)).where("place <= 5").select("o_orderpriority", "o_orderkey", "place")
 
 
+# --- distributions and filters: numpy kernels, tested against known values ---
+
+
+@query()
+def map_p_values(t):
+    from .functions import dist as D
+
+    d = t("lineitem").groupBy("l_suppkey").agg(F.corr("l_quantity", "l_extendedprice").alias("v"), F.count("*").alias("n"))
+    d = d.withColumn("t", S.correlation_t("v", "n"))
+    return d.select("l_suppkey", D.map_p("v", F.lit(2.0), F.col("n") - 2.0, F.lit(0.0)).alias("p_r"), D.t_two_tailed("t", F.col("n") - 2.0).alias("p_t"), D.normal_cdf("t").alias("cdf"))
+
+
+@query()
+def drift_filter(t):
+    from .operators import filters as X
+
+    s = t("lineitem").groupBy("l_suppkey", MONTH.alias("m")).agg(F.sum("l_quantity").alias("v"))
+    return X.remove_drifts(X.as_series(s, ["l_suppkey"], "m", "v"), "cosine", 24)
+
+
+@query()
+def power_spectrum(t):
+    from .operators import filters as X
+
+    s = t("lineitem").groupBy("l_suppkey", MONTH.alias("m")).agg(F.sum("l_quantity").alias("v"))
+    return X.power_spectrum(X.as_series(s, ["l_suppkey"], "m", "v"), ["l_suppkey"], 32)
+
+
+# --- streams: the same rows as a batch ---
+
+
+def stream_query(sql: str | None = None):
+    """Registers a function of the event stream."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from .streaming import tallies
+
+            return f(tallies, tallies.event_stream(spark, f"{sf_dir}/events.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@stream_query("""
+WITH s AS (SELECT event_type AS g, value AS s, 1.0+user_id%3 AS w FROM events), m AS (SELECT g, count(*) n, sum(w) w, sum(w*w) w2, sum(w*s)/sum(w) mu FROM s GROUP BY 1)
+SELECT m.g AS event_type, m.n, round(mu,6)+0.0 AS mean, round(sum(s.w*(s.s-mu)^2)/(m.w-m.w2/m.w),5)+0.0 AS variance FROM s JOIN m ON s.g=m.g GROUP BY m.g, m.n, mu, m.w, m.w2
+""")
+def stream_tally(x, events):
+    d = x.running_tally(events.withColumn("w", 1.0 + F.col("user_id") % 3), ["event_type"], "value", "w")
+    return x.collected(d, "complete", "tally").select("event_type", "n", r("mean").alias("mean"), r("variance", 5).alias("variance"))
+
+
+@stream_query("SELECT CAST(epoch(time_bucket(INTERVAL 1 day, ts)) AS BIGINT) AS day, event_type, count(*) AS n, round(avg(value),6)+0.0 AS mean FROM events GROUP BY 1,2")
+def stream_tumbling(x, events):
+    d = x.collected(x.tumbling(events, ["event_type"], "1 day", "2 days"), "complete", "tumbling")
+    return d.select(F.unix_timestamp("start").alias("day"), "event_type", "n", r("mean").alias("mean"))
+
+
+@stream_query("SELECT CAST(epoch(time_bucket(INTERVAL 6 hour, ts)) - k*21600 AS BIGINT) AS start, event_type, count(*) AS n, round(max(value),6)+0.0 AS max FROM events, range(0,4) r(k) GROUP BY 1,2")
+def stream_sliding(x, events):
+    d = x.collected(x.sliding(events, ["event_type"], "1 day", "6 hours", "2 days"), "complete", "sliding")
+    return d.select(F.unix_timestamp("start").alias("start"), "event_type", "n", r("max").alias("max"))
+
+
+@stream_query("""
+WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 hour THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM f)
+SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM g GROUP BY user_id, g
+""")
+def stream_sessions(x, events):
+    d = x.collected(x.session_windows(events, ["user_id"], "6 hours", "2 days"), "complete", "sessions")
+    return d.select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+@stream_query("SELECT DISTINCT event_id FROM events")
+def stream_distinct(x, events):
+    return x.collected(x.distinct_events(events.union(events), "event_id", "60 days").select("event_id"), "append", "distinct")
+
+
+@stream_query("""
+SELECT before, after, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) WHERE before IS NOT NULL GROUP BY 1,2
+""")
+def stream_transitions(x, events):
+    return x.collected(x.transitions(events), "append", "transitions").groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
