@@ -51,8 +51,15 @@ def seconds(c: str = "ts") -> Column:
 
 
 SECONDS = "(epoch_us(ts) / 1e6)"
-NET = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-MONTH = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+
+
+def net() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def month() -> Column:
+    return F.year("l_shipdate") * 12 + F.month("l_shipdate")
+
 
 # --- the flagship: series, percent change, slopes, second-level t ---
 
@@ -64,7 +71,7 @@ b AS (SELECT l_suppkey, l_returnflag, regr_slope(p, m) AS beta FROM psc GROUP BY
 SELECT l_suppkey, coalesce(round(sqrt(count(beta))*avg(beta)/nullif(stddev_samp(beta),0),6),0)+0.0 AS t, count(beta) AS n FROM b GROUP BY 1
 """)
 def second_level_t(t):
-    series = t("lineitem").groupBy("l_suppkey", "l_returnflag", MONTH.alias("m")).agg(F.sum(NET).alias("v"))
+    series = t("lineitem").groupBy("l_suppkey", "l_returnflag", month().alias("m")).agg(F.sum(net()).alias("v"))
     psc = W.percent_change(series, ["l_suppkey", "l_returnflag"], "v")
     beta = psc.groupBy("l_suppkey", "l_returnflag").agg(F.regr_slope("psc", "m").alias("beta"))
     return rounded(M.one_sample_t(beta, ["l_suppkey"], "beta"))
@@ -261,7 +268,7 @@ def winsorize(t):
 SELECT l_suppkey, CAST(m AS INTEGER) AS m, round(v-regr_slope(v,m) OVER w*(m-avg(m) OVER w), 2)+0.0 AS detrended FROM (SELECT l_suppkey, year(l_shipdate)*12+month(l_shipdate) AS m, sum(l_quantity) AS v FROM lineitem GROUP BY 1,2) WINDOW w AS (PARTITION BY l_suppkey)
 """)
 def detrend(t):
-    d = t("lineitem").groupBy("l_suppkey", MONTH.alias("m")).agg(F.sum("l_quantity").alias("v"))
+    d = t("lineitem").groupBy("l_suppkey", month().alias("m")).agg(F.sum("l_quantity").alias("v"))
     return W.detrend(d, ["l_suppkey"], "m", "v").select("l_suppkey", "m", r("detrended", 2).alias("detrended"))
 
 
@@ -594,7 +601,7 @@ WITH s AS (SELECT l_suppkey, year(l_shipdate)*12+month(l_shipdate) AS m, sum(l_q
 SELECT l_suppkey, CAST(m+d AS INTEGER) AS m, round(sum(v*w),4)+0.0 AS v FROM s, k GROUP BY 1,2
 """)
 def convolution(t):
-    s = t("lineitem").groupBy("l_suppkey", MONTH.alias("m")).agg(F.sum("l_quantity").alias("v"))
+    s = t("lineitem").groupBy("l_suppkey", month().alias("m")).agg(F.sum("l_quantity").alias("v"))
     return rounded(E.convolve(s, ["l_suppkey"], "m", "v", [0.5, 0.3, 0.2]), 4)
 
 
@@ -967,7 +974,7 @@ def map_p_values(t):
 def drift_filter(t):
     from .operators import filters as X
 
-    s = t("lineitem").groupBy("l_suppkey", MONTH.alias("m")).agg(F.sum("l_quantity").alias("v"))
+    s = t("lineitem").groupBy("l_suppkey", month().alias("m")).agg(F.sum("l_quantity").alias("v"))
     return X.remove_drifts(X.as_series(s, ["l_suppkey"], "m", "v"), "cosine", 24)
 
 
@@ -975,7 +982,7 @@ def drift_filter(t):
 def power_spectrum(t):
     from .operators import filters as X
 
-    s = t("lineitem").groupBy("l_suppkey", MONTH.alias("m")).agg(F.sum("l_quantity").alias("v"))
+    s = t("lineitem").groupBy("l_suppkey", month().alias("m")).agg(F.sum("l_quantity").alias("v"))
     return X.power_spectrum(X.as_series(s, ["l_suppkey"], "m", "v"), ["l_suppkey"], 32)
 
 
