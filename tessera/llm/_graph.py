@@ -19,20 +19,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
+    mark = _mark(e)
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every neighbour above u goes to the smallest of u and its neighbours
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         # small star: neighbours not above u, and u itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = written(small.where("u <> v").distinct(), "edges")
-        same = _mark(new) == _mark(e)
+        mark, last = _mark(new), mark
         dropped(e)
         e = new
-        if same:
+        if mark == last:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
     raise RuntimeError("components did not settle")
 
