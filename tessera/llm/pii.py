@@ -110,7 +110,7 @@ class Graph:
                     left.append((i - 1, i))
                 last = (i, m.end(), shape)
                 key = digits if len(digits) >= 7 else t.lower()
-                if key in seen and seen[key] != i - 1:
+                if key in seen and not (near and seen[key] == i - 1):
                     right.append((seen[key], i))
                 seen[key] = i
         self.size = len(self.doc)
