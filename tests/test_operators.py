@@ -229,3 +229,45 @@ def test_kmeans_and_bootstrap(spark):
     d = spark.createDataFrame([(1, float(i)) for i in range(200)], "g int, x double")
     r = one(M.bootstrap_mean(d, ["g"], "x", 200))
     assert r.low < 99.5 < r.high and r.high - r.low < 25
+
+
+def test_frames():
+    from tessera.functions import frames as G
+
+    m = G.frame((1, 2, 3), (0.3, -0.2, 0.5))
+    q = G.quaternion(m)
+    assert np.allclose(G.rotation(q)[:3, :3], m[:3, :3])
+    assert np.allclose(m[:3, 3], [1, 2, 3]) and np.isclose(np.linalg.det(m), 1)
+
+
+def test_searchlight_finds_an_informative_cell(spark):
+    from tessera.operators import spatial as L
+
+    rng = np.random.default_rng(2)
+    rows = [(x, 0, k, k % 2, k % 3, float(rng.normal() + (8 * (k % 2) if x == 5 else 0))) for x in range(10) for k in range(18)]
+    d = spark.createDataFrame(rows, "x int, y int, trial int, condition int, fold int, v double")
+    got = {r.x: (r.measure, r.n_features) for r in L.searchlight(d, ["x", "y"], "trial", "condition", "fold", "v", 1.0).collect()}
+    assert got[5][0] == 1.0 and got[4][1] == 3 and got[0][1] == 2 and got[0][0] < 0.9
+
+
+def test_cluster_simulation_is_deterministic_and_monotone(spark):
+    from tessera.operators import spatial as L
+
+    a = sorted(map(tuple, L.cluster_size_simulation(spark, (10, 10), 2.0, 0.05, 40).collect()))
+    assert a == sorted(map(tuple, L.cluster_size_simulation(spark, (10, 10), 2.0, 0.05, 40, slices=3).collect()))
+    assert [r[4] for r in a] == sorted((r[4] for r in a), reverse=True) and a[0][4] <= 1
+
+
+def test_flood_stops_at_gaps(spark):
+    from tessera.operators import spatial as L
+
+    d = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (3, 3)], "x int, y int")
+    assert sorted(tuple(r) for r in L.flood(d, ["x", "y"], {"x": 0, "y": 0}).collect()) == [(0, 0), (0, 1), (1, 1)]
+
+
+def test_interval_variability(spark):
+    from tessera.operators import studies as U
+
+    d = spark.createDataFrame([(1, t) for t in (0.0, 1.0, 2.0, 3.2)], "g int, t double")
+    got = one(U.interval_variability(d, ["g"], "t"))
+    assert got.n == 3 and got.rmssd == pytest.approx(math.sqrt((0 + 0.04) / 2)) and got.pnn50 == 0.5
