@@ -1,11 +1,12 @@
 """Quality by importance resampling.
 
 Two bag-of-n-gram generative models over ``BUCKETS`` hashed words and word
-pairs are counted in Spark: the target model from the documents labelled good,
-the raw model from all documents.  A document's importance is the mean log
+pairs are counted in Spark: the target model from the documents labelled good
+(and not toxic, where labels say so), the raw model from all documents.  A document's importance is the mean log
 ratio of its n-grams under the two models, times ``SHARPNESS``; with Gumbel
 noise added, the top ``share`` of all documents is a sample without replacement
-in proportion to the importance weights.
+in proportion to the importance weights.  The share is that of good documents
+among the labelled ones unless it is given.
 
 The noise is a hash of the doc_id, so a rerun or a lost executor gives the same
 sample.  The cut is exact: counts in ever finer bins narrow it down, and no
@@ -31,8 +32,7 @@ from ._store import only, written
 from ._text import Words, groups, ngrams
 
 BUCKETS = 1 << 14
-SHARPNESS = 20.0
-SHARE = 0.5
+SHARPNESS = 60.0
 FEW = 10_000
 
 
@@ -65,9 +65,20 @@ def counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def good_labels(labels: DataFrame):
+    """Whether a label row stands for target text; null where it has no quality."""
+    good = F.col("quality") == 1
+    return good & (F.coalesce(F.col("toxic"), F.lit(0)) != 1) if "toxic" in labels.columns else good
+
+
+def good_share(labels: DataFrame) -> float:
+    """The share of documents of quality 1 among the labelled ones; 0.5 without labels."""
+    return labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.5
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of target to raw probability of each bucket, both smoothed by one raw-model count."""
-    good = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "good")
+    good = written(labels.where(good_labels(labels) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "good")
     raw = counts(docs)
     target = counts(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good, "doc_id"))
     if not target.sum():
@@ -123,8 +134,9 @@ def cut(keys: DataFrame, k: int) -> float | None:
             above += n
 
 
-def sample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 3) -> DataFrame:
-    """doc_id, importance, key and selected of every row; about ``share`` of the rows are selected."""
+def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 3) -> DataFrame:
+    """doc_id, importance, key and selected of every row; the ``share`` of the rows with the largest keys is selected."""
+    share = good_share(labels) if share is None else share
     keys = written(score(docs, fit(docs, labels), seed), "keys")
     at = cut(keys, math.ceil(share * keys.count()))
     return keys.withColumn("selected", F.lit(False) if at is None else F.col("key") >= at)
