@@ -7,8 +7,9 @@ for a host are bounded: no more than a page's elements over SHARE.
 
 Elements that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments by tag, role or class go as well.  Within the
-article itself, prose (paragraphs, headings, quotes, tables) is never deleted
-for recurring, since copies of one article on a host recur too.
+article itself, prose (paragraphs, headings, quotes, tables) and large parts are
+never deleted for recurring, and nothing is where the article or the body as a
+whole recurs, since copies of one page on a host recur too.
 
 Defined results: null or empty html gives the empty text; a null url is a host
 of its own; a page without an article or main element gives the blocks of its
@@ -30,6 +31,8 @@ from ._store import small_enough, written
 
 SHARE = 0.25
 MIN_PAGES = 5
+#: Within the article, only a recurring subtree of at most this share of its characters can be template.
+TEMPLATE_PART = 0.3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -150,12 +153,12 @@ def hash_subtrees(top: Node) -> list[int]:
                 h.update(" ".join(k.split()).encode("utf-8", "surrogatepass"))
                 text = True
         n.key = int.from_bytes(h.digest(), "little", signed=True) if text else None
-        if text and n.up is not None and n.tag not in ("html", "body"):
+        if text and n.up is not None and n.tag != "html":
             found.add(n.key)
     return sorted(found)
 
 
-def _length(top: Node, template: set) -> int:
+def _length(top: Node) -> int:
     n, todo = 0, [top]
     while todo:
         for k in todo.pop().kids:
@@ -178,7 +181,7 @@ def _root(top: Node) -> Node | None:
             else:
                 todo += [k for k in n.kids if type(k) is Node and not k.out]
         if best:
-            return max(best, key=lambda n: _length(n, set()))
+            return max(best, key=_length)
     return None
 
 
@@ -186,6 +189,10 @@ def blocks(top: Node, template: set) -> list[str]:
     """The text blocks left of a page."""
     root = _root(top)
     inside = root is not None
+    whole = root or next((n for n in _ordered(top) if n.tag == "body"), top)
+    if whole.key in template:  # the page is one of many copies
+        template = set()
+    most = TEMPLATE_PART * _length(root) if inside else 0
     out: list[str] = []
     line: list[str] = []
 
@@ -209,7 +216,7 @@ def blocks(top: Node, template: set) -> list[str]:
                 continue
             if n.tag == "header" and not (inside and any(k.tag in ("h1", "h2") for k in _ordered(n))):
                 continue
-            if n.key in template and not (inside and n.tag in PROSE) and n.tag not in ("html", "body"):
+            if n.key in template and n.tag not in ("html", "body") and not (inside and (n.tag in PROSE or _length(n) > most)):
                 continue
         wide = n.tag in BLOCK
         if wide:

@@ -43,6 +43,20 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in P.main_text(d).collect()} == {"Same\n\nEvery copy has this."}
 
 
+def test_copies_with_containers_stay(spark):
+    page = "<article><div class=body><p>Every copy has this.</p><div><p>And this.</p></div></div></article>"
+    bare = "<body><div><p>No article element.</p></div></body>"
+    rows = [(i, "http://d.example/x", page) for i in range(20)] + [(100 + i, "http://e.example/x", bare) for i in range(9)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in P.main_text(d).collect()} == {"Every copy has this.\n\nAnd this.", "No article element."}
+
+
+def test_recurring_box_in_different_articles_goes(spark):
+    page = "<article><p>{}</p><div><span>Read our other stories</span></div><p>{}</p></article>"
+    d = spark.createDataFrame([(i, "http://f.example/x", page.format(f"Story {i} " + "word " * 40, f"End {i}")) for i in range(12)], "page_id long, url string, html string")
+    assert all("other stories" not in r.text and r.text.endswith(f"End {r.page_id}") for r in P.main_text(d).collect())
+
+
 def test_given_pages(spark):
     d = spark.read.parquet(f"{DATA}/pages.parquet")
     for r in P.main_text(d).join(d.select("page_id", "html"), "page_id").collect():
