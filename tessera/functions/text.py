@@ -64,3 +64,37 @@ def cell_reference(s: Col) -> dict[str, Column]:
 def to_numbers(s: Col, delimiters: str = " ,;") -> Column:
     """Every part as a number; null where it is none."""
     return F.transform(split(F.trim(col(s)), delimiters, True), lambda x: x.try_cast("double"))
+
+
+# fixed values: English number words
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "x x twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def number_word(n: Col) -> Column:
+    """A number from 0 to 999,999 in English words; null beyond."""
+    ones, tens = F.array(*[F.lit(w) for w in _ONES]), F.array(*[F.lit(w) for w in _TENS])
+    n = col(n).cast("int")
+
+    def below_hundred(v: Column) -> Column:
+        small = F.get(ones, v)
+        rest = v % 10
+        return F.when(v < 20, small).otherwise(F.concat(F.get(tens, F.floor(v / 10).cast("int")), F.when(rest > 0, F.concat(F.lit("-"), F.get(ones, rest))).otherwise("")))
+
+    def below_thousand(v: Column) -> Column:
+        rest = v % 100
+        head = F.concat(F.get(ones, F.floor(v / 100).cast("int")), F.lit(" hundred"))
+        return F.when(v < 100, below_hundred(v)).otherwise(F.concat(head, F.when(rest > 0, F.concat(F.lit(" "), below_hundred(rest))).otherwise("")))
+
+    high, low = F.floor(n / 1000).cast("int"), n % 1000
+    large = F.concat(below_thousand(high), F.lit(" thousand"), F.when(low > 0, F.concat(F.lit(" "), below_thousand(low))).otherwise(""))
+    return F.when((n < 0) | (n > 999_999), F.lit(None)).when(n < 1000, below_thousand(n)).otherwise(large)
+
+
+def hex_dump(b: Col) -> Column:
+    """Bytes as pairs of hexadecimal digits with blanks between."""
+    return F.trim(F.regexp_replace(F.lower(F.hex(col(b))), "(..)", "$1 "))
+
+
+def bit_dump(n: Col, width: int = 8) -> Column:
+    return F.lpad(F.bin(col(n)), width, "0")

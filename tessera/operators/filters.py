@@ -79,3 +79,91 @@ def resample(series: DataFrame, factor: int) -> DataFrame:
     n = F.floor(F.size("values") / factor).cast("int")
     mean = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.slice("values", i * factor + 1, factor), F.lit(0.0), lambda a, v: a + v) / factor)
     return series.withColumn("values", F.when(n > 0, mean).otherwise(F.array().cast("array<double>"))).withColumn("ts", F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("ts", (i - 1) * factor + 1)))
+
+
+def _per_series(series: DataFrame, kernel) -> DataFrame:
+    """Every series' values through ``kernel(array) -> array``; batches of rows, no shuffle."""
+
+    def run(it):
+        for pdf in it:
+            yield pdf.assign(values=[kernel(np.array([np.nan if x is None else x for x in v], float)).tolist() for v in pdf["values"]])
+
+    return series.mapInPandas(run, series.schema)
+
+
+def band_pass(series: DataFrame, low: float, high: float) -> DataFrame:
+    """The part of each series with frequencies (cycles a sample) in [low, high]; bad values count as the mean."""
+
+    def kernel(y):
+        m = np.nanmean(y) if np.isfinite(y).any() else 0.0
+        f = np.fft.rfft(np.where(np.isfinite(y), y, m))
+        w = np.fft.rfftfreq(y.size)
+        return np.fft.irfft(np.where((w >= low) & (w <= high), f, 0), y.size) if y.size else y
+
+    return _per_series(series, kernel)
+
+
+def butterworth_gain(freq: np.ndarray, cutoff: float, order: int) -> np.ndarray:
+    return 1 / np.sqrt(1 + (freq / cutoff) ** (2 * order))
+
+
+def low_pass(series: DataFrame, cutoff: float, order: int = 4) -> DataFrame:
+    """A zero-phase low pass with the Butterworth gain."""
+
+    def kernel(y):
+        m = np.nanmean(y) if np.isfinite(y).any() else 0.0
+        f = np.fft.rfft(np.where(np.isfinite(y), y, m))
+        return np.fft.irfft(f * butterworth_gain(np.fft.rfftfreq(y.size), cutoff, order), y.size) if y.size else y
+
+    return _per_series(series, kernel)
+
+
+def shift(series: DataFrame, by_samples: float) -> DataFrame:
+    """Values at times moved by a part of a sample (slice-time correction): linear interpolation, ends held."""
+
+    def kernel(y):
+        t = np.arange(y.size)
+        ok = np.isfinite(y)
+        return np.interp(t + by_samples, t[ok], y[ok]) if ok.any() else y
+
+    return _per_series(series, kernel)
+
+
+def despike(series: DataFrame, limit: float = 5.0) -> DataFrame:
+    """Values whose step from both neighbours exceeds ``limit`` robust deviations become the neighbours' mean."""
+
+    def kernel(y):
+        if y.size < 3:
+            return y
+        d = np.diff(y)
+        s = np.nanmedian(np.abs(d - np.nanmedian(d))) / 0.6745
+        bad = np.zeros(y.size, bool)
+        bad[1:-1] = (np.abs(d[:-1]) > limit * s) & (np.abs(d[1:]) > limit * s) & (d[:-1] * d[1:] < 0)
+        out = y.copy()
+        at = np.flatnonzero(bad)
+        out[at] = (y[at - 1] + y[at + 1]) / 2
+        return out
+
+    return _per_series(series, kernel)
+
+
+def best_lag(pairs: DataFrame, key: str, a: str, b: str, most: int) -> DataFrame:
+    """key, lag and r: the shift of series b against series a (within ``most`` samples) of the largest correlation, the smallest shift of ties."""
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for k, x, y in zip(pdf[key], pdf[a], pdf[b], strict=True):
+                x, y = np.asarray(x, float), np.asarray(y, float)
+                best = (-2.0, 0)
+                for lag in sorted(range(-most, most + 1), key=abs):
+                    u, v = (x[lag:], y[: y.size - lag]) if lag >= 0 else (x[: x.size + lag], y[-lag:])
+                    n = min(u.size, v.size)
+                    if n > 2 and u[:n].std() > 0 and v[:n].std() > 0:
+                        r = float(np.corrcoef(u[:n], v[:n])[0, 1])
+                        if r > best[0] + 1e-12:
+                            best = (r, lag)
+                rows.append((k, best[1], best[0]))
+            yield pd.DataFrame(rows, columns=[key, "lag", "r"])
+
+    return pairs.mapInPandas(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, lag int, r double")

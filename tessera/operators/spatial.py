@@ -145,3 +145,53 @@ def flood(cells: DataFrame, axes: list[str], seed: dict[str, int], connect: int
     for a, v in seed.items():
         at &= F.col(a) == v
     return lab.join(F.broadcast(lab.where(at).select("cluster").limit(1)), "cluster", "left_semi").select(*axes)
+
+
+def distance_transform(cells: DataFrame, axes: list[str], most: int) -> DataFrame:
+    """axes and depth: how often a cell survives erosion by its face neighbours, up to ``most``; one equi-join a layer."""
+    from ..store import written
+    from .clusters import erode
+
+    d, layer = cells.select(*axes, F.lit(1).alias("depth")), cells.select(*axes)
+    for k in range(2, most + 1):
+        layer = written(erode(layer, axes), "layer")
+        if layer.isEmpty():
+            break
+        d = d.union(layer.select(*axes, F.lit(k).alias("depth")))
+    return d.groupBy(*axes).agg(F.max("depth").alias("depth"))
+
+
+def match_histogram(values: DataFrame, x: str, reference: DataFrame, y: str, steps: int = 256) -> DataFrame:
+    """``values`` with ``matched``: each value at the reference's value of the same share, through ``steps`` quantiles of either side."""
+    q = [i / steps for i in range(steps + 1)]
+    a = values.agg(F.percentile(x, F.array(*[F.lit(v) for v in q])).alias("_a"))
+    b = reference.agg(F.percentile(y, F.array(*[F.lit(v) for v in q])).alias("_b"))
+    d = values.crossJoin(F.broadcast(a.crossJoin(b)))
+    i = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.size(F.filter("_a", lambda v: v <= F.col(x))) - 1))
+    lo, hi = F.get("_a", i), F.get("_a", i + 1)
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col(x) - lo, hi - lo), F.lit(0.0))))
+    return d.withColumn("matched", F.get("_b", i) + share * (F.get("_b", i + 1) - F.get("_b", i))).drop("_a", "_b")
+
+
+def mean_dissimilarity(v: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """A searchlight measure: the mean of 1 - r between the conditions' mean patterns."""
+    means = np.stack([v[y == k].mean(axis=0) for k in np.unique(y)])
+    if means.shape[1] < 2 or len(means) < 2:
+        return 0.0
+    with np.errstate(all="ignore"):
+        r = np.corrcoef(means)
+    return float(np.nanmean(1 - r[np.triu_indices(len(means), 1)])) if np.isfinite(r).any() else 0.0
+
+
+def pattern_spread(v: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """A searchlight measure: the root mean square of the conditions' mean patterns."""
+    return float(np.sqrt(np.mean(np.stack([v[y == k].mean(axis=0) for k in np.unique(y)]) ** 2)))
+
+
+def linear_classifier(train: DataFrame, label: str, features: str, rounds: int = 50):
+    """A linear support-vector machine of array features and 0/1 labels, trained by Spark; ``transform`` it on rows with a ``features`` vector."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    d = train.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("features"))
+    return LinearSVC(maxIter=rounds, regParam=0.01).fit(d)

@@ -271,3 +271,58 @@ def test_interval_variability(spark):
     d = spark.createDataFrame([(1, t) for t in (0.0, 1.0, 2.0, 3.2)], "g int, t double")
     got = one(U.interval_variability(d, ["g"], "t"))
     assert got.n == 3 and got.rmssd == pytest.approx(math.sqrt((0 + 0.04) / 2)) and got.pnn50 == 0.5
+
+
+def test_series_kernels(spark):
+    t = np.arange(128)
+    slow, fast = np.sin(2 * np.pi * 2 * t / 128), np.sin(2 * np.pi * 30 * t / 128)
+    s = spark.createDataFrame([(1, t.tolist(), (slow + fast).tolist())], "g int, ts array<int>, values array<double>")
+    assert np.allclose(one(X.band_pass(s, 0.0, 0.1))["values"], slow, atol=1e-9)
+    assert np.abs(np.array(one(X.low_pass(s, 0.05, 6))["values"]) - slow).max() < 0.05
+    ramp = spark.createDataFrame([(1, [0, 1, 2, 3], [0.0, 1.0, 2.0, 3.0])], s.schema)
+    assert one(X.shift(ramp, 0.5))["values"] == [0.5, 1.5, 2.5, 3.0]
+    spiky = spark.createDataFrame([(1, list(range(9)), [1.0, 1.1, 1.0, 50.0, 1.0, 1.1, 1.0, 1.1, 1.0])], s.schema)
+    assert max(one(X.despike(spiky))["values"]) < 2
+    pair = spark.createDataFrame([(1, np.roll(slow + fast, 3).tolist(), (slow + fast).tolist())], "k int, a array<double>, b array<double>")
+    assert one(X.best_lag(pair, "k", "a", "b", 5)).lag == 3
+
+
+def test_matrices(spark):
+    from tessera.functions import matrices as K
+
+    m = [[4.0, 1.0, 1.0, 3.0]]
+    d = spark.createDataFrame([(m[0],), (None,)], "m array<double>")
+    r = d.where("m is not null").select(K.inverse("m").alias("i"), K.square_root("m").alias("s"), K.determinant("m").alias("d")).select("*").first()
+    a = np.reshape(m[0], (2, 2))
+    assert np.allclose(np.reshape(r.i, (2, 2)) @ a, np.eye(2)) and np.allclose(np.linalg.matrix_power(np.reshape(r.s, (2, 2)), 2), a) and r.d == pytest.approx(11)
+    assert d.select(K.inverse("m").alias("i")).where("i is null").count() == 1
+    t = spark.createDataFrame([([2.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0],)], "m array<double>")
+    assert one(t.select(K.anisotropy("m").alias("f"))).f == pytest.approx(np.sqrt(1.5 * (4 / 9 + 1 / 9 + 1 / 9) / 6))
+
+
+def test_number_words_and_dumps(spark):
+    d = spark.createDataFrame([(0,), (7,), (42,), (115,), (900_013,), (-1,)], "n int")
+    assert [r.w for r in d.select(T.number_word("n").alias("w")).collect()] == ["zero", "seven", "forty-two", "one hundred fifteen", "nine hundred thousand thirteen", None]
+    assert one(spark.createDataFrame([("AZ", 5)], "b string, n int").select(T.hex_dump("b").alias("h"), T.bit_dump("n").alias("w"))).asDict() == {"h": "41 5a", "w": "00000101"}
+
+
+def test_distance_transform_and_histogram_matching(spark):
+    from tessera.operators import spatial as L
+
+    d = spark.createDataFrame([(x, y) for x in range(5) for y in range(5)], "x int, y int")
+    depth = {(r.x, r.y): r.depth for r in L.distance_transform(d, ["x", "y"], 9).collect()}
+    assert depth[2, 2] == 3 and depth[1, 2] == 2 and depth[0, 0] == 1
+    v = column(spark, range(101))
+    got = L.match_histogram(v, "v", v.select((F.col("v") * 10 + 5).alias("w")), "w", 50).collect()
+    assert all(r.matched == pytest.approx(r.v * 10 + 5, abs=1e-6) for r in got)
+
+
+def test_linear_classifier(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from tessera.operators import spatial as L
+
+    d = spark.createDataFrame([(float(i % 2), [i % 2 * 4.0 + 0.01 * i, 1.0]) for i in range(40)], "y double, f array<double>")
+    m = L.linear_classifier(d, "y", "f")
+    got = m.transform(d.select("y", array_to_vector("f").alias("features"))).collect()
+    assert all(r.prediction == r.y for r in got)

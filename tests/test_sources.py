@@ -62,3 +62,29 @@ def test_records(spark, tmp_path):
     (tmp_path / "r.bin").write_bytes(b"head" + np.array([(1, 0.5), (2, 1.5)], kind).tobytes())
     got = B.read_records(spark, str(tmp_path), [("a", "i4"), ("b", "f8")], 4, True).orderBy("row").collect()
     assert [(r.a, r.b) for r in got] == [(1, 0.5), (2, 1.5)]
+
+
+def test_other_files(spark, tmp_path):
+    import io
+    import struct
+    import tarfile
+
+    from tessera.sources import files as S
+
+    (tmp_path / "a.txt").write_text("skip\nBEGIN\n1, x\n\n2; y\nEND\n3, z\n")
+    assert [(r.row, r.cells) for r in S.read_table(spark, str(tmp_path / "a.txt"), ",", "BEGIN", "END", {";": ","}).collect()] == [(1, ["1", "x"]), (2, ["2", "y"])]
+    (tmp_path / "b.log").write_text("*** Header Start ***\nSubject: 7\n*** Header End ***\nLevel: 3\n\t*** LogFrame Start ***\n\tRT: 512\n\tKey: a:b\n\t*** LogFrame End ***\n")
+    got = S.read_log_frames(spark, str(tmp_path / "b.log")).orderBy("frame").collect()
+    assert [(r.level, r["values"]) for r in got] == [(1, {"Subject": "7"}), (3, {"RT": "512", "Key": "a:b"})]
+    with tarfile.open(tmp_path / "c.tar", "w") as tar:
+        info = tarfile.TarInfo("in/side.bin")
+        info.size = 3
+        tar.addfile(info, io.BytesIO(b"abc"))
+    assert [(r.member, bytes(r.content)) for r in S.read_tar(spark, str(tmp_path / "c.tar")).collect()] == [("in/side.bin", b"abc")]
+    (tmp_path / "d.pcap").write_bytes(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + struct.pack("<4I", 10, 500_000, 2, 9) + b"hi")
+    assert [(r.ts, r.length, bytes(r.data)) for r in S.read_captures(spark, str(tmp_path / "d.pcap")).collect()] == [(10.5, 9, b"hi")]
+    (tmp_path / "e.bin").write_bytes(b"HD\x01\x02\x03\x04\x05")
+    assert bytes(S.swap_bytes(spark, str(tmp_path / "e.bin"), 2, 2).first().content) == b"HD\x02\x01\x04\x03\x05"
+    assert {r.name for r in S.find_files(spark, str(tmp_path), "*.txt").collect()} == {"a.txt"}
+    S.write_files(spark.createDataFrame([("one", "text 1"), ("two", "text 2")], "name string, value string"), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).where("_name = 'two'").first().value == "text 2"
