@@ -111,9 +111,11 @@ def spatial_entropy(df: DataFrame, by: list[str], x: str, bins: int | None = Non
 
 def leave_one_out(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """Every row with the mean and n-1 variance of its group without it."""
-    w = Window.partitionBy(*by)
-    n, s, ss = F.count(x).over(w) - 1, F.sum(x).over(w) - F.col(x), F.sum(F.col(x) * F.col(x)).over(w) - F.col(x) * F.col(x)
-    return df.withColumn("loo_mean", F.try_divide(s, n)).withColumn("loo_variance", F.try_divide(ss - F.try_divide(s * s, n), n - 1))
+    from .windows import beside
+
+    d = beside(df, by, _n=F.count(x), _s=F.sum(x), _ss=F.sum(F.col(x) * F.col(x)))
+    n, s, ss = F.col("_n") - 1, F.col("_s") - F.col(x), F.col("_ss") - F.col(x) * F.col(x)
+    return d.withColumn("loo_mean", F.try_divide(s, n)).withColumn("loo_variance", F.try_divide(ss - F.try_divide(s * s, n), n - 1)).drop("_n", "_s", "_ss")
 
 
 TALLY = ("n", "s", "ss", "w", "w2", "ws", "wss", "w2s", "w2ss")

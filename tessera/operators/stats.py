@@ -275,7 +275,7 @@ def robust_regression(df: DataFrame, by: list[str], y: str, xs: list[str], tune:
         n, p = X.shape
         if n <= p:
             return pd.DataFrame([[*key, [0.0] * p, 0.0, 0.0, n]], columns=[*by, "betas", "scale", "mean_weight", "n"])
-        q, r = np.linalg.qr(X)
+        q = np.linalg.qr(X)[0]
         lever = np.sqrt(1 - np.minimum(0.9999, (q * q).sum(axis=1)))
         b = np.linalg.lstsq(X, v, rcond=None)[0]
         w = np.ones(n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import good
 from .joins import radius_join
+from .windows import beside
 
 
 def mediation(df: DataFrame, by: list[str], x: str, m: str, y: str) -> DataFrame:
@@ -63,9 +64,9 @@ def temporal_quality(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 def orthogonalise(df: DataFrame, by: list[str], keep: str, change: str, out: str = "orthogonal") -> DataFrame:
     """``change`` less its projection on ``keep``."""
-    w = Window.partitionBy(*by)
-    k = F.try_divide(F.sum(F.col(keep) * F.col(change)).over(w), F.sum(F.col(keep) * F.col(keep)).over(w))
-    return df.withColumn(out, F.col(change) - F.coalesce(k, F.lit(0.0)) * F.col(keep))
+    d = beside(df, by, _kc=F.sum(F.col(keep) * F.col(change)), _kk=F.sum(F.col(keep) * F.col(keep)))
+    k = F.coalesce(F.try_divide(F.col("_kc"), F.col("_kk")), F.lit(0.0))
+    return d.withColumn(out, F.col(change) - k * F.col(keep)).drop("_kc", "_kk")
 
 
 def rest_intervals(events: DataFrame, by: list[str], onset: str, offset: str, least: float) -> DataFrame:

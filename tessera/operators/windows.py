@@ -1,8 +1,7 @@
 """Transforms along a series: every function partitions by the series and orders by its time column.
 
-A series is one partition of a window; the longest one bounds a task, as it
-does for any ordered window.  What needs no order is planned as an aggregate
-joined back by Spark's window over the partition only.
+What needs an order is a window whose partition is one series, so the longest
+series bounds a task.  What needs none is an aggregate joined back (``beside``).
 """
 
 from __future__ import annotations
@@ -13,16 +12,32 @@ from pyspark.sql import functions as F
 from ..functions.scalars import good
 
 
+def beside(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group as columns.
+
+    The aggregates are summed before the shuffle and joined back, so a group
+    that holds a third of all rows is split by the join's skew handling (or the
+    small side is broadcast by its size) and never meets in one task, as it
+    would in a window.  Null keys are a group.
+    """
+    if not by:
+        return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in stats.items()])))
+    g = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*[v.alias(k) for k, v in stats.items()])
+    on = F.lit(True)
+    for c in by:
+        on &= df[c].eqNullSafe(g[f"_by_{c}"])
+    return df.join(g, on).drop(*[f"_by_{c}" for c in by])
+
+
 def z_transform(df: DataFrame, by: list[str], x: str, out: str = "z") -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.try_divide(F.col(x) - F.avg(x).over(w), F.stddev_samp(x).over(w)))
+    d = beside(df, by, _m=F.avg(x), _s=F.stddev_samp(x))
+    return d.withColumn(out, F.try_divide(F.col(x) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def percent_change(df: DataFrame, by: list[str], x: str, base: Column | None = None, out: str = "psc") -> DataFrame:
     """100 x / mean, the mean over the rows of ``base`` (all by default); 0 where that is impossible."""
-    w = Window.partitionBy(*by)
-    mean = F.avg(F.when(base, F.col(x)) if base is not None else F.col(x)).over(w)
-    return df.withColumn(out, F.coalesce(good(F.try_divide(100 * F.col(x), mean)), F.lit(0.0)))
+    d = beside(df, by, _m=F.avg(F.when(base, F.col(x)) if base is not None else F.col(x)))
+    return d.withColumn(out, F.coalesce(good(F.try_divide(100 * F.col(x), F.col("_m"))), F.lit(0.0))).drop("_m")
 
 
 def rank_transform(df: DataFrame, by: list[str], x: str, centred: bool = False, out: str = "rank") -> DataFrame:
@@ -37,9 +52,8 @@ def rank_transform(df: DataFrame, by: list[str], x: str, centred: bool = False,
 
 
 def linear_scale(df: DataFrame, by: list[str], x: str, high: float = 1.0, low: float = 0.0, out: str = "scaled") -> DataFrame:
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
-    return df.withColumn(out, low + (F.col(x) - lo) * F.try_divide(F.lit(high - low), hi - lo))
+    d = beside(df, by, _lo=F.min(x), _hi=F.max(x))
+    return d.withColumn(out, low + (F.col(x) - F.col("_lo")) * F.try_divide(F.lit(high - low), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
 def moving_sum(df: DataFrame, by: list[str], t: str, x: str, weights: list[float], out: str = "moving") -> DataFrame:
@@ -88,9 +102,8 @@ def winsorize(df: DataFrame, by: list[str], x: str, sd: float = 3.0, passes: int
 
 def detrend(df: DataFrame, by: list[str], t: str, x: str, out: str = "detrended") -> DataFrame:
     """``x`` less its least-squares line over t (the mean stays)."""
-    w = Window.partitionBy(*by)
-    slope = F.regr_slope(x, t).over(w)
-    return df.withColumn(out, F.col(x) - F.coalesce(slope, F.lit(0.0)) * (F.col(t) - F.avg(t).over(w)))
+    d = beside(df, by, _k=F.regr_slope(x, t), _t=F.avg(t))
+    return d.withColumn(out, F.col(x) - F.coalesce("_k", F.lit(0.0)) * (F.col(t) - F.col("_t"))).drop("_k", "_t")
 
 
 def transitions(df: DataFrame, by: list[str], t: list[str], state: str) -> DataFrame:
