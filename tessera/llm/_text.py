@@ -91,12 +91,12 @@ def hash_runs(a: np.ndarray, start: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(v, start))
 
 
-def groups(texts: list) -> Iterator[tuple[int, int]]:
-    """Slices of ``texts`` of about GROUP_BYTES each."""
+def groups(texts: list, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of ``texts`` of about ``most`` characters each."""
     begin = size = 0
     for i, t in enumerate(texts):
         n = len(t) if isinstance(t, str) else 0
-        if i > begin and size + n > GROUP_BYTES:
+        if i > begin and size + n > most:
             yield begin, i
             begin, size = i, 0
         size += n
@@ -104,6 +104,13 @@ def groups(texts: list) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def few_rows(batches, rows: int = 512):
+    """Arrow batches cut into pieces of a few rows, so that only few texts become Python strings at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def ngrams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word windows and their offsets by text."""
     n = np.diff(off)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import without, written
-from ._text import Words, groups, ngrams
+from ._text import Words, few_rows, groups, ngrams
 
 RADIUS = 7
 SIMILARITY = 0.75
@@ -188,7 +188,7 @@ def search(texts: list, index: Index) -> list[tuple]:
 def _finder(index):
     def find_in(batches):
         idx = index.value
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = search(batch.column(1).to_pylist(), idx)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(

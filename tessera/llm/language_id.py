@@ -26,14 +26,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
-from ._text import groups, mix
+from ._text import few_rows, groups
 
 BUCKETS = 1 << 15
 WIDTH = 16
 SAMPLE = 600
 REJECT_RATE = 0.0005
 EPOCHS = 8
+#: Characters whose subwords are held at once; the scores of a longer text are summed in stretches.
+GROUP = 1 << 18
 _NO_LETTER = np.array([not chr(i).isalpha() for i in range(128)] + [False])
 _LETTER = regex.compile(r"\p{L}")
 
@@ -74,11 +75,13 @@ class Model:
 
     def logits(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), len(self.labels)))
-        for a, b in groups(texts):
+        for a, b in groups(texts, GROUP):
             g, off = subwords(texts[a:b])
             n = np.diff(off)
             full = np.flatnonzero(n)
-            if full.size:
+            if b - a == 1 and n[0] > 2 * GROUP:
+                out[a] = sum(self.table[g[i : i + GROUP]].sum(axis=0, dtype=float) for i in range(0, int(n[0]), GROUP)) / n[0] + self.bias
+            elif full.size:
                 out[a + full] = np.add.reduceat(self.table[g], off[:-1][full], axis=0) / n[full, None] + self.bias
         return out
 
@@ -126,7 +129,7 @@ def train(texts: list, langs: list, seed: int = 7) -> Model:
     lab = np.array(lab)
     with np.errstate(over="ignore"):
         bags = []
-        for a, b in groups(bits):
+        for a, b in groups(bits, GROUP):
             g, off = subwords(bits[a:b])
             for i in range(b - a):
                 u, n = np.unique(g[off[i] : off[i + 1]], return_counts=True)
@@ -200,7 +203,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             label, score, gone = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(gone)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -220,7 +223,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             gone = shared.value.predict(b.column(at).to_pylist())[2]
             yield b.filter(pa.array(~gone))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import dropped, only, without, written
-from ._text import Words, groups, mix, shingle_sets
+from ._text import Words, few_rows, groups, mix, shingle_sets
 
 K = 128  # minwise functions
 TREES = 8
@@ -76,7 +76,7 @@ def _runs(sets: list[np.ndarray], most: int = 1 << 15):
 def _signatures(batches):
     """doc_id, n_shingles, digest of the set (2 x 64 bits), one-bit sketch, minwise values."""
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in groups(texts):
                 sets = list(shingle_sets(Words(texts[a:b])))
@@ -97,7 +97,7 @@ def _signatures(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in few_rows(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in groups(texts):
             with np.errstate(over="ignore"):

@@ -21,7 +21,6 @@ and nothing found; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 

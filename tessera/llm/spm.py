@@ -1,27 +1,30 @@
 """SentencePiece encoding as a max-plus parallel scan, and decoding.
 
-A text is encoded as the path of pieces with the largest sum of the model's
-piece scores (the unigram reading of a vocabulary).  No piece holds a space
-after another character, so every word start is a forced cut, and whole words
-are solved once and remembered.
+The ids are those of the model's byte-pair merges.  A token sequence is the
+merge result of its text exactly if every two neighbours are the merge result
+of theirs, so encoding is a path through the lattice of pieces in which a step
+weighs 0 where the pair fits and minus infinity where it doesn't, and the best
+path is the only one that is not minus infinity.  No piece holds a space after
+another character, so every word start is a forced cut, and whole words are
+solved once and remembered.
 
 A text of more than ``PART`` characters is split into parts.  A part's ends lie
 on forced cuts where it has any; where a stretch without a space is longer than
 a part, an end is *open*: a piece may run over it.  The state at an open end is
-the number of characters that such a piece takes from the next part.  Each part
-gives a transfer matrix of best scores from entry state to exit state; the
-matrices combine associatively in the (max, +) semiring; that fixes the states
-at all ends, and each part is then traced back on its own.  The split, the
-matrices and the traces run as separate Spark rows, so one giant document
-spreads over the cluster; only the small matrices of a document meet.
+the piece that reaches or crosses it.  Each part gives a transfer matrix of path
+weights from entry state to exit state; the matrices combine associatively in
+the (max, +) semiring; that fixes the states at all ends, and each part is then
+traced back on its own.  The split, the matrices and the traces run as separate
+Spark rows, so one giant document spreads over the cluster; only the small
+matrices of a document meet.
 
 Spaces map to the piece marker and one is put in front; a character that no
 piece holds becomes the byte pieces of its UTF-8 form, the marker itself
 included, so decoding gives back every text exactly.
 
-Defined results: null text has null ids; the empty text has no ids; equal
-scores within a word are settled by the longest last piece; repeated rows are
-encoded alike; other columns pass through ``encode_documents`` unchanged.
+Defined results: null text has null ids; the empty text has no ids; repeated
+rows are encoded alike; other columns pass through ``encode_documents``
+unchanged.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import written
+from ._text import few_rows
 
 #: Characters in a part of a giant text.
-PART = 1 << 14
-#: Words whose pieces a worker remembers; it starts anew beyond that.
-MEMORY = 150_000
+PART = 1 << 16
+#: Words whose pieces a worker remembers; beyond that, those that did not come up since the last time go.
+MEMORY = 200_000
+#: Pairs of pieces whose fit a worker remembers.
+PAIRS = 300_000
 _SEGMENT = re.compile(" +[^ ]*|^[^ ]+")
 _NEVER = float("-inf")
 
@@ -61,114 +68,201 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.score: dict[str, tuple[int, float]] = {}
         self.raw: list[bytes] = []
+        self.text: list[str] = []
         self.byte = [0] * 256
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
                 self.raw.append(bytes([int(piece[3:5], 16)]))
+                self.text.append("")
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.raw.append(b"")
+                self.text.append("")
             else:
                 text = piece.replace("▁", " ")
                 if " " in text.lstrip(" "):
                     raise ValueError("a piece holds a space after another character: words can't be cut apart")
                 self.score[text] = (i, float(sp.get_score(i)))
                 self.raw.append(text.encode())
+                self.text.append(text)
         self.longest = max(map(len, self.score))
-        self.unknown = 2 * min(s for _, s in self.score.values()) - 1
+        #: every beginning of a piece, and whether it is a piece itself
+        self.begins = {t[:i]: False for t in self.score for i in range(1, len(t) + 1)} | dict.fromkeys(self.score, True)
         self.known: dict[str, bytes] = {}
-
-    def unit(self, char: str) -> list[int]:
-        return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")]
-
-    def lattice(self, text: str, inner: int, start: int = 0) -> tuple[list[float], list[int]]:
-        """Best score and last piece's start at each end, from ``start``; pieces begin before ``inner``."""
-        n, get, longest = len(text), self.score.get, self.longest
-        best, back = [_NEVER] * (n + 1), [-1] * (n + 1)
-        best[start] = 0.0
-        for p in range(start, min(inner, n)):
-            here = best[p]
-            if here == _NEVER:
-                continue
-            one = False
-            for q in range(p + 1, min(n, p + longest) + 1):
-                found = get(text[p:q])
-                if found is not None:
-                    one = one or q == p + 1
-                    s = here + found[1]
-                    if s > best[q]:  # an earlier start, so a longer piece, wins ties
-                        best[q], back[q] = s, p
-            if not one:
-                s = here + self.unknown
-                if s > best[p + 1]:
-                    best[p + 1], back[p + 1] = s, p
-        return best, back
-
-    def trace(self, text: str, back: list[int], end: int, start: int = 0) -> list[int]:
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[str | None, dict[str, bool]] = {}
+        self.n_pairs = 0
+
+    def merge(self, text: str) -> list[str]:
+        """The merge result of a short text: again and again the best-scored pair, the first of equals."""
+        s, score = list(text), self.score
+        while len(s) > 1:
+            best, at = None, -1
+            for i in range(len(s) - 1):
+                found = score.get(s[i] + s[i + 1])
+                if found is not None and (best is None or found[1] > best):
+                    best, at = found[1], i
+            if best is None:
+                break
+            s[at : at + 2] = [s[at] + s[at + 1]]
+        return s
+
+    def fits(self, a: str | None, b: str) -> bool:
+        """Whether b may follow a (None: begin a word)."""
+        ok = self.merge((a or "") + b) == ([b] if a is None else [a, b])
+        if self.n_pairs >= PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.pairs.setdefault(a, {})[b] = ok
+        self.n_pairs += 1
+        return ok
+
+    def lattice(self, text: str, inner: int, start: int = 0, before: str | None = None) -> list[str | None]:
+        """The piece that ends at each place on the path from ``start``, where ``before`` ends; pieces begin before ``inner``.  None: no path."""
+        n, begins, pairs = len(text), self.begins, self.pairs
+        last: list[str | None] = [None] * (n + 1)
+        top = start
+        for p in range(start, inner if inner < n else n):
+            here = last[p]
+            if here is None:
+                if p > top:
+                    break
+                if p != start:
+                    continue
+                here = before
+            row = pairs.get(here)
+            if row is None:
+                row = pairs[here] = {}
+            for q in range(p + 1, n + 1):
+                t = text[p:q]
+                if t in begins:
+                    if last[q] is None and (begins[t] or q == p + 1):
+                        if row[t] if t in row else self.fits(here, t):
+                            last[q] = t
+                            if q > top:
+                                top = q
+                else:
+                    if q == p + 1 and (row[t] if t in row else self.fits(here, t)):
+                        last[q] = t
+                        if q > top:
+                            top = q
+                    break
+        return last
+
+    def trace(self, last: list[str | None], end: int, start: int = 0) -> list[int]:
         out: list[list[int]] = []
         while end > start:
-            p = back[end]
-            found = self.score.get(text[p:end])
-            out.append([found[0]] if found else self.unit(text[p:end]))
-            end = p
+            t = last[end]
+            found = self.score.get(t)
+            out.append([found[0]] if found else [self.byte[b] for b in t.encode("utf-8", "surrogatepass")])
+            end -= len(t)
         return [i for ids in reversed(out) for i in ids]
 
-    def word(self, w: str) -> bytes:
-        """The ids of a whole word as int32 bytes."""
-        got = self.known.get(w)
+    def solve(self, w: str) -> bytes:
+        """The ids of a segment that begins with a space, as int32 bytes, from its lattice."""
+        return np.array(self.trace(self.lattice(w, len(w)), len(w)), np.int32).tobytes()
+
+    def word(self, bare: str) -> bytes:
+        """The ids of a word (the space before it left out), remembered.
+
+        A mark at the end of a known word needs no lattice: the path of the
+        word goes on with the mark if the two last pieces fit.
+        """
+        got = self.known.get(bare)
         if got is None:
-            ids = self.trace(w, self.lattice(w, len(w))[1], len(w))
-            got = np.array(ids, np.int32).tobytes()
+            got = self.older.get(bare)
+            if got is None and bare and not bare[-1].isalnum():
+                stem, mark = bare[:-1], self.score.get(bare[-1])
+                before = self.known.get(stem) or self.older.get(stem)
+                if before and mark:
+                    last = self.text[int.from_bytes(before[-4:], "little")]
+                    row = self.pairs.get(last, {})
+                    if last and (row[bare[-1]] if bare[-1] in row else self.fits(last, bare[-1])):
+                        got = before + mark[0].to_bytes(4, "little")
+            if got is None:
+                got = self.solve(" " + bare)
             if len(self.known) >= MEMORY:
-                self.known.clear()
-            if len(w) <= 64:
-                self.known[w] = got
+                self.older, self.known = self.known, {}
+            if len(bare) <= 64:
+                self.known[bare] = got
         return got
 
     def words(self, text: str) -> bytes:
-        word, known = self.word, self.known.get
-        return b"".join([known(w) or word(w) for w in _SEGMENT.findall(text)])
+        """The ids of " " + text."""
+        parts = text.split(" ")
+        if "" in parts:  # several spaces together
+            return b"".join([self.word(w[1:]) if w[1:2] != " " else self.solve(w) for w in _SEGMENT.findall(" " + text)])
+        got = list(map(self.known.get, parts))
+        if None in got:
+            for i, g in enumerate(got):
+                if g is None:
+                    got[i] = self.word(parts[i])
+        return b"".join(got)
 
     # -- parts of giant texts --
 
-    def segments(self, text: str) -> list[str]:
-        return _SEGMENT.findall(text)
-
-    def matrix(self, text: str, look: str, open_start: bool) -> np.ndarray:
-        """(entries, exits) best scores through a part; ``look`` follows an open end."""
-        entries = self.longest if open_start else 1
-        segs = self.segments(text)
-        m = np.full((entries, len(look) + 1), _NEVER)
-        if len(segs) == 1:
-            whole = text + look
-            for a in range(min(entries, len(text) + 1)):
-                m[a] = self.lattice(whole, len(text), a)[0][len(text) :]
-            return m
-        head = np.full(entries, _NEVER)
-        for a in range(min(entries, len(segs[0]) + 1)):
-            head[a] = self.lattice(segs[0], len(segs[0]), a)[0][-1]
-        last = segs[-1]
-        tail = np.array(self.lattice(last + look, len(last))[0][len(last) :])
-        # what lies between is the same for every entry and exit
-        return head[:, None] + tail[None, :]
-
-    def through(self, text: str, look: str, entry: int, leave: int) -> bytes:
+    def states(self, behind: str, ahead: str) -> list[tuple[str, int]]:
+        """Pieces that reach or cross an end between two texts, with the characters they take from the second."""
+        both, e = behind + ahead, len(behind)
+        out = []
+        for s in range(max(0, e - self.longest), e):
+            for x in range(e, min(len(both), s + self.longest) + 1):
+                if x == s + 1 or both[s:x] in self.score:
+                    out.append((both[s:x], x - e))
+        return out
+
+    def _ends(self, part: tuple) -> tuple[list, list]:
+        text, behind, look = part
+        near = text[-self.longest :] if len(text) >= self.longest else behind + text
+        return (self.states(behind, text[: self.longest]) if behind else [(None, 0)]), (self.states(near, look) if look else [(None, 0)])
+
+    def matrix(self, text: str, behind: str, look: str) -> np.ndarray:
+        """(entries, exits) path weights through a part; ``behind`` and ``look`` lie beyond its open ends."""
+        entries, exits = self._ends((text, behind, look))
+        m = np.full((len(entries), len(exits)), _NEVER)
+        segs = _SEGMENT.findall(text)
+        whole = len(segs) == 1
+        first = text + look if whole else segs[0]
+        if not whole:
+            tail = segs[-1] + look
+            last = self.lattice(tail, len(segs[-1]))
+            out = np.array([0.0 if self._leaves(last, len(segs[-1]), t, k) else _NEVER for t, k in exits])
+        for i, (before, a) in enumerate(entries):
+            if a > len(segs[0]):
+                continue
+            last = self.lattice(first, len(segs[0]), a, before)
+            if whole:
+                m[i] = [0.0 if self._leaves(last, len(text), t, k) else _NEVER for t, k in exits]
+            elif a == len(segs[0]) or last[len(segs[0])] is not None:
+                m[i] = out
+        return m
+
+    @staticmethod
+    def _leaves(last: list, n: int, t: str | None, k: int) -> bool:
+        return last[n] is not None if t is None else n + k < len(last) and last[n + k] == t
+
+    def through(self, text: str, behind: str, look: str, entry: int, leave: int) -> bytes:
         """Ids of a part between fixed states."""
-        segs = self.segments(text)
+        entries, exits = self._ends((text, behind, look))
+        (before, a), (_, k) = entries[entry], exits[leave]
+        segs = _SEGMENT.findall(text)
         if len(segs) == 1:
-            whole = text + look[:leave]
-            return np.array(self.trace(whole, self.lattice(whole, len(text), entry)[1], len(whole), entry), np.int32).tobytes()
-        first, last = segs[0], segs[-1]
-        tail = last + look[:leave]
+            ids = self.trace(self.lattice(text + look, len(text), a, before), len(text) + k, a)
+            return np.array(ids, np.int32).tobytes()
+        first, tail = segs[0], segs[-1] + look
         return b"".join(
             [
-                np.array(self.trace(first, self.lattice(first, len(first), entry)[1], len(first), entry), np.int32).tobytes(),
-                *map(self.word, segs[1:-1]),
-                np.array(self.trace(tail, self.lattice(tail, len(last))[1], len(tail)), np.int32).tobytes(),
+                np.array(self.trace(self.lattice(first, len(first), a, before), len(first), a), np.int32).tobytes(),
+                *[self.word(w[1:]) if w[1:2] != " " else self.solve(w) for w in segs[1:-1]],
+                np.array(self.trace(self.lattice(tail, len(segs[-1])), len(segs[-1]) + k), np.int32).tobytes(),
             ]
         )
 
+    def trim(self) -> None:
+        """Keeps the words that came first, which are the common ones, so that a worker that goes on with other work holds little."""
+        self.known, self.older = dict(islice((self.older | self.known).items(), MEMORY // 2)), {}
+
     def decode(self, ids) -> str:
         raw = self.raw
         s = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
@@ -180,8 +274,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def split(text: str, part: int, longest: int) -> list[tuple[str, str, bool]]:
-    """(part, look-ahead, open start) of " " + text; a look-ahead only before an open end."""
+def split(text: str, part: int, longest: int) -> list[tuple[str, str, str]]:
+    """(part, behind, look) of " " + text; what lies behind and ahead is given at open ends only."""
     s = " " + text
     out, begin, was_open = [], 0, False
     while begin < len(s):
@@ -197,13 +291,13 @@ def split(text: str, part: int, longest: int) -> list[tuple[str, str, bool]]:
                 end = cut
             else:
                 opened = True
-        out.append((s[begin:end], s[end : end + longest - 1] if opened else "", was_open))
+        out.append((s[begin:end], s[max(0, begin - longest) : begin] if was_open else "", s[end : end + longest] if opened else ""))
         begin, was_open = end, opened
     return out
 
 
 def combine(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states (entry, exit) of every part on the best path, from the parts' matrices in order."""
+    """The state numbers (entry, exit) of every part on the best path, from the parts' matrices in order."""
     at = [np.zeros(1)]
     for m in matrices:
         v = (at[-1][:, None] + m[: at[-1].size]).max(axis=0)
@@ -225,7 +319,7 @@ def encode(text: str | None, path: str, part: int = PART) -> np.ndarray | None:
     v = vocabulary(path)
     parts = split(text, part, v.longest)
     states = combine([v.matrix(*p) for p in parts]) if len(parts) > 1 else [(0, 0)]
-    return np.frombuffer(b"".join(v.through(t, look, a, b) for (t, look, _), (a, b) in zip(parts, states, strict=True)), np.int32)
+    return np.frombuffer(b"".join(v.through(t, behind, look, a, b) for (t, behind, look), (a, b) in zip(parts, states, strict=True)), np.int32)
 
 
 def _lists(ids: list) -> pa.Array:
@@ -253,9 +347,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART)
 
     def short(batches):
         v = vocabulary(path)
-        for b in batches:
-            ids = [None if t is None else v.words(" " + t) if t else b"" for t in b.column(at).to_pylist()]
+        for b in few_rows(batches):
+            ids = [None if t is None else v.words(t) if t else b"" for t in b.column(at).to_pylist()]
             yield _add(b, ids=_lists(ids), n_parts=pa.array(np.ones(len(ids), np.int32)))
+        v.trim()
 
     def cut(batches):
         longest = vocabulary(path).longest
@@ -266,13 +361,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART)
                     some = parts[a : a + 64]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row] * len(some), pa.int64()), pa.array(range(a, a + len(some)), pa.int32()), pa.array([p[0] for p in some]), pa.array([p[1] for p in some]), pa.array([p[2] for p in some])],
-                        names=["_row", "no", "part", "look", "open"],
+                        names=["_row", "no", "part", "behind", "look"],
                     )
 
     def matrices(batches):
         v = vocabulary(path)
         for b in batches:
-            found = [v.matrix(*p) for p in zip(*(b.column(c).to_pylist() for c in ("part", "look", "open")), strict=True)]
+            found = [v.matrix(*p) for p in zip(*(b.column(c).to_pylist() for c in ("part", "behind", "look")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("no"), pa.array([m.shape[1] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], names=["_row", "no", "exits", "m"])
 
     def states(pdf):
@@ -283,14 +378,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART)
     def traces(batches):
         v = vocabulary(path)
         for b in batches:
-            ids = [v.through(*p) for p in zip(*(b.column(c).to_pylist() for c in ("part", "look", "entry", "leave")), strict=True)]
+            ids = [v.through(*p) for p in zip(*(b.column(c).to_pylist() for c in ("part", "behind", "look", "entry", "leave")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("no"), _lists(ids)], names=["_row", "no", "ids"])
 
     giant = F.coalesce(F.length("text") > part, F.lit(False))
     out = docs.where(~giant).mapInArrow(short, schema)
     long = written(docs.where(giant).withColumn("_row", F.monotonically_increasing_id()), "giants")
     if not long.isEmpty():
-        parts = written(long.select("_row", "text").mapInArrow(cut, "_row long, no int, part string, look string, open boolean").repartition("_row", "no"), "parts")
+        parts = written(long.select("_row", "text").mapInArrow(cut, "_row long, no int, part string, behind string, look string").repartition("_row", "no"), "parts")
         solved = parts.mapInArrow(matrices, "_row long, no int, exits int, m binary").groupBy("_row").applyInPandas(states, "_row long, no int, entry int, leave int")
         traced = parts.join(solved, ["_row", "no"]).mapInArrow(traces, "_row long, no int, ids array<int>")
         joined = traced.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("_p"))
@@ -303,31 +398,47 @@ def decode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``decoded``, the text of its ``ids``; null ids give null."""
     path = path or default_model()
     docs = docs.drop("decoded")
+    at = docs.columns.index("ids")
 
     def run(batches):
         v = vocabulary(path)
-        at = docs.columns.index("ids")
         for b in batches:
             yield _add(b, decoded=pa.array([None if x is None else v.decode(x) for x in b.column(at).to_pylist()], pa.string()))
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", decoded string")
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_ids, n_parts, ids_sha256 (of the ids as little-endian int32), round_trip (whether decoding gives the text back)."""
+def digest(docs: DataFrame, path: str | None = None, part: int = PART) -> DataFrame:
+    """doc_id, n_ids, n_parts, ids_sha256 (of the ids as little-endian int32), round_trip (whether decoding gives the text back).
+
+    Texts of one part are encoded, decoded and digested in one pass; those of
+    several parts go through ``encode_documents``.
+    """
     path = path or default_model()
-    d = encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, n_ids long, n_parts int, ids_sha256 string, round_trip boolean"
 
-    def run(batches):
+    def rows(v, doc_ids, texts, ids, n_parts):
+        sha = [None if x is None else hashlib.sha256(x).hexdigest() for x in ids]
+        same = [None if x is None else v.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(ids, texts, strict=True)]
+        n = pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64())
+        return pa.RecordBatch.from_arrays([doc_ids, n, n_parts, pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "n_parts", "ids_sha256", "round_trip"])
+
+    def short(batches):
         v = vocabulary(path)
-        for b in batches:
-            texts, lists = b.column(1).to_pylist(), b.column(2)
-            sha, same = [], []
-            for i, t in enumerate(texts):
-                ids = lists[i].values
-                a = None if ids is None else ids.to_numpy(zero_copy_only=False).astype("<i4")
-                sha.append(None if a is None else hashlib.sha256(a.tobytes()).hexdigest())
-                same.append(None if a is None else v.decode(a.tolist()) == t)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "n_parts", "ids_sha256", "round_trip"])
-
-    return d.mapInArrow(run, "doc_id long, n_ids long, n_parts int, ids_sha256 string, round_trip boolean")
+        for b in few_rows(batches):
+            texts = b.column(1).to_pylist()
+            ids = [None if t is None else v.words(t) if t else b"" for t in texts]
+            yield rows(v, b.column(0), texts, ids, pa.array(np.ones(len(ids), np.int32)))
+        v.trim()
+
+    def long(batches):
+        v = vocabulary(path)
+        for b in few_rows(batches):
+            lists = b.column(2)
+            ids = [lists[i].values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() for i in range(len(lists))]
+            yield rows(v, b.column(0), b.column(1).to_pylist(), ids, b.column(4))
+
+    giant = F.coalesce(F.length("text") > part, F.lit(False))
+    many = encode_documents(d.where(giant), path, part).select("doc_id", "text", "ids", "n_ids", "n_parts")
+    return d.where(~giant).mapInArrow(short, schema).union(many.mapInArrow(long, schema))
