@@ -8,28 +8,38 @@ from tessera.llm import decontam, language_id, linededup, neardup, spm
 from tessera.llm._store import written
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows of long texts go to Python a thousand at a time: ten thousand of them would take a good part of an executor's memory, twice over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language prediction is rejected go."""
+    _small_batches(spark)
     return language_id.keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of near-equal lines stays; no document goes."""
+    _small_batches(spark)
     return linededup.deduplicate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    _small_batches(spark)
     return neardup.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    _small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its token ids."""
+    _small_batches(spark)
     return spm.encode_documents(docs)
 
 

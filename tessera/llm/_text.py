@@ -7,9 +7,12 @@ other than ``[\\x20\\x09-\\x0D]`` (all ASCII, so UTF-8 bytes never collide).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are hashed in groups of about this many bytes (one text may exceed it).
 GROUP_BYTES = 1 << 20
@@ -105,10 +108,13 @@ def groups(texts: list, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
 
 
 def few_rows(batches, rows: int = 512):
-    """Arrow batches cut into pieces of a few rows, so that only few texts become Python strings at once."""
+    """Arrow batches cut into pieces of a few rows, so that only few texts become Python strings at once.  At the end, what the task held goes back to the system, since workers live on."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ngrams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
