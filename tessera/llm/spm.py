@@ -5,8 +5,8 @@ merge result of its text exactly if every two neighbours are the merge result
 of theirs, so encoding is a path through the lattice of pieces in which a step
 weighs 0 where the pair fits and minus infinity where it doesn't, and the best
 path is the only one that is not minus infinity.  No piece holds a space after
-another character, so every word start is a forced cut, and whole words are
-solved once and remembered.
+another character and none runs over a line's end, so the starts of words and of lines
+are forced cuts, and whole words are solved once and remembered.
 
 A text of more than ``PART`` characters is split into parts.  A part's ends lie
 on forced cuts where it has any; where a stretch without a space is longer than
@@ -86,6 +86,9 @@ class Vocabulary:
                 self.score[text] = (i, float(sp.get_score(i)))
                 self.raw.append(text.encode())
                 self.text.append(text)
+        if any("\n" in t[:-1] or "\n" in t[1:] for t in self.score):
+            raise ValueError("a piece runs over a line's end: lines can't be cut apart")
+        self.code = {t: i.to_bytes(4, "little") for t, (i, _) in self.score.items()}
         self.longest = max(map(len, self.score))
         #: every beginning of a piece, and whether it is a piece itself
         self.begins = {t[:i]: False for t in self.score for i in range(1, len(t) + 1)} | dict.fromkeys(self.score, True)
@@ -159,12 +162,56 @@ class Vocabulary:
             end -= len(t)
         return [i for ids in reversed(out) for i in ids]
 
+    def pieces_at(self, w: str, p: int) -> list[str]:
+        """The pieces that begin at ``p``, the shortest first; a single character always counts as one."""
+        begins, n, q = self.begins, len(w), p + 1
+        t = w[p:q]
+        out = [t]
+        while q < n and t in begins:
+            q += 1
+            t = w[p:q]
+            if begins.get(t):
+                out.append(t)
+        return out
+
     def solve(self, w: str) -> bytes:
-        """The ids of a segment that begins with a space, as int32 bytes, from its lattice."""
-        return np.array(self.trace(self.lattice(w, len(w)), len(w)), np.int32).tobytes()
+        """The ids of a segment that begins with a space or a line's end, as int32 bytes.
+
+        The finite path through the segment's lattice, found from the longest
+        pieces first.  Only one piece can reach a place, so a place from which
+        the path does not go on is never entered again.
+        """
+        n, p, pairs = len(w), 0, self.pairs
+        path: list[str] = []
+        todo: list[list[str]] = []  # the pieces yet to try after each beginning of the path
+        dead: set[int] = set()
+        options = self.pieces_at(w, 0)
+        while p < n:
+            here = path[-1] if path else None
+            row = pairs.get(here)
+            if row is None:
+                row = pairs[here] = {}
+            while options:
+                t = options.pop()
+                if p + len(t) not in dead and (row[t] if t in row else self.fits(here, t)):
+                    path.append(t)
+                    todo.append(options)
+                    p += len(t)
+                    options = self.pieces_at(w, p) if p < n else []
+                    break
+            else:
+                dead.add(p)
+                p -= len(path.pop())
+                options = todo.pop()
+        code = self.code
+        return b"".join([code[t] if t in code else self.spelled(t) for t in path])
+
+    def spelled(self, t: str) -> bytes:
+        """The byte pieces of a character that no piece holds, as int32 bytes."""
+        return np.array([self.byte[b] for b in t.encode("utf-8", "surrogatepass")], np.int32).tobytes()
 
     def word(self, bare: str) -> bytes:
-        """The ids of a word (the space before it left out), remembered.
+        """The ids of a word (the space before it left out; or a line's end and the word right after it), remembered.
 
         A mark at the end of a known word needs no lattice: the path of the
         word goes on with the mark if the two last pieces fit.
@@ -173,15 +220,15 @@ class Vocabulary:
         if got is None:
             got = self.older.get(bare)
             if got is None and bare and not bare[-1].isalnum():
-                stem, mark = bare[:-1], self.score.get(bare[-1])
+                stem, mark = bare[:-1], self.code.get(bare[-1])
                 before = self.known.get(stem) or self.older.get(stem)
                 if before and mark:
                     last = self.text[int.from_bytes(before[-4:], "little")]
                     row = self.pairs.get(last, {})
                     if last and (row[bare[-1]] if bare[-1] in row else self.fits(last, bare[-1])):
-                        got = before + mark[0].to_bytes(4, "little")
+                        got = before + mark
             if got is None:
-                got = self.solve(" " + bare)
+                got = self.solve(bare if bare[:1] == "\n" else " " + bare)
             if len(self.known) >= MEMORY:
                 self.older, self.known = self.known, {}
             if len(bare) <= 64:
@@ -189,15 +236,21 @@ class Vocabulary:
         return got
 
     def words(self, text: str) -> bytes:
-        """The ids of " " + text."""
-        parts = text.split(" ")
-        if "" in parts:  # several spaces together
-            return b"".join([self.word(w[1:]) if w[1:2] != " " else self.solve(w) for w in _SEGMENT.findall(" " + text)])
-        got = list(map(self.known.get, parts))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    got[i] = self.word(parts[i])
+        """The ids of " " + text.  No piece runs over a line's end, so every line begins at a forced cut, too."""
+        first, *lines = text.split("\n")
+        got: list[bytes] = []
+        for line in [first, *["\n" + x for x in lines]]:
+            parts = line.split(" ")
+            if "" in parts:  # several spaces together, or one before a line's end
+                at = line if line[:1] == "\n" else " " + line
+                got += [self.solve(w) if w[:2] == "  " or w == " " else self.word(w[1:] if w[0] == " " else w) for w in _SEGMENT.findall(at)]
+                continue
+            found = list(map(self.known.get, parts))
+            if None in found:
+                for i, g in enumerate(found):
+                    if g is None:
+                        found[i] = self.word(parts[i])
+            got += found
         return b"".join(got)
 
     # -- parts of giant texts --
@@ -254,7 +307,7 @@ class Vocabulary:
         return b"".join(
             [
                 np.array(self.trace(self.lattice(first, len(first), a, before), len(first), a), np.int32).tobytes(),
-                *[self.word(w[1:]) if w[1:2] != " " else self.solve(w) for w in segs[1:-1]],
+                self.words("".join(segs[1:-1])[1:]) if len(segs) > 2 else b"",
                 np.array(self.trace(self.lattice(tail, len(segs[-1])), len(segs[-1]) + k), np.int32).tobytes(),
             ]
         )

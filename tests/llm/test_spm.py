@@ -56,3 +56,11 @@ def test_odd_rows(spark, model):
     assert [r.ids for r in got if r.doc_id == 1] == [None] and [r.n_ids for r in got if r.doc_id == 2] == [0]
     assert next(r.n_parts for r in got if r.doc_id == 3) > 1
     assert P.encode_documents(d.where("false")).count() == 0
+
+
+def test_line_ends_are_cuts(model):
+    sp = library(model)
+    texts = ["\n", " \n", "\n ", "  \n", "a \nb", "a\n b", "one two.\nThree  four \n\n five", "x " * 40 + "\n" + " " * 7, " \n日本 é\n"]
+    for t in texts * 2:  # the second time from memory
+        assert np.frombuffer(P.vocabulary(model).words(t), np.int32).tolist() == sp.encode(t)
+        assert P.encode(t, model, 48).tolist() == sp.encode(t)
