@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,15 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# the same matches as EMAIL and IP, found without trying every place of a long run
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_QUADS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
 _ANY = re.compile(r"[0-9@+]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*")
-_TRIM = re.compile(r"^[^0-9A-Za-z+(@]*(.*?)[^0-9A-Za-z)]*$", re.S)
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*+[0-9@+][^\x20\x09-\x0D]*+")
+_LEAD = re.compile(r"[^0-9A-Za-z+(@]*+")
+_CORE_END = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789)")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -55,12 +62,49 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """The matches of EMAIL: from each at sign to the left and to the right."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > last and text[a - 1] in _LOCAL:
+            a -= 1
+        m = _DOMAIN.match(text, at + 1) if a < at else None
+        if m:
+            out.append((a, m.end()))
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+    return out
+
+
+def _core(token: str) -> tuple[int, int]:
+    """Where a token begins and ends without the marks around it."""
+    a, b = _LEAD.match(token).end(), len(token)
+    while b > a and token[b - 1] not in _CORE_END:
+        b -= 1
+    return a, b
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places that (kind, start, end) cover, as disjoint stretches in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _touches(covered: list[tuple[int, int]], a: int, b: int) -> bool:
+    i = bisect_left(covered, (b,))  # the stretches that begin before b
+    return i > 0 and covered[i - 1][1] > a
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind, then start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
+    out = [(0, a, b) for a, b in _emails(text)]
+    out += [(1, m.start(), m.end()) for m in _QUADS.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         d = _NOT_DIGIT.sub("", m[0])
         if 13 <= len(d) <= 19 and luhn(d):
@@ -91,13 +135,12 @@ class Graph:
                 continue
             last, seen = None, {}
             for m in _TOKEN.finditer(text):
-                core = _TRIM.match(m[0])
+                a, b = _core(m[0])
                 i = len(self.doc)
-                a = m.start() + core.start(1)
                 self.doc.append(d)
-                self.start.append(a)
-                self.end.append(m.start() + core.end(1))
-                t = core[1]
+                self.start.append(m.start() + a)
+                self.end.append(m.start() + b)
+                t = m[0][a:b]
                 self.core.append(t)
                 digits = _NOT_DIGIT.sub("", t)
                 shape = _shape(t)
@@ -124,11 +167,9 @@ class Graph:
         by_doc: dict[int, list] = {}
         for i, (d, a, b) in enumerate(zip(self.doc, self.start, self.end, strict=True)):
             if d not in by_doc:
-                by_doc[d] = base_spans(texts[d])
-            for k, s, e in by_doc[d]:
-                if s < b and a < e:
-                    y[i] = k + 1
-                    break
+                found = base_spans(texts[d])
+                by_doc[d] = [_merged([s for s in found if s[0] == k]) for k in range(len(KINDS))]
+            y[i] = next((k + 1 for k, covered in enumerate(by_doc[d]) if _touches(covered, a, b)), 0)
         return y
 
 
@@ -220,6 +261,7 @@ def spans_of(texts: list, field: Field) -> list[tuple[list, list]]:
     """For each text: base spans (kind, start, end), and the spans the field adds."""
     base = [base_spans(t) if t and _ANY.search(t) else [] for t in texts]
     own = [t if t and _ANY.search(t) else None for t in texts]
+    covered = [_merged(x) for x in base]
     added: list[list] = [[] for _ in texts]
     g = Graph(own)
     if g.size:
@@ -227,7 +269,7 @@ def spans_of(texts: list, field: Field) -> list[tuple[list, list]]:
         best = p[:, 1:].argmax(axis=1)
         for i in np.flatnonzero(p[np.arange(g.size), best + 1] >= SURE).tolist():
             d, a, b = g.doc[i], g.start[i], g.end[i]
-            if a < b and not any(s < b and a < e for _, s, e in base[d]):
+            if a < b and not _touches(covered[d], a, b):
                 added[d].append((int(best[i]), a, b))
     return list(zip(base, added, strict=True))
 

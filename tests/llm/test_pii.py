@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 from conftest import DATA
@@ -103,3 +105,23 @@ def test_training_learns_the_shapes():
     g = P.Graph(texts)
     y = g.labels(texts)
     assert (f.marginals(g).argmax(axis=1) == y).mean() > 0.97
+
+
+def test_scans_equal_the_plain_patterns():
+    rng = random.Random(3)
+    for letters in ("ab.@-_ 1", "1.2 3.", "é!(@+1a) \n\t日", "a@b.c"):
+        for _ in range(3000):
+            s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+            assert P._emails(s) == [m.span() for m in P.EMAIL.finditer(s)]
+            assert [m.span() for m in P._QUADS.finditer(s)] == [m.span() for m in P.IP.finditer(s)]
+            spans = [(0, a, a + rng.randint(1, 4)) for a in rng.sample(range(40), 5)]
+            a = rng.randint(0, 40)
+            b = a + rng.randint(1, 5)
+            assert P._touches(P._merged(spans), a, b) == any(s < b and a < e for _, s, e in spans)
+
+
+def test_long_runs_take_one_pass():
+    began = time.perf_counter()
+    for s in ("日" * 300_000, "a" * 300_000 + " x@y.zz", "1" * 300_000, "1" + "!" * 300_000 + "é"):
+        P.spans_of([s], P.Field())
+    assert time.perf_counter() - began < 20
