@@ -68,9 +68,12 @@ def spans(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text or not _RUN.search(text) and not _HINT.search(text):
         return []
     found = base_spans(text)
+    base, i, reach = sorted((s, e) for s, e, _, _ in found), 0, 0
     for m in _BLOB.finditer(text):
         v = m[0]
-        if any(s < m.end() and m.start() < e for s, e, _, _ in found):
+        while i < len(base) and base[i][0] < m.end():
+            reach, i = max(reach, base[i][1]), i + 1
+        if reach > m.start():  # a base span touches it
             continue
         if re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and entropy(v) >= 4.0:
             found.append((m.start(), m.end(), "blob", v))
