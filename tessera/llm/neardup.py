@@ -42,6 +42,7 @@ CLOSE = 0.65  # estimated similarity to the pivot from which a member need not b
 ALIKE = 0.15  # estimated similarity to the pivot of what a close member is compared with: CLOSE less 0.25 and the error of both estimates
 FEW = 16  # close members whose candidates are found by a join; more are compared in blocks
 BLOCK = 200_000  # shingles in a block
+LIGHT = 100  # shingles that a member counts for at least, so that a block has few members, too
 
 with np.errstate(over="ignore"):
     _A = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -219,7 +220,8 @@ def _in_blocks(members: DataFrame, docs: DataFrame) -> DataFrame | None:
     """
     size = members.groupBy("cluster").agg(F.min(F.struct("rep", "label")).alias("first"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("cluster", F.col("first.label").alias("main"))
     m = members.join(size, "cluster").withColumn("own", F.col("label") == F.col("main"))
-    blocks = m.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("own"), F.col("n"))) / BLOCK).alias("na"), F.ceil(F.sum(F.when(~F.col("own"), F.col("n"))) / BLOCK).alias("nb"))
+    weight = F.greatest("n", F.lit(LIGHT))
+    blocks = m.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("own"), weight)) / BLOCK).alias("na"), F.ceil(F.sum(F.when(~F.col("own"), weight)) / BLOCK).alias("nb"))
     m = written(m.join(blocks, "cluster"), "members")
     if m.isEmpty():
         return None
