@@ -35,6 +35,13 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name`` behind as many underscores as make it a name that no column of ``df`` begins with."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 #: Ids that may be broadcast: 8 bytes each, so at most about 16 MB as a hashed relation.
 BROADCAST_IDS = 500_000
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import unused, written
 from ._text import few_rows
 
 #: Characters in a part of a giant text.
@@ -436,13 +436,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART)
 
     giant = F.coalesce(F.length("text") > part, F.lit(False))
     out = docs.where(~giant).mapInArrow(short, schema)
-    long = written(docs.where(giant).withColumn("_row", F.monotonically_increasing_id()), "giants")
+    row = unused("row", docs)
+    long = written(docs.where(giant).withColumn(row, F.monotonically_increasing_id()), "giants")
     if not long.isEmpty():
-        parts = written(long.select("_row", "text").mapInArrow(cut, "_row long, no int, part string, behind string, look string").repartition("_row", "no"), "parts")
+        parts = written(long.select(F.col(row).alias("_row"), "text").mapInArrow(cut, "_row long, no int, part string, behind string, look string").repartition("_row", "no"), "parts")
         solved = parts.mapInArrow(matrices, "_row long, no int, exits int, m binary").groupBy("_row").applyInPandas(states, "_row long, no int, entry int, leave int")
         traced = parts.join(solved, ["_row", "no"]).mapInArrow(traces, "_row long, no int, ids array<int>")
         joined = traced.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("_p"))
-        many = long.join(joined, "_row").select(*docs.columns, F.flatten(F.col("_p.ids")).alias("ids"), F.size("_p").alias("n_parts"))
+        many = long.join(joined.withColumnRenamed("_row", row).withColumnRenamed("_p", f"{row}_parts"), row).select(*docs.columns, F.flatten(F.col(f"{row}_parts.ids")).alias("ids"), F.size(f"{row}_parts").alias("n_parts"))
         out = out.union(many)
     return out.select(*docs.columns, "ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_ids"), "n_parts")
 

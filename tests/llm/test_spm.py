@@ -64,3 +64,10 @@ def test_line_ends_are_cuts(model):
     for t in texts * 2:  # the second time from memory
         assert np.frombuffer(P.vocabulary(model).words(t), np.int32).tolist() == sp.encode(t)
         assert P.encode(t, model, 48).tolist() == sp.encode(t)
+
+
+def test_clashing_columns(spark, model):
+    d = spark.createDataFrame([(1, "one two " * 100, 7, "p"), (2, "", 8, None), (3, None, 9, "q")], "doc_id long, text string, _row int, row_parts string")
+    got = P.encode_documents(d, model, 64).orderBy("doc_id").collect()
+    assert [(r.doc_id, r._row, r.row_parts) for r in got] == [(1, 7, "p"), (2, 8, None), (3, 9, "q")]
+    assert got[0].ids == library(model).encode("one two " * 100) and got[0].n_parts > 1 and got[1].ids == [] and got[2].ids is None
