@@ -107,8 +107,15 @@ def groups(texts: list, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def few_rows(batches, rows: int = 512):
-    """Arrow batches cut into pieces of a few rows, so that only few texts become Python strings at once.  At the end, what the task held goes back to the system, since workers live on."""
+#: Functions that drop what a worker remembers for one operator.
+MEMORIES: list = []
+
+
+def few_rows(batches, rows: int = 512, keep=None):
+    """Arrow batches cut into pieces of a few rows, so that only few texts become Python strings at once.  Workers live on: what they remember for other operators goes at the beginning (all MEMORIES but ``keep``), and what the task held goes back to the system at the end."""
+    for forget in MEMORIES:
+        if forget is not keep:
+            forget()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import unused, written
-from ._text import few_rows
+from ._text import MEMORIES, few_rows
 
 #: Characters in a part of a giant text.
 PART = 1 << 16
@@ -327,6 +327,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def forget() -> None:
+    """Drops the vocabularies that this process holds."""
+    vocabulary.cache_clear()
+
+
+MEMORIES.append(forget)
+
+
 def split(text: str, part: int, longest: int) -> list[tuple[str, str, str]]:
     """(part, behind, look) of " " + text; what lies behind and ahead is given at open ends only."""
     s = " " + text
@@ -400,7 +408,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART)
 
     def short(batches):
         v = vocabulary(path)
-        for b in few_rows(batches):
+        for b in few_rows(batches, keep=forget):
             ids = [None if t is None else v.words(t) if t else b"" for t in b.column(at).to_pylist()]
             yield _add(b, ids=_lists(ids), n_parts=pa.array(np.ones(len(ids), np.int32)))
         v.trim()
@@ -480,7 +488,7 @@ def digest(docs: DataFrame, path: str | None = None, part: int = PART) -> DataFr
 
     def short(batches):
         v = vocabulary(path)
-        for b in few_rows(batches):
+        for b in few_rows(batches, keep=forget):
             texts = b.column(1).to_pylist()
             ids = [None if t is None else v.words(t) if t else b"" for t in texts]
             yield rows(v, b.column(0), texts, ids, pa.array(np.ones(len(ids), np.int32)))
@@ -488,7 +496,7 @@ def digest(docs: DataFrame, path: str | None = None, part: int = PART) -> DataFr
 
     def long(batches):
         v = vocabulary(path)
-        for b in few_rows(batches):
+        for b in few_rows(batches, keep=forget):
             lists = b.column(2)
             ids = [lists[i].values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() for i in range(len(lists))]
             yield rows(v, b.column(0), b.column(1).to_pylist(), ids, b.column(4))
