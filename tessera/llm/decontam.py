@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import without, written
-from ._text import Words, few_rows, groups, ngrams
+from ._text import Words, few_rows, groups, mix, ngrams
 
 RADIUS = 7
 SIMILARITY = 0.75
@@ -86,8 +86,11 @@ class Index:
             offsets = np.arange(h.size - w + 1)
             by_class.setdefault(w, []).append((k, offsets, _windows(h, [(offsets, w)])[0]))
         self.lengths = np.array(self.n, np.int64)
-        self.first = np.cumsum(self.lengths) - self.lengths
-        self.words = np.concatenate(all_words)
+        self.salt = mix(np.arange(1, self.lengths.size + 1, dtype=np.uint64))
+        slots = np.concatenate(all_words) ^ np.repeat(self.salt, self.lengths)
+        self.shift = np.uint64(64 - max(10, (16 * slots.size).bit_length()))
+        self.has = np.zeros(1 << (64 - int(self.shift)), bool)  # the words of each item; a chance hit makes a bound too high, never too low
+        self.has[slots >> self.shift] = True
         for w, found in by_class.items():
             stride = max(1, min(o.size for _, o, _ in found) // 3)
             item = np.concatenate([np.full(o.size, k) for k, o, _ in found])
@@ -135,17 +138,18 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
-def _aligned(h, off, win, entry, text, begin, item, index):
-    """Those pairs within the radius, once for each alignment, that have a quarter of the item's words in place.  With similarity 0.75 the longest stretch without an edit is over a quarter, and windows inside it give its alignment."""
+def _aligned(off, h, win, entry, text, begin, item, index):
+    """Those pairs within the radius, once for each alignment, whose passage has enough words of the item.  Every shared shingle begins with a shared word, so the words in common bound the shared shingles, and no passage of similarity 0.75 goes."""
     _, once = np.unique(np.stack([begin, item]), axis=1, return_index=True) if win.size else (None, np.empty(0, np.int64))
     win, entry, text, begin, item = win[once], entry[once], text[once], begin[once], item[once]
     n = index.lengths[item]
-    row = np.repeat(np.arange(win.size), n)
-    j = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[row] + j
-    inside = (at >= off[text[row]]) & (at < off[text[row] + 1])
-    same = inside & (h[np.where(inside, at, 0)] == index.words[index.first[item[row]] + j])
-    ok = 4 * np.bincount(row, same, minlength=win.size) >= n
+    begin = np.maximum(begin, off[text])
+    m = np.minimum(begin + n, off[text + 1]) - begin
+    row = np.repeat(np.arange(win.size), m)
+    at = np.repeat(begin - np.cumsum(m) + m, m) + np.arange(row.size)
+    common = np.bincount(row, index.has[(h[at] ^ index.salt[item[row]]) >> index.shift], minlength=win.size)
+    k = np.minimum(SHINGLE, n)
+    ok = (m >= k) & (common >= SIMILARITY / (1 + SIMILARITY) * (n + m - 2 * k + 2) - 1e-9)
     return zip(win[ok].tolist(), entry[ok].tolist(), text[ok].tolist(), item[ok].tolist(), strict=True)
 
 
@@ -171,7 +175,7 @@ def search(texts: list, index: Index) -> list[tuple]:
                 _, item, offset, fp, _ = index.classes[w]
                 win, entry = index.near(mine, w)
                 text = np.searchsorted(off, start[win], "right") - 1
-                for i, e, d, k in _aligned(words.h, off, win, entry, text, start[win] - offset[entry], item[entry], index):
+                for i, e, d, k in _aligned(off, words.h, win, entry, text, start[win] - offset[entry], item[entry], index):
                     begin = max(int(start[i]) - int(offset[e]), int(off[d]))
                     end = min(begin + index.n[k], int(off[d + 1]))
                     if (d, k, begin) in seen:

@@ -58,3 +58,19 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b c", 2)], d.schema)
     assert D.find(d, b).count() == 0 and D.find(one, b).count() == 0
     assert D.decontaminate(one, b).collect() == one.collect()
+
+
+def test_long_items_with_spread_edits():
+    """Words dropped or put in evenly over long items: all that brute force finds."""
+    items, docs = [], []
+    for k, n in enumerate((150, 200, 300, 500, 1000)):
+        w = [f"t{k}x{i}" for i in range(n)]
+        items.append((k, " ".join(w)))
+        step = n // (n // 50 + 1)
+        fewer = [x for i, x in enumerate(w) if i % step != step // 2]
+        more = [y for i, x in enumerate(w) for y in ([x, f"new{i}"] if i % step == step // 2 else [x])]
+        plain = " ".join(f"p{k}x{i}" for i in range(300))
+        docs += [(2 * k, f"{plain} {' '.join(fewer)} {plain}"), (2 * k + 1, f"{plain} {' '.join(more)} {plain}")]
+    want = brute(docs, items)
+    got = {(i, k) for i, k, *_ in D.search([t for _, t in docs], D.Index(items))}
+    assert len(want) == 10 and got == set(want)
