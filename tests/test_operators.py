@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tessera.functions import dist as D
@@ -326,3 +327,11 @@ def test_linear_classifier(spark):
     m = L.linear_classifier(d, "y", "f")
     got = m.transform(d.select("y", array_to_vector("f").alias("features"))).collect()
     assert all(r.prediction == r.y for r in got)
+
+
+def test_searchlight_query_covers_the_whole_grid(spark):
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["searchlight_accuracy"](spark, DATA)
+    cells = spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("l_partkey % 32 AS x", "l_suppkey % 32 AS y").distinct()
+    assert {(r.x, r.y) for r in got.collect()} == {(r.x, r.y) for r in cells.collect()}
