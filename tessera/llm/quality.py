@@ -2,18 +2,24 @@
 
 Two bag-of-n-gram generative models over ``BUCKETS`` hashed words and word
 pairs are counted in Spark: the target model from the documents labelled good
-(and not toxic, where labels say so), the raw model from all documents.  A document's importance is the mean log
-ratio of its n-grams under the two models, times ``SHARPNESS``; with Gumbel
-noise added, the top ``share`` of all documents is a sample without replacement
-in proportion to the importance weights.  The share is that of good documents
-among the labelled ones unless it is given.
+(and not toxic, where labels say so), the raw model from all documents.  A
+document's importance is the log of the ratio of its probabilities under the two
+models, which is the sum over its n-grams, divided by ``temperature``; with
+Gumbel noise added, the top ``share`` of all documents is a sample without
+replacement in proportion to ``ratio ** (1 / temperature)``.  At temperature 1
+these are the importance weights themselves.  They differ by many powers of ten
+between texts of many words, so the noise decides among short texts and texts
+near the cut; a higher temperature flattens the weights.  The share is that of
+good documents among the labelled ones unless it is given.
 
 The noise is a hash of the doc_id, so a rerun or a lost executor gives the same
 sample.  The cut is exact: counts in ever finer bins narrow it down, and no
 more than ``FEW`` keys come to the driver.
 
 Defined results: null or word-free text has importance 0 under both models and
-takes part; a null doc_id counts as -1 in the noise; rows with equal keys at
+takes part; a null doc_id counts as -1 in the noise; a doc_id that any label row
+calls good is target text once, however many rows or other labels it has; in
+``good_share`` every label row counts; rows with equal keys at
 the cut are all taken, so repeated rows stay together; without a good label the
 importance is 0 everywhere and the sample is uniform; other columns are ignored
 by ``score`` and ``sample``.
@@ -32,7 +38,7 @@ from ._store import only, written
 from ._text import Words, groups, ngrams
 
 BUCKETS = 1 << 14
-SHARPNESS = 60.0
+TEMPERATURE = 1.0
 FEW = 10_000
 
 
@@ -88,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(q / p)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, ratio: np.ndarray, seed: int = 3, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, importance and key (importance with Gumbel noise) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -100,8 +106,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 3) -> DataFrame:
                 for x, y in groups(texts):
                     f, doc = features(texts[x:y])
                     s = np.bincount(doc, r[f], minlength=y - x)
-                    n = np.bincount(doc, minlength=y - x)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(SHARPNESS * s / np.maximum(n, 1))], names=["doc_id", "importance"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(s / temperature)], names=["doc_id", "importance"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, importance double")
     u = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -134,9 +139,9 @@ def cut(keys: DataFrame, k: int) -> float | None:
             above += n
 
 
-def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 3) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 3, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, importance, key and selected of every row; the ``share`` of the rows with the largest keys is selected."""
     share = good_share(labels) if share is None else share
-    keys = written(score(docs, fit(docs, labels), seed), "keys")
+    keys = written(score(docs, fit(docs, labels), seed, temperature), "keys")
     at = cut(keys, math.ceil(share * keys.count()))
     return keys.withColumn("selected", F.lit(False) if at is None else F.col("key") >= at)

@@ -41,7 +41,43 @@ def test_odd_rows(spark):
     d = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "a b", 3), (3, "a b", 4), (3, "a b", 4), (4, "z " * 50_000, 5)], "doc_id long, text string, key int")
     labels = spark.createDataFrame([(3, 1), (None, 1), (4, 0), (9, None)], "doc_id long, quality int")
     got = Q.sample(d, labels).collect()
-    assert len(got) == 6 and len({r.selected for r in got if r.doc_id == 3}) == 1
+    assert len(got) == 6 and len({r.selected for r in got if r.doc_id == 3}) == 1  # conflicting labels: see below
     assert all(r.importance == 0 for r in got if r.doc_id in (1, 2))
     assert Q.sample(d.where("false"), labels).count() == 0
     assert {r.importance for r in Q.sample(d, labels.where("false")).collect()} == {0.0}
+
+
+def test_importance_is_the_log_ratio_of_the_two_models(spark):
+    """Counts, smoothing and sum by brute force on the real tables."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and (r.toxic or 0) != 1}
+    with np.errstate(over="ignore"):
+        count = lambda ids: sum(np.bincount(Q.features([texts[i]])[0], minlength=Q.BUCKETS) for i in ids)
+        raw, target = count(texts).astype(float), count(good & set(texts)).astype(float)
+        p = (raw + 1) / (raw.sum() + Q.BUCKETS)
+        ratio = np.log((target + Q.BUCKETS * p) / (target.sum() + Q.BUCKETS) / p)
+        for r in Q.sample(docs, labels, temperature=2.0).collect():
+            assert abs(r.importance - ratio[Q.features([texts[r.doc_id]])[0]].sum() / 2) < 1e-6 * (1 + abs(r.importance))
+
+
+def test_draw_follows_the_exact_weights(spark):
+    """Over many seeds, how often each of five texts is drawn first is its weight's share."""
+    ratio = np.zeros(Q.BUCKETS)
+    with np.errstate(over="ignore"):
+        for word, v in (("one", 0.2), ("two", 0.7), ("three", 1.1), ("four", -0.4)):
+            ratio[Q.features([word])[0]] = v
+    d = spark.createDataFrame(list(enumerate(["one", "two", "three", "four", ""])), "doc_id long, text string")
+    n, first = 400, np.zeros(5)
+    keys = Q.score(d, ratio, temperature=0.5).select("doc_id", "importance").collect()
+    weight = np.exp([r.importance for r in sorted(keys)])
+    assert np.allclose(np.log(weight), [0.4, 1.4, 2.2, -0.8, 0.0])
+    many = spark.range(5 * n).select(F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(t) for t in ("one", "two", "three", "four", "")]), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    drawn = Q.score(many, ratio, temperature=0.5).collect()
+    by = {}
+    for r in drawn:
+        by.setdefault(r.doc_id // 5, []).append((r.key, r.doc_id % 5))
+    for v in by.values():
+        first[max(v)[1]] += 1
+    share = weight / weight.sum()
+    assert np.all(np.abs(first / n - share) < 4 * np.sqrt(share * (1 - share) / n))
