@@ -3,14 +3,17 @@
 Candidates are found with three patterns (assigned values, access keys, long
 hex runs) and as *blobs*: runs of 32 or more base64 characters with capital and
 small letters and digits.  A candidate's value is hashed, and the corpus gives
-the number of distinct owners and documents that hold the hash.  A value with
-``SHARED`` owners or more is a widely copied example; one that stays with its
-owner and looks random is live.  Owners are ``source``; a repository is the
-owner and the top of a document's id space where the table has no column for
-it.  Counting is two-step (distinct hash and owner first), so a value that
-everybody copies is one row a task before any shuffle.
-
-Defined results: null text has no spans; null owner counts as one owner; a
+the numbers of distinct repositories, owners and documents that hold the hash.
+A value in ``SHARED`` repositories or more of two owners or more is a widely
+copied example; one that stays with its owner and looks random is live.  Owners are
+``source``; repositories are the column ``repository`` (or ``repo``) where the
+table has one, else the owner is the one unit.  Counting is two-step (distinct
+hash and repository first), so a value that everybody copies is one row a task
+before any shuffle, and only the shared values meet the spans again: broadcast
+where their counted number is small, else by a join whose hot values Spark splits.
+
+Defined results: null text has no spans; null owner counts as one owner, a null
+repository as one repository of its owner; a
 repeated row counts once as owner; offsets are code points, ends exclusive;
 other columns are ignored.
 """
@@ -26,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import small_enough, written
 
-#: Owners from which a value is an example.
+#: Repositories (of two owners at least) from which a value is an example.
 SHARED = 3
 #: Bits of entropy a character from which a value looks random.
 RANDOM = 3.0
 
+#: Columns that name a document's repository.
+REPOSITORY = ("repository", "repo")
+
 # fixed values: the base patterns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -87,42 +93,56 @@ def _hash(v: str) -> int:
 def _found(batches):
     """One row a document with its spans as parallel lists."""
     for b in batches:
-        rows = [spans(t) for t in b.column(2).to_pylist()]
+        rows = [spans(t) for t in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0),
                 b.column(1),
+                b.column(2),
                 pa.array([[s[0] for s in r] for r in rows], pa.list_(pa.int64())),
                 pa.array([[s[1] for s in r] for r in rows], pa.list_(pa.int64())),
                 pa.array([[s[2] for s in r] for r in rows], pa.list_(pa.string())),
                 pa.array([[_hash(s[3]) for s in r] for r in rows], pa.list_(pa.int64())),
                 pa.array([[entropy(s[3]) for s in r] for r in rows], pa.list_(pa.float64())),
             ],
-            names=["doc_id", "owner", "start", "end", "kind", "value", "entropy"],
+            names=["doc_id", "owner", "repository", "start", "end", "kind", "value", "entropy"],
         )
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, owner and the lists start, end, kind, value (hash), entropy for every row of ``docs`` (doc_id, source, text)."""
+    """doc_id, owner, repository and the lists start, end, kind, value (hash), entropy for every row of ``docs`` (doc_id, source, text)."""
     owner = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_found, "doc_id long, owner string, start array<long>, end array<long>, kind array<string>, value array<long>, entropy array<double>")
+    repository = next((F.col(c).cast("string") for c in REPOSITORY if c in docs.columns), F.lit(None).cast("string"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), repository.alias("repository"), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(_found, "doc_id long, owner string, repository string, start array<long>, end array<long>, kind array<string>, value array<long>, entropy array<double>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_owners, n_docs: how widely each candidate value is held."""
-    held = found.where(F.size("value") > 0).select("doc_id", F.coalesce("owner", F.lit("")).alias("owner"), F.explode(F.array_distinct("value")).alias("value"))
-    by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_docs"))
+    """value, n_owners, n_repositories, n_docs (rows): how widely each candidate value is held."""
+    unit = F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")
+    held = found.where(F.size("value") > 0).select(*unit, F.explode(F.array_distinct("value")).alias("value"))
+    by_repository = held.groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = by_repository.groupBy("value", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"), F.sum("n").alias("n_docs"))
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """``ownership`` of the values that are widely copied."""
+    return ownership(found).where((F.col("n_owners") >= 2) & (F.col("n_repositories") >= SHARED))
+
+
+def _with_shared(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The spans ``rows`` with n_owners, n_repositories, n_docs where the value is widely copied, else null."""
+    often = written(shared(found), "shared")
+    return rows.join(F.broadcast(often) if small_enough(often) else often, "value", "left")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """One row a span: row (of the input), doc_id, start, end, kind, value, entropy, n_owners, n_docs, verdict ('live', 'example' or 'weak')."""
+    """One row a span: row (of the input), doc_id, start, end, kind, value, entropy, n_owners, n_repositories, n_docs (null below SHARED), verdict ('live', 'example' or 'weak')."""
     found = written(candidates(docs), "secrets")
     rows = found.where(F.size("value") > 0).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode(F.arrays_zip("start", "end", "kind", "value", "entropy")).alias("s")).select("row", "doc_id", "s.*")
-    out = rows.join(ownership(found), "value")
-    verdict = F.when(F.col("n_owners") >= SHARED, "example").when(F.col("entropy") >= RANDOM, "live").otherwise("weak")
-    return out.withColumn("verdict", verdict)
+    verdict = F.when(F.col("n_owners").isNotNull(), "example").when(F.col("entropy") >= RANDOM, "live").otherwise("weak")
+    return _with_shared(rows, found).withColumn("verdict", verdict)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -134,15 +154,15 @@ def report(docs: DataFrame) -> DataFrame:
     found = written(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
     kinds = F.array(*[F.lit(k) for k in (*KINDS, "blob", "live")])
     rows = found.where(F.size("value") > 0).select("row", F.explode(F.arrays_zip("start", "end", "kind", "value", "entropy")).alias("s")).select("row", "s.*")
-    rows = rows.join(ownership(found), "value")
-    live = (F.col("n_owners") < SHARED) & (F.col("entropy") >= RANDOM)
+    rows = _with_shared(rows, found)
+    live = F.col("n_owners").isNull() & (F.col("entropy") >= RANDOM)
     item = F.struct("start", F.array_position(kinds, F.col("kind")).alias("k"), "end", "kind")
     mark = F.struct("start", F.lit(5).cast("long").alias("k"), "end", F.lit("live").alias("kind"))
     by_row = rows.groupBy("row").agg(
         F.array_sort(F.collect_list(item)).alias("all"),
         F.array_sort(F.collect_set(F.when(live, mark))).alias("live"),
         F.count_if(live).alias("n_live"),
-        F.count_if(F.col("n_owners") >= SHARED).alias("n_example"),
+        F.count_if(F.col("n_owners").isNotNull()).alias("n_example"),
     )
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     joined = lambda a: F.coalesce(F.array_join(F.transform(a, text), ","), F.lit(""))

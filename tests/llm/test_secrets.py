@@ -62,3 +62,37 @@ def test_repeated_rows_and_empty(spark):
     assert len(got) == 3 and len(set(got)) == 1 and got[0].n_live == 2
     assert S.report(d.where("false")).count() == 0
     assert S.report(d.drop("source")).count() == 3
+
+
+def brute_ownership(rows):
+    """value -> (owners, repositories, rows), straight from the definition."""
+    held = {}
+    for owner, repository, text in rows:
+        for v in {v for _, _, _, v in S.spans(text)}:
+            held.setdefault(S._hash(v), []).append((owner or "", repository or ""))
+    return {v: (len({o for o, _ in x}), len(set(x)), len(x)) for v, x in held.items()}
+
+
+def test_ownership_equals_brute_force(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = brute_ownership([(r.source, None, r.text) for r in d.collect()])
+    got = {r.value: (r.n_owners, r.n_repositories, r.n_docs) for r in S.ownership(S.candidates(d)).collect()}
+    assert got == want
+
+
+def test_repositories_and_ties(spark):
+    """A value in three repositories of one owner stays that owner's; in three of two owners it is an example, in two of two it is not."""
+    forked, spread, twice = ("token = 'Zq8Xw2KpLm%d'" % i for i in range(3))
+    rows = [(1, "a", "a/x", forked), (2, "a", "a/y", forked), (3, "a", "a/z", forked), (4, "a", "a/x", spread), (5, "a", "a/y", spread), (6, "b", "b/x", spread), (7, "a", "a/x", twice), (8, "b", "b/x", twice)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, repository string, text string")
+    assert {r.value: (r.n_owners, r.n_repositories, r.n_docs) for r in S.ownership(S.candidates(d)).collect()} == brute_ownership([r[1:] for r in rows])
+    verdict = {r.doc_id: r.verdict for r in S.judged(d).collect()}
+    assert [verdict[i] for i in range(1, 9)] == ["live"] * 3 + ["example"] * 3 + ["live"] * 2
+    got = {r.doc_id: r for r in S.report(d).collect()}
+    assert got[4].n_example == 1 and got[1].n_live == 1
+
+
+def test_very_long_text(spark):
+    text = "word " * 200_000 + f"token = {HEX}" + "f" * 300_000
+    d = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    check(spark, d)
