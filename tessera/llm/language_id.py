@@ -7,8 +7,16 @@ vector is the mean embedding of its subwords, and a linear softmax over it
 gives the language.  Embeddings and softmax are trained together by stochastic
 gradient descent in numpy on whole texts and on random stretches of them, so
 that short texts are known too.  A second part of the sample, not trained on,
-sets the temperature and the score below which a prediction is rejected: at
-most ``REJECT_RATE`` of its right predictions fall below it.
+calibrates the rejection.  It sets the temperature and the score below which a
+prediction is rejected: at most ``REJECT_RATE`` of its right predictions fall
+below it, by their order and, where they are few, by an exponential tail with
+the mean of the language that is least sure.  A softmax is sure of text in no language, too, so the share of a
+text's three-character subwords that training never saw is limited as well:
+halfway between the share that ``REJECT_RATE`` of the calibration texts exceed and
+the share that ``FOREIGN_RATE`` of them stay under when the subwords of their
+own language are taken out of what was seen, as if it had not been learned.
+Foreign scripts, languages that were not learned and random letters lie far
+above the limit; clean texts of the learned languages lie below it.
 
 The sample is bounded: about ``SAMPLE`` labelled rows of each language, chosen
 by a hash of the id.  Everything else reads every row whole.
@@ -30,8 +38,11 @@ from ._text import few_rows, groups
 
 BUCKETS = 1 << 15
 WIDTH = 16
+#: Bits of the slots in which the model notes the three-character subwords that it has seen.
+SLOTS = 20
 SAMPLE = 600
 REJECT_RATE = 0.0005
+FOREIGN_RATE = 0.05
 EPOCHS = 8
 #: Characters whose subwords are held at once; the scores of a longer text are summed in stretches.
 GROUP = 1 << 18
@@ -39,8 +50,8 @@ _NO_LETTER = np.array([not chr(i).isalpha() for i in range(128)] + [False])
 _LETTER = regex.compile(r"\p{L}")
 
 
-def subwords(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all subwords of the texts, and where each text's begin and end."""
+def subwords(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all subwords of the texts, where each text's begin and end, and the same for the slots of the three-character ones alone."""
     parts = [" ".join(t.lower().split()) if t else "" for t in texts]
     joined = " " + " ".join(parts) + " "  # a space on both sides of each text
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -62,28 +73,34 @@ def subwords(texts: list) -> tuple[np.ndarray, np.ndarray]:
     grams[~inside & gap[:-1], 1] = -1
     grams[1:, 2][gap[1:-1]] = -1  # no n-gram runs over the space between two words
     ok = grams.ravel() >= 0
-    off = np.concatenate([[0], np.cumsum(ok)])[np.minimum(at, one.size) * 3]
-    return grams.ravel()[ok], off
+    at = np.minimum(at, one.size)
+    off = np.concatenate([[0], np.cumsum(ok)])[at * 3]
+    long = grams[:, 2] >= 0
+    slots = (three >> np.uint64(64 - SLOTS)).astype(np.int64)[long[1:]]
+    return grams.ravel()[ok], off, slots, np.concatenate([[0], np.cumsum(long)])[at]
 
 
 class Model:
-    """Per-bucket class scores (embedding times softmax weights), bias, temperature and threshold."""
+    """Per-bucket class scores (embedding times softmax weights), bias, temperature and threshold; the slots seen in training and the limit of unseen ones."""
 
     def __init__(self, labels, table, bias):
         self.labels, self.table, self.bias = labels, table.astype(np.float32), bias.astype(np.float32)
         self.temperature, self.threshold = 1.0, 0.0
+        self.seen, self.limit = np.ones(1 << SLOTS, bool), 1.0
 
-    def logits(self, texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.labels)))
+    def logits(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The class scores of each text, and its share of unseen subwords."""
+        out, strange = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         for a, b in groups(texts, GROUP):
-            g, off = subwords(texts[a:b])
+            g, off, slots, at = subwords(texts[a:b])
+            strange[a:b] = _share(~self.seen[slots], at)
             n = np.diff(off)
             full = np.flatnonzero(n)
             if b - a == 1 and n[0] > 2 * GROUP:
                 out[a] = sum(self.table[g[i : i + GROUP]].sum(axis=0, dtype=float) for i in range(0, int(n[0]), GROUP)) / n[0] + self.bias
             elif full.size:
                 out[a + full] = np.add.reduceat(self.table[g], off[:-1][full], axis=0) / n[full, None] + self.bias
-        return out
+        return out, strange
 
     def predict(self, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
         """Label, calibrated score and rejection of each text."""
@@ -91,10 +108,17 @@ class Model:
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         with np.errstate(over="ignore"):
-            p = _softmax(self.logits(texts) / self.temperature)
+            z, strange = self.logits(texts)
+        p = _softmax(z / self.temperature)
         best = p.argmax(axis=1)
         score = np.where(und, 0.0, p[np.arange(len(texts)), best])
-        return ["und" if u else self.labels[i] for u, i in zip(und, best, strict=True)], score, und | (score < self.threshold)
+        return ["und" if u else self.labels[i] for u, i in zip(und, best, strict=True)], score, und | (score < self.threshold) | (strange > self.limit)
+
+
+def _share(hit: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The share of hits between each two offsets; 0 where nothing lies between them."""
+    total = np.concatenate([[0], np.cumsum(hit)])[off]
+    return np.diff(total) / np.maximum(np.diff(off), 1)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -129,11 +153,14 @@ def train(texts: list, langs: list, seed: int = 7) -> Model:
     lab = np.array(lab)
     with np.errstate(over="ignore"):
         bags = []
+        by_lang = np.zeros((len(labels), 1 << SLOTS), bool)  # the slots that each language holds
         for a, b in groups(bits, GROUP):
-            g, off = subwords(bits[a:b])
+            g, off, slots, at = subwords(bits[a:b])
             for i in range(b - a):
                 u, n = np.unique(g[off[i] : off[i + 1]], return_counts=True)
                 bags.append((u, (n / max(1, n.sum())).astype(np.float32)))
+                by_lang[lab[a + i], slots[at[i] : at[i + 1]]] = True
+    held = by_lang.sum(axis=0, dtype=np.int32)
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w, bias = np.zeros((WIDTH, len(labels)), np.float32), np.zeros(len(labels), np.float32)
     w += rng.normal(0, 0.1, w.shape)
@@ -161,19 +188,30 @@ def train(texts: list, langs: list, seed: int = 7) -> Model:
             bias -= rate * 0.1 * d.sum(axis=0)
             emb[used] = e - rate * 20 * (x.T @ dh)
     model = Model(labels, emb @ w, bias)
-    bits, lab = _pieces([texts[i] for i in cal], [y[i] for i in cal], rng, 40)
+    model.seen = held > 0
+    whole = [texts[i] for i in cal]
+    bits, lab = _pieces(whole, [y[i] for i in cal], rng, 40)
     with np.errstate(over="ignore"):
-        z, lab = model.logits(bits), np.array(lab)
+        (z, strange), lab = model.logits(bits), np.array(lab)
+        _, _, slots, at = subwords(whole)
     scale = np.geomspace(0.05, 20, 121)
     loss = [-np.log(np.maximum(_softmax(z / s)[np.arange(lab.size), lab], 1e-12)).mean() for s in scale]
     model.temperature = float(scale[int(np.argmin(loss))])
-    whole = slice(None, None, 3)  # rejection is set on whole texts
-    p = _softmax(z[whole] / model.temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == lab[whole]])
-    chance = 1 / len(labels)
+    z, lab, strange = z[::3], lab[::3], strange[::3]  # rejection is set on whole texts
+    p = _softmax(z / model.temperature)
+    tail = -np.log(REJECT_RATE)  # so many means out lies that point of an exponential tail: a few texts alone can't show it
+    sure = p[np.arange(lab.size), lab]
+    right = np.flatnonzero(p.argmax(axis=1) == lab)
     if right.size:
-        model.threshold = float(min(right[int(REJECT_RATE * right.size)] * 0.5, chance + 0.05 * (1 - chance)))
-    model.threshold = max(model.threshold, min(1.0, chance * 1.02) if len(labels) > 1 else 0.0)
+        worst = max((1 - sure[right[lab[right] == k]]).mean() for k in np.unique(lab[right]))
+        model.threshold = float(min(np.sort(sure[right])[int(REJECT_RATE * right.size)], 1 - tail * worst))
+    foreign = []
+    for i, k in enumerate(lab.tolist()):
+        some = slots[at[i] : at[i + 1]]
+        foreign.append(float((held[some] == by_lang[k, some]).mean()) if some.size else 1.0)
+    common = float(max(np.sort(strange)[::-1][int(REJECT_RATE * strange.size)], tail * strange.mean()))
+    apart = float(np.quantile(foreign, FOREIGN_RATE)) if len(labels) > 1 else 1.0
+    model.limit = max(common, (common + apart) / 2)
     return model
 
 

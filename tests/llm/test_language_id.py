@@ -48,3 +48,37 @@ def test_lang_is_no_input(spark, docs):
     a = {r.doc_id: r.lang_pred for r in L.predict(docs, m).collect()}
     b = {r.doc_id: r.lang_pred for r in L.predict(docs.drop("lang", "source"), m).collect()}
     assert a == b
+
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "for (int i = 0; i < n; ++i) { buf[i] ^= key[i % klen]; } return memcmp(buf, ref, n) == 0;",
+]
+
+
+def test_rejects_what_was_not_learned_and_keeps_clean_rows(spark, docs):
+    """A held-back language, other languages and scripts, code and random letters go; rows that were not learned from stay."""
+    import random
+
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(50)]
+    m = L.fit(docs)
+    rejected = m.predict(FOREIGN + noise)[2]
+    assert rejected.mean() >= 0.98 and rejected[: len(FOREIGN)].all()
+    for lang in ("de", "fr"):
+        some = L.fit(docs.where(docs.lang != lang))
+        texts = [r.text for r in docs.where(docs.lang == lang).collect()]
+        assert some.predict(texts)[2].mean() >= 0.9, lang
+    clean = [r.text for r in docs.where(L.held_out()).where("text is not null").collect()]
+    assert m.predict(clean)[2].mean() <= 0.01
+
+
+def test_unseen_share_by_brute_force(spark, docs):
+    m = L.fit(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + FOREIGN + ["", "a", "x y"]
+    got = m.logits(texts)[1]
+    for t, share in zip(texts, got, strict=True):
+        slots = L.subwords([t])[2]
+        assert share == (sum(not m.seen[v] for v in slots.tolist()) / slots.size if slots.size else 0.0)
