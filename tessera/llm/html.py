@@ -1,15 +1,19 @@
 """Main text of web pages by site template removal.
 
-Every element subtree of a page is hashed; Spark counts, for each host, the
-pages that hold a hash.  A subtree on ``SHARE`` of a host's pages, and on
-``MIN_PAGES`` at least, is the site's template and is deleted.  The hashes kept
-for a host are bounded: no more than a page's elements over SHARE.
-
-Elements that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments by tag, role or class go as well.  Within the
-article itself, prose (paragraphs, headings, quotes, tables) and large parts are
-never deleted for recurring, and nothing is where the article or the body as a
-whole recurs, since copies of one page on a host recur too.
+Every element subtree of a page is hashed, with digits alike and links left
+out.  Spark counts, for each host, beside how many different main contents a
+hash occurs; a page's main content is its longest text, so any number of copies
+of a page counts once.  A subtree beside ``MIN_PAGES`` different contents, and
+``SHARE`` of a host's, is the site's template and is deleted on all its pages.
+The hashes kept for a host are bounded: no more than a page's elements over SHARE.
+
+Menus, footers, asides, forms, scripts and styles go by their tag, and the text
+is that of the article or main element where a page has one: a host of a few
+pages shows no template.  Within that element prose (paragraphs, headings,
+quotes, tables) is never deleted for recurring, since articles quote each other.
+An element whose class or id is a name for what isn't the article (``NOT_TEXT``,
+as the head of its name: ``cookie-notice``, not ``notice-period``) goes, too,
+unless it holds the article or more than half of the page's text.
 
 Defined results: null or empty html gives the empty text; a null url is a host
 of its own; a page without an article or main element gives the blocks of its
@@ -29,10 +33,10 @@ from pyspark.sql import functions as F
 
 from ._store import small_enough, written
 
-SHARE = 0.25
+SHARE = 0.005
 MIN_PAGES = 5
-#: Within the article, only a recurring subtree of at most this share of its characters can be template.
-TEMPLATE_PART = 0.3
+#: Hashes of all hosts together that may be broadcast: 8 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -56,30 +60,42 @@ NOT_TEXT = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notification overlay pagination popup promo promoted related replies reply share sharing "
     "sidebar signup skip social sponsor sponsored subscribe toolbar widget contentinfo complementary alert search".split()
 )
-_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+#: Words after which the word before is the head of a name: comment-list, ad-slot.
+LOOSE = frozenset("area bar block box btn button buttons container content feed form group inner item items link links list outer panel row section slot thread title wrap wrapper".split())
+#: Words that begin a name of something else: with-sidebar.
+OTHER = frozenset("with without has no not is non".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile("[0-9]+")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
 
 
 class Node:
-    """An element: tag, whether its attributes rule it out, children (nodes and texts), parent."""
+    """An element: tag, whether its tag rules it out, whether its name does, children (nodes and texts), parent; mark: class, id and role; key: hash, size: characters, off: inside what its tag rules out."""
+
+    __slots__ = ("tag", "out", "named", "kids", "up", "mark", "key", "size", "off")
+
+    def __init__(self, tag, out, up, mark="", named=False):
+        self.tag, self.out, self.kids, self.up, self.mark, self.named, self.key, self.size, self.off = tag, out, [], up, mark, named, None, 0, False
 
-    __slots__ = ("tag", "out", "kids", "up", "mark", "key")
 
-    def __init__(self, tag, out, up, mark=""):
-        self.tag, self.out, self.kids, self.up, self.mark, self.key = tag, out, [], up, mark, None
+def names_no_text(value: str) -> bool:
+    """Whether a class, id or role names what isn't the article."""
+    for token in value.split():
+        parts = [p.lower() for p in _PARTS.findall(token)]
+        while len(parts) > 1 and parts[-1] in LOOSE:
+            parts.pop()
+        if parts and parts[-1] in NOT_TEXT and parts[0] not in OTHER:
+            return True
+    return False
 
 
-def _ruled_out(attrs: str) -> tuple[bool, str]:
+def _attributes(attrs: str) -> tuple[bool, bool, str]:
+    """Whether an element is hidden, whether its name rules it out, and its class, id and role."""
     if not attrs:
-        return False, ""
-    mark = ""
-    for m in _ATTR.finditer(attrs):
-        v = m[2] or m[3] or m[4] or ""
-        mark += v + " "
-        if any(p.lower() in NOT_TEXT for p in _PARTS.findall(v)):
-            return True, mark
-    return bool(_HIDDEN.search(attrs)), mark
+        return False, False, ""
+    values = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)]
+    return bool(_HIDDEN.search(attrs)), any(map(names_no_text, values)), " ".join(values)
 
 
 def parse(page: str) -> Node:
@@ -119,8 +135,8 @@ def parse(page: str) -> Node:
                     here = n.up
                 n = n.up
         attrs = m[4] or m[7] or ""
-        out, mark = _ruled_out(attrs)
-        node = Node(tag, out or tag in DROP, here, mark)
+        hidden, named, mark = _attributes(attrs)
+        node = Node(tag, hidden or tag in DROP, here, mark, named)
         here.kids.append(node)
         if tag not in VOID and not attrs.endswith("/"):
             here = node
@@ -139,39 +155,37 @@ def _ordered(top: Node) -> list[Node]:
     return out[::-1]
 
 
-def hash_subtrees(top: Node) -> list[int]:
-    """Sets every node's key; returns the distinct keys of elements that hold text."""
-    found = set()
-    for n in _ordered(top):
-        h = hashlib.blake2b(f"{n.tag}|{n.mark}|".encode("utf-8", "surrogatepass"), digest_size=8)
+def hash_subtrees(top: Node) -> tuple[list[int], int]:
+    """Sets every node's key and size; returns the distinct keys of elements that hold text, and a hash of the longest text of one element that no tag rules out."""
+    found, longest, content = set(), 0, 0
+    order = _ordered(top)
+    for n in reversed(order):
+        n.off = n.out or n.up is not None and n.up.off
+    for n in order:
+        h = hashlib.blake2b(_DIGITS.sub("0", f"{n.tag}|{n.mark}|").encode("utf-8", "surrogatepass"), digest_size=8)
+        own: list[str] = []
         text = False
         for k in n.kids:
             if type(k) is Node:
                 h.update(b"\x01" + (k.key or 0).to_bytes(8, "little", signed=True))
                 text = text or k.key is not None
+                n.size += 0 if k.out else k.size
             elif not k.isspace():
-                h.update(" ".join(k.split()).encode("utf-8", "surrogatepass"))
+                own.append(_DIGITS.sub("0", " ".join(k.split())))
+                h.update(own[-1].encode("utf-8", "surrogatepass"))
+                n.size += len(k)
                 text = True
         n.key = int.from_bytes(h.digest(), "little", signed=True) if text else None
         if text and n.up is not None and n.tag != "html":
             found.add(n.key)
-    return sorted(found)
-
-
-def _length(top: Node) -> int:
-    n, todo = 0, [top]
-    while todo:
-        for k in todo.pop().kids:
-            if type(k) is Node:
-                if not k.out:
-                    todo.append(k)
-            else:
-                n += len(k)
-    return n
+        if not n.off and (size := sum(map(len, own))) > longest:
+            longest = size
+            content = int.from_bytes(hashlib.blake2b(" ".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return sorted(found), content
 
 
 def _root(top: Node) -> Node | None:
-    """The article: the longest article element that nothing rules out, else the longest main element."""
+    """The article: the longest article element outside of menus and the like, else the longest main element."""
     for kind in ("article", "main"):
         best, todo = [], [top]
         while todo:
@@ -179,20 +193,17 @@ def _root(top: Node) -> Node | None:
             if n.tag == kind:
                 best.append(n)
             else:
-                todo += [k for k in n.kids if type(k) is Node and not k.out]
+                todo += [k for k in n.kids if type(k) is Node and (not k.out or k.tag == "form")]
         if best:
-            return max(best, key=_length)
+            return max(best, key=lambda n: n.size)
     return None
 
 
 def blocks(top: Node, template: set) -> list[str]:
-    """The text blocks left of a page."""
+    """The text blocks left of a page whose subtrees are hashed."""
     root = _root(top)
     inside = root is not None
-    whole = root or next((n for n in _ordered(top) if n.tag == "body"), top)
-    if whole.key in template:  # the page is one of many copies
-        template = set()
-    most = TEMPLATE_PART * _length(root) if inside else 0
+    half = (root.size if inside else max((n.size for n in _ordered(top) if n.tag in ("", "body")), default=0)) / 2
     out: list[str] = []
     line: list[str] = []
 
@@ -212,11 +223,13 @@ def blocks(top: Node, template: set) -> list[str]:
             line.append(n)
             continue
         if n is not root:
-            if n.out and not (n.tag in ("html", "body")):
+            if n.out and n.tag not in ("html", "body") and not (n.tag == "form" and n.size > half):
+                continue
+            if n.named and n.size <= half:
                 continue
             if n.tag == "header" and not (inside and any(k.tag in ("h1", "h2") for k in _ordered(n))):
                 continue
-            if n.key in template and n.tag not in ("html", "body") and not (inside and (n.tag in PROSE or _length(n) > most)):
+            if n.key in template and n.tag not in ("html", "body") and not (inside and n.tag in PROSE):
                 continue
         wide = n.tag in BLOCK
         if wide:
@@ -244,32 +257,54 @@ def host(url: str | None) -> str:
 
 def _hashes(batches):
     for b in batches:
-        hosts, keys = [], []
-        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        hosts, keys, contents = [], [], []
+        for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            found, content = hash_subtrees(parse(page)) if page else ([], 0)
             hosts.append(host(url))
-            keys.append(hash_subtrees(parse(page)) if page else [])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(keys, pa.list_(pa.int64()))], names=["host", "keys"])
+            keys.append(found)
+            contents.append(content)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts), pa.array(contents, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["page", "host", "content", "keys"])
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> DataFrame:
-    """host and the hashes of its recurring subtrees."""
-    found = written(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_hashes, "host string, keys array<long>"), "subtrees")
-    n = found.groupBy("host").agg(F.count("*").alias("pages"))
-    often = found.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    often = often.join(n, "host").where(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("key").alias("template"))
+def _pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, the host, and a hash of url and html (page)."""
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    at = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return p.withColumn("host", at).withColumn("page", F.xxhash64("url", "html"))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """page, host, content and the hashes of the page's subtrees for every page, written."""
+    return written(_pages(pages).select("page", "url", "html").mapInArrow(_hashes, "page long, host string, content long, keys array<long>"), "subtrees")
+
 
+def templates(found: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> DataFrame:
+    """host and key of recurring subtrees.  Copies meet before they are counted, so a hot page is one row a task."""
+    beside = found.select("host", "content", F.explode("keys").alias("key")).distinct()
+    n = found.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    often = beside.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return often.join(n, "host").where(F.col("n") >= share * F.col("contents")).select("host", "key")
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
+
+def main_text(pages: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
+
+    The hosts' templates are broadcast while they have ``most`` hashes at most in
+    all; beyond that every page gets those that it holds itself, by a join on a
+    hash of the page, so neither a hot host nor its html meets in one task.
+    """
 
     def run(batches):
         for b in batches:
             text = [extract(p, set(t or ())) for p, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    t = written(templates(pages), "templates")
-    t = F.broadcast(t) if small_enough(t, 50_000) else t
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    at = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return p.withColumn("host", at).join(t, "host", "left").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    found = subtrees(pages)
+    t = written(templates(found), "templates")
+    if small_enough(t, most):
+        own, on = F.broadcast(t.groupBy("host").agg(F.collect_list("key").alias("template"))), "host"
+    else:
+        held = found.select("page", "host", F.explode("keys").alias("key")).distinct().join(t, ["host", "key"])
+        own, on = held.groupBy("page").agg(F.collect_list("key").alias("template")), "page"
+    p = _pages(pages).join(own, on, "left").select("page_id", "url", "html", "template")
+    return p.mapInArrow(run, "page_id long, url string, text string, n_chars long")
