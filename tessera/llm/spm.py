@@ -8,15 +8,16 @@ path is the only one that is not minus infinity.  No piece holds a space after
 another character and none runs over a line's end, so the starts of words and of lines
 are forced cuts, and whole words are solved once and remembered.
 
-A text of more than ``PART`` characters is split into parts.  A part's ends lie
-on forced cuts where it has any; where a stretch without a space is longer than
-a part, an end is *open*: a piece may run over it.  The state at an open end is
-the piece that reaches or crosses it.  Each part gives a transfer matrix of path
-weights from entry state to exit state; the matrices combine associatively in
-the (max, +) semiring; that fixes the states at all ends, and each part is then
-traced back on its own.  The split, the matrices and the traces run as separate
-Spark rows, so one giant document spreads over the cluster; only the small
-matrices of a document meet.
+Every text is split into chunks of ``CHUNK`` characters, wherever a chunk's end
+falls.  Inside a word an end is *open*: a piece may run over it.  The state at an
+open end is the piece that reaches or crosses it.  Each chunk gives a transfer
+matrix of path weights from entry state to exit state; the matrices combine
+associatively, in a tree, in the (max, +) semiring; that fixes the states at all
+ends, and each chunk is then traced back on its own.  A text of more than
+``PART`` characters is split into parts first, on forced cuts where it has any
+(a stretch without a space that is longer than a part has open ends); the split,
+the matrices and the traces of its parts run as separate Spark rows, so one giant
+document spreads over the cluster, and only the small matrices of a document meet.
 
 Spaces map to the piece marker and one is put in front; a character that no
 piece holds becomes the byte pieces of its UTF-8 form, the marker itself
@@ -42,7 +43,11 @@ from pyspark.sql import functions as F
 from ._store import unused, written
 from ._text import MEMORIES, few_rows
 
-#: Characters in a part of a giant text.
+#: Characters in a chunk of a text.
+CHUNK = 1 << 12
+#: The longest word in which a chunk ends; a longer one stays whole.
+WORD = 64
+#: Characters in a part of a giant text, which is one Spark row.
 PART = 1 << 16
 #: Words whose pieces a worker remembers; beyond that, those that did not come up since the last time go.
 MEMORY = 200_000
@@ -272,6 +277,8 @@ class Vocabulary:
 
     def matrix(self, text: str, behind: str, look: str) -> np.ndarray:
         """(entries, exits) path weights through a part; ``behind`` and ``look`` lie beyond its open ends."""
+        if not behind and not look:  # between forced cuts there is always a path
+            return np.zeros((1, 1))
         entries, exits = self._ends((text, behind, look))
         m = np.full((len(entries), len(exits)), _NEVER)
         segs = _SEGMENT.findall(text)
@@ -297,6 +304,8 @@ class Vocabulary:
 
     def through(self, text: str, behind: str, look: str, entry: int, leave: int) -> bytes:
         """Ids of a part between fixed states."""
+        if not behind and not look:
+            return self.words(text[1:])
         entries, exits = self._ends((text, behind, look))
         (before, a), (_, k) = entries[entry], exits[leave]
         segs = _SEGMENT.findall(text)
@@ -357,30 +366,84 @@ def split(text: str, part: int, longest: int) -> list[tuple[str, str, str]]:
     return out
 
 
+def chunks(text: str, size: int, longest: int) -> list[tuple[str, str, str]]:
+    """(chunk, behind, look) of " " + text, as ``split``, with ends inside words where they fall there."""
+    s = " " + text
+    out, begin, was_open = [], 0, False
+    while begin < len(s):
+        end, opened = begin + size, True
+        if len(s) - end <= longest:
+            end, opened = len(s), False
+        else:
+            left = s.rfind(" ", max(begin, end - WORD) + 1, end + 1)  # the space before the word in which the end falls
+            right = s.find(" ", end, end + WORD)
+            if s[end] == " ":
+                opened, run = False, end
+                while run > begin and s[run - 1] == " ":
+                    run -= 1
+                if run > begin + longest:
+                    end = run
+                else:  # a long run of spaces stays whole, with the word after it
+                    while end < len(s) and s[end] == " ":
+                        end += 1
+                    cut = s.find(" ", end)
+                    end = len(s) if cut < 0 else cut
+            elif left < 0 or right < 0 or right - left > WORD:
+                cut = s.find(" ", end)
+                end, opened = (len(s) if cut < 0 else cut), False
+        out.append((s[begin:end], s[max(0, begin - longest) : begin] if was_open else "", s[end : end + longest] if opened else ""))
+        begin, was_open = end, opened
+    return out
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The (max, +) product: the best path through two parts for every entry of the first and exit of the second."""
+    return (a[:, :, None] + b[None]).max(axis=1)
+
+
 def combine(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The state numbers (entry, exit) of every part on the best path, from the parts' matrices in order."""
-    at = [np.zeros(1)]
-    for m in matrices:
-        v = (at[-1][:, None] + m[: at[-1].size]).max(axis=0)
-        at.append(v - v.max())  # only differences matter, so sums stay exact
-    state, out = 0, []
-    for v, m in zip(reversed(at[:-1]), reversed(matrices), strict=True):
-        leave = state
-        state = int(np.argmax(v + m[: v.size, leave]))
-        out.append((state, leave))
-    return out[::-1]
+    """The state numbers (entry, exit) of every part on the best path, from the parts' matrices in order.
+
+    Up a binary tree of products, then down again: a node whose entry and exit
+    are fixed fixes the state between its halves.  Any bracketing gives the same.
+    """
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        m = levels[-1]
+        levels.append([product(m[i], m[i + 1]) if i + 1 < len(m) else m[i] for i in range(0, len(m), 2)])
+    states = [(0, int(np.argmax(levels[-1][0][0])))]
+    for m in reversed(levels[:-1]):
+        below = []
+        for i, (entry, leave) in enumerate(states):
+            if 2 * i + 1 == len(m):
+                below.append((entry, leave))
+            else:
+                mid = int(np.argmax(m[2 * i][entry] + m[2 * i + 1][:, leave]))
+                below += [(entry, mid), (mid, leave)]
+        states = below
+    return states
+
+
+def scan(v: Vocabulary, parts: list[tuple[str, str, str]]) -> bytes:
+    """The ids of a text's parts, as int32 bytes: matrices, their products, traces."""
+    states = combine([v.matrix(*p) for p in parts])
+    return b"".join([v.through(t, behind, look, a, b) for (t, behind, look), (a, b) in zip(parts, states, strict=True)])
+
+
+def ids_of(v: Vocabulary, text: str, size: int = CHUNK) -> tuple[bytes, int]:
+    """The ids of a text as int32 bytes, and its number of chunks."""
+    if not text:
+        return b"", 1
+    parts = chunks(text, size, v.longest)
+    return scan(v, parts), len(parts)
 
 
 def encode(text: str | None, path: str, part: int = PART) -> np.ndarray | None:
-    """Ids of one text, by the same steps as the Spark job."""
+    """Ids of one text, by the same steps as the Spark job's for a giant text."""
     if text is None:
         return None
-    if not text:
-        return np.empty(0, np.int32)
     v = vocabulary(path)
-    parts = split(text, part, v.longest)
-    states = combine([v.matrix(*p) for p in parts]) if len(parts) > 1 else [(0, 0)]
-    return np.frombuffer(b"".join(v.through(t, behind, look, a, b) for (t, behind, look), (a, b) in zip(parts, states, strict=True)), np.int32)
+    return np.frombuffer(scan(v, split(text, part, v.longest)) if text else b"", np.int32)
 
 
 def _lists(ids: list) -> pa.Array:
@@ -409,8 +472,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART)
     def short(batches):
         v = vocabulary(path)
         for b in few_rows(batches, keep=forget):
-            ids = [None if t is None else v.words(t) if t else b"" for t in b.column(at).to_pylist()]
-            yield _add(b, ids=_lists(ids), n_parts=pa.array(np.ones(len(ids), np.int32)))
+            found = [(None, 1) if t is None else ids_of(v, t) for t in b.column(at).to_pylist()]
+            yield _add(b, ids=_lists([x for x, _ in found]), n_parts=pa.array([n for _, n in found], pa.int32()))
         v.trim()
 
     def cut(batches):
@@ -473,8 +536,8 @@ def decode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def digest(docs: DataFrame, path: str | None = None, part: int = PART) -> DataFrame:
     """doc_id, n_ids, n_parts, ids_sha256 (of the ids as little-endian int32), round_trip (whether decoding gives the text back).
 
-    Texts of one part are encoded, decoded and digested in one pass; those of
-    several parts go through ``encode_documents``.
+    Texts of one part are encoded, decoded and digested in one pass, chunk by
+    chunk; those of several parts go through ``encode_documents``.
     """
     path = path or default_model()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -490,8 +553,8 @@ def digest(docs: DataFrame, path: str | None = None, part: int = PART) -> DataFr
         v = vocabulary(path)
         for b in few_rows(batches, keep=forget):
             texts = b.column(1).to_pylist()
-            ids = [None if t is None else v.words(t) if t else b"" for t in texts]
-            yield rows(v, b.column(0), texts, ids, pa.array(np.ones(len(ids), np.int32)))
+            found = [(None, 1) if t is None else ids_of(v, t) for t in texts]
+            yield rows(v, b.column(0), texts, [x for x, _ in found], pa.array([n for _, n in found], pa.int32()))
         v.trim()
 
     def long(batches):

@@ -33,12 +33,56 @@ def test_matrices_combine_associatively(model):
     v = P.vocabulary(model)
     text = "ab" * 100 + "thething" * 20
     m = [v.matrix(*p) for p in P.split(text, 40, v.longest)]
-    times = lambda a, b: (a[:, : b.shape[0], None] + b[None, : a.shape[1]]).max(axis=1)
-    left = times(times(m[0], m[1]), m[2])
-    right = times(m[0], times(m[1], m[2]))
+    left = P.product(P.product(m[0], m[1]), m[2])
+    right = P.product(m[0], P.product(m[1], m[2]))
     assert np.array_equal(left, right) and len(m) > 5 and m[1].shape[0] > 1
 
 
+def test_tree_equals_the_best_path_by_brute_force():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 6):
+        sizes = [1, *rng.integers(1, 4, n - 1).tolist(), 1]
+        m = [np.where(rng.random((a, b)) < 0.3, -np.inf, rng.integers(0, 50, (a, b))) for a, b in zip(sizes, sizes[1:])]
+        weight = {p: sum(x[a, b] for x, a, b in zip(m, p, p[1:])) for p in product(*map(range, sizes))}
+        got = P.combine(m)
+        assert [b for _, b in got[:-1]] == [a for a, _ in got[1:]]
+        if max(weight.values()) > -np.inf:
+            assert sum(x[s] for x, s in zip(m, got)) == max(weight.values())
+
+
+@pytest.mark.parametrize("letters", ["abcdeth 12é漢 \n", "aabth", "ab ", "漢é\t", "the\u0000😀", "  a\n", "thing and the "])
+def test_chunks_equal_the_library(model, letters):
+    """Every text goes through the scan; ends inside words, in runs of spaces and in long words give the library's ids."""
+    v, rng, sp = P.vocabulary(model), random.Random(len(letters)), library(model)
+    opened = 0
+    for _ in range(60):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 400)))
+        for size in (20, 48, 90):
+            parts = P.chunks(t, size, v.longest)
+            opened += sum(1 for p in parts if p[2])
+            assert "".join(p[0] for p in parts) == " " + t
+            got, n = P.ids_of(v, t, size)
+            assert n == len(parts) and np.frombuffer(got, np.int32).tolist() == sp.encode(t)
+    assert opened or " " not in letters or letters == "ab " or letters[:2] == "  "
+
+
+def test_the_query_goes_through_the_scan(spark, model):
+    """Documents of more than a chunk have open ends, matrices of several states, and the library's ids."""
+    import hashlib
+
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    v, sp = P.vocabulary(model), library(model)
+    text = {r.doc_id: r.text for r in d.collect()}
+    many = 0
+    for r in P.digest(d).collect():
+        assert r.ids_sha256 == hashlib.sha256(np.array(sp.encode(text[r.doc_id]), "<i4").tobytes()).hexdigest()
+        if r.n_parts > 1:
+            many += max(v.matrix(*p).shape[0] for p in P.chunks(text[r.doc_id], P.CHUNK, v.longest)) > 1
+    assert many >= 0.05 * len(text)
+
+
 def test_documents_round_trip(spark, model):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     got = P.digest(d).collect()
