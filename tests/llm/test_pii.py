@@ -59,51 +59,80 @@ def test_hand_cases(spark):
     assert P.report(d.where("false")).count() == 0
 
 
-def field():
-    f = P.Field()
-    f.same[:] = 4.0
-    return f
+PHONE = "call 743-555-3824 now " + "and then words " * 50 + "or 7435553824 again 1234567 7654321"
+
+
+def fitted():
+    rng = random.Random(1)
+    number = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    texts = [f"mail a{i}@b{i}.example.com or 10.1.2.{i} and +1 (743) 555-38{i:02d} in 20{i:02d}, order {number(8)} or +{number(12)}" for i in range(60)]
+    return P.train(texts + [f"order {number(10)} and {number(12)} of {number(7)}" for _ in range(30)])
+
+
+def test_a_repeat_without_its_mark_is_added():
+    """The fitted field marks what the document marks elsewhere, however far, how often, and with whatever punctuation; alone it stays unmarked."""
+    f = fitted()
+    alone = "ref 442079460958 and words"
+    far = " and then words" * 300
+    many = "".join(f" 4420 7946 0958{far[:30]}" for _ in range(40))
+    text = f"ring +442079460958 today{far} or 442079460958 or (44) 20-79460958 or 0044 20 7946 0958 then{many} but order 12345678 stays"
+    (base, none), (marked, added) = P.spans_of([alone, text], f)
+    assert not base and not none and [k for k, _, _ in marked] == [3]
+    found = [text[a:b] for k, a, b in added if k == 3]
+    assert {"442079460958", "(44) 20-79460958", "0044 20 7946 0958"} <= set(found) and found.count("4420 7946 0958") == 40
+    assert "12345678" not in found
+
+
+def test_a_documents_marginals_do_not_depend_on_its_neighbours():
+    f = fitted()
+    texts = ["+442079460958 and 442079460958", "no", PHONE, "a@b.example.org +12 345 678 901 12345678901"]
+    together = P.spans_of(texts * 3, f)
+    assert together == [P.spans_of([t], f)[0] for t in texts] * 3
+    g = P.Graph(texts)
+    parts = np.concatenate([f.marginals(P.Graph([t])) for t in texts if P.Graph([t]).size])
+    assert np.array_equal(f.marginals(g), parts)
 
 
-def test_skip_edges_carry_a_label_to_a_distant_repeat():
-    text = "call 743-555-3824 now " + "and then words " * 50 + "or 7435553824 again 12 13"
-    g = P.Graph([text])
-    f = field()
-    f.bias[0] = 1.0
-    alone = f.marginals(g)
-    first = g.core.index("743-555-3824")
+def brute_marginals(f, g, seen):
+    """The sum over all labelings of candidates and hubs."""
+    import itertools
+
     phi = f.potentials(g)
-    phi[first, 4] += 9
-    f.potentials = lambda g: phi
-    linked = f.marginals(g)
-    other = g.core.index("7435553824")
-    assert linked[other, 4] > 0.9 > alone[other, 4]
-    assert np.allclose(linked[g.core.index("12")], alone[g.core.index("12")])
+    phi[np.arange(g.size), seen] += P.CERTAIN * (seen > 0)
+    want = np.zeros((g.size, P.N))
+    for y in itertools.product(range(P.N), repeat=g.size + g.hubs):
+        p = np.exp(sum(phi[i, y[i]] for i in range(g.size)) + sum(f.pair[y[a], y[b]] for a, b in g.chain) + sum(f.same[y[a]] * (y[a] == y[b]) for a, b in g.hub))
+        for i in range(g.size):
+            want[i, y[i]] += p
+    return want / want.sum(axis=1, keepdims=True)
 
 
-def test_messages_give_exact_marginals_on_a_chain():
-    """Without loops, message passing equals the sum over all labelings."""
-    import itertools
+def test_marginals_of_the_fitted_field_equal_brute_force():
+    """Without loops message passing is exact; with a loop the decisions are the same."""
+    f = fitted()
+    for text in ("+442079460958 is 442079460958", "a@b.example.org 1.2.3.4 12345678", "+442079460958 x y z 44 207 946 0958 x y z 442079460958"):
+        g = P.Graph([text])
+        seen = g.labels([P.base_spans(text)])
+        assert g.size > 1 and np.allclose(f.marginals(g, seen), brute_marginals(f, g, seen), atol=1e-4)
+    text = "+442079460958, 442079460958 or 12345678"
+    g = P.Graph([text])
+    seen = g.labels([P.base_spans(text)])
+    assert g.hubs == 1 and len(g.chain) and np.array_equal(f.marginals(g, seen) >= P.SURE, brute_marginals(f, g, seen) >= P.SURE)
 
-    rng = np.random.default_rng(0)
-    g = P.Graph(["a1 b2 c3 d4"])
-    f = field()
-    f.pair = rng.normal(size=(P.N, P.N))
-    phi = rng.normal(size=(4, P.N))
-    f.potentials = lambda g: phi
-    want = np.zeros((4, P.N))
-    for y in itertools.product(range(P.N), repeat=4):
-        p = np.exp(sum(phi[i, y[i]] for i in range(4)) + sum(f.pair[y[i], y[i + 1]] for i in range(3)))
-        for i in range(4):
-            want[i, y[i]] += p
-    assert np.allclose(f.marginals(g), want / want.sum(axis=1, keepdims=True), atol=1e-3)
+
+def test_the_query_adds_spans(spark):
+    """The field fitted on the given table, over documents in which a phone comes back without its plus sign."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = spark.createDataFrame([(10_000 + i, f"Ring +44207946{i:04d} soon. {'Some words. ' * 40}Or 44 207946 {i:04d} later.") for i in range(30)], "doc_id long, text string")
+    got = P.report(d.select("doc_id", "text").union(more)).where("doc_id >= 10000").collect()
+    assert sum(r.n_added >= 1 and "crf_phone" in r.spans for r in got) >= 0.9 * len(got)
 
 
 def test_training_learns_the_shapes():
     texts = [f"mail a{i}@b{i}.example.com or 10.1.2.{i} and +1 (743) 555-38{i:02d} in 20{i:02d}" for i in range(60)]
     f = P.train(texts)
     g = P.Graph(texts)
-    y = g.labels(texts)
+    y = g.labels([P.base_spans(t) for t in texts])
     assert (f.marginals(g).argmax(axis=1) == y).mean() > 0.97
 
 
@@ -122,6 +151,7 @@ def test_scans_equal_the_plain_patterns():
 
 def test_long_runs_take_one_pass():
     began = time.perf_counter()
+    P.spans_of(["1.1 " * 60_000 + "x", "a@" * 60_000, "+1234567890 " * 20_000], fitted())
     for s in ("日" * 300_000, "a" * 300_000 + " x@y.zz", "1" * 300_000, "1" + "!" * 300_000 + "é"):
         P.spans_of([s], P.Field())
     assert time.perf_counter() - began < 20
