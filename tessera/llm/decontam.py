@@ -1,13 +1,12 @@
 """Benchmark passages in documents, by SimHash over item-sized windows.
 
-Items are put into length classes; a class hashes windows of its length (from
-three tenths to six tenths of an item) at every offset of an item, and of a
-document at a third of the offsets that each of its items has, so an embedded
-item always has several pairs of aligned windows, and an item with a changed
-word still has windows without it.  The 64-bit
-fingerprints of the items are indexed in four 16-bit blocks with all
-neighbours of one bit: every pair within ``RADIUS`` = 7 bits shares an entry,
-since one of its blocks differs in one bit at most.  Each pair within the
+Items are put into classes by length; a class hashes windows of one length,
+which is between 0.8 and 0.92 of its items', at the first ``stride`` offsets of an
+item, and of a document at every stride-th offset, so that one window of every
+embedded item is the same as one of the item's.  A changed word of thirty moves about five bits of a window.
+The 64-bit fingerprints of the items are indexed in four 16-bit blocks with all
+neighbours of one and two bits: every pair within ``RADIUS`` = 11 bits shares an
+entry, since one of its blocks differs in two bits at most.  Each pair within the
 radius gives an alignment, and the aligned passage is verified by the weighted
 Jaccard similarity (multiset counts) of five-word shingles, 0.75 or more.
 
@@ -20,6 +19,7 @@ empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +29,25 @@ from pyspark.sql import functions as F
 from ._store import without, written
 from ._text import Words, few_rows, groups, mix, ngrams
 
-RADIUS = 7
+RADIUS = 11
 SIMILARITY = 0.75
 SHINGLE = 5
 #: Items that are held in memory at once; a larger benchmark is searched in blocks of so many, one scan of the documents each.
 ITEM_BLOCK = 5_000
+#: The most words between two windows of a document.
+STRIDE = 16
 #: Words whose bit counts are summed at once.
 SPAN = 1 << 11
 
 
+#: The bits in which a block of 16 can differ by two at most.
+_NEAR = np.array([0, *(1 << i for i in range(16)), *(1 << i | 1 << j for i, j in combinations(range(16), 2))], np.int64)
+
+
 def _grid(n: int) -> int:
-    """The window length for an item of n words: the largest of 3, 5, 9, 18, 36, 72 ... that is at most 0.6 n; n itself below five words."""
-    if n < 5:
-        return n
-    w = 3
-    while (up := {3: 5, 5: 9}.get(w, 2 * w)) <= 0.6 * n:
+    """The window length for an item of n words: the largest of 5, 6, 7 ..., an eighth longer each time, that is at most 0.92 n; n itself up to five words."""
+    w = min(n, 5)
+    while n > 5 and (up := max(w + 1, w * 9 // 8)) <= 0.92 * n:
         w = up
     return w
 
@@ -83,8 +87,7 @@ class Index:
             self.n.append(h.size)
             all_words.append(h)
             self.grams.append(_shingles(h))
-            offsets = np.arange(h.size - w + 1)
-            by_class.setdefault(w, []).append((k, offsets, _windows(h, [(offsets, w)])[0]))
+            by_class.setdefault(w, []).append((k, h))
         self.lengths = np.array(self.n, np.int64)
         self.salt = mix(np.arange(1, self.lengths.size + 1, dtype=np.uint64))
         slots = np.concatenate(all_words) ^ np.repeat(self.salt, self.lengths)
@@ -92,14 +95,15 @@ class Index:
         self.has = np.zeros(1 << (64 - int(self.shift)), bool)  # the words of each item; a chance hit makes a bound too high, never too low
         self.has[slots >> self.shift] = True
         for w, found in by_class.items():
-            stride = max(1, min(o.size for _, o, _ in found) // 3)
-            item = np.concatenate([np.full(o.size, k) for k, o, _ in found])
-            offset, fp = np.concatenate([o for _, o, _ in found]), np.concatenate([f for _, _, f in found])
+            stride = min(STRIDE, min(h.size for _, h in found) - w + 1)
+            offset = np.tile(np.arange(stride), len(found))  # so many meet one in stride of a document's windows
+            item = np.repeat([k for k, _ in found], stride)
+            fp = np.concatenate([_windows(h, [(np.arange(stride), w)])[0] for _, h in found])
             tables = []
             for b in range(4):
                 block = ((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-                near = np.concatenate([block, *[block ^ (1 << i) for i in range(16)]])
-                who = np.tile(np.arange(fp.size), 17)
+                near = (block[None] ^ _NEAR[:, None]).ravel()
+                who = np.tile(np.arange(fp.size), _NEAR.size)
                 order = np.argsort(near, kind="stable")
                 tables.append((np.searchsorted(near[order], np.arange(65537)).astype(np.int32), who[order].astype(np.int32)))
             self.classes[w] = (stride, item, offset, fp, tables)

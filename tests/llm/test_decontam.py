@@ -74,3 +74,49 @@ def test_long_items_with_spread_edits():
     want = brute(docs, items)
     got = {(i, k) for i, k, *_ in D.search([t for _, t in docs], D.Index(items))}
     assert len(want) == 10 and got == set(want)
+
+
+def test_the_radius_finds_edited_passages_that_equal_fingerprints_miss():
+    """Items with as many changed words as the similarity allows: radius 0 loses most of them, RADIUS almost none."""
+    import random
+
+    rng = random.Random(3)
+    items, docs = [], []
+    for k in range(120):
+        n = rng.choice((36, 45, 59, 80, 150))
+        w = [f"t{rng.randrange(5000)}" for _ in range(n)]
+        items.append((k, " ".join(w)))
+        for _ in range(n // 36):
+            w[rng.randrange(n)] = f"u{rng.randrange(5000)}"
+        docs.append((k, " ".join([f"p{rng.randrange(999)}" for _ in range(rng.randint(0, 60))] + w + [f"q{i}" for i in range(50)])))
+    want = brute(docs, items)
+    find = lambda: {(i, k) for i, k, *_ in D.search([t for _, t in docs], D.Index(items))}
+    got, radius = find(), D.RADIUS
+    try:
+        D.RADIUS = 0
+        exact = find()
+    finally:
+        D.RADIUS = radius
+    assert len(want) >= 60 and got <= set(want) and len(got) >= 0.97 * len(want) and len(exact) < 0.6 * len(want), (len(want), len(got), len(exact))
+
+
+def test_all_pairs_within_the_radius_share_an_entry():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    with np.errstate(over="ignore"):
+        index = D.Index([(i, " ".join(f"a{rng.integers(0, 999)}" for _ in range(30))) for i in range(20)])
+        w, (_, _, _, fp, _) = next(iter(index.classes.items()))
+        flips = [sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 20)), replace=False)) for _ in range(3000)]
+        mine = fp[rng.integers(0, fp.size, 3000)] ^ np.array(flips, np.uint64)
+        win, entry = index.near(mine, w)
+    got = set(zip(win.tolist(), entry.tolist()))
+    assert got == {(i, j) for i in range(3000) for j in range(fp.size) if int(mine[i] ^ fp[j]).bit_count() <= D.RADIUS}
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    item = " ".join(f"term{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "plain words " * 150_000 + item, 7, 8.0)], "doc_id long, text string, item_id int, similarity double")
+    bench = spark.createDataFrame([(5, item, 1)], "item_id long, text string, doc_id int")
+    assert [(r.doc_id, r.item_id) for r in D.find(docs, bench).collect()] == [(1, 5)]
+    assert D.decontaminate(docs, bench).columns == docs.columns
