@@ -70,17 +70,18 @@ def root_mean_square(x: Col) -> Column:
 
 
 def skew(x: Col, corrected: bool = False) -> Column:
+    """Null for fewer than three good values if corrected."""
     g = good(x)
     n = F.count(g)
-    return F.skewness(g) * F.sqrt((n - 1) / n) * n / (n - 2) if corrected else F.skewness(g)
+    return F.skewness(g) * F.sqrt(F.try_divide(n - 1, n)) * F.try_divide(n, n - 2) if corrected else F.skewness(g)
 
 
 def kurtosis(x: Col, corrected: bool = False) -> Column:
-    """Not in excess of 3."""
+    """Not in excess of 3; null for fewer than four good values if corrected."""
     g = good(x)
     k = F.kurtosis(g) + 3
     n = F.count(g)
-    return ((n + 1) * k - 3 * (n - 1)) * (n - 1) / ((n - 2) * (n - 3)) + 3 if corrected else k
+    return F.try_divide(((n + 1) * k - 3 * (n - 1)) * (n - 1), (n - 2) * (n - 3)) + 3 if corrected else k
 
 
 def min_max_mean(df: DataFrame, by: list[str], x: str, pos: str) -> DataFrame:
@@ -110,12 +111,14 @@ def spatial_entropy(df: DataFrame, by: list[str], x: str, bins: int | None = Non
 
 
 def leave_one_out(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Every row with the mean and n-1 variance of its group without it."""
+    """Every row with the mean and n-1 variance of its group without it, from the group's mean and variance."""
     from .windows import beside
 
-    d = beside(df, by, _n=F.count(x), _s=F.sum(x), _ss=F.sum(F.col(x) * F.col(x)))
-    n, s, ss = F.col("_n") - 1, F.col("_s") - F.col(x), F.col("_ss") - F.col(x) * F.col(x)
-    return d.withColumn("loo_mean", F.try_divide(s, n)).withColumn("loo_variance", F.try_divide(ss - F.try_divide(s * s, n), n - 1)).drop("_n", "_s", "_ss")
+    d = beside(df, by, _n=F.count(x), _m=F.avg(x), _v=F.var_pop(x))
+    n, away = F.col("_n") - 1, F.col(x) - F.col("_m")
+    mean = F.col("_m") - F.try_divide(away, n)
+    rest = F.col("_v") * F.col("_n") - F.try_divide(away * away * F.col("_n"), n)
+    return d.withColumn("loo_mean", F.when(n > 0, mean)).withColumn("loo_variance", F.try_divide(F.greatest(rest, F.lit(0.0)), n - 1)).drop("_n", "_m", "_v")
 
 
 TALLY = ("n", "s", "ss", "w", "w2", "ws", "wss", "w2s", "w2ss")

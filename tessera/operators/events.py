@@ -10,7 +10,8 @@ from .joins import interval_join
 
 def event_average(samples: DataFrame, events: DataFrame, on: list[str], condition: str, t: str, x: str, onset: str, before: float, after: float, step: float, base: tuple[float, float]) -> DataFrame:
     """condition, bin, mean, sd, se and number of trials of a sample stream around events, less each trial's baseline mean."""
-    e = events.withColumn("_trial", F.xxhash64(*[F.col(c) for c in events.columns])).select(*on, condition, F.col(onset).alias("_onset"), "_trial")
+    same = Window.partitionBy(*events.columns).orderBy(onset)  # equal events are trials of their own
+    e = events.withColumn("_trial", F.xxhash64(*events.columns, F.row_number().over(same))).select(*on, condition, F.col(onset).alias("_onset"), "_trial")
     j = interval_join(samples.select(*on, F.col(t).alias("_t"), F.col(x).alias("_x")), "_t", e, "_onset", before, after, on)
     rel = F.col("_t") - F.col("_onset")
     j = j.withColumn("bin", F.floor(rel / step).cast("int"))

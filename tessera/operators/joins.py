@@ -39,13 +39,26 @@ def radius_join(a: DataFrame, b: DataFrame, axes: list[str], radius: float) -> D
     return d.join(o, cells).withColumn("distance", F.sqrt(total)).where(F.col("distance") <= radius).drop(*cells)
 
 
-def as_of(left: DataFrame, right: DataFrame, on: list[str], t: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the last right row at or before it: one union, one shuffle on the keys, one ordered window."""
+def as_of(left: DataFrame, right: DataFrame, on: list[str], t: str, values: list[str], width: float | None = None) -> DataFrame:
+    """Each left row with the values of the last right row at or before it.
+
+    With ``width`` (seconds of a timestamp, else units of ``t``) time is cut into
+    ranges: rows are ordered within key and range only, and the last value before a
+    range comes from the ranges' last values, one row a key and range, so a hot key
+    is spread over as many tasks as it has ranges.  Without it a key is one range.
+    """
+    time = F.col(t).cast("timestamp").cast("double") if dict(left.dtypes)[t].startswith("timestamp") else F.col(t)
+    part = F.floor(time / width) if width else F.lit(0).cast("long")
     l = left.withColumn("_side", F.lit(1))  # noqa: E741
     r = right.select(*on, t, F.struct(*values).alias("_v")).withColumn("_side", F.lit(0))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_part", part)
+    w = Window.partitionBy(*on, "_part").orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    if width:
+        ends = both.groupBy(*on, "_part").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col(t))).alias("_end"))
+        before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*on, "_part", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+        out = out.join(ends, [*on, "_part"], "left").withColumn("_v", F.coalesce("_v", "_before"))
     return out.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -72,10 +85,12 @@ def pattern_match(left: DataFrame, patterns: list[str], value: str) -> DataFrame
 
 
 def pairs_within(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """by, a, b: the unordered pairs of keys of each group; for groups that are small by their nature."""
+    """by, a, b: the unordered pairs of keys of each group; for groups that are small by their nature, so there must be some."""
+    if not by:
+        raise ValueError("pairs of a whole table are not built")
     a = df.select(*by, F.col(key).alias("a"))
     b = df.select(*by, F.col(key).alias("b"))
-    return a.join(b, by).where("a < b") if by else a.join(b, F.col("a") < F.col("b"))
+    return a.join(b, by).where("a < b")
 
 
 def by_position(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], by: list[str]) -> DataFrame:

@@ -46,42 +46,62 @@ def stouffer(z: str, weight: str | None = None) -> Column:
 
 
 def normal_equations(df: DataFrame, by: list[str], y: str, xs: list[str], weight: str | None = None) -> DataFrame:
-    """Sums of products of the predictors (and an intercept, last) and the response, per group."""
-    cols = [F.col(x) for x in xs] + [F.lit(1.0)]
-    w = F.col(weight) if weight else F.lit(1.0)
-    aggs = [F.sum(w * cols[i] * cols[j]).alias(f"xx_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs += [F.sum(w * c * F.col(y)).alias(f"xy_{i}") for i, c in enumerate(cols)]
-    ok = F.col(y).isNotNull()
-    for x in xs:
-        ok &= F.col(x).isNotNull()
-    return df.where(ok).groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * F.col(y) * F.col(y)).alias("yy"), *aggs)
+    """n, the sum of weights, the means and the centred sums of products of the predictors and the response, per group.
+
+    Products are taken about the group's means, so an offset of all values costs
+    no digits: by Spark's own covariances, or with weights in a second pass.
+    """
+    cols = [*xs, y]
+    ok = F.lit(True)
+    for c in cols:
+        ok &= F.col(c).isNotNull()
+    d = df.where(ok)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if weight is None:
+        n = F.count("*")
+        means = [F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]
+        return d.groupBy(*by).agg(n.alias("n"), n.cast("double").alias("sw"), *means, *[(F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) * n).alias(f"c_{i}_{j}") for i, j in pairs])
+    from .windows import beside
+
+    w = F.col(weight)
+    d = beside(d.where(w.isNotNull()), by, **{f"_m{i}": F.sum(w * F.col(c)) / F.sum(w) for i, c in enumerate(cols)})
+    away = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(cols)]
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), *[F.first(f"_m{i}").alias(f"m_{i}") for i in range(len(cols))], *[F.sum(w * away[i] * away[j]).alias(f"c_{i}_{j}") for i, j in pairs])
 
 
 def merge_equations(sums: DataFrame, by: list[str]) -> DataFrame:
-    """Equations of parts (runs, studies) as those of the whole."""
-    return sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in by])
+    """Equations of parts (runs, studies) as those of the whole: the parts' products and those of their means about the common one."""
+    from .windows import beside
+
+    k = sum(c.startswith("m_") for c in sums.columns)
+    d = beside(sums, by, **{f"_g{i}": F.sum(F.col("sw") * F.col(f"m_{i}")) / F.sum("sw") for i in range(k)})
+    away = [F.col(f"m_{i}") - F.col(f"_g{i}") for i in range(k)]
+    products = [F.sum(F.col(f"c_{i}_{j}") + F.col("sw") * away[i] * away[j]).alias(f"c_{i}_{j}") for i in range(k) for j in range(i, k)]
+    return d.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"), *[F.first(f"_g{i}").alias(f"m_{i}") for i in range(k)], *products)
 
 
 def solve(sums: DataFrame, by: list[str], xs: list[str], contrast: list[float] | None = None) -> DataFrame:
     """by, betas (intercept last), se, n, df, rss and, with a contrast, its t; a batch of groups is solved at once."""
-    p = len(xs) + 1
+    p = len(xs)
     schema = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by) + ", betas array<double>, se double, n long, df double, rss double, t double"
-    c = np.array(contrast if contrast is not None else [0.0] * p, float)
+    c = np.array(contrast if contrast is not None else [0.0] * (p + 1), float)
 
     def run(it):
         for b in it:
-            m = np.empty((len(b), p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    m[:, i, j] = m[:, j, i] = b[f"xx_{i}_{j}"]
-            v = b[[f"xy_{i}" for i in range(p)]].to_numpy(float)
-            inv = np.linalg.pinv(m, hermitian=True)
-            beta = np.einsum("gij,gj->gi", inv, v)
-            rss = np.maximum(b["yy"].to_numpy(float) - (beta * v).sum(axis=1), 0.0)
-            df = b["n"].to_numpy(float) - p
+            m = np.empty((len(b), p + 1, p + 1))
+            for i in range(p + 1):
+                for j in range(i, p + 1):
+                    m[:, i, j] = m[:, j, i] = b[f"c_{i}_{j}"]
+            mean = b[[f"m_{i}" for i in range(p + 1)]].to_numpy(float)
+            inv = np.linalg.pinv(m[:, :p, :p], hermitian=True)
+            slope = np.einsum("gij,gj->gi", inv, m[:, :p, p])
+            beta = np.column_stack([slope, mean[:, p] - (slope * mean[:, :p]).sum(axis=1)])
+            rss = np.maximum(m[:, p, p] - (slope * m[:, :p, p]).sum(axis=1), 0.0)
+            df = b["n"].to_numpy(float) - p - 1
+            u = c[:p] - c[p] * mean[:, :p]  # the contrast about the means, where slopes and mean are uncorrelated
             with np.errstate(divide="ignore", invalid="ignore"):
                 se = np.where(df > 0, np.sqrt(rss / df), np.nan)
-                t = (beta @ c) / (se * np.sqrt(np.einsum("i,gij,j->g", c, inv, c)))
+                t = (beta @ c) / (se * np.sqrt(np.einsum("gi,gij,gj->g", u, inv, u) + c[p] ** 2 / b["sw"].to_numpy(float)))
             out = b[by].copy()
             out["betas"], out["se"], out["n"], out["df"], out["rss"] = list(beta), se, b["n"], df, rss
             out["t"] = np.where(np.isfinite(t), t, 0.0)
@@ -117,7 +137,7 @@ def dependent_correlation_t(df: DataFrame, by: list[str], x: str, y: str, z: str
     a, b, c, n = F.col("a"), F.col("b"), F.col("c"), F.col("n")
     det = 1 - a * a - b * b - c * c + 2 * a * b * c
     mean = (a + b) / 2
-    t = (a - b) * F.sqrt(F.try_divide((n - 1) * (1 + c), 2 * (n - 1) / (n - 3) * det + mean * mean * (1 - c) * (1 - c) * (1 - c)))
+    t = (a - b) * F.sqrt(F.try_divide((n - 1) * (1 + c), F.try_divide(2 * (n - 1), n - 3) * det + mean * mean * (1 - c) * (1 - c) * (1 - c)))
     return s.select(*by, t.alias("t"), (n - 3).alias("df"))
 
 
@@ -205,12 +225,14 @@ def intraclass_correlation(df: DataFrame, target: str, rater: str, x: str) -> Da
 
 
 def one_way_anova(df: DataFrame, by: list[str], factor: str, x: str) -> DataFrame:
-    """F between the levels of a factor."""
-    g = df.where(F.col(x).isNotNull()).groupBy(*by, factor).agg(F.count("*").alias("c"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("ss"))
-    t = g.groupBy(*by).agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"))
-    between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    within = F.col("ss") - F.col("b")
-    f = F.try_divide(between / (F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))
+    """F between the levels of a factor, from the levels' means and variances, so that an offset costs no digits."""
+    from .windows import beside
+
+    g = df.where(F.col(x).isNotNull()).groupBy(*by, factor).agg(F.count("*").alias("c"), F.avg(x).alias("m"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("v"))
+    d = beside(g, by, _m=F.sum(F.col("c") * F.col("m")) / F.sum("c"))
+    away = F.col("m") - F.col("_m")
+    t = d.groupBy(*by).agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * away * away).alias("between"), F.sum(F.col("c") * F.col("v")).alias("within"))
+    f = F.try_divide(F.try_divide(F.col("between"), F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k")))
     return t.select(*by, f.alias("f"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"))
 
 
@@ -231,36 +253,65 @@ def covariance_ellipse(df: DataFrame, by: list[str], x: str, y: str) -> DataFram
     return s.select(*by, "cx", "cy", F.sqrt(half + root).alias("major"), F.sqrt(F.greatest(half - root, F.lit(0.0))).alias("minor"), (0.5 * F.atan2(2 * F.col("c"), F.col("vx") - F.col("vy"))).alias("angle"))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], x: str, samples: int = 200, level: float = 0.95, seed: int = 1) -> DataFrame:
-    """Percentile interval of the mean by the Poisson bootstrap: every row draws its counts for all samples at once and only sums are shuffled."""
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", b int, w double, wx double"
+#: Modulus of the draws: a prime whose squares fit into 64 bits.
+PRIME = 2_147_483_647
+#: Distribution of a Poisson count of mean 1 up to 6; above it 7.
+_POISSON = np.cumsum([np.exp(-1.0) / m for m in (1, 1, 2, 6, 24, 120, 720)])
+
+
+def draws(key: np.ndarray, samples: np.ndarray, seed: int) -> np.ndarray:
+    """(samples, rows) numbers from 0 to 1 that depend on a row's key, the sample and the seed alone: squares modulo a prime, so that SQL can draw the same."""
+    x = ((key.astype(np.int64) % PRIME)[None, :] * 31 + samples.astype(np.int64)[:, None] * 7919 + seed * 104_729) % PRIME
+    for c in (12_345, 67_891, 24_680):
+        x = (x * x + c) % PRIME
+    return x / PRIME
 
-    def draw(it):
-        for i, pdf in enumerate(it):
+
+def _drawn(df: DataFrame, by: list[str], key: str, x: str, samples: np.ndarray, weight) -> DataFrame:
+    """by, b, w, wx: for each sample the sums of weights and weighted values, one row a group, sample and batch."""
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "") + "b int, w double, wx double"
+
+    def run(it):
+        for pdf in it:
             for keys, part in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
-                v = part[x].to_numpy(float)
-                first = int(pd.util.hash_array(v)[0]) if v.size else 0
-                rng = np.random.default_rng([seed, i, first])
-                w = rng.poisson(1.0, (samples, v.size))
-                out = pd.DataFrame({"b": np.arange(samples, dtype=np.int32), "w": w.sum(axis=1).astype(float), "wx": w @ v})
-                for c, k in zip(by, keys if isinstance(keys, tuple) else (keys,), strict=True):
+                w, wx = np.zeros(samples.size), np.zeros(samples.size)
+                for i in range(0, len(part), 4096):
+                    some = part.iloc[i : i + 4096]
+                    drawn = weight(some["_key"].to_numpy(np.int64))
+                    w += drawn.sum(axis=1)
+                    wx += drawn @ some["_x"].to_numpy(float)
+                out = pd.DataFrame({"b": samples.astype(np.int32), "w": w, "wx": wx})
+                for c, k in zip(by, keys, strict=True):
                     out[c] = k
                 yield out[[*by, "b", "w", "wx"]]
 
-    s = df.select(*by, F.col(x).cast("double").alias(x)).where(F.col(x).isNotNull()).mapInPandas(draw, schema)
-    m = s.groupBy(*by, "b").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    d = df.select(*by, F.col(key).cast("long").alias("_key"), F.col(x).cast("double").alias("_x")).where("_x is not null and _key is not null")
+    return d.mapInPandas(run, schema).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], key: str, x: str, samples: int = 200, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """Percentile interval of the mean by the Poisson bootstrap: a row's counts are drawn from its key, so the partitioning changes nothing, and only sums are shuffled."""
+    every = np.arange(1, samples + 1)
+    s = _drawn(df, by, key, x, every, lambda k: np.searchsorted(_POISSON, draws(k, every, seed), "right").astype(float))
+    m = s.groupBy(*by, "b").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     a = (1 - level) / 2
     return m.groupBy(*by).agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.stddev_samp("m").alias("se"))
 
 
 def sign_permutation(df: DataFrame, by: list[str], key: str, x: str, samples: int = 500, seed: int = 1) -> DataFrame:
-    """Two-tailed p of the mean against 0 under random signs, the sign of a row and sample a hash of both."""
-    flips = df.select(*by, F.col(key).alias("_k"), F.col(x).alias("_x")).where("_x is not null").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples))))
-    sign = F.when((F.col("b") == 0) | (F.pmod(F.xxhash64("_k", "b", F.lit(seed)), F.lit(2)) == 0), 1.0).otherwise(-1.0)
-    m = flips.groupBy(*by, "b").agg(F.avg(sign * F.col("_x")).alias("m"))
-    own = m.where("b = 0").select(*by, F.col("m").alias("observed"))
+    """Two-tailed p of the mean against 0 under random signs: sample 0 is the data, the signs of the others are drawn from the rows' keys in one pass, and only sums are shuffled."""
+    every = np.arange(samples + 1)
+
+    def signs(k):
+        s = np.where(draws(k, every, seed) < 0.5, -1.0, 1.0)
+        s[0] = 1.0
+        return s
+
+    m = _drawn(df, by, key, x, every, signs).select(*by, "b", F.col("wx").alias("m"))
+    own = m.where("b = 0").select(*by, F.abs("m").alias("observed"))
     j = m.join(own, by) if by else m.crossJoin(F.broadcast(own))
-    return j.groupBy(*by, "observed").agg((F.count_if(F.abs("m") >= F.abs("observed")) / F.count("*")).alias("p"))
+    reached = F.abs("m") >= F.col("observed") * (1 - 1e-12)
+    return j.groupBy(*by).agg((F.count_if(reached) / F.count("*")).alias("p"))
 
 
 def robust_regression(df: DataFrame, by: list[str], y: str, xs: list[str], tune: float = 4.685, most: int = 50) -> DataFrame:

@@ -18,10 +18,20 @@ def euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, v: s + v))
 
 
-def distances_to(df: DataFrame, key: str, vec: str, queries: DataFrame) -> DataFrame:
-    """query, key, distance from a stated query set to every row: the queries are few and broadcast in blocks by the caller."""
+#: Vectors that are broadcast at once.
+BLOCK = 4_096
+
+
+def distances_to(df: DataFrame, key: str, vec: str, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """query, key, distance from a stated query set to every row: the queries are counted and broadcast in blocks of about ``block``, one scan of the rows each."""
     q = queries.select(F.col(key).alias("query"), F.col(vec).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).select("query", key, euclidean(vec, "_q").alias("distance"))
+    blocks = max(1, -(-q.count() // block))
+    out = None
+    for i in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) if blocks > 1 else q
+        part = df.crossJoin(F.broadcast(some)).select("query", key, euclidean(vec, "_q").alias("distance"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def class_means(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -37,11 +47,10 @@ def class_dissimilarity(df: DataFrame, label: str, vec: str) -> DataFrame:
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg((1 - F.corr("x", "y")).alias("dissimilarity"))
 
 
-def nearest_mean(df: DataFrame, key: str, vec: str, means: DataFrame, label: str) -> DataFrame:
-    """key and the class of the nearest mean vector; classes are few and broadcast."""
-    m = F.broadcast(means.select(F.col(label).alias("predicted"), "mean"))
-    d = df.crossJoin(m).select(key, "predicted", euclidean(vec, "mean").alias("d"))
-    return d.groupBy(key).agg(F.min(F.struct("d", "predicted")).alias("m")).select(key, "m.predicted")
+def nearest_mean(df: DataFrame, key: str, vec: str, means: DataFrame, label: str, block: int = BLOCK) -> DataFrame:
+    """key and the class of the nearest mean vector; the classes are counted and broadcast in blocks, and a row meets its nearest of each block only."""
+    d = distances_to(df.select(F.col(key).alias("_key"), F.col(vec).alias("_vec")), "_key", "_vec", means.select(F.col(label).alias("_key"), F.col("mean").alias("_vec")), block)
+    return d.groupBy("_key").agg(F.min(F.struct("distance", "query")).alias("m")).select(F.col("_key").alias(key), F.col("m.query").alias("predicted"))
 
 
 def naive_bayes(df: DataFrame, key: str, label: str, vec: str, fold: Column) -> DataFrame:

@@ -20,9 +20,14 @@ def beside(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
     small side is broadcast by its size) and never meets in one task, as it
     would in a window.  Null keys are a group.
     """
+    return joined_groups(df, df.groupBy(*by).agg(*[v.alias(k) for k, v in stats.items()]), by)
+
+
+def joined_groups(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of its group's row in ``groups``; null keys are a group."""
     if not by:
-        return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in stats.items()])))
-    g = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*[v.alias(k) for k, v in stats.items()])
+        return df.crossJoin(F.broadcast(groups))
+    g = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})
     on = F.lit(True)
     for c in by:
         on &= df[c].eqNullSafe(g[f"_by_{c}"])
@@ -84,20 +89,22 @@ def winsorize(df: DataFrame, by: list[str], x: str, sd: float = 3.0, passes: int
     """Values beyond ``sd`` deviations become the mean, in passes; the deviation is scaled to the values that are none.
 
     Groups of fewer than four values stay as they are; a group whose number of
-    outliers no longer changes has settled, and later passes leave it alone.
+    outliers no longer changes has settled, and later passes leave it alone.  A
+    pass is one aggregation of the rows beside the group's last mean and deviation.
     """
-    w = Window.partitionBy(*by)
     raw = good(x)
-    d = df.withColumn("_x", raw).withColumn("_n", F.count(raw).over(w)).withColumn("_last", F.lit(-1).cast("long")).withColumn("_open", F.col("_n") >= 4)
-    for _ in range(passes):
-        d = d.withColumn("_m", F.avg("_x").over(w)).withColumn("_s", F.stddev_samp("_x").over(w))
+    g = df.groupBy(*by).agg(F.count(raw).alias("_n"), F.avg(raw).alias("_m"), F.stddev_samp(raw).alias("_s"))
+    g = g.withColumn("_open", F.col("_n") >= 4).withColumn("_last", F.lit(-1).cast("long"))
+    far = (F.col("_n") >= 4) & (F.abs(raw - F.col("_m")) > sd * F.col("_s"))
+    value = F.when(far, F.col("_m")).otherwise(raw)
+    for _ in range(passes - 1):
+        keep = [F.first(c).alias(c) for c in ("_n", "_m", "_s", "_open", "_last")]
+        n = joined_groups(df, g, by).groupBy(*by).agg(*keep, F.count_if(far).alias("_c"), F.avg(value).alias("_m2"), F.stddev_samp(value).alias("_s2"))
         # replaced values add nothing to the spread, so it is scaled to the rest
-        d = d.withColumn("_s", F.when(F.col("_last") > 0, F.col("_s") * F.sqrt((F.col("_n") - 1) / F.greatest(F.col("_n") - F.col("_last") - 1, F.lit(1)))).otherwise(F.col("_s")))
-        far = F.abs(raw - F.col("_m")) > sd * F.col("_s")
-        d = d.withColumn("_far", F.col("_open") & far).withColumn("_c", F.count_if("_far").over(w))
-        d = d.withColumn("_x", F.when(F.col("_far"), F.col("_m")).when(F.col("_open"), raw).otherwise(F.col("_x")))
-        d = d.withColumn("_open", F.col("_open") & (F.col("_c") != F.col("_last"))).withColumn("_last", F.col("_c"))
-    return d.withColumn(out, F.coalesce("_x", F.col(x))).drop("_x", "_n", "_last", "_open", "_m", "_s", "_far", "_c")
+        scaled = F.col("_s2") * F.sqrt(F.when(F.col("_c") > 0, (F.col("_n") - 1) / F.greatest(F.col("_n") - F.col("_c") - 1, F.lit(1))).otherwise(F.lit(1.0)))
+        still = F.col("_open") & (F.col("_c") != F.col("_last"))
+        g = n.select(*by, "_n", F.when(still, F.col("_m2")).otherwise(F.col("_m")).alias("_m"), F.when(still, scaled).otherwise(F.col("_s")).alias("_s"), still.alias("_open"), F.col("_c").alias("_last"))
+    return joined_groups(df, g, by).withColumn(out, F.coalesce(value, F.col(x))).drop("_n", "_m", "_s", "_open", "_last")
 
 
 def detrend(df: DataFrame, by: list[str], t: str, x: str, out: str = "detrended") -> DataFrame:

@@ -12,9 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FUNCTIONS = frozenset("abs sqrt exp log log2 log10 pow power sign signum floor ceil round least greatest sin cos tan asin acos atan atan2 tanh sinh cosh isnan coalesce nullif if array aggregate array_min array_max".split())
-_WORD = re.compile(r"[A-Za-z_]\w*")
-_ALLOWED = re.compile(r"^[\w\s+\-*/%().,<>=!&|#$:'*]*$")
+FUNCTIONS = frozenset("abs sqrt exp log log2 log10 pow power sign signum floor ceil round least greatest sin cos tan asin acos atan atan2 tanh sinh cosh isnan coalesce nullif if array array_min array_max".split())
+_ALLOWED = re.compile(r"^[\w\s+\-*/%^~().,<>=!&|#$:'*]*$")
 
 
 def _maps(text: str) -> list[int]:
@@ -26,16 +25,97 @@ def _maps(text: str) -> list[int]:
     return list(range(parts[0], parts[-1] + 1, step))
 
 
+_TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|('[^']*')|[#$](\d+(?::\d+){0,2})|([A-Za-z_]\w*)|(->|\.\^|\.\*|\./|&&|\|\||==|~=|!=|<>|>=|<=|[-+*/%^(),<>=!~&|]))")
+_LEVEL = {"or": 1, "|": 1, "||": 1, "and": 2, "&": 2, "&&": 2, "==": 3, "=": 3, "~=": 3, "!=": 3, "<>": 3, "<": 3, ">": 3, "<=": 3, ">=": 3, "+": 4, "-": 4, "*": 5, ".*": 5, "/": 5, "./": 5, "%": 5, "^": 7, ".^": 7}
+_SQL = {"|": "OR", "||": "OR", "or": "OR", "&": "AND", "&&": "AND", "and": "AND", "==": "=", "~=": "<>", "!=": "<>", ".*": "*"}
+
+
+def _quotient(a: str, b: str) -> str:
+    """Division as in floating point: by zero it gives an infinity, or NaN for 0 / 0."""
+    return f"if(({b}) = 0, ({a}) * double('Infinity'), ({a}) / ({b}))"
+
+
 def rewrite(formula: str, prefix: str = "m", extra: frozenset[str] = frozenset()) -> str:
-    """``#2`` and ``$2`` become map columns, ``#1:3`` the arguments of a list function; element-wise operators lose their dot."""
+    """A formula as a Spark SQL expression: ``#2`` and ``$2`` are map columns, ``#1:3`` the arguments of a list function.
+
+    Operators work element by element with or without their dot; ``^`` is a power
+    that binds tighter than a sign before it; ``x / 0`` is an infinity.
+    """
     if not _ALLOWED.match(formula):
         raise ValueError(f"character not allowed in a formula: {formula!r}")
-    s = re.sub(r"\.([*/])", r" \1", formula)
-    s = re.sub(r"\.?\^\s*([\w.]+)", r"^\1", s)
-    out = re.sub(r"[#$](\d+(?::\d+){0,2})", lambda m: ", ".join(f"{prefix}{i}" for i in _maps(m[1])), s)
-    for w in _WORD.findall(re.sub(r"'[^']*'", "", out)):
-        if w not in FUNCTIONS and w not in extra and not re.fullmatch(rf"{prefix}\d+", w) and w.lower() not in ("and", "or", "not", "e"):
-            raise ValueError(f"name not allowed in a formula: {w}")
+    tokens, at = [], 0
+    while formula[at:].strip():
+        m = _TOKEN.match(formula, at)
+        if not m:
+            raise ValueError(f"not a formula: {formula[at:]!r}")
+        tokens.append(m.groups())
+        at = m.end()
+    place = 0
+
+    def ahead() -> str | None:
+        if place == len(tokens):
+            return None
+        name, op = tokens[place][3], tokens[place][4]
+        return name.lower() if name and name.lower() in ("and", "or", "not") else op
+
+    def expect(op: str) -> None:
+        nonlocal place
+        if ahead() != op:
+            raise ValueError(f"{op} is missing in {formula!r}")
+        place += 1
+
+    def operand() -> str:
+        nonlocal place
+        if place == len(tokens):
+            raise ValueError(f"the formula ends early: {formula!r}")
+        number, text, maps, name, op = tokens[place]
+        if op in ("-", "+", "!", "~") or ahead() == "not":
+            place += 1
+            return f"(NOT {expression(3)})" if op in ("!", "~", None) else f"({op}{expression(6)})"
+        place += 1
+        if number or text:
+            return number or text
+        if maps:
+            return ", ".join(f"{prefix}{i}" for i in _maps(maps))
+        if name:
+            if ahead() != "(":
+                if name not in extra and not re.fullmatch(rf"{prefix}\d+", name):
+                    raise ValueError(f"name not allowed in a formula: {name}")
+                return name
+            if name not in FUNCTIONS and name not in extra:
+                raise ValueError(f"name not allowed in a formula: {name}")
+            place += 1
+            inner = []
+            while ahead() != ")":
+                inner.append(expression(1))
+                if ahead() == ",":
+                    place += 1
+            place += 1
+            return f"{name}({', '.join(inner)})"
+        if op == "(":
+            inner = expression(1)
+            expect(")")
+            return f"({inner})"
+        raise ValueError(f"not a formula: {formula!r}")
+
+    def expression(least: int) -> str:
+        nonlocal place
+        left = operand()
+        while (op := ahead()) in _LEVEL and _LEVEL[op] >= least:
+            place += 1
+            level = _LEVEL[op]
+            right = expression(level if level == 7 else level + 1)
+            if level == 7:
+                left = f"power({left}, {right})"
+            elif op in ("/", "./"):
+                left = _quotient(left, right)
+            else:
+                left = f"({left} {_SQL.get(op, op)} {right})"
+        return left
+
+    out = expression(1)
+    if place < len(tokens):
+        raise ValueError(f"not a formula: {formula!r}")
     return out
 
 

@@ -259,9 +259,20 @@ def covariance(t):
     return rounded(W.covariance(t("lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), 6, cov=3)
 
 
-@query()
+def _winsorize_sql(passes: int, sd: float) -> str:
+    """The passes written out: g1, g2 ... hold a group's mean and deviation after each."""
+    sql = "WITH g1 AS (SELECT event_type k, count(value) n, avg(value) m, stddev_samp(value) s, count(value) >= 4 AS o, -1 AS last FROM events GROUP BY 1)"
+    for i in range(1, passes):
+        far = f"n >= 4 AND abs(value-m) > {sd}*s"
+        sql += f""", p{i} AS (SELECT k, n, m, s, o, last, count(*) FILTER ({far}) AS c, avg(CASE WHEN {far} THEN m ELSE value END) AS m2, stddev_samp(CASE WHEN {far} THEN m ELSE value END) AS s2
+FROM events JOIN g{i} ON event_type = k GROUP BY 1,2,3,4,5,6), g{i + 1} AS (SELECT k, n, CASE WHEN o AND c <> last THEN m2 ELSE m END AS m, CASE WHEN o AND c <> last THEN s2*sqrt(CASE WHEN c > 0 THEN (n-1)/greatest(n-c-1, 1) ELSE 1 END) ELSE s END AS s, o AND c <> last AS o, c AS last FROM p{i})"""
+    return f"{sql} SELECT event_id, value, round(CASE WHEN n >= 4 AND abs(value-m) > {sd}*s THEN m ELSE value END, 6)+0.0 AS winsorized FROM events JOIN g{passes} ON event_type = k"
+
+
+@query(_winsorize_sql(3, 1.5))
 def winsorize(t):
-    return W.winsorize(t("events"), ["event_type"], "value", 1.5).select("event_id", "value", "winsorized")
+    d = W.winsorize(t("events"), ["event_type"], "value", 1.5)
+    return d.select("event_id", "value", r("winsorized").alias("winsorized"))
 
 
 @query("""
@@ -406,24 +417,24 @@ def struct_select(t):
 
 
 @query(f"""
-WITH e AS (SELECT {SECONDS} AS onset, event_type, user_id FROM events WHERE event_id % 10 = 0), s AS (SELECT {SECONDS} AS t, value, user_id FROM events)
+WITH e AS (SELECT {SECONDS} AS onset, event_type, user_id FROM events), s AS (SELECT {SECONDS} AS t, value, user_id FROM events)
 SELECT event_type AS condition, CAST(floor((t-onset)/3600) AS INTEGER) AS bin, count(*) AS n, round(avg(value),6)+0.0 AS mean FROM s JOIN e ON s.user_id=e.user_id AND t >= onset-43200 AND t < onset+43200 GROUP BY 1,2
 """)
 def event_window_counts(t):
     s = t("events").select(seconds().alias("t"), "value", "user_id")
-    e = t("events").where("event_id % 10 = 0").select(seconds().alias("onset"), F.col("event_type").alias("condition"), "user_id")
+    e = t("events").select(seconds().alias("onset"), F.col("event_type").alias("condition"), "user_id")
     return rounded(E.event_counts(s, e, ["user_id"], "condition", "t", "value", "onset", 43200.0, 43200.0, 3600.0))
 
 
 @query(f"""
-WITH e AS (SELECT {SECONDS} AS onset, event_type, user_id, event_id FROM events WHERE event_id % 10 = 0), s AS (SELECT {SECONDS} AS t, value, user_id FROM events),
+WITH e AS (SELECT {SECONDS} AS onset, event_type, user_id, event_id FROM events), s AS (SELECT {SECONDS} AS t, value, user_id FROM events),
 j AS (SELECT event_id, event_type, CAST(floor((t-onset)/21600) AS INTEGER) AS bin, value, avg(value) FILTER (t-onset >= -43200 AND t-onset < 0) OVER (PARTITION BY event_id) AS b FROM s JOIN e ON s.user_id=e.user_id AND t >= onset-43200 AND t < onset+43200),
 trial AS (SELECT event_id, event_type, bin, avg(value-b) AS v FROM j WHERE b IS NOT NULL GROUP BY 1,2,3)
 SELECT event_type AS condition, bin, round(avg(v),6)+0.0 AS mean, round(stddev_samp(v),6)+0.0 AS sd, count(*) AS n, round(stddev_samp(v)/sqrt(count(*)),6)+0.0 AS se FROM trial GROUP BY 1,2
 """)
 def event_locked_average(t):
     s = t("events").select(seconds().alias("t"), "value", "user_id")
-    e = t("events").where("event_id % 10 = 0").select("event_id", seconds().alias("onset"), F.col("event_type").alias("condition"), "user_id")
+    e = t("events").select("event_id", seconds().alias("onset"), F.col("event_type").alias("condition"), "user_id")
     return rounded(E.event_average(s, e, ["user_id"], "condition", "t", "value", "onset", 43200.0, 43200.0, 21600.0, (-43200.0, 0.0)))
 
 
@@ -452,7 +463,7 @@ SELECT l.event_id, r.value AS last_value FROM events l ASOF LEFT JOIN (SELECT us
 """)
 def as_of_join(t):
     right = t("events").where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
-    return J.as_of(t("events"), right, ["user_id"], "ts", ["last_value"]).select("event_id", "last_value")
+    return J.as_of(t("events"), right, ["user_id"], "ts", ["last_value"], 86_400.0).select("event_id", "last_value")
 
 
 @query("""
@@ -794,15 +805,28 @@ def covariance_ellipse(t):
     return rounded(M.covariance_ellipse(t("lineitem"), ["l_returnflag"], "l_quantity", "l_linenumber"), 5)
 
 
-@query()
+def _drawn_sql(samples: int, first: int) -> str:
+    """A CTE ``d`` of event_type, b, value and the number u that ``stats.draws`` gives for every event and sample."""
+    x = "(event_id % 2147483647 * 31 + b * 7919 + 104729) % 2147483647"
+    return f"""WITH a AS (SELECT event_type, value, b, {x} AS x FROM events, range({first}, {samples + 1}) r(b)), a1 AS (SELECT *, (x*x+12345) % 2147483647 AS y FROM a),
+a2 AS (SELECT *, (y*y+67891) % 2147483647 AS z FROM a1), d AS (SELECT event_type, b, value, ((z*z+24680) % 2147483647) / 2147483647.0::DOUBLE AS u FROM a2)"""
+
+
+@query(f"""
+{_drawn_sql(200, 1)}, m AS (SELECT event_type, b, sum(w*value)/sum(w) AS m FROM (SELECT *, CASE {" ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(map(float, M._POISSON)))} ELSE 7 END AS w FROM d) GROUP BY 1,2)
+SELECT event_type, round(quantile_cont(m, 0.025), 6)+0.0 AS low, round(quantile_cont(m, 0.975), 6)+0.0 AS high, round(stddev_samp(m), 6)+0.0 AS se FROM m GROUP BY 1
+""")
 def bootstrap_interval(t):
-    return M.bootstrap_mean(t("events"), ["event_type"], "value")
+    return rounded(M.bootstrap_mean(t("events"), ["event_type"], "event_id", "value"))
 
 
-@query()
+@query(f"""
+{_drawn_sql(200, 0)}, m AS (SELECT event_type, b, sum((value-50)*(CASE WHEN b > 0 AND u < 0.5 THEN -1 ELSE 1 END)) AS m FROM d GROUP BY 1,2)
+SELECT event_type, round(count(*) FILTER (abs(m) >= o*(1-1e-12))/count(*), 6)+0.0 AS p FROM m JOIN (SELECT event_type AS e, abs(m) AS o FROM m WHERE b = 0) ON event_type = e GROUP BY 1
+""")
 def sign_permutation(t):
     d = t("events").withColumn("v", F.col("value") - 50)
-    return M.sign_permutation(d, ["event_type"], "event_id", "v", 200)
+    return rounded(M.sign_permutation(d, ["event_type"], "event_id", "v", 200))
 
 
 @query()
@@ -879,10 +903,10 @@ def interpolate_map(t):
 # --- vectors ---
 
 
-@query("SELECT q.vec_id AS query, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),5)+0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id%50=0) q")
+@query("SELECT q.vec_id AS query, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),5)+0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id%20=0) q")
 def query_distances(t):
     e = t("embeddings")
-    return V.distances_to(e, "vec_id", "embedding", e.where("vec_id % 50 = 0")).select("query", "vec_id", r("distance", 5).alias("distance"))
+    return V.distances_to(e, "vec_id", "embedding", e.where("vec_id % 20 = 0")).select("query", "vec_id", r("distance", 5).alias("distance"))
 
 
 @query("""

@@ -227,9 +227,70 @@ def test_kmeans_and_bootstrap(spark):
     rows = [(i, [float(i % 2) * 10 + 0.01 * i, 0.0]) for i in range(40)]
     got = V.k_means(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", 2, 20).collect()
     assert len({(r.k % 2, r.cluster) for r in got}) == 2
-    d = spark.createDataFrame([(1, float(i)) for i in range(200)], "g int, x double")
-    r = one(M.bootstrap_mean(d, ["g"], "x", 200))
-    assert r.low < 99.5 < r.high and r.high - r.low < 25
+    d = spark.createDataFrame([(1, i, float(i % 37)) for i in range(3000)], "g int, k long, x double")
+    found = [one(M.bootstrap_mean(d.repartition(p), ["g"], "k", "x", 400)) for p in (1, 2, 5)]
+    assert all(np.allclose([r.low, r.high, r.se], [found[0].low, found[0].high, found[0].se]) for r in found)
+    v = np.arange(3000) % 37
+    assert abs(found[0].se / (v.std(ddof=1) / math.sqrt(3000)) - 1) < 0.1 and found[0].low < v.mean() < found[0].high
+    assert M.bootstrap_mean(d, [], "k", "x", 50).count() == 1
+
+
+def test_moments_survive_an_offset(spark):
+    """A billion added to every value changes no spread, slope or F."""
+    rng = np.random.default_rng(2)
+    rows = [(i % 2, i % 5, float(rng.normal()), float(rng.normal()), float(1 + rng.random())) for i in range(400)]
+    d = spark.createDataFrame([(g, f, x, 2 * x + y, w) for g, f, x, y, w in rows], "g int, f int, x double, y double, w double")
+    far = d.withColumn("y", F.col("y") + 1e9)
+    for weight in (None, "w"):
+        a, b = (sorted(M.solve(M.normal_equations(t, ["g"], "y", ["x"], weight), ["g"], ["x"], [1, 0]).collect()) for t in (d, far))
+        assert all(np.allclose([p.betas[0], p.se, p.t], [q.betas[0], q.se, q.t], rtol=1e-5) for p, q in zip(a, b, strict=True))
+        parts = M.solve(M.merge_equations(M.normal_equations(far, ["g", "f"], "y", ["x"], weight).drop("f"), ["g"]), ["g"], ["x"], [1, 0])
+        assert all(np.allclose([p.betas[0], p.se, p.t], [q.betas[0], q.se, q.t], rtol=1e-5) for p, q in zip(a, sorted(parts.collect()), strict=True))
+    f, g = (sorted(M.one_way_anova(t, ["g"], "f", "y").collect()) for t in (d, far))
+    assert all(np.isclose(p.f, q.f, rtol=1e-5) for p, q in zip(f, g, strict=True))
+    m, n = (A.leave_one_out(t, ["g"], "y").orderBy("x").collect() for t in (d, far))
+    assert np.allclose([p.loo_variance for p in m], [q.loo_variance for q in n], rtol=1e-4)
+
+
+def test_small_groups_do_not_divide_by_zero(spark):
+    d = spark.createDataFrame([(n, float(i * i)) for n in range(1, 6) for i in range(n)] + [(0, None)], "g int, x double")
+    got = {r.g: (r.s, r.k) for r in d.groupBy("g").agg(A.skew("x", True).alias("s"), A.kurtosis("x", True).alias("k")).collect()}
+    assert got[2][0] is None and got[3][1] is None and got[4][0] is not None and got[5][1] is not None
+    three = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (1, 2.0, 1.0, 5.0), (1, 4.0, 3.0, 1.0)], "g int, x double, y double, z double")
+    assert one(M.dependent_correlation_t(three, ["g"], "x", "y", "z")).df == 0
+
+
+def test_formula_quotients_and_powers(spark):
+    d = spark.createDataFrame([(2.0, 0.0, 3.0)], "m1 double, m2 double, m3 double")
+    value = lambda f: one(P.compute(d, f)).value
+    assert value("#1 ./ #2") == math.inf and value("-#1 / #2") == -math.inf and math.isnan(value("#2 / #2"))
+    assert value("#3 .^ #1 ^ 2") == 81.0 and value("-#1 ^ 2") == -4.0 and value("1 + #1 * #3 - 4 / #1") == 5.0
+    assert value("if(#1 > 1 & ~(#3 == 2), #1, #3)") == 2.0 and value("greatest(#1:3) - least(#1:2:3, 2.5)") == 1.0
+    for wrong in ("#1 +", "(#1", "#1 #2", "java_method(#1)"):
+        with pytest.raises(ValueError):
+            P.rewrite(wrong)
+
+
+def test_equal_events_are_trials_of_their_own(spark):
+    s = spark.createDataFrame([(1, float(t), float(t)) for t in range(10)], "u int, t double, x double")
+    e = spark.createDataFrame([(1, "a", 5.0), (1, "a", 5.0)], "u int, c string, o double")
+    got = E.event_average(s, e, ["u"], "c", "t", "x", "o", 4.0, 4.0, 1.0, (-4.0, 0.0))
+    assert {r.n for r in got.collect()} == {2}
+
+
+def test_as_of_by_ranges(spark):
+    """However time is cut, each row gets the last value before it."""
+    rng = np.random.default_rng(4)
+    left = spark.createDataFrame([(int(rng.integers(3)), float(rng.integers(100)), i) for i in range(200)], "g int, t double, k int")
+    right = spark.createDataFrame([(int(rng.integers(2)), float(t), int(t)) for t in rng.permutation(100)[:30]], "g int, t double, v int")
+    want = {r.k: r.v for r in J.as_of(left, right, ["g"], "t", ["v"]).collect()}
+    assert len(want) == 200 and all(want == {r.k: r.v for r in J.as_of(left, right, ["g"], "t", ["v"], w).collect()} for w in (1.0, 7.0, 1000.0))
+
+
+def test_distances_in_blocks(spark):
+    d = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "k int, v array<double>")
+    whole, parts = (sorted(V.distances_to(d, "k", "v", d.where("k % 2 = 0"), b).collect()) for b in (100, 3))
+    assert whole == parts and len(whole) == 800
 
 
 def test_frames():
