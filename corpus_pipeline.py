@@ -20,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One occurrence of each group of near-equal lines stays; no document goes."""
+    """One occurrence of each group of near-equal lines stays; documents that lose all their lines, copies of others, go."""
     _small_batches(spark)
-    return linededup.deduplicate(docs)
+    return linededup.deduplicate(docs, emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
