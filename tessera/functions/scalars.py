@@ -192,3 +192,15 @@ def subscripts(index: Col, sizes: list[int]) -> list[Column]:
 def series_lag_kernel(r: Col, tr: float) -> Column:
     """Temporal smoothing width (FWHM, in units of tr) whose noise has the lag-1 autocorrelation r."""
     return F.when(col(r) > 0, tr * F.sqrt(-2 * F.log(F.lit(2.0)) / F.log(col(r)))).otherwise(F.lit(0.0))
+
+
+#: Modulus of the draws: a prime whose squares fit into 64 bits.
+PRIME = 2_147_483_647
+
+
+def drawn(key: Col, seed: int) -> Column:
+    """A number from 0 to PRIME that depends on an integer key and the seed alone: squares modulo a prime, which SQL can draw the same."""
+    x = (col(key) % PRIME * 31 + seed * 104_729) % PRIME
+    for c in (12_345, 67_891, 24_680):
+        x = (x * x + c) % PRIME
+    return x

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import good
-from .stats import PRIME
+from ..functions.scalars import drawn, good
 from .windows import beside, joined_groups
 
 # --- protocols: (run, condition, onset, offset) ---
@@ -56,11 +55,8 @@ def single_trials(events: DataFrame, by: list[str], condition: str, onset: str,
 
 def shuffle_labels(events: DataFrame, by: list[str], condition: str, key: str, seed: int = 1) -> DataFrame:
     """The conditions of a run dealt anew over its events: the label of the i-th key goes to the i-th of the keys in hashed order, so a rerun gives the same."""
-    draw = (F.col(key) % PRIME * 31 + seed * 104_729) % PRIME
-    for c in (12_345, 67_891, 24_680):
-        draw = (draw * draw + c) % PRIME
     place = events.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
-    dealt = events.select(*by, F.col(condition).alias("_label"), F.row_number().over(Window.partitionBy(*by).orderBy(draw, key)).alias("_i"))
+    dealt = events.select(*by, F.col(condition).alias("_label"), F.row_number().over(Window.partitionBy(*by).orderBy(drawn(key, seed), key)).alias("_i"))
     return place.join(dealt, [*by, "_i"]).withColumn(condition, F.col("_label")).select(*events.columns)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import good
+from ..functions.scalars import PRIME, good
 
 
 def one_sample_t(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -253,8 +253,6 @@ def covariance_ellipse(df: DataFrame, by: list[str], x: str, y: str) -> DataFram
     return s.select(*by, "cx", "cy", F.sqrt(half + root).alias("major"), F.sqrt(F.greatest(half - root, F.lit(0.0))).alias("minor"), (0.5 * F.atan2(2 * F.col("c"), F.col("vx") - F.col("vy"))).alias("angle"))
 
 
-#: Modulus of the draws: a prime whose squares fit into 64 bits.
-PRIME = 2_147_483_647
 #: Distribution of a Poisson count of mean 1 up to 6; above it 7.
 _POISSON = np.cumsum([np.exp(-1.0) / m for m in (1, 1, 2, 6, 24, 120, 720)])
 

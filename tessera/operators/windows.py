@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import good
+from ..functions.scalars import drawn, good
 
 
 def beside(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
@@ -175,6 +175,6 @@ def extreme_positions(df: DataFrame, by: list[str], pos: str, x: str) -> DataFra
 
 
 def shuffled(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
-    """A permutation that a rerun repeats: rows numbered by a hash of key and seed."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """A permutation that a rerun repeats: rows numbered by a number drawn from an integer key and the seed."""
+    w = Window.partitionBy(*by).orderBy(drawn(key, seed), key)
     return df.withColumn("place", F.row_number().over(w))

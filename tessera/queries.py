@@ -188,9 +188,13 @@ def variance_inflation(t):
     return rounded(A.variance_inflation(t("lineitem"), ["l_quantity", "l_extendedprice"]), 5)
 
 
-@query()
+@query("""
+WITH e AS (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem), h AS (SELECT least(255, floor((l_extendedprice-lo)/(hi-lo)*256)) AS b, any_value(lo) lo, any_value(hi) hi, count(*) n, avg(l_extendedprice) m, var_pop(l_extendedprice)*count(*) v FROM lineitem, e GROUP BY 1),
+c AS (SELECT x.b, x.lo, x.hi, y.b <= x.b AS up, sum(y.n) n, sum(y.n*y.m)/sum(y.n) mu FROM h x, h y GROUP BY 1,2,3,4), k AS (SELECT c.b, c.lo, c.hi, sum(v + n2*(m-mu)^2) AS cost FROM c JOIN (SELECT b AS b2, n AS n2, m, v FROM h) ON (b2 <= c.b) = c.up GROUP BY 1,2,3)
+SELECT round(arg_min(lo+(b+1)*(hi-lo)/256, cost), 4)+0.0 AS threshold FROM k
+""")
 def otsu_threshold(t):
-    return A.otsu_threshold(t("lineitem"), "l_extendedprice")
+    return rounded(A.otsu_threshold(t("lineitem"), "l_extendedprice"), 4)
 
 
 @query()
@@ -346,7 +350,13 @@ def extreme_positions(t):
     return W.extreme_positions(t("orders"), ["o_custkey"], "o_orderkey", "o_totalprice")
 
 
-@query()
+def draw_sql(table: str, seed: int) -> str:
+    """CTEs after which ``d`` is the table with the number h that ``scalars.drawn`` gives for event_id."""
+    return f"""WITH a AS (SELECT *, (event_id % 2147483647 * 31 + {seed * 104729}) % 2147483647 AS x1 FROM {table}), a1 AS (SELECT *, (x1*x1+12345) % 2147483647 AS x2 FROM a),
+a2 AS (SELECT *, (x2*x2+67891) % 2147483647 AS x3 FROM a1), d AS (SELECT *, (x3*x3+24680) % 2147483647 AS h FROM a2)"""
+
+
+@query(draw_sql("events", 5) + " SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY h, event_id) AS INTEGER) AS place FROM d")
 def shuffled_sequence(t):
     return W.shuffled(t("events"), ["user_id"], "event_id", 5).select("user_id", "event_id", "place")
 
@@ -834,10 +844,14 @@ def robust_regression(t):
     return M.robust_regression(t("lineitem"), ["l_suppkey"], "l_extendedprice", ["l_quantity"])
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT user_id, ts, event_id, {SECONDS}/86400-19700 AS x, value AS y FROM events), f AS (SELECT user_id AS u, regr_slope(y,x) b, regr_intercept(y,x) a FROM e GROUP BY 1), z AS (SELECT e.*, y-a-b*x AS q FROM e JOIN f ON u=user_id),
+l AS (SELECT *, lag(q) OVER w q1, lag(x) OVER w x1, lag(y) OVER w y1 FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id AS u, round(20*coalesce(corr(q,q1),0))/20 AS rho FROM l GROUP BY 1)
+SELECT user_id, rho, round(regr_slope(y-rho*y1, x-rho*x1),4)+0.0 AS slope, count(*) AS n FROM l JOIN r ON u=user_id WHERE x1 IS NOT NULL GROUP BY 1,2
+""")
 def whitened_regression(t):
-    d = t("events").withColumn("x", seconds() / 86400)
-    return M.whitened_regression(d, ["user_id"], ["ts", "event_id"], "value", "x")
+    d = t("events").withColumn("x", seconds() / 86400 - 19700)
+    return rounded(M.whitened_regression(d, ["user_id"], ["ts", "event_id"], "value", "x"), 4)
 
 
 @query("SELECT n_nationkey, round(CASE WHEN sign(a)=sign(b) AND greatest(abs(a),abs(b))>0 THEN sign(a)*least(greatest(abs(a),abs(b)),1) ELSE 1 END,6)+0.0 AS p FROM (SELECT n_nationkey, sin(n_nationkey) AS a, cos(n_nationkey)/2 AS b FROM nation)")
@@ -926,7 +940,10 @@ def nearest_class_mean(t):
     return V.nearest_mean(e, "vec_id", "embedding", V.class_means(e, "label", "embedding"), "label")
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1) AS i FROM embeddings), s AS (SELECT label, i, avg(v) m, var_samp(v)+1e-9 s2, count(*) n FROM e WHERE vec_id%5<>0 GROUP BY 1,2),
+l AS (SELECT vec_id, e.label, s.label AS k, sum(-0.5*ln(s2)-(v-m)*(v-m)/(2*s2))+ln(max(n)) AS ll FROM e JOIN s ON e.i=s.i WHERE vec_id%5=0 GROUP BY 1,2,3) SELECT vec_id, label, arg_max(k, (ll, k)) AS predicted FROM l GROUP BY 1,2
+""")
 def naive_bayes(t):
     return V.naive_bayes(t("embeddings"), "vec_id", "label", "embedding", F.col("vec_id") % 5 == 0)
 
@@ -994,20 +1011,31 @@ def map_p_values(t):
     return d.select("l_suppkey", D.map_p("v", F.lit(2.0), F.col("n") - 2.0, F.lit(0.0)).alias("p_r"), D.t_two_tailed("t", F.col("n") - 2.0).alias("p_t"), D.normal_cdf("t").alias("cdf"))
 
 
-@query()
+_MONTHS = "s AS (SELECT l_suppkey AS k, year(l_shipdate)*12+month(l_shipdate) AS m, sum(l_quantity) AS v FROM lineitem GROUP BY 1,2), o AS (SELECT k, m, v, row_number() OVER (PARTITION BY k ORDER BY m)-1 AS t, count(*) OVER (PARTITION BY k) AS n FROM s)"
+
+
+@query(f"""
+WITH {_MONTHS}, b AS (SELECT k, j, n, 2.0/n*sum(v*cos(pi()*(2*t+1)*j/(2*n))) AS b FROM o, range(1, 100) r(j) WHERE j <= floor(2*n/24.0) GROUP BY 1,2,3)
+SELECT o.k AS l_suppkey, m, round(any_value(v)-sum(b*cos(pi()*(2*t+1)*j/(2*o.n))),6)+0.0 AS v FROM o JOIN b ON o.k=b.k GROUP BY 1,2
+""")
 def drift_filter(t):
     from .operators import filters as X
 
     s = t("lineitem").groupBy("l_suppkey", month().alias("m")).agg(F.sum("l_quantity").alias("v"))
-    return X.remove_drifts(X.as_series(s, ["l_suppkey"], "m", "v"), "cosine", 24)
+    d = X.remove_drifts(X.as_series(s, ["l_suppkey"], "m", "v"), "cosine", 24)
+    return rounded(d.select("l_suppkey", F.explode(F.arrays_zip("ts", "values")).alias("s")).select("l_suppkey", F.col("s.ts").alias("m"), F.col("s.values").alias("v")))
 
 
-@query()
+@query(f"""
+WITH {_MONTHS}, p AS (SELECT k, i, t-i AS j, v-avg(v) OVER (PARTITION BY k, i) AS q FROM o, range(0, 2000, 16) r(i) WHERE t >= i AND t < i+32 AND i+32 <= n), w AS (SELECT j, 0.5-0.5*cos(2*pi()*j/32) AS w FROM range(0, 32) r(j)),
+f AS (SELECT k, i, f, sum(q*w*cos(2*pi()*f*p.j/32)) AS re, sum(q*w*sin(2*pi()*f*p.j/32)) AS im FROM p JOIN w ON p.j=w.j, range(0, 17) r(f) GROUP BY 1,2,3)
+SELECT k AS l_suppkey, CAST(f AS INTEGER) AS bin, round(avg(re*re+im*im)/(SELECT sum(w*w) FROM w),4)+0.0 AS power FROM f GROUP BY 1,2
+""")
 def power_spectrum(t):
     from .operators import filters as X
 
     s = t("lineitem").groupBy("l_suppkey", month().alias("m")).agg(F.sum("l_quantity").alias("v"))
-    return X.power_spectrum(X.as_series(s, ["l_suppkey"], "m", "v"), ["l_suppkey"], 32)
+    return rounded(X.power_spectrum(X.as_series(s, ["l_suppkey"], "m", "v"), ["l_suppkey"], 32), 4)
 
 
 # --- streams: the same rows as a batch ---

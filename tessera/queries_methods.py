@@ -380,3 +380,80 @@ def vertex_density(t):
 def combined_meshes(t):
     a, b = t("nation").select(F.col("n_nationkey").alias("v"), F.col("n_name").alias("name")), t("region").select(F.col("r_regionkey").alias("v"), F.col("r_name").alias("name"))
     return G.combine_meshes(a, b, "v")
+
+
+# --- series kernels, matrices and dumps ---
+
+#: Every user's events in order, as one series.
+ORDERED = "o AS (SELECT user_id AS k, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+def _event_series(t) -> DataFrame:
+    from .operators import filters as X
+
+    return X.as_series(t("events").select(F.col("user_id").alias("k"), "event_id", "value"), ["k"], "event_id", "value")
+
+
+def _exploded(d: DataFrame) -> DataFrame:
+    return rounded(d.select("k", F.posexplode("values").alias("i", "v")).withColumn("i", F.col("i") + 1))
+
+
+@query(f"WITH {ORDERED} SELECT k, CAST((i-1)//4+1 AS INTEGER) AS i, round(avg(v),6)+0.0 AS v FROM o WHERE i <= n//4*4 GROUP BY 1,2")
+def resampled_series(t):
+    from .operators import filters as X
+
+    return _exploded(X.resample(_event_series(t), 4))
+
+
+@query(f"WITH {ORDERED} SELECT a.k, CAST(a.i AS INTEGER) AS i, round(coalesce(0.7*a.v+0.3*b.v, a.v),6)+0.0 AS v FROM o a LEFT JOIN o b ON a.k=b.k AND b.i=a.i+1")
+def shifted_series(t):
+    from .operators import filters as X
+
+    return _exploded(X.shift(_event_series(t), 0.3))
+
+
+@query(f"""
+WITH {ORDERED}, d AS (SELECT *, v-lag(v) OVER w AS d, lead(v) OVER w - v AS e, lag(v) OVER w AS b, lead(v) OVER w AS a FROM o WINDOW w AS (PARTITION BY k ORDER BY i)), c AS (SELECT k, median(d) AS c FROM d GROUP BY 1), s AS (SELECT d.k, median(abs(d-c))/0.6745 AS s FROM d JOIN c ON d.k=c.k GROUP BY 1)
+SELECT d.k, CAST(i AS INTEGER) AS i, round(CASE WHEN abs(d) > 1.5*s AND abs(e) > 1.5*s AND d*e < 0 THEN (a+b)/2 ELSE v END,6)+0.0 AS v FROM d JOIN s ON d.k=s.k
+""")
+def despiked_series(t):
+    from .operators import filters as X
+
+    return _exploded(X.despike(_event_series(t), 1.5))
+
+
+@query(f"""
+WITH {ORDERED}, q AS (SELECT k, i, v AS x, v*((i*7)%5) AS y FROM o), c AS (SELECT a.k, l.lag, corr(a.x, b.y) AS r, count(*) AS n FROM q a JOIN q b ON a.k=b.k JOIN (SELECT unnest(range(-3,4)) AS lag) l ON a.i = b.i + l.lag GROUP BY 1,2)
+SELECT k, CAST(arg_min(lag, (-round(r,10), abs(lag), lag)) AS INTEGER) AS lag, round(max(r),6)+0.0 AS r FROM c WHERE n > 2 GROUP BY 1
+""")
+def best_lags(t):
+    from .operators import filters as X
+
+    d = _event_series(t).withColumn("other", F.transform("values", lambda v, i: v * (((i + 1) * 7) % 5)))
+    return rounded(X.best_lag(d, "k", "values", "other", 3))
+
+
+@query("""
+WITH m AS (SELECT p_partkey, p_size+0.5 AS a, (p_partkey%7)+0.0 AS b, (p_partkey%5)+0.0 AS c, p_retailprice/100 AS d FROM part)
+SELECT p_partkey, round(a*d-b*c,6)+0.0 AS determinant, round(d/(a*d-b*c),8)+0.0 AS inverse_11, round(a*b+b*d,6)+0.0 AS square_12, round(a*b+c*d,6)+0.0 AS gram_12 FROM m
+""")
+def matrix_columns(t):
+    from .functions import matrices as X
+
+    m = F.array(F.col("p_size") + 0.5, (F.col("p_partkey") % 7).cast("double"), (F.col("p_partkey") % 5).cast("double"), F.col("p_retailprice") / 100)
+    d = t("part").select("p_partkey", m.alias("m"))
+    return d.select("p_partkey", r(X.determinant("m")).alias("determinant"), r(F.get(X.inverse("m"), 0), 8).alias("inverse_11"), r(F.get(X.product("m", "m"), 1)).alias("square_12"), r(F.get(X.gram("m", F.lit(2)), 1)).alias("gram_12"))
+
+
+@query("SELECT c_custkey, trim(regexp_replace(lower(hex(encode(c_mktsegment))), '(..)', '\\1 ', 'g')) AS hex, lpad(bin(c_nationkey), 8, '0') AS bits FROM customer")
+def byte_dumps(t):
+    from .functions import text as X
+
+    return t("customer").select("c_custkey", X.hex_dump(F.encode("c_mktsegment", "UTF-8")).alias("hex"), X.bit_dump("c_nationkey").alias("bits"))
+
+
+@query("SELECT p_partkey, round(exp(3.5*ln(0.2::DOUBLE)+2.5*ln(p_size)-0.2*p_size-lgamma(3.5)),10)+0.0 AS density FROM part")
+def gamma_density(t):
+    from .functions import dist as X
+
+    return t("part").select("p_partkey", r(X.gamma_pdf(F.col("p_size").cast("double"), F.lit(3.5), F.lit(0.2)), 10).alias("density"))
