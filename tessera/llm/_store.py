@@ -1,30 +1,13 @@
-"""Where intermediate tables go: the folder that the session names in spark.checkpoint.dir."""
+"""Intermediate tables, and joins with those that are small."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (as in tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once as a table in the shared folder and read again: later steps survive lost executors without redoing it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "only", "shared_dir", "small_enough", "unused", "without", "written"]
 
 
 def dropped(df: DataFrame) -> None:
