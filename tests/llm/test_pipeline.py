@@ -22,7 +22,9 @@ def test_stages(spark):
             assert len(after) >= 0.99 * len(before)
         elif name == "line_dedup":
             gone = lines(before)
-            assert after == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ())) for i, t in before}
+            left = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ())) for i, t in before}
+            assert after == {i: t for i, t in left.items() if t.strip() or i not in gone} and len(after) < len(left)
+            assert all(t.strip() for t in after.values())  # no document is left empty
         elif name == "near_dedup":
             assert set(after) == {i for i, (_, c) in groups(before).items() if i == c}
         elif name == "decontamination":
