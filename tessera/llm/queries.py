@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, language_id, linededup, neardup, pii, quality, rules, secrets, spm
+from . import decontam, html, language_id, linededup, neardup, pii, quality, rules, secrets, spm, turns
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(turns.damage(_read(spark, sf_dir, "conversations")), "dropped")
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
