@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, language_id, lexical, linededup, neardup, pii, quality, rules, secrets, spm, turns
+from . import decontam, html, language_id, lexical, linededup, neardup, passages, pii, quality, rules, secrets, spm, turns
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(turns.damage(_read(spark, sf_dir, "conversations")), "dropped")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(_read(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -66,4 +70,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be written as SQL that runs on whole tables; each is tested against a brute-force version."""
-    return {"op13_lexical_search": lexical.ORACLE_SQL}
+    return {"op12_substring_dedup": passages.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}
