@@ -1101,12 +1101,12 @@ def stream_transitions(x, events):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_methods, queries_studies  # noqa: F401  register their queries
+    from . import queries_methods, queries_models, queries_studies  # noqa: F401  register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_methods, queries_studies  # noqa: F401
+    from . import queries_methods, queries_models, queries_studies  # noqa: F401
 
     return dict(ORACLE)
