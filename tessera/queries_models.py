@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import glm as G
 from .queries import query, r
+from .sources import ranges as R
+from .store import shared_dir
 
 #: Years are runs, suppliers keys, weeks times: the quantity shipped, 0 in a week without.
 WEEK = "least((dayofyear({0})-1)//7, 51)"
@@ -108,3 +112,24 @@ def glm_autoregressive(t):
     names = G.Names(["r"], ["k"], "t", list(p))
     d = G.run_effects(_series(t), _design(t, p, F.lit(1)), names, "y", order=2)
     return d.select("r", "k", r("a1", 2).alias("a1"), r("a2", 2).alias("a2"), r("beta", 4).alias("beta"), r("se", 4).alias("se"), r("t", 3).alias("t"))
+
+
+def _header(key: tuple, shape: tuple) -> dict:
+    box = {"XStart": 0, "XEnd": shape[1], "YStart": 0, "YEnd": shape[2], "ZStart": 0, "ZEnd": shape[3]}
+    return {"FileVersion": 3, "NameOfSourceFMR": "", "NrOfLinkedPRTs": 0, "NrOfCurrentPRT": 0, "DataType": 2, "NrOfVolumes": shape[0], "Resolution": 1, **box, "Convention": 1, "ReferenceSpace": 3, "TR": 2000.0}
+
+
+@query("""
+WITH k AS (SELECT unnest(range(max(l_suppkey)+1)) AS x FROM lineitem), y AS (SELECT DISTINCT year(l_shipdate) AS r FROM lineitem)
+SELECT r, x::INT AS x, count(*) FILTER (l_suppkey IS NOT NULL) > 0 AS shipped, coalesce(sum(l_quantity),0)+0.0 AS quantity FROM y CROSS JOIN k LEFT JOIN lineitem ON year(l_shipdate)=r AND l_suppkey=x AND month(l_shipdate) BETWEEN 4 AND 9 AND l_linenumber<=4 GROUP BY 1,2
+""")
+def volume_ranges(t):
+    """A volume file for each year is written from the table; a box of months and lines is read back by ranges."""
+    d = t("lineitem")
+    cells = d.groupBy(F.year("l_shipdate").alias("r"), (F.month("l_shipdate") - 1).alias("t"), F.col("l_suppkey").alias("x"), (F.col("l_linenumber") - 1).alias("y"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("z"))
+    folder = f"{shared_dir(d.sparkSession)}/tables/volumes-{uuid.uuid4().hex}"
+    shape = (12, int(d.agg(F.max("l_suppkey")).first()[0]) + 1, 7, 3)
+    R.write_cells(cells.agg(F.sum("l_quantity").alias("value")), ["r"], "vtc", _header, shape, folder)
+    box = R.read_cells(d.sparkSession, folder, "vtc", {"t": (3, 9), "y": (0, 4)})
+    year = F.regexp_extract("path", r"(\d+)\.vtc$", 1).cast("int")
+    return box.groupBy(year.alias("r"), "x").agg((F.max("value") > 0).alias("shipped"), F.sum("value").alias("quantity"))

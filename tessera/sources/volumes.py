@@ -143,10 +143,46 @@ LAYOUTS: dict[str, tuple] = {
             ),
         ),
     ),
+    "vmp": (
+        Field("Magic", "u1", lambda h: (4,)),
+        Field("FileVersion", "u2"),
+        Field("DocumentType", "u2"),
+        *(Field(n, "u4") for n in ("NrOfMaps", "NrOfTimePoints", "NrOfMapParameters", "ShowParamsRangeFrom", "ShowParamsRangeTo", "FingerprintParamsRangeFrom", "FingerprintParamsRangeTo")),
+        *(Field(f"{a}{e}", "u4") for a in "XYZ" for e in ("Start", "End")),
+        *(Field(n, "u4") for n in ("Resolution", "VMRDimX", "VMRDimY", "VMRDimZ")),
+        *(Field(n, "text") for n in ("OriginatingVTC", "LinkedPRT", "OptionalVOI")),
+        Repeat(
+            "Map",
+            lambda h: h["NrOfMaps"],
+            (
+                Field("Type", "u4"),
+                Field("LowerThreshold", "f4"),
+                Field("UpperThreshold", "f4"),
+                Field("Name", "text"),
+                *(Field(n, "u1", lambda h: (3,)) for n in ("RGBLowerThreshPos", "RGBUpperThreshPos", "RGBLowerThreshNeg", "RGBUpperThreshNeg")),
+                Field("UseRGBColor", "u1"),
+                Field("LUTName", "text", when=_later(5)),
+                Field("TransColorFactor", "f4"),
+                *(Field(n, k, when=lambda h: h["Type"] == 3) for n, k in (("NrOfLags", "u4"), ("MinLag", "u4"), ("MaxLag", "u4"), ("CCOverlay", "i4"))),
+                Field("ClusterSize", "u4"),
+                Field("EnableClusterCheck", "u1"),
+                *(Field(n, "u4") for n in ("UseValuesAboveThresh", "DF1", "DF2")),
+                Field("ShowPositiveNegativeFlag", "u1"),
+                Field("BonferroniValue", "u4"),
+                Field("NrOfFDRThresholds", "u4"),
+                Field("FDRThresholds", "f4", lambda h: (3, h["NrOfFDRThresholds"]), lambda h: h["NrOfFDRThresholds"] > 0),
+                Field("UnknownValue", "i4"),
+            ),
+        ),
+        Field("TimePointData", "f4", lambda h: (h["NrOfTimePoints"], h["NrOfMaps"]), lambda h: h["NrOfTimePoints"] > 0),
+        Repeat("MapParameter", lambda h: h["NrOfMapParameters"], (Field("Name", "text"),)),
+        Field("MapParameterValues", "f4", lambda h: (h["NrOfMapParameters"], h["NrOfMaps"]), lambda h: h["NrOfMapParameters"] > 0),
+        Field("values", "f4", lambda h: (*_extent(h), h["NrOfMaps"])),
+    ),
 }
 
 #: The axes of ``values``, the one that runs fastest first.
-AXES = {"msk": ("x", "y", "z"), "vtc": ("t", "x", "y", "z"), "mtc": ("t", "vertex"), "ssm": ("vertex",), "tsm": ("vertex",), "srf": ("vertex", "axis"), "smp": ("vertex",)}
+AXES = {"msk": ("x", "y", "z"), "vtc": ("t", "x", "y", "z"), "mtc": ("t", "vertex"), "ssm": ("vertex",), "tsm": ("vertex",), "srf": ("vertex", "axis"), "smp": ("vertex",), "vmp": ("x", "y", "z", "map")}
 PIECE = 1 << 18
 
 
