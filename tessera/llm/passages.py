@@ -18,8 +18,10 @@ which loses nothing:
   contexts meet in one task instead of by broadcast, since the shards grow with
   the corpus; a broadcast of each would send all of them everywhere.
 * An anchor with more than CROWD contexts (a common passage between ever other
-  words) would make a shard of unbounded size.  Its windows are told apart by
-  their own hashes instead, with sums before the shuffle.
+  words) would make a shard of unbounded size.  Its contexts are taken as texts
+  in turn, with longer anchors: the words beside the passage then stand alone
+  and fall away, and what is left has few contexts.  The last anchors are whole
+  windows, which have one context each.
 
 Spans go back to the texts by a join on the document, broadcast only while
 their counted number is small.
@@ -38,9 +40,9 @@ from pyspark.sql import functions as F
 from ._store import dropped, written
 from ._text import Words, few_rows, groups, mix, ngrams
 
-#: Words of a window that goes if it repeats, and of the anchors.
-WINDOW, ANCHOR = 50, 20
-#: Words of a shard; contexts of an anchor beyond which its windows are told apart one by one.
+#: Words of a window that goes if it repeats, and of the anchors, which get longer where they have too many contexts.
+WINDOW, ANCHORS = 50, (20, 35, 45, 50)
+#: Words of a shard; contexts of an anchor beyond which it gets longer.
 SHARD_WORDS, CROWD = 150_000, 1_000
 #: Spans or requests that may be broadcast, 24 bytes each.
 BROADCAST_SPANS = 1_000_000
@@ -69,11 +71,11 @@ def run_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
-def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' windows: text number, anchor, hash of the context, first word and length of the context."""
+def anchors(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' windows: text number, anchor (of ``size`` words), hash of the context, first word and length of the context."""
     n = np.diff(w.off)
-    g, off = ngrams(w.h, w.off, ANCHOR)
-    wide = WINDOW - ANCHOR + 1
+    g, off = ngrams(w.h, w.off, size)
+    wide = WINDOW - size + 1
     none = np.empty(0, np.int64)
     if g.size < wide:
         return none, none.view(np.uint64), none.view(np.uint64), none, none
@@ -83,7 +85,7 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     at = np.unique(least[whole])
     doc = text[at]
     p = at - off[doc]  # the anchor's first word in its text
-    lo, hi = np.maximum(p + ANCHOR - WINDOW, 0), np.minimum(p + WINDOW, n[doc])
+    lo, hi = np.maximum(p + size - WINDOW, 0), np.minimum(p + WINDOW, n[doc])
     return doc, g[at], run_hashes(w.h, w.off[doc] + lo, w.off[doc] + hi), lo, hi - lo
 
 
@@ -180,12 +182,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("v"))
 
 
-def _anchored(texts: DataFrame) -> DataFrame:
+def _anchored(texts: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for b in few_rows(batches):
             texts = b.column(1).to_pylist()
             for begin, end in groups(texts):
-                doc, anchor, context, lo, n = anchors(Words(texts[begin:end], lower=False))
+                doc, anchor, context, lo, n = anchors(Words(texts[begin:end], lower=False), size)
                 of = pa.array(doc + begin)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(2).take(of), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "v", "anchor", "context", "lo", "n"])
 
@@ -229,50 +231,45 @@ def _by_automata(contexts: DataFrame, shards: int) -> DataFrame:
     return contexts.groupBy(F.pmod("anchor", F.lit(shards)).alias("shard")).applyInArrow(run, "anchor long, context long, from int, to int")
 
 
-def _by_windows(contexts: DataFrame) -> DataFrame:
-    """The same for crowded anchors: every window by its own hash, of which the first document counts."""
-
-    def run(batches):
-        for b in few_rows(batches):
-            w = Words(b.column(3).to_pylist(), lower=False)
-            h, off = ngrams(w.h, w.off, WINDOW)
-            of = np.repeat(np.arange(off.size - 1), np.diff(off))
-            at = np.arange(h.size) - off[of]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(of)) for i in range(3)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], ["doc_id", "anchor", "context", "h", "from"])
-
-    w = written(contexts.mapInArrow(run, "doc_id long, anchor long, context long, h long, from int"), "windows")
-    first = w.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return w.join(first, "h").where("first < doc_id").select("anchor", "context", "from", (F.col("from") + WINDOW).alias("to"))
-
-
 def repeated(docs: DataFrame, broadcast: int = BROADCAST_SPANS, shard_words: int = SHARD_WORDS, crowd: int = CROWD) -> tuple[DataFrame, int]:
     """A written table of doc_id, v and spans (word numbers, end exclusive; apart and in order) that stand in a document with a smaller id, and their number."""
-    texts = _texts(docs)
-    every = written(_anchored(texts), "anchors")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
+    found = _repeated(_texts(docs), ANCHORS, broadcast, shard_words, crowd)
+    return found, found.agg(F.sum(F.size("spans"))).first()[0] or 0
+
+
+def _repeated(texts: DataFrame, sizes: tuple, broadcast: int, shard_words: int, crowd: int) -> DataFrame:
+    """doc_id, v and spans of texts (doc_id, text and v), by anchors of the first of ``sizes``; a written table."""
+    every = written(_anchored(texts, sizes[0]), "anchors")
+    shared = written(every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor"), "shared")
     met = written(every.join(shared, "anchor", "left_semi"), "met")
-    dropped(every)
+    for t in (every, shared):
+        dropped(t)
     # one row a context: where its first document has it
     place = F.min(F.struct("doc_id", "v", "lo", "n"))
     contexts = written(met.groupBy("anchor", "context").agg(place.alias("p")).select("anchor", "context", "p.*"), "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("n").alias("words")).where("k > 1")
-    several = written(several, "several")
+    several = written(contexts.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("n").alias("words")).where("k > 1"), "several")
     words = several.where(F.col("k") <= crowd).agg(F.sum("words")).first()[0] or 0
     wanted = contexts.join(several.select("anchor", "k"), "anchor")
     seen = _by_automata(_words_of(texts, wanted.where(F.col("k") <= crowd), broadcast), max(1, -(-words // shard_words)))
-    if not several.where(F.col("k") > crowd).isEmpty():
-        seen = seen.unionByName(_by_windows(_words_of(texts, wanted.where(F.col("k") > crowd), broadcast)))
+    used = [met, contexts, several]
+    if len(sizes) > 1 and not several.where(F.col("k") > crowd).isEmpty():
+        long = _words_of(texts, wanted.where(F.col("k") > crowd), broadcast).withColumnRenamed("words", "text")
+        long = written(long.withColumn("v", F.xxhash64("anchor", "context")), "crowded")
+        inner = _repeated(long.select("doc_id", "text", "v"), sizes[1:], broadcast, shard_words, crowd)
+        inner = inner.select("doc_id", "v", F.inline("spans")).join(long.select("doc_id", "v", "anchor", "context"), ["doc_id", "v"])
+        seen = seen.unionByName(inner.select("anchor", "context", "from", "to"))
+        used.append(long)
     seen = written(seen, "seen")
     lists = seen.groupBy("anchor", "context").agg(F.collect_list(F.struct("from", "to")).alias("s"))
-    firsts = contexts.select("anchor", "context", F.col("doc_id").alias("first")).join(lists, ["anchor", "context"], "left")
+    firsts = written(contexts.select("anchor", "context", F.col("doc_id").alias("first")).join(lists, ["anchor", "context"], "left"), "firsts")
     own = F.coalesce("s", F.array().cast("array<struct<from:int,to:int>>"))
     all_of_it = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))
     marks = met.join(firsts, ["anchor", "context"]).select("doc_id", "v", "lo", F.explode(F.when(F.col("doc_id") > F.col("first"), all_of_it).otherwise(own)).alias("m"))
     marks = marks.select("doc_id", "v", (F.col("lo") + F.col("m.from")).alias("from"), (F.col("lo") + F.col("m.to")).alias("to"))
     merged = written(_merged(marks), "spans")
-    for t in (met, contexts, several, seen):
+    for t in (*used, seen, firsts):
         dropped(t)
-    return merged, merged.agg(F.sum(F.size("spans"))).first()[0] or 0
+    return merged
 
 
 def _merged(marks: DataFrame) -> DataFrame:
