@@ -13,9 +13,7 @@ one has up to 13 words can differ by one edit: of their four blocks two stay
 whole, and they meet on pairs of blocks; up to 19 words, by two edits, of five
 blocks one stays whole: none of these is missed.  Longer lines have so many blocks
 that three words or four belong to each, of which the most edits allowed leave
-three in ten whole, and up to ``KEYED`` blocks with two words of ``TELLING`` bytes or
-more are keys (short words alone are too common to tell lines apart); fewer
-edits leave more.  A line of fewer than six words
+three in ten whole, and up to ``KEYED`` blocks are keys; fewer edits leave more.  A line of fewer than six words
 resembles no other, since one edit is too much.  Pairs that meet are compared if
 their SimHashes of all distinct words differ in at most ``RADIUS`` of 64 bits, which
 three edits in twenty hardly ever exceed; members of a crowded block, all of which
@@ -49,8 +47,6 @@ RADIUS = 18
 SIMILARITY = 0.85
 #: Blocks of a long line that are keys: the most edits allowed leave one of them whole with probability 0.95.
 KEYED = 11
-#: Bytes from which a word counts as one that few lines have.
-TELLING = 5
 WINDOW = 8  # members of a key that are compared exhaustively in passing; beyond that with the pivot first
 BLOCK = 1024
 SIMS = ("sim", "sim1", "sim2", "sim3")
@@ -91,7 +87,7 @@ def _distinct(v: np.ndarray) -> np.ndarray:
     return v[np.append(True, v[1:] != v[:-1])[: v.size]]
 
 
-def _fingerprints(h: np.ndarray, n_words: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def _fingerprints(h: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """For each line, the four words of the SimHash of its distinct words, and six bytes for each of its keys: equal blocks of the schemes for its own length and for the longest line that can resemble it."""
     ends = np.concatenate([[0], np.cumsum(n_words)])
     first = np.array([x[0] for x in SCHEMES])
@@ -102,8 +98,7 @@ def _fingerprints(h: np.ndarray, n_words: np.ndarray, telling: np.ndarray) -> tu
         n = n_words[a : a + LINES]
         line = np.repeat(np.arange(n.size, dtype=np.uint64), n)
         own = slice(ends[a], ends[a + n.size])
-        v = (h[own] >> np.uint64(18)) & ~np.uint64(1) | telling[own].astype(np.uint64)  # the last bit says whether a word is telling
-        v = _distinct((line << np.uint64(46)) | v)  # by line, then word hash, which names the block: blocks lie together
+        v = _distinct((line << np.uint64(46)) | (h[own] >> np.uint64(18)))  # by line, then word hash, which names the block: blocks lie together
         line, top = (v >> np.uint64(46)).astype(np.int64), (v >> np.uint64(22)) & np.uint64((1 << 24) - 1)
         word = mix(v & np.uint64((1 << 46) - 1))
         off = np.append(np.flatnonzero(np.diff(line, prepend=-1)), v.size)
@@ -119,11 +114,10 @@ def _fingerprints(h: np.ndarray, n_words: np.ndarray, telling: np.ndarray) -> tu
                 continue
             at, block, to = at[mine], block[mine].astype(np.int64), line[mine]
             begin = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-            told = np.add.reduceat((v[mine] & np.uint64(1)).astype(np.int64), begin)
             sim = simhash(word[mine], np.append(begin, mine.size))
             at, block, to = at[begin], block[begin], to[begin]
             key = mix(sim ^ mix((block + (at << 10) + 1).astype(np.uint64)))
-            one = np.flatnonzero(~np.isin(at, pairs) & ((first[at] < 20) | (told > 1)))
+            one = np.flatnonzero(~np.isin(at, pairs))
             rank = np.arange(one.size) - np.searchsorted(to[one], to[one])
             one = one[rank < KEYED]
             found.append((to[one], key[one]))
@@ -145,7 +139,7 @@ def _lower(texts: list) -> list:
 
 
 def _lines_of(texts: list):
-    """For a group of lower-cased texts: text number, line number, class hash, characters and words of every line with a word, the hashes of the words, and whether each is telling."""
+    """For a group of lower-cased texts: text number, line number, class hash, characters and words of every line with a word, and the hashes of the words."""
     w = Words(texts, lower=False)
     a = np.frombuffer(w.buf, np.uint8)
     nl = np.flatnonzero(a == 10)  # also ends each text
@@ -162,7 +156,7 @@ def _lines_of(texts: list):
     n_chars = np.add.reduceat(chars[w.end] - chars[w.start], first) + n_words - 1
     doc = np.searchsorted(w.doc_at, w.start[first], "right") - 1
     number = line[first] - np.searchsorted(nl, w.doc_at[doc])
-    return doc, number, h, n_chars, n_words, w.h, w.end - w.start >= TELLING
+    return doc, number, h, n_chars, n_words, w.h
 
 
 def _lines(batches):
@@ -173,9 +167,9 @@ def _lines(batches):
                 found = _lines_of(_lower(texts[x:y]))
                 if found is None:
                     continue
-                doc, number, h, n_chars, n_words, words, telling = found
+                doc, number, h, n_chars, n_words, words = found
                 keep = n_chars >= MIN_CHARS
-                sim, blocks = _fingerprints(words, n_words, telling)
+                sim, blocks = _fingerprints(words, n_words)
                 blocks = blocks.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(x, y - x).take(pa.array(doc[keep])), pa.array(number[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), *(pa.array(x) for x in sim[keep].view(np.int64).T.copy()), pa.array(n_chars[keep].astype(np.int32)), pa.array(n_words[keep].astype(np.int32)), blocks],
@@ -345,7 +339,7 @@ def _line_words(batches):
                 found = _lines_of(texts[x:y])
                 if found is None:
                     continue
-                doc, number, h, _, n_words, words, _ = found
+                doc, number, h, _, n_words, words = found
                 off = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array((words >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([ids.slice(x, y - x).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), lists], names=["doc_id", "line_no", "h", "words"])

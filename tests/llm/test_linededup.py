@@ -146,3 +146,30 @@ def test_lines_within_the_similarity_are_found(spark):
     assert gone <= set(found)
     by_n = {n: [i in gone for i, m in found.items() if m == n] for n in set(found.values())}
     assert all(sum(v) >= 0.95 * len(v) for v in by_n.values()), {n: sum(v) / len(v) for n, v in by_n.items()}
+
+
+def test_lines_of_short_words_and_other_scripts_are_found(spark):
+    """The same for words of one to four letters, two bytes a letter, or from a small vocabulary."""
+    rng = random.Random(3)
+    kinds = {
+        "short": [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("", *"aeiou", "an", "is", "or")],
+        "cyrillic": [f"{a}{b}{c}" for a in "бвгдклмнпрст" for b in "аеио" for c in ("", *"бкмнт")],
+    }
+    rows, found = [], {}
+    for kind, words in kinds.items():
+        for n in (20, 25, 29, 30, 44, 45, 70, 100):
+            for _ in range(40):
+                a = [rng.choice(words) for _ in range(n)]
+                b = list(a)
+                for _ in range(rng.choice((1, L.most_edits(n)))):
+                    b[rng.randrange(n)] = rng.choice(words)
+                if a != b:
+                    i = len(rows)
+                    rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+                    found[i + 1] = kind
+    rows += [(10_000 + i, " ".join(["na"] * (30 + i) + [f"x{i}"])) for i in range(4)]  # one repeated word
+    gone = {r.doc_id for r in L.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed}
+    assert gone - set(found) == {10_001, 10_002, 10_003}
+    for kind in kinds:
+        hits = [i in gone for i, k in found.items() if k == kind]
+        assert sum(hits) >= 0.95 * len(hits), (kind, sum(hits) / len(hits))
