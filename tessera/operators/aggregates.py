@@ -84,6 +84,15 @@ def kurtosis(x: Col, corrected: bool = False) -> Column:
     return F.try_divide(((n + 1) * k - 3 * (n - 1)) * (n - 1), (n - 2) * (n - 3)) + 3 if corrected else k
 
 
+def shape(df: DataFrame, by: list[str], x: Col) -> DataFrame:
+    """by, skew, kurtosis and both corrected.  Good values are a column of their own before the aggregates: inside of them their test makes code too long to be compiled."""
+    s = df.select(*by, good(x).alias("_x")).groupBy(*by).agg(F.skewness("_x").alias("skew"), (F.kurtosis("_x") + 3).alias("kurtosis"), F.count("_x").alias("_n"))
+    n, k = F.col("_n"), F.col("kurtosis")
+    skewed = F.col("skew") * F.sqrt(F.try_divide(n - 1, n)) * F.try_divide(n, n - 2)
+    peaked = F.try_divide(((n + 1) * k - 3 * (n - 1)) * (n - 1), (n - 2) * (n - 3)) + 3
+    return s.select(*by, "skew", "kurtosis", skewed.alias("skew_corrected"), peaked.alias("kurtosis_corrected"))
+
+
 def min_max_mean(df: DataFrame, by: list[str], x: str, pos: str) -> DataFrame:
     """Extremes, their first positions, mean and variance in one pass."""
     g = good(x)
@@ -101,9 +110,11 @@ def ties(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 def spatial_entropy(df: DataFrame, by: list[str], x: str, bins: int | None = None) -> DataFrame:
     """sum p log2 p over equal bins between the extremes (at most 0); max(3, n/100) bins unless given."""
+    from .windows import joined_groups
+
     ends = df.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
     nb = F.lit(bins).cast("long") if bins else F.greatest(F.lit(3).cast("long"), F.round(F.col("n") / 100).cast("long"))
-    j = df.where(F.col(x).isNotNull()).join(ends, by) if by else df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(ends))
+    j = joined_groups(df.where(F.col(x).isNotNull()), ends, by)
     b = F.least(nb - 1, F.floor(F.coalesce(F.try_divide(F.col(x) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * nb))
     c = j.groupBy(*by, "n", b.alias("b")).agg(F.count("*").alias("c"))
     p = F.col("c") / F.col("n")
@@ -121,23 +132,32 @@ def leave_one_out(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return d.withColumn("loo_mean", F.when(n > 0, mean)).withColumn("loo_variance", F.try_divide(F.greatest(rest, F.lit(0.0)), n - 1)).drop("_n", "_m", "_v")
 
 
-TALLY = ("n", "s", "ss", "w", "w2", "ws", "wss", "w2s", "w2ss")
+#: Sums of a tally: scores count from ``about``, a point near their mean, so that an offset of all scores costs no digits.
+TALLY = ("n", "w", "w2", "ws", "wss", "w2s", "w2ss")
 
 
-def tally(df: DataFrame, by: list[str], score: Col, weight: Col) -> DataFrame:
-    """Mergeable weighted sums: the state of a weighted mean and variance."""
-    s, w = good(score), good(weight)
-    ok = s.isNotNull() & w.isNotNull()
-    s, w = F.when(ok, s), F.when(ok, w)
-    return df.groupBy(*by).agg(
-        F.count(s).alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("ss"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"),
-        F.sum(w * s).alias("ws"), F.sum(w * s * s).alias("wss"), F.sum(w * w * s).alias("w2s"), F.sum(w * w * s * s).alias("w2ss"),
-    )
+def _tally_sums(s: Column, w: Column) -> list[Column]:
+    return [F.count(s).alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * s).alias("ws"), F.sum(w * s * s).alias("wss"), F.sum(w * w * s).alias("w2s"), F.sum(w * w * s * s).alias("w2ss")]
+
+
+def tally(df: DataFrame, by: list[str], score: Col, weight: Col, about: float | None = None) -> DataFrame:
+    """Mergeable weighted sums about the group's plain mean (or about a given point, which one pass or a stream needs): the state of a weighted mean and variance."""
+    from .windows import beside
+
+    ok = good(score).isNotNull() & good(weight).isNotNull()
+    d = df.select(*by, F.when(ok, good(score)).alias("_s"), F.when(ok, good(weight)).alias("_w"))
+    d = d.withColumn("about", F.lit(float(about))) if about is not None else beside(d, by, about=F.coalesce(F.avg("_s"), F.lit(0.0)))
+    return d.groupBy(*by).agg(F.first("about").alias("about"), *_tally_sums(F.col("_s") - F.col("about"), F.col("_w")))
 
 
 def merge_tallies(df: DataFrame, by: list[str]) -> DataFrame:
-    """Tallies of parts as the tally of the whole."""
-    return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in TALLY])
+    """Tallies of parts as the tally of the whole: each part's sums move to a common point first."""
+    from .windows import beside
+
+    d = beside(df, by, _c=F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("about")), F.sum("n")), F.lit(0.0)))
+    k = F.col("about") - F.col("_c")
+    moved = {"ws": F.col("ws") + k * F.col("w"), "wss": F.col("wss") + 2 * k * F.col("ws") + k * k * F.col("w"), "w2s": F.col("w2s") + k * F.col("w2"), "w2ss": F.col("w2ss") + 2 * k * F.col("w2s") + k * k * F.col("w2")}
+    return d.groupBy(*by).agg(F.first("_c").alias("about"), *[F.sum(moved.get(c, F.col(c))).alias(c) for c in TALLY])
 
 
 def tally_statistics(t: DataFrame) -> DataFrame:
@@ -148,7 +168,7 @@ def tally_statistics(t: DataFrame) -> DataFrame:
     # sum over rows of (w s - mean w)^2, from the sums
     spread = F.col("w2ss") - 2 * mean * F.col("w2s") + mean * mean * w2
     se = F.sqrt(F.try_divide(n, (n - 1) * w * w) * F.greatest(spread, F.lit(0.0)))
-    return t.withColumn("mean", mean).withColumn("variance", variance).withColumn("se", se).withColumn("df", F.try_divide(w * w, w2) - 1)
+    return t.withColumn("mean", F.col("about") + mean).withColumn("variance", variance).withColumn("se", se).withColumn("df", F.try_divide(w * w, w2) - 1)
 
 
 def orthogonality(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,10 +195,12 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def otsu_threshold(df: DataFrame, x: str, bins: int = 256) -> DataFrame:
-    """The bin edge that splits the values into two classes of the least summed variance, over a fixed number of bins."""
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    b = F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    h = df.crossJoin(F.broadcast(ends)).groupBy(b.alias("b"), "lo", "hi").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("ss"))
+    """The bin edge that splits the values into two classes of the least summed variance, over a fixed number of bins; the value itself if there is only one."""
+    d = df.select(F.col(x).alias("_x")).where("_x is not null")
+    ends = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    v = F.col("_x") - F.col("lo")  # from the least value, so that an offset costs no digits
+    b = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(v, F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)).cast("int")
+    h = d.crossJoin(F.broadcast(ends)).groupBy(b.alias("b"), "lo", "hi").agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
     up = Window.partitionBy("lo").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("lo").orderBy("b").rowsBetween(1, Window.unboundedFollowing)
 
@@ -190,35 +212,6 @@ def otsu_threshold(df: DataFrame, x: str, bins: int = 256) -> DataFrame:
     return scored.agg(F.min(F.struct("cost", "edge")).alias("m")).select(F.col("m.edge").alias("threshold"))
 
 
-def _bisquare_mean(x: np.ndarray, tune: float = 4.685, most: int = 50) -> float:
-    x = x[np.isfinite(x)]
-    if not x.size:
-        return 0.0
-    m = float(np.median(x))
-    for _ in range(most):
-        r = x - m
-        scale = np.median(np.abs(r)) / 0.6745
-        if scale == 0:
-            return m
-        w = np.clip(1 - (r / (tune * scale)) ** 2, 0, None) ** 2
-        new = float((w * x).sum() / w.sum())
-        if abs(new - m) < 1e-10 * max(1.0, abs(m)):
-            return new
-        m = new
-    return m
-
-
-def robust_mean(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """A bisquare-weighted mean of each group, iterated inside the group."""
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", robust_mean double, n long"
-
-    def run(key, pdf):
-        v = pdf[x].to_numpy(float)
-        return pd.DataFrame([[*key, _bisquare_mean(v), int(np.isfinite(v).sum())]], columns=[*by, "robust_mean", "n"])
-
-    return df.select(*by, F.col(x).cast("double").alias(x)).groupBy(*by).applyInPandas(run, schema)
-
-
 def bounding_box(df: DataFrame, by: list[str], axes: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))])
 

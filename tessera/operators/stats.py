@@ -210,18 +210,25 @@ def krippendorff_alpha(df: DataFrame, by: list[str], unit: str, value: str) -> D
 
 
 def intraclass_correlation(df: DataFrame, target: str, rater: str, x: str) -> DataFrame:
-    """icc1, icc2 and icc3 (single rater) of a full target by rater table, from two-way sums of squares."""
-    t = df.groupBy(target).agg(F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("ss"), F.count(x).alias("k"))
-    rows = t.agg(F.count("*").alias("n"), F.avg("k").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("st"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    cols = df.groupBy(rater).agg(F.sum(x).alias("s"), F.count(x).alias("c")).agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("sr"))
+    """icc1, icc2 and icc3 (single rater) and n_targets of a target by rater table, from two-way sums of squares about the grand mean.
+
+    Several values of a target by one rater count as their mean; targets that
+    not every rater has rated are left out; null where there is no variance.
+    """
+    cells = df.where(F.col(x).isNotNull()).groupBy(target, rater).agg(F.avg(x).alias("_x"))
+    every = cells.select(rater).distinct().agg(F.count("*").alias("_k"))
+    full = cells.groupBy(target).agg(F.count("*").alias("_c")).crossJoin(F.broadcast(every)).where("_c = _k").select(target, "_k")
+    cells = cells.join(full, target)
+    cells = cells.crossJoin(F.broadcast(cells.agg(F.avg("_x").alias("_g")))).select(target, rater, "_k", (F.col("_x") - F.col("_g")).alias("_x"))
+    t = cells.groupBy(target).agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("ss"), F.first("_k").alias("k"))
+    rows = t.agg(F.count("*").alias("n"), F.first("k").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("st"), F.sum("ss").alias("ss"))
+    cols = cells.groupBy(rater).agg(F.sum("_x").alias("s"), F.count("*").alias("c")).agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("sr"))
     r = rows.crossJoin(F.broadcast(cols))
-    n, k = F.col("n"), F.col("k")
-    correction = F.col("s") * F.col("s") / (n * k)
-    bms = (F.col("st") - correction) / (n - 1)
-    wms = (F.col("ss") - F.col("st")) / (n * (k - 1))
-    jms = (F.col("sr") - correction) / (k - 1)
-    ems = (F.col("ss") - F.col("st") - (F.col("sr") - correction)) / ((n - 1) * (k - 1))
-    return r.select(((bms - wms) / (bms + (k - 1) * wms)).alias("icc1"), ((bms - ems) / (bms + (k - 1) * ems + k * (jms - ems) / n)).alias("icc2"), ((bms - ems) / (bms + (k - 1) * ems)).alias("icc3"), n.alias("n_targets"))
+    n, k, st, ss, sr = (F.col(c) for c in ("n", "k", "st", "ss", "sr"))  # sums about the grand mean need no correction
+    bms, wms, jms = F.try_divide(st, n - 1), F.try_divide(ss - st, n * (k - 1)), F.try_divide(sr, k - 1)
+    ems = F.try_divide(ss - st - sr, (n - 1) * (k - 1))
+    icc = lambda a, b: F.try_divide(a, b)
+    return r.select(icc(bms - wms, bms + (k - 1) * wms).alias("icc1"), icc(bms - ems, bms + (k - 1) * ems + k * (jms - ems) / n).alias("icc2"), icc(bms - ems, bms + (k - 1) * ems).alias("icc3"), n.alias("n_targets"))
 
 
 def one_way_anova(df: DataFrame, by: list[str], factor: str, x: str) -> DataFrame:
@@ -312,41 +319,6 @@ def sign_permutation(df: DataFrame, by: list[str], key: str, x: str, samples: in
     return j.groupBy(*by).agg((F.count_if(reached) / F.count("*")).alias("p"))
 
 
-def robust_regression(df: DataFrame, by: list[str], y: str, xs: list[str], tune: float = 4.685, most: int = 50) -> DataFrame:
-    """Bisquare iteratively reweighted least squares of each group's series: betas (intercept last), scale and mean weight."""
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", betas array<double>, scale double, mean_weight double, n long"
-
-    def fit(key, pdf):
-        X = np.column_stack([pdf[x].to_numpy(float) for x in xs] + [np.ones(len(pdf))])
-        v = pdf[y].to_numpy(float)
-        ok = np.isfinite(v) & np.isfinite(X).all(axis=1)
-        X, v = X[ok], v[ok]
-        n, p = X.shape
-        if n <= p:
-            return pd.DataFrame([[*key, [0.0] * p, 0.0, 0.0, n]], columns=[*by, "betas", "scale", "mean_weight", "n"])
-        q = np.linalg.qr(X)[0]
-        lever = np.sqrt(1 - np.minimum(0.9999, (q * q).sum(axis=1)))
-        b = np.linalg.lstsq(X, v, rcond=None)[0]
-        w = np.ones(n)
-        scale = 0.0
-        for _ in range(most):
-            res = (v - X @ b) / lever
-            scale = np.sort(np.abs(res))[p:]
-            scale = float(np.median(scale)) / 0.6745 if scale.size else 0.0
-            if scale < 1e-12 * max(1.0, float(np.std(v))):
-                break
-            w = np.clip(1 - (res / (tune * scale)) ** 2, 0, None) ** 2
-            s = np.sqrt(w)[:, None]
-            new = np.linalg.lstsq(X * s, v * s[:, 0], rcond=None)[0]
-            done = np.all(np.abs(new - b) <= 1e-8 * np.maximum(np.abs(new), np.abs(b)))
-            b = new
-            if done:
-                break
-        return pd.DataFrame([[*key, b.tolist(), scale, float(w.mean()), n]], columns=[*by, "betas", "scale", "mean_weight", "n"])
-
-    return df.select(*by, *dict.fromkeys([y, *xs])).groupBy(*by).applyInPandas(fit, schema)
-
-
 def whitened_regression(df: DataFrame, by: list[str], t: list[str], y: str, x: str) -> DataFrame:
     """AR(1) least squares: the residuals' lag-1 correlation, rounded to 0.05, whitens both sides, and the line is fitted anew."""
     w = Window.partitionBy(*by)

@@ -13,6 +13,7 @@ from .operators import aggregates as A
 from .operators import clusters as C
 from .operators import events as E
 from .operators import joins as J
+from .operators import robust as B
 from .operators import sets as Z
 from .operators import stats as M
 from .operators import vectors as V
@@ -124,7 +125,7 @@ SELECT g AS l_returnflag, round(m3/m2^1.5,6)+0.0 AS skew, round(m4/m2^2,6)+0.0 A
 round(((n+1)*(m4/m2^2)-3*(n-1))*(n-1)/((n-2)*(n-3))+3,6)+0.0 AS kurtosis_corrected FROM p
 """)
 def shape_moments(t):
-    return rounded(t("lineitem").groupBy("l_returnflag").agg(A.skew("l_extendedprice").alias("skew"), A.kurtosis("l_extendedprice").alias("kurtosis"), A.skew("l_extendedprice", True).alias("skew_corrected"), A.kurtosis("l_extendedprice", True).alias("kurtosis_corrected")))
+    return rounded(A.shape(t("lineitem"), ["l_returnflag"], "l_extendedprice"))
 
 
 @query("""
@@ -199,7 +200,7 @@ def otsu_threshold(t):
 
 @query()
 def robust_mean(t):
-    return A.robust_mean(t("lineitem"), ["l_suppkey"], "l_extendedprice")
+    return B.robust_mean(t("lineitem"), ["l_suppkey"], "l_extendedprice")
 
 
 @query("SELECT p_brand, min(p_size) AS min_p_size, max(p_size) AS max_p_size, min(p_retailprice) AS min_p_retailprice, max(p_retailprice) AS max_p_retailprice FROM part GROUP BY 1")
@@ -841,7 +842,7 @@ def sign_permutation(t):
 
 @query()
 def robust_regression(t):
-    return M.robust_regression(t("lineitem"), ["l_suppkey"], "l_extendedprice", ["l_quantity"])
+    return B.robust_regression(t("lineitem"), ["l_suppkey"], "l_extendedprice", ["l_quantity"])
 
 
 @query(f"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import glm as G
+from .operators import robust as B
 from .queries import query, r
 from .sources import ranges as R
 from .store import shared_dir
@@ -133,3 +134,10 @@ def volume_ranges(t):
     box = R.read_cells(d.sparkSession, folder, "vtc", {"t": (3, 9), "y": (0, 4)})
     year = F.regexp_extract("path", r"(\d+)\.vtc$", 1).cast("int")
     return box.groupBy(year.alias("r"), "x").agg((F.max("value") > 0).alias("shipped"), F.sum("value").alias("quantity"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(median(l_extendedprice),6)+0.0 AS median, count(*) AS n FROM lineitem GROUP BY 1,2")
+def exact_medians(t):
+    """Groups of any size: their medians by narrowing histograms."""
+    d = B.medians(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", gather=1_000)
+    return d.select("l_returnflag", "l_linestatus", r("median").alias("median"), "n")

@@ -21,9 +21,9 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def running_tally(stream: DataFrame, by: list[str], score: str, weight: str) -> DataFrame:
-    """The weighted tally of a stream so far: mergeable sums as state, statistics on top."""
-    return tally_statistics(tally(stream, by, score, weight))
+def running_tally(stream: DataFrame, by: list[str], score: str, weight: str, about: float = 0.0) -> DataFrame:
+    """The weighted tally of a stream so far: mergeable sums as state, statistics on top.  The sums count from ``about``; scores far from 0 need a point near them, or digits are lost."""
+    return tally_statistics(tally(stream, by, score, weight, about))
 
 
 def tumbling(stream: DataFrame, by: list[str], width: str, late: str, x: str = "value") -> DataFrame:

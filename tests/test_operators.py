@@ -15,6 +15,7 @@ from tessera.operators import clusters as C
 from tessera.operators import events as E
 from tessera.operators import filters as X
 from tessera.operators import joins as J
+from tessera.operators import robust as R
 from tessera.operators import sets as Z
 from tessera.operators import stats as M
 from tessera.operators import vectors as V
@@ -140,7 +141,7 @@ def test_regression_matches_numpy(spark):
 
 def test_robust_regression_resists_an_outlier(spark):
     rows = [(1, float(i), 2.0 * i + 1 + 0.01 * (i % 3)) for i in range(30)] + [(1, 30.0, 900.0)]
-    r = one(M.robust_regression(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "y", ["x"]))
+    r = one(R.robust_regression(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "y", ["x"]))
     assert r.betas[0] == pytest.approx(2, abs=0.01)
 
 
