@@ -6,10 +6,13 @@ series bounds a task.  What needs none is an aggregate joined back (``beside``).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import drawn, good
+from ..store import written
 
 
 def beside(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
@@ -45,15 +48,31 @@ def percent_change(df: DataFrame, by: list[str], x: str, base: Column | None = N
     return d.withColumn(out, F.coalesce(good(F.try_divide(100 * F.col(x), F.col("_m"))), F.lit(0.0))).drop("_m")
 
 
+def value_ranks(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by, each different value of ``x`` (bad ones are null), its number ``c`` of rows, how many rows of the group have less (``before``; nulls come last), and the group's rows ``n``.
+
+    Values are counted first.  Their order is one of ranges: each partition has
+    a range of values and ranks its own, and the sums of the partitions before
+    it are added, so a group of any size is ordered by many tasks.
+    """
+    v = df.select(*by, good(x).alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("c"))
+    order = [*[F.col(c).asc_nulls_first() for c in by], F.col("_v").asc_nulls_last()]
+    v = written(v.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "values")
+    parts = v.groupBy(*by, "_p").agg(F.sum("c").alias("_s"))
+    upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy(*by)).alias("n"))
+    own = Window.partitionBy(*by, "_p").orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("_own", F.coalesce(F.sum("c").over(own), F.lit(0)))
+    return joined_groups(v, parts, [*by, "_p"]).select(*by, "_v", "c", (F.col("_b") + F.col("_own")).alias("before"), "n")
+
+
 def rank_transform(df: DataFrame, by: list[str], x: str, centred: bool = False, out: str = "rank") -> DataFrame:
     """Mean ranks from 1; bad values rank last."""
-    g = good(x)
-    order = Window.partitionBy(*by).orderBy(g.asc_nulls_last())
-    same = Window.partitionBy(*by, g)
-    r = F.rank().over(order) + (F.count("*").over(same) - 1) / 2
+    r = F.col("before") + (F.col("c") + 1) / 2
     if centred:
-        r = r - (F.count("*").over(Window.partitionBy(*by)) + 1) / 2
-    return df.withColumn(out, r)
+        r = r - (F.col("n") + 1) / 2
+    ranks = value_ranks(df, by, x).select(*by, "_v", r.alias("_rank"))
+    return joined_groups(df.withColumn("_v", good(x)), ranks, [*by, "_v"]).withColumn(out, F.col("_rank")).drop("_v", "_rank")
 
 
 def linear_scale(df: DataFrame, by: list[str], x: str, high: float = 1.0, low: float = 0.0, out: str = "scaled") -> DataFrame:
@@ -151,16 +170,105 @@ def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     return out.select(*by, F.try_divide(F.col("wins"), F.col("p") * F.col("q")).alias("auc"), F.col("p").alias("n_pos"), F.col("q").alias("n_neg"))
 
 
-def kendall_tau(df: DataFrame, by: list[str], pos: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau over the pairs untied in both, 0 if there is none; all pairs within a group, so for short series."""
-    a = df.select(*by, F.col(pos).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y")).alias("a")
-    b = df.select(*by, F.col(pos).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y")).alias("b")
-    on = F.col("a._i") < F.col("b._i")
+def _inversions(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> int:
+    """Pairs of points (counted ``c`` times) of which one has less x and more y."""
+    order = np.lexsort((y, x))
+    y, c = y[order], c[order]
+
+    def count(lo: int, hi: int) -> tuple[int, np.ndarray, np.ndarray]:
+        if hi - lo <= 64:
+            above = np.triu(y[lo:hi, None] > y[None, lo:hi], 1)
+            mine = np.argsort(y[lo:hi], kind="stable")
+            return int(c[lo:hi] @ above @ c[lo:hi]), y[lo:hi][mine], c[lo:hi][mine]
+        mid = (lo + hi) // 2
+        (a, ly, lc), (b, ry, rc) = count(lo, mid), count(mid, hi)
+        sums = np.concatenate([[0], np.cumsum(lc)])
+        across = int(((sums[-1] - sums[np.searchsorted(ly, ry, "right")]) * rc).sum())
+        both, bc = np.concatenate([ly, ry]), np.concatenate([lc, rc])
+        mine = np.argsort(both, kind="stable")
+        return a + b + across, both[mine], bc[mine]
+
+    return count(0, y.size)[0] if y.size else 0
+
+
+def kendall_counts(df: DataFrame, by: list[str], x: str, y: str, bucket: int = 1024) -> DataFrame:
+    """by, n, pairs untied in both columns, and the discordant ones among them, in n log n steps; rows with a bad value are left out.
+
+    Points fall into buckets of about the square root of a group's rows (``bucket`` at
+    least) by rank in x and in y; a value with more rows is a bucket of its own.
+    Discordant pairs in one bucket of x, and those in one bucket of y but
+    different ones of x, are counted inside these buckets; the others are
+    products of bucket counts with two-dimensional prefix sums.  So a group is
+    split over many tasks, none of which sees more than a bucket's points.  In
+    groups of up to a quarter of ``bucket`` rows, points are compared in pairs.
+    """
+    d = df.select(*by, good(x).alias("_x"), good(y).alias("_y")).where("_x is not null and _y is not null")
+    points = written(d.groupBy(*by, "_x", "_y").agg(F.count("*").alias("_c")), "points")
+    sizes = written(points.groupBy(*by).agg(F.sum("_c").alias("n")), "sizes")
+    few = joined_groups(points, sizes.where(F.col("n") <= bucket // 4).select(*by), by)
+    a, b = few.alias("a"), few.alias("b")
+    on = (F.col("a._x") < F.col("b._x")) & (F.col("a._y") > F.col("b._y"))
     for c in by:
-        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    s = F.signum(F.col("a._x") - F.col("b._x")) * F.signum(F.col("a._y") - F.col("b._y"))
-    p = a.join(b, on).select(*[F.col(f"a.{c}").alias(c) for c in by], s.alias("s"))
-    return p.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("s"), F.count_if(F.col("s") != 0)), F.lit(0.0)).alias("tau"))
+        on &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    found = a.join(b, on).groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.sum(F.col("a._c") * F.col("b._c")).alias("discordant"))
+    large = sizes.where(F.col("n") > bucket // 4)
+    if not large.isEmpty():
+        found = found.unionByName(_by_buckets(joined_groups(points, large.select(*by), by), joined_groups(d, large.select(*by), by), by, bucket))
+    pairs = lambda c: F.expr(f"sum({c} * ({c} - 1) div 2)")
+    both = points.groupBy(*by).agg(F.sum("_c").alias("n"), pairs("_c").alias("_xy"))
+    for a in "xy":
+        ties = points.groupBy(*by, f"_{a}").agg(F.sum("_c").alias("_t")).groupBy(*by).agg(pairs("_t").alias(f"_ties_{a}"))
+        both = joined_groups(both, ties, by)
+    untied = F.expr("n * (n - 1) div 2") - F.col("_ties_x") - F.col("_ties_y") + F.col("_xy")
+    return joined_left(both, found, by).select(*by, "n", untied.alias("pairs"), F.coalesce("discordant", F.lit(0)).alias("discordant"))
+
+
+def _by_buckets(points: DataFrame, d: DataFrame, by: list[str], bucket: int) -> DataFrame:
+    """by and discordant pairs of large groups."""
+    for a in "xy":
+        wide = F.greatest(F.lit(bucket), F.ceil(F.sqrt("n")))
+        # a value of more rows than a bucket is the last that begins in its stretch, and comes behind the others there
+        v = value_ranks(d, by, f"_{a}").select(*by, F.col("_v").alias(f"_{a}"), F.col("n").alias(f"_n{a}"), F.col("c").alias(f"_t{a}"), (2 * F.floor(F.col("before") / wide) + (F.col("c") > wide).cast("int")).alias(f"_b{a}"), (F.col("c") > wide).alias(f"_one{a}"))
+        points = joined_groups(points, v, [*by, f"_{a}"])
+    points = written(points, "points")
+    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "") + "d long"
+
+    def within(first: str):
+        def run(key, pdf):
+            return pd.DataFrame([[*key[: len(by)], _inversions(pdf[first].to_numpy(), pdf["_y"].to_numpy(), pdf["_c"].to_numpy(np.int64))]], columns=[*by, "d"])
+
+        return run
+
+    same_x = points.where("not _onex").groupBy(*by, "_bx").applyInPandas(within("_x"), schema)
+    same_y = points.where("not _oney").groupBy(*by, "_by").applyInPandas(within("_bx"), schema)
+    cells = points.groupBy(*by, "_bx", "_by").agg(F.sum("_c").alias("_c"))
+    # for each cell, the points in buckets of less x and more y: rows of less x by their sums over more y, over the grid of buckets that occur
+    rows, columns = cells.select(*by, "_bx").distinct(), cells.select(*by, "_by").distinct()
+    grid = joined_groups(rows, columns.groupBy(*by).agg(F.collect_set("_by").alias("_all")), by).select(*by, "_bx", F.explode("_all").alias("_by"))
+    full = joined_left(grid, cells, [*by, "_bx", "_by"]).withColumn("_c", F.coalesce("_c", F.lit(0)))
+    more_y = Window.partitionBy(*by, "_bx").orderBy(F.desc("_by")).rowsBetween(Window.unboundedPreceding, -1)
+    less_x = Window.partitionBy(*by, "_by").orderBy("_bx").rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumn("_m", F.coalesce(F.sum("_c").over(more_y), F.lit(0))).withColumn("_q", F.coalesce(F.sum("_m").over(less_x), F.lit(0)))
+    apart = full.where("_c > 0").select(*by, (F.col("_c") * F.col("_q")).alias("d"))
+    return same_x.unionByName(same_y).unionByName(apart).groupBy(*by).agg(F.sum("d").alias("discordant"))
+
+
+def joined_left(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of the row of ``other`` that has its keys (null-safe), or nulls."""
+    g = other.withColumnsRenamed({c: f"_by_{c}" for c in keys})
+    on = F.lit(True)
+    for c in keys:
+        on &= df[c].eqNullSafe(g[f"_by_{c}"])
+    return df.join(g, on, "left").drop(*[f"_by_{c}" for c in keys])
+
+
+def kendall_tau(df: DataFrame, by: list[str], pos: str, x: str, y: str, bucket: int = 1024) -> DataFrame:
+    """by, Kendall's tau over the pairs untied in both columns (0 if there is none), n and its approximate z under independence; the order of the rows (``pos``) doesn't matter."""
+    k = kendall_counts(df, by, x, y, bucket)
+    tau = F.coalesce(F.try_divide(F.col("pairs") - 2 * F.col("discordant"), F.col("pairs")), F.lit(0.0))
+    n = F.col("n")
+    z = F.coalesce(good(F.try_divide(F.col("tau"), F.sqrt(F.try_divide(2 * (2 * n + 5), 9 * n * (n - 1))))), F.lit(0.0))
+    return k.select(*by, tau.alias("tau"), "n").withColumn("z", z)
 
 
 def first_nonzero(df: DataFrame, by: list[str], pos: str, x: str) -> DataFrame:

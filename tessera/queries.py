@@ -338,7 +338,7 @@ SELECT o_custkey, round(coalesce(sum(s)/nullif(count(*) FILTER (s<>0),0),0),6)+0
 """)
 def kendall_tau(t):
     d = t("orders").select("o_custkey", "o_orderkey", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("day"))
-    return rounded(W.kendall_tau(d, ["o_custkey"], "o_orderkey", "o_totalprice", "day"))
+    return rounded(W.kendall_tau(d, ["o_custkey"], "o_orderkey", "o_totalprice", "day").where("n > 1").select("o_custkey", "tau"))
 
 
 @query("SELECT l_orderkey, min(l_linenumber) FILTER (l_discount<>0) AS first, max(l_linenumber) FILTER (l_discount<>0) AS last FROM lineitem GROUP BY 1")
