@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import clusters as C
 from .operators import glm as G
 from .operators import robust as B
-from .queries import query, r
+from .queries import GRID, _grid, query, r
 from .sources import ranges as R
 from .store import shared_dir
 
@@ -141,3 +142,34 @@ def exact_medians(t):
     """Groups of any size: their medians by narrowing histograms."""
     d = B.medians(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", gather=1_000)
     return d.select("l_returnflag", "l_linestatus", r("median").alias("median"), "n")
+
+
+@query(f"""
+WITH RECURSIVE {GRID}, u AS (SELECT a.x, a.y, a.v, arg_max((b.x, b.y), (b.v, -b.x, -b.y)) AS q FROM g a JOIN g b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 GROUP BY 1,2,3),
+n AS (SELECT x, y, q[1] AS px, q[2] AS py FROM u), w AS (SELECT x, y, px, py FROM n UNION SELECT w.x, w.y, n.px, n.py FROM w JOIN n ON n.x=w.px AND n.y=w.py)
+SELECT w.x, w.y, w.px AS peak_x, w.py AS peak_y FROM w JOIN n ON n.x=w.px AND n.y=w.py AND n.px=n.x AND n.py=n.y GROUP BY ALL
+""")
+def ascent_basins(t):
+    """Every cell of a map with the peak that its steepest ascent leads to."""
+    return C.basins(_grid(t), ["x", "y"], "v", 2).select("x", "y", "peak_x", "peak_y")
+
+
+#: Flips by whole months: the draw of a subject and a flip, squares modulo a prime.
+FLIPS = """
+f AS (SELECT k, b, CASE WHEN b>0 AND u3/2147483647.0<0.5 THEN -1 ELSE 1 END AS sign FROM (SELECT k, b, (u2*u2+24680)%2147483647 AS u3 FROM (SELECT k, b, (u1*u1+67891)%2147483647 AS u2 FROM (SELECT k, b, (u0*u0+12345)%2147483647 AS u1 FROM (
+SELECT DISTINCT k, b, (k%2147483647*31+b*7919+104729)%2147483647 AS u0 FROM d, range(41) w(b))))))"""
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT (year(l_shipdate)*12+month(l_shipdate))::BIGINT AS k, CAST(l_partkey%32 AS INTEGER) AS x, CAST(l_suppkey%32 AS INTEGER) AS y, avg(l_quantity)-25.5 AS v FROM lineitem GROUP BY 1,2,3), {FLIPS},
+e AS (SELECT x, y, count(*) AS n, sum(v*v) AS ss FROM d GROUP BY 1,2), s AS (SELECT b, x, y, sum(v*sign) AS s FROM d JOIN f USING (k) GROUP BY 1,2,3),
+c AS (SELECT b, x, y, x*32+y AS id FROM s JOIN e USING (x,y) WHERE n > 1 AND (s/n)/sqrt(nullif((ss-n*(s/n)^2)/(n-1)/n,0)) >= 1.5),
+j AS (SELECT p.b, p.id AS a, q.id AS z FROM c p JOIN c q ON p.b=q.b AND abs(p.x-q.x)+abs(p.y-q.y)=1), reach AS (SELECT b, id AS root, id AS node FROM c UNION SELECT reach.b, root, j.z FROM reach JOIN j ON j.b=reach.b AND j.a=node),
+l AS (SELECT b, node, min(root) AS cl FROM reach GROUP BY 1,2), z AS (SELECT b, cl, count(*) AS c FROM l GROUP BY 1,2)
+SELECT w.b::INT AS b, coalesce(sum(c),0)::BIGINT AS cells, coalesce(max(c),0) AS largest FROM range(41) w(b) LEFT JOIN z ON z.b=w.b GROUP BY 1
+""")
+def flipped_clusters(t):
+    """The null of the largest cluster under sign flips of months, all maps labelled at once."""
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
+    d = t("lineitem").groupBy(month.alias("k"), (F.col("l_partkey") % 32).cast("int").alias("x"), (F.col("l_suppkey") % 32).cast("int").alias("y")).agg((F.avg("l_quantity") - 25.5).alias("v"))
+    return C.flipped_clusters(d, "k", ["x", "y"], "v", 1.5, 40)
