@@ -266,7 +266,9 @@ _POISSON = np.cumsum([np.exp(-1.0) / m for m in (1, 1, 2, 6, 24, 120, 720)])
 
 def draws(key: np.ndarray, samples: np.ndarray, seed: int) -> np.ndarray:
     """(samples, rows) numbers from 0 to 1 that depend on a row's key, the sample and the seed alone: squares modulo a prime, so that SQL can draw the same."""
-    x = ((key.astype(np.int64) % PRIME)[None, :] * 31 + samples.astype(np.int64)[:, None] * 7919 + seed * 104_729) % PRIME
+    key = key.astype(np.int64)
+    own = ((key % PRIME) ** 2 + key // PRIME % PRIME * 7907 + 12_345) % PRIME  # squared first, so that no shift of keys equals a shift of samples
+    x = (own[None, :] * 31 + samples.astype(np.int64)[:, None] * 7919 + seed * 104_729) % PRIME
     for c in (12_345, 67_891, 24_680):
         x = (x * x + c) % PRIME
     return x / PRIME

@@ -818,7 +818,7 @@ def covariance_ellipse(t):
 
 def _drawn_sql(samples: int, first: int) -> str:
     """A CTE ``d`` of event_type, b, value and the number u that ``stats.draws`` gives for every event and sample."""
-    x = "(event_id % 2147483647 * 31 + b * 7919 + 104729) % 2147483647"
+    x = "(((event_id % 2147483647) * (event_id % 2147483647) + event_id // 2147483647 % 2147483647 * 7907 + 12345) % 2147483647 * 31 + b * 7919 + 104729) % 2147483647"
     return f"""WITH a AS (SELECT event_type, value, b, {x} AS x FROM events, range({first}, {samples + 1}) r(b)), a1 AS (SELECT *, (x*x+12345) % 2147483647 AS y FROM a),
 a2 AS (SELECT *, (y*y+67891) % 2147483647 AS z FROM a1), d AS (SELECT event_type, b, value, ((z*z+24680) % 2147483647) / 2147483647.0::DOUBLE AS u FROM a2)"""
 

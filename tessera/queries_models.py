@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import anova as A
 from .operators import clusters as C
 from .operators import glm as G
 from .operators import robust as B
+from .operators import trees as T
 from .queries import GRID, _grid, query, r
 from .sources import ranges as R
 from .store import shared_dir
@@ -157,7 +159,7 @@ def ascent_basins(t):
 #: Flips by whole months: the draw of a subject and a flip, squares modulo a prime.
 FLIPS = """
 f AS (SELECT k, b, CASE WHEN b>0 AND u3/2147483647.0<0.5 THEN -1 ELSE 1 END AS sign FROM (SELECT k, b, (u2*u2+24680)%2147483647 AS u3 FROM (SELECT k, b, (u1*u1+67891)%2147483647 AS u2 FROM (SELECT k, b, (u0*u0+12345)%2147483647 AS u1 FROM (
-SELECT DISTINCT k, b, (k%2147483647*31+b*7919+104729)%2147483647 AS u0 FROM d, range(41) w(b))))))"""
+SELECT DISTINCT k, b, ((k*k+12345)%2147483647*31+b*7919+104729)%2147483647 AS u0 FROM d, range(41) w(b))))))"""
 
 
 @query(f"""
@@ -173,3 +175,34 @@ def flipped_clusters(t):
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
     d = t("lineitem").groupBy(month.alias("k"), (F.col("l_partkey") % 32).cast("int").alias("x"), (F.col("l_suppkey") % 32).cast("int").alias("y")).agg((F.avg("l_quantity") - 25.5).alias("v"))
     return C.flipped_clusters(d, "k", ["x", "y"], "v", 1.5, 40)
+
+
+@query("""
+WITH d AS (SELECT l_suppkey AS s, l_suppkey%3 AS g, l_returnflag AS a, l_linestatus AS b, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), c AS (SELECT s, g, a, b, v-(SELECT avg(v) FROM d) AS v FROM d),
+u AS (SELECT (SELECT sum(v)^2/count(*) FROM c) u0, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY g)) ug, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY a)) ua, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY b)) ub,
+(SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY g,a)) uga, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY g,b)) ugb, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY a,b)) uab, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY g,a,b)) ugab,
+(SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY s)) us, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY s,a)) usa, (SELECT sum(q) FROM (SELECT sum(v)^2/count(*) q FROM c GROUP BY s,b)) usb, (SELECT sum(v*v) FROM c) usab,
+(SELECT count(DISTINCT s) FROM c) ns, (SELECT count(DISTINCT g) FROM c) ng, (SELECT count(DISTINCT a) FROM c) na, (SELECT count(DISTINCT b) FROM c) nb),
+e AS (SELECT ug-u0 AS g, ua-u0 AS a, ub-u0 AS b, uga-ug-ua+u0 AS ga, ugb-ug-ub+u0 AS gb, uab-ua-ub+u0 AS ab, ugab-uga-ugb-uab+ug+ua+ub-u0 AS gab, us-ug AS es, usa-us-uga+ug AS ea, usb-us-ugb+ug AS eb, usab-usa-usb+us-ugab+uga+ugb-ug AS eab, ns-ng AS fs, ng-1 AS fg, na-1 AS fa, nb-1 AS fb FROM u),
+r AS (SELECT unnest([{'effect':'g','ss':g,'df':fg,'es':es,'ed':fs},{'effect':'a','ss':a,'df':fa,'es':ea,'ed':fs*fa},{'effect':'b','ss':b,'df':fb,'es':eb,'ed':fs*fb},{'effect':'g:a','ss':ga,'df':fg*fa,'es':ea,'ed':fs*fa},{'effect':'g:b','ss':gb,'df':fg*fb,'es':eb,'ed':fs*fb},{'effect':'a:b','ss':ab,'df':fa*fb,'es':eab,'ed':fs*fa*fb},{'effect':'g:a:b','ss':gab,'df':fg*fa*fb,'es':eab,'ed':fs*fa*fb}], recursive := true) FROM e)
+SELECT effect, round(ss,6)+0.0 AS ss, df, round(es,6)+0.0 AS error_ss, ed AS error_df, round((ss/df)/(es/ed),6)+0.0 AS f FROM r
+""")
+def factorial_anova(t):
+    """Two within factors and one between: all effects from one pass over grouping sets."""
+    d = t("lineitem").groupBy(F.col("l_suppkey").alias("s"), (F.col("l_suppkey") % 3).alias("g"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.avg("l_quantity").alias("v"))
+    d = A.factorial(d, "s", ["g"], ["a", "b"], "v")
+    return d.select("effect", r("ss").alias("ss"), "df", r("error_ss").alias("error_ss"), "error_df", r("f").alias("f"))
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1,2),
+e AS (SELECT a.label AS a, b.label AS b, round(sqrt(sum((a.v-b.v)^2)),6) AS w FROM m a JOIN m b ON a.i=b.i AND a.label<b.label GROUP BY 1,2), n AS (SELECT row_number() OVER (ORDER BY w, a, b) AS id, * FROM e),
+r AS (SELECT id, a AS node FROM n UNION SELECT r.id, CASE WHEN x.a=node THEN x.b ELSE x.a END FROM r JOIN n x ON x.id<r.id AND (x.a=node OR x.b=node))
+SELECT a, b, w+0.0 AS w FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id=n.id AND r.node=n.b)
+""")
+def class_tree(t):
+    """The minimum spanning tree of the classes' mean vectors, from which single linkage is cut."""
+    v = t("embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    a, b = v.select(F.col("label").alias("a"), "i", F.col("v").alias("_a")), v.select(F.col("label").alias("b"), "i", F.col("v").alias("_b"))
+    e = a.join(b, "i").where("a < b").groupBy("a", "b").agg(r(F.sqrt(F.sum((F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b"))))).alias("w"))
+    return T.spanning_tree(e, "a", "b", "w").select("a", "b", "w")
