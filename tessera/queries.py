@@ -1101,6 +1101,21 @@ def stream_transitions(x, events):
     return x.collected(x.transitions(events), "append", "transitions").groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+@stream_query("SELECT o.user_id, o.event_id AS onset_id, count(*) AS n, round(sum(s.value),6)+0.0 AS total FROM events o JOIN events s ON s.user_id=o.user_id AND s.ts >= o.ts - INTERVAL 2 hour AND s.ts <= o.ts + INTERVAL 6 hour WHERE o.event_type='purchase' GROUP BY 1,2")
+def stream_onset_windows(x, events):
+    d = x.onset_windows(events.where("event_type = 'purchase'"), events, ["user_id"], "2 HOURS", "6 HOURS", "60 days")
+    return x.collected(d, "append", "windows").groupBy("user_id", "onset_id").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
+
+
+@stream_query("""
+WITH e AS (SELECT user_id, event_type AS before, lead(event_type) OVER w AS after, ts, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT before, CASE WHEN next - ts <= INTERVAL 12 hour THEN after END AS after, count(*) AS n FROM e WHERE next IS NOT NULL GROUP BY 1,2
+""")
+def stream_visits(x, events):
+    d = x.collected(x.expiring_transitions(events, 12 * 3600, "60 days"), "append", "visits")
+    return d.groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import queries_methods, queries_models, queries_studies  # noqa: F401  register their queries
 

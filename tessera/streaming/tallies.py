@@ -60,6 +60,52 @@ def transitions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(_transitions, "user_id long, before string, after string", "last string", "append", "NoTimeout")
 
 
+def onset_windows(onsets: DataFrame, samples: DataFrame, by: list[str], before: str, after: str, late: str) -> DataFrame:
+    """by, onset_id, onset, event_id, ts and value: each sample of ``samples`` beside the onsets of ``onsets`` from ``before`` it to ``after`` it, both streams of events.
+
+    An interval join with watermarks on both sides: an onset leaves the state
+    when no sample can fall into its window any more, and a sample when no onset
+    can, so the state holds what the windows and ``late`` span, not the streams.
+    """
+    o = onsets.withWatermark("ts", late).select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("event_id").alias("onset_id"), F.col("ts").alias("onset"))
+    s = samples.withWatermark("ts", late).select(*by, "event_id", "ts", "value")
+    on = F.expr(f"ts >= onset - INTERVAL {before} AND ts <= onset + INTERVAL {after}")
+    for c in by:
+        on &= F.col(c) == F.col(f"_o_{c}")
+    return o.join(s, on).select(*by, "onset_id", "onset", "event_id", "ts", "value")
+
+
+def expiring_transitions(stream: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+    """user_id, before, after and at of successive events of a user that are at most ``gap_seconds`` apart; where a longer pause follows, ``after`` is null and ``at`` the last event's time.
+
+    A timer in event time closes a user's visit once the watermark passes its
+    last event by the gap: the end is emitted and the state goes, so what is
+    kept are the users seen lately.  Events behind their user's last one count for nothing.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, at = state.get if state.exists else (None, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], last, None, at))
+            state.remove()
+        else:
+            rows = pd.concat(list(pdfs)).sort_values(["us", "event_id"])
+            for us, kind in zip(rows["us"].tolist(), rows["event_type"], strict=True):
+                if last is not None and us < at:
+                    continue
+                if last is not None:
+                    out.append((key[0], last, kind, us) if us - at <= gap_seconds * 1_000_000 else (key[0], last, None, at))
+                last, at = kind, us
+            state.update((last, at))
+            # one beyond the watermark at least, or the timer would be refused
+            state.setTimeoutTimestamp(max(at // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"user_id": [r[0] for r in out], "before": [r[1] for r in out], "after": [r[2] for r in out], "at": [r[3] for r in out]})
+
+    d = stream.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return d.groupBy("user_id").applyInPandasWithState(step, "user_id long, before string, after string, at long", "last string, at long", "append", "EventTimeTimeout")
+
+
 def collected(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all that is there now into a table of the shared folder and returns it (a complete result replaces the table)."""
     spark = stream.sparkSession
