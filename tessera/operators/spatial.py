@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import written
 from .joins import radius_join
 
 
@@ -63,6 +64,28 @@ def edge_lengths(edges: DataFrame, vertices: DataFrame, key: str, axes: list[str
     return edges.join(p, "a").join(q, "b").select("a", "b", F.sqrt(total).alias("length"))
 
 
+def smooth_mesh(values: DataFrame, edges: DataFrame, vertex: str, xs: list[str], weight: float, rounds: int, keys: list[str] = (), tolerance: float | None = None) -> DataFrame:
+    """[keys,] vertex and xs, each round (own + weight x the neighbours' mean) / (1 + weight), for ``rounds`` rounds or until no value moves by more than ``tolerance``.
+
+    ``edges`` (a, b) are those of ``mesh_edges``; values come by key (the times of
+    series, say), and coordinates of the vertices smooth the mesh itself.
+    Vertices send their values along the edges, which are summed before the
+    shuffle; every round is written.  Missing values send nothing and stay
+    missing; a vertex without a neighbour that has one keeps its own.
+    """
+    both = written(edges.select(F.col("a").alias("_to"), F.col("b").alias(vertex)).unionByName(edges.select(F.col("b").alias("_to"), F.col("a").alias(vertex))), "edges")
+    now = values.select(*keys, vertex, *[F.col(x).cast("double").alias(x) for x in xs])
+    for _ in range(rounds):
+        sent = now.join(both, vertex).groupBy(*keys, "_to").agg(*[F.avg(x).alias(f"_m_{x}") for x in xs]).withColumnRenamed("_to", vertex)
+        new = [F.when(F.col(f"_m_{x}").isNull(), F.col(x)).otherwise((F.col(x) + weight * F.col(f"_m_{x}")) / (1 + weight)) for x in xs]
+        moved = F.greatest(F.lit(0.0), *[F.coalesce(F.abs(n - F.col(x)), F.lit(0.0)) for n, x in zip(new, xs, strict=True)])
+        step = written(now.join(sent, [*keys, vertex], "left").select(*keys, vertex, *[n.alias(x) for n, x in zip(new, xs, strict=True)], moved.alias("_moved")), "smoothed")
+        now = step.drop("_moved")
+        if tolerance is not None and step.where(F.col("_moved") > tolerance).isEmpty():
+            break
+    return now
+
+
 def vertex_normals(faces: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     """key and the unit sum of its triangles' normals (x, y, z)."""
     f = faces

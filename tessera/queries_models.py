@@ -11,8 +11,10 @@ from .operators import anova as A
 from .operators import clusters as C
 from .operators import glm as G
 from .operators import robust as B
+from .operators import spatial as X
 from .operators import trees as T
 from .queries import GRID, _grid, query, r
+from .queries_studies import FACES, _mesh
 from .sources import ranges as R
 from .store import shared_dir
 
@@ -206,3 +208,20 @@ def class_tree(t):
     a, b = v.select(F.col("label").alias("a"), "i", F.col("v").alias("_a")), v.select(F.col("label").alias("b"), "i", F.col("v").alias("_b"))
     e = a.join(b, "i").where("a < b").groupBy("a", "b").agg(r(F.sqrt(F.sum((F.col("_a") - F.col("_b")) * (F.col("_a") - F.col("_b"))))).alias("w"))
     return T.spanning_tree(e, "a", "b", "w").select("a", "b", "w")
+
+
+#: One round of smoothing in SQL: an average over the neighbours beside the own value.
+ROUND = "(SELECT p.m, p.k, (any_value(p.y)+1.5*coalesce(avg(q.y),any_value(p.y)))/2.5 AS y FROM {0} p LEFT JOIN e2 ON e2.a=p.k LEFT JOIN {0} q ON q.k=e2.b AND q.m=p.m GROUP BY p.m, p.k)"
+
+
+@query(f"""
+WITH {FACES}, e AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT a, c FROM f)), e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+s0 AS (SELECT month(l_shipdate) AS m, l_suppkey AS k, avg(l_quantity) AS y FROM lineitem GROUP BY 1,2), s1 AS {ROUND.format("s0")}, s2 AS {ROUND.format("s1")}, s3 AS {ROUND.format("s2")}
+SELECT m::INT AS m, k, round(y,6)+0.0 AS y FROM s3
+""")
+def smoothed_mesh(t):
+    """Three rounds of smoothing of monthly values over the edges of a mesh."""
+    faces, _ = _mesh(t)
+    v = t("lineitem").groupBy(F.month("l_shipdate").alias("m"), F.col("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("y"))
+    d = X.smooth_mesh(v, X.mesh_edges(faces), "k", ["y"], 1.5, 3, ["m"])
+    return d.select("m", "k", r("y").alias("y"))

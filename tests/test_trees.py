@@ -69,3 +69,23 @@ def test_factorial_design_with_unequal_groups_and_gaps(spark):
         assert (r.ss, r.df) == (pytest.approx(got[r.effect].ss, rel=1e-9), got[r.effect].df)
     one = {r.effect: r for r in A.factorial(whole, "s", [], ["a"], "v").collect()}
     assert one["a"].df == 2 and one["a"].error_df == 20
+
+
+def test_mesh_smoothing_equals_matrix_powers(spark):
+    from tessera.operators import spatial as X
+
+    rng = np.random.default_rng(8)
+    faces = [(i, i + 1, (i + 7) % 20) for i in range(18)]
+    edges = X.mesh_edges(spark.createDataFrame(faces, "a int, b int, c int"))
+    m = np.zeros((22, 22))
+    for r in edges.collect():
+        m[r.a, r.b] = m[r.b, r.a] = 1
+    x = rng.normal(size=(3, 22))
+    d = spark.createDataFrame([(t, v, float(x[t, v])) for t in range(3) for v in range(22)], "t int, v int, x double")
+    n = np.maximum(m.sum(axis=1), 1)
+    step = np.where(m.sum(axis=1)[:, None] > 0, (np.eye(22) + 0.5 * m / n[:, None]) / 1.5, np.eye(22))
+    want = x @ np.linalg.matrix_power(step, 4).T
+    got = {(r.t, r.v): r.x for r in X.smooth_mesh(d, edges, "v", ["x"], 0.5, 4, ["t"]).collect()}
+    assert len(got) == 66 and all(got[t, v] == pytest.approx(want[t, v]) for t, v in got)
+    flat = d.withColumn("x", d.x * 0 + 2)
+    assert {r.x for r in X.smooth_mesh(flat, edges, "v", ["x"], 0.5, 50, ["t"], tolerance=1e-12).collect()} == {2.0}
