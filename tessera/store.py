@@ -20,8 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Whether Spark deletes a query's shuffle files at its end instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read again: later steps survive lost executors without redoing it."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of ``df``, written once to the shared folder and read again: later steps survive lost executors without redoing it, and the shuffle files behind it go at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
