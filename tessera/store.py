@@ -37,4 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)  # what nobody has dropped goes with the driver
     return spark.read.schema(df.schema).parquet(path)
