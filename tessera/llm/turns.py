@@ -206,9 +206,9 @@ def faults(rows: DataFrame) -> DataFrame:
 
 
 def _in_order(rows: DataFrame, dropped: str | None) -> DataFrame:
-    """Faults, a conversation's rows together and in order: by turn (nulls first); rows of one turn by role and text, so that copies are neighbours."""
+    """Faults, a conversation's rows together and in order: by turn (nulls first); rows of one turn by role and text, so that copies are neighbours, the first before those that repeat it."""
     rows = filled(rows).withColumn("dropped", F.lit(False)) if dropped is None else rows.withColumnRenamed(dropped, "dropped")
-    return faults(rows).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "turn", "role", "text", "fault", "dropped")
+    return faults(rows).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", F.col("fault") == DUPLICATE).select("conv_id", "turn", "role", "text", "fault", "dropped")
 
 
 def _events(batches) -> Iterator[tuple[str, object]]:

@@ -117,6 +117,7 @@ def test_nulls_ties_repeats_and_clashing_columns(spark):
         (1, 1, "user", "Hi."), (1, 1, "user", "Hi."), (1, 1, "assistant", "Yes."), (1, None, None, "x."), (1, 9, "assistant", None), (None, None, "user", "a."), (None, 3, "assistant", "b"),
         (2, 1, "system", "s."), (2, 2, "", "t."), (2, 3, "assistant", "long " * 50_000 + "end."), (3, 1, "user", "\x0b \t"), (4, -5, "user", "é."), (4, 7, "assistant", " "),
     ]
+    rows += [(5, t, "user" if t % 2 else "assistant", f"t{t}.") for t in range(1, 40) for _ in range(1 + t % 3)]
     rows += [(c, t, "user" if t % 2 else "assistant", f"{c} {t}.") for c in range(10, 60) for t in range(1, 4)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     noisy = df.selectExpr("*", "1 as dropped", "2 as fault", "3 as _k", "4 as _c")
