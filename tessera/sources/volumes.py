@@ -144,40 +144,40 @@ LAYOUTS: dict[str, tuple] = {
         ),
     ),
     "vmp": (
-        Field("Magic", "u1", lambda h: (4,)),
-        Field("FileVersion", "u2"),
-        Field("DocumentType", "u2"),
-        *(Field(n, "u4") for n in ("NrOfMaps", "NrOfTimePoints", "NrOfMapParameters", "ShowParamsRangeFrom", "ShowParamsRangeTo", "FingerprintParamsRangeFrom", "FingerprintParamsRangeTo")),
-        *(Field(f"{a}{e}", "u4") for a in "XYZ" for e in ("Start", "End")),
-        *(Field(n, "u4") for n in ("Resolution", "VMRDimX", "VMRDimY", "VMRDimZ")),
-        *(Field(n, "text") for n in ("OriginatingVTC", "LinkedPRT", "OptionalVOI")),
+        Field("mark", "u1", lambda h: (4,)),
+        Field("version", "u2"),
+        Field("document", "u2"),
+        *(Field(n, "u4") for n in ("maps", "times", "parameters", "shown_from", "shown_to", "print_from", "print_to")),
+        *(Field(f"{a}_{e}", "u4") for a in "xyz" for e in ("from", "to")),
+        *(Field(n, "u4") for n in ("step", "anatomy_x", "anatomy_y", "anatomy_z")),
+        *(Field(n, "text") for n in ("series_file", "protocol_file", "region_file")),
         Repeat(
-            "Map",
-            lambda h: h["NrOfMaps"],
+            "map",
+            lambda h: h["maps"],
             (
-                Field("Type", "u4"),
-                Field("LowerThreshold", "f4"),
-                Field("UpperThreshold", "f4"),
-                Field("Name", "text"),
-                *(Field(n, "u1", lambda h: (3,)) for n in ("RGBLowerThreshPos", "RGBUpperThreshPos", "RGBLowerThreshNeg", "RGBUpperThreshNeg")),
-                Field("UseRGBColor", "u1"),
-                Field("LUTName", "text", when=_later(5)),
-                Field("TransColorFactor", "f4"),
-                *(Field(n, k, when=lambda h: h["Type"] == 3) for n, k in (("NrOfLags", "u4"), ("MinLag", "u4"), ("MaxLag", "u4"), ("CCOverlay", "i4"))),
-                Field("ClusterSize", "u4"),
-                Field("EnableClusterCheck", "u1"),
-                *(Field(n, "u4") for n in ("UseValuesAboveThresh", "DF1", "DF2")),
-                Field("ShowPositiveNegativeFlag", "u1"),
-                Field("BonferroniValue", "u4"),
-                Field("NrOfFDRThresholds", "u4"),
-                Field("FDRThresholds", "f4", lambda h: (3, h["NrOfFDRThresholds"]), lambda h: h["NrOfFDRThresholds"] > 0),
-                Field("UnknownValue", "i4"),
+                Field("kind", "u4"),
+                Field("low", "f4"),
+                Field("high", "f4"),
+                Field("name", "text"),
+                *(Field(n, "u1", lambda h: (3,)) for n in ("low_colour", "high_colour", "negative_low_colour", "negative_high_colour")),
+                Field("coloured", "u1"),
+                Field("palette", "text", when=lambda h: h["version"] > 5),
+                Field("opacity", "f4"),
+                *(Field(n, k, when=lambda h: h["kind"] == 3) for n, k in (("lags", "u4"), ("first_lag", "u4"), ("last_lag", "u4"), ("overlay", "i4"))),
+                Field("cluster", "u4"),
+                Field("clustered", "u1"),
+                *(Field(n, "u4") for n in ("above", "df1", "df2")),
+                Field("signs", "u1"),
+                Field("tests", "u4"),
+                Field("levels", "u4"),
+                Field("level_values", "f4", lambda h: (3, h["levels"]), lambda h: h["levels"] > 0),
+                Field("unknown", "i4"),
             ),
         ),
-        Field("TimePointData", "f4", lambda h: (h["NrOfTimePoints"], h["NrOfMaps"]), lambda h: h["NrOfTimePoints"] > 0),
-        Repeat("MapParameter", lambda h: h["NrOfMapParameters"], (Field("Name", "text"),)),
-        Field("MapParameterValues", "f4", lambda h: (h["NrOfMapParameters"], h["NrOfMaps"]), lambda h: h["NrOfMapParameters"] > 0),
-        Field("values", "f4", lambda h: (*_extent(h), h["NrOfMaps"])),
+        Field("time_values", "f4", lambda h: (h["times"], h["maps"]), lambda h: h["times"] > 0),
+        Repeat("parameter", lambda h: h["parameters"], (Field("name", "text"),)),
+        Field("parameter_values", "f4", lambda h: (h["parameters"], h["maps"]), lambda h: h["parameters"] > 0),
+        Field("values", "f4", lambda h: (*[(h[f"{a}_to"] - h[f"{a}_from"]) // h["step"] for a in "xyz"], h["maps"])),
     ),
 }
 

@@ -20,10 +20,11 @@ def in_box(a, axes, box):
 
 
 def vmp(rng):
-    one = {"Type": 1, "LowerThreshold": 1.5, "UpperThreshold": 3.0, "RGBLowerThreshPos": [1, 2, 3], "RGBUpperThreshPos": [4, 5, 6], "RGBLowerThreshNeg": [7, 8, 9], "RGBUpperThreshNeg": [1, 1, 1], "UseRGBColor": 0, "LUTName": "<default>", "TransColorFactor": 1.0, "ClusterSize": 4, "EnableClusterCheck": 1, "UseValuesAboveThresh": 1, "DF1": 20, "DF2": 1, "ShowPositiveNegativeFlag": 3, "BonferroniValue": 5, "UnknownValue": 0}
-    maps = [{**one, "Name": "first " + "x" * 90_000, "NrOfFDRThresholds": 0}, {**one, "Type": 3, "NrOfLags": 2, "MinLag": 0, "MaxLag": 1, "CCOverlay": -1, "Name": "second", "NrOfFDRThresholds": 2, "FDRThresholds": rng.random((3, 2))}]
-    head = {"Magic": [212, 195, 178, 161], "FileVersion": 6, "DocumentType": 1, "NrOfMaps": 2, "NrOfTimePoints": 3, "NrOfMapParameters": 1, "ShowParamsRangeFrom": 0, "ShowParamsRangeTo": 0, "FingerprintParamsRangeFrom": 0, "FingerprintParamsRangeTo": 0, "XStart": 57, "XEnd": 72, "YStart": 52, "YEnd": 64, "ZStart": 59, "ZEnd": 68, "Resolution": 3, "VMRDimX": 256, "VMRDimY": 256, "VMRDimZ": 256, "OriginatingVTC": "a.vtc", "LinkedPRT": "", "OptionalVOI": ""}
-    return {**head, "Map": maps, "TimePointData": rng.random((3, 2)), "MapParameter": [{"Name": "p"}], "MapParameterValues": [[1.0, 2.0]], "values": rng.random((5, 4, 3, 2)).astype("f4")}
+    one = {"kind": 1, "low": 1.5, "high": 3.0, "low_colour": [1, 2, 3], "high_colour": [4, 5, 6], "negative_low_colour": [7, 8, 9], "negative_high_colour": [1, 1, 1], "coloured": 0, "palette": "<default>", "opacity": 1.0, "cluster": 4, "clustered": 1, "above": 1, "df1": 20, "df2": 1, "signs": 3, "tests": 5, "unknown": 0}
+    maps = [{**one, "name": "first " + "x" * 90_000, "levels": 0}, {**one, "kind": 3, "lags": 2, "first_lag": 0, "last_lag": 1, "overlay": -1, "name": "second", "levels": 2, "level_values": rng.random((3, 2))}]
+    box = {"x_from": 57, "x_to": 72, "y_from": 52, "y_to": 64, "z_from": 59, "z_to": 68, "step": 3, "anatomy_x": 256, "anatomy_y": 256, "anatomy_z": 256}
+    head = {"mark": [212, 195, 178, 161], "version": 6, "document": 1, "maps": 2, "times": 3, "parameters": 1, "shown_from": 0, "shown_to": 0, "print_from": 0, "print_to": 0, **box, "series_file": "a.vtc", "protocol_file": "", "region_file": ""}
+    return {**head, "map": maps, "time_values": rng.random((3, 2)), "parameter": [{"name": "p"}], "parameter_values": [[1.0, 2.0]], "values": rng.random((5, 4, 3, 2)).astype("f4")}
 
 
 def test_kinds_and_boxes_equal_the_plain_reader(spark, tmp_path):
