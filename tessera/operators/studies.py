@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import good
+from ..functions.scalars import PRIME, good
+from ..store import written
 from .joins import radius_join
 from .windows import beside
 
@@ -105,6 +108,38 @@ def point_density(points: DataFrame, study: str, weight: str, axes: list[str], c
     return s.select(*[F.col(f"other_{a}").alias(a) for a in axes], F.try_divide(F.col("_s"), F.col("_all")).alias("density"), "n_studies")
 
 
+def density_null(points: DataFrame, key: str, study: str, weight: str, axes: list[str], cells: DataFrame, radius: float, draws: int, seed: int = 1) -> DataFrame:
+    """b (1 to ``draws``) and highest: the greatest weighted share of studies over the cells when every point is dealt to a random cell, for the null of ``point_density``.
+
+    A point's cells depend on its integer ``key``, the draw and the seed alone.
+    Cells are numbered by ranges of their order, a point of a draw meets its
+    number, and a study counts once a cell; sums come before every shuffle.
+    Points without a key are left out; a draw without points gives 0.
+    """
+    order = [F.col(a).asc() for a in axes]
+    grid = written(cells.select(*axes).distinct().repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "grid")
+    parts = grid.groupBy("_p").agg(F.count("*").alias("_n"))
+    parts = parts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = grid.join(parts, "_p").select(*axes, (F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).alias("_i"))
+    n = grid.count()
+    k = F.col(key).cast("long") % PRIME
+    u = ((k * k + 12_345) % PRIME * 31 + F.col("b") * 7919 + seed * 104_729) % PRIME
+    for c in (12_345, 67_891, 24_680):
+        u = (u * u + c) % PRIME
+    p = points.where(F.col(key).isNotNull()).select(key, study, weight, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
+    p = p.withColumn("_u", u).select("b", study, weight, F.expr(f"_u * {n} div {PRIME}").alias("_i"))
+    reach = int(radius)
+    near = [o for o in product(range(-reach, reach + 1), repeat=len(axes)) if sum(v * v for v in o) <= radius * radius]
+    shift = F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(o)]) for o in near])
+    at = p.join(numbered, "_i").groupBy("b", study, *axes).agg(F.max(weight).alias("_w")).withColumn("_o", F.explode(shift))
+    at = at.select("b", study, "_w", *[(F.col(a) + F.col(f"_o.d{i}")).alias(a) for i, a in enumerate(axes)]).join(grid.select(*axes), axes, "left_semi")
+    once = at.groupBy("b", study, *axes).agg(F.max("_w").alias("_w"))
+    total = points.groupBy(study).agg(F.max(weight).alias("_w")).agg(F.sum("_w").alias("_all"))
+    top = once.groupBy("b", *axes).agg(F.sum("_w").alias("_s")).groupBy("b").agg(F.max("_s").alias("_s")).crossJoin(F.broadcast(total))
+    every = points.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("b"))
+    return every.join(top, "b", "left").select("b", F.coalesce(F.try_divide("_s", "_all"), F.lit(0.0)).alias("highest"))
+
+
 def peaks(df: DataFrame, by: list[str], t: list[str], x: str, threshold: float) -> DataFrame:
     """Rows above the threshold that exceed the row before and are not below the row after."""
     w = Window.partitionBy(*by).orderBy(*t)

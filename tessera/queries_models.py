@@ -12,6 +12,7 @@ from .operators import clusters as C
 from .operators import glm as G
 from .operators import robust as B
 from .operators import spatial as X
+from .operators import studies as U
 from .operators import trees as T
 from .queries import GRID, _grid, query, r
 from .queries_studies import FACES, _mesh
@@ -225,3 +226,19 @@ def smoothed_mesh(t):
     v = t("lineitem").groupBy(F.month("l_shipdate").alias("m"), F.col("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("y"))
     d = X.smooth_mesh(v, X.mesh_edges(faces), "k", ["y"], 1.5, 3, ["m"])
     return d.select("m", "k", r("y").alias("y"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS k, c_nationkey AS study, 1.0+c_nationkey%3 AS w FROM customer), g AS (SELECT x.x, y.y, row_number() OVER (ORDER BY x.x, y.y)-1 AS i FROM range(0,32) x(x), range(0,32) y(y) WHERE (x.x-16)^2+(y.y-16)^2 < 200),
+d0 AS (SELECT study, w, b, ((k*k+12345)%2147483647*31+b*7919+104729)%2147483647 AS u FROM p, range(1,31) r(b)), d1 AS (SELECT study, w, b, (u*u+12345)%2147483647 AS u FROM d0), d2 AS (SELECT study, w, b, (u*u+67891)%2147483647 AS u FROM d1), d3 AS (SELECT study, w, b, (u*u+24680)%2147483647 AS u FROM d2),
+c AS (SELECT b, study, w, x, y FROM d3 JOIN g ON g.i=(u*(SELECT count(*) FROM g))//2147483647), o AS (SELECT b, study, g.x, g.y, max(w) AS w FROM c JOIN g ON (c.x-g.x)^2+(c.y-g.y)^2 <= 2.25 GROUP BY 1,2,3,4),
+s AS (SELECT b, x, y, sum(w) AS s FROM o GROUP BY 1,2,3)
+SELECT b::INT AS b, round(max(s)/(SELECT sum(w) FROM (SELECT study, max(w) w FROM p GROUP BY 1)),6)+0.0 AS highest FROM s GROUP BY 1
+""")
+def density_null(t):
+    """The highest share of studies in a cell of a round mask when all points are dealt anew, draw by draw."""
+    p = t("customer").select("c_custkey", F.col("c_nationkey").alias("study"), (1.0 + F.col("c_nationkey") % 3).alias("w"))
+    cells = U.range_grid(p.sparkSession, [(0, 1, 31), (0, 1, 31)]).select(F.col("d1").cast("int").alias("x"), F.col("d2").cast("int").alias("y"))
+    cells = cells.where("pow(x - 16, 2) + pow(y - 16, 2) < 200")
+    d = U.density_null(p, "c_custkey", "study", "w", ["x", "y"], cells, 1.5, 30)
+    return d.select("b", r("highest").alias("highest"))
