@@ -49,6 +49,8 @@ SIMILARITY = 0.85
 KEYED = 11
 WINDOW = 8  # members of a key that are compared exhaustively in passing; beyond that with the pivot first
 BLOCK = 1024
+#: Lines whose numbers may be broadcast, 12 bytes each and a document's share.
+BROADCAST_LINES = 2_000_000
 SIMS = ("sim", "sim1", "sim2", "sim3")
 #: Lines whose words are sorted at once: their number and 46 bits of a word's hash fit into one integer.
 LINES = 1 << 18
@@ -345,6 +347,27 @@ def _line_words(batches):
                 yield pa.RecordBatch.from_arrays([ids.slice(x, y - x).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), lists], names=["doc_id", "line_no", "h", "words"])
 
 
+def _wanted_words(batches):
+    """h and the words (32-bit hashes) of the lines in ``wanted``, (line number, h) of a document."""
+    with np.errstate(over="ignore"):
+        for batch in few_rows(batches):
+            texts, wanted = _lower(batch.column(1).to_pylist()), batch.column(2)
+            for x, y in groups(texts):
+                found = _lines_of(texts[x:y])
+                if found is None:
+                    continue
+                doc, number, h, _, n_words, words = found
+                asked = wanted.slice(x, y - x)
+                of = np.repeat(np.arange(y - x), np.asarray(asked.value_lengths()))
+                line, key = (asked.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("line_no", "h"))
+                place = {(d, i): k for k, (d, i) in enumerate(zip(doc.tolist(), number.tolist(), strict=True))}
+                at = np.array([place.get(p, -1) for p in zip(of.tolist(), line.tolist(), strict=True)], np.int64)
+                at = at[(at >= 0) & (h.view(np.int64)[at] == key)]  # of several texts under one doc_id, the one that has the line
+                off = np.concatenate([[0], np.cumsum(n_words)])
+                lists = pa.array([(words[off[k] : off[k + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in at], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[at]), lists], names=["h", "words"])
+
+
 def _few_edits(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two long lines differ by no more edits than allowed: furthest-reaching diagonals, so the cost follows the edits."""
     k, n, m = most_edits(max(a.size, b.size)), a.size, b.size
@@ -431,10 +454,14 @@ def _alike(batches):
 def _words_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """h and the words of the classes in ``used``, from the documents that hold their first occurrence, written."""
     where = written(classes.join(used, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "used")
-    few = small_enough(where)
+    few = small_enough(where, BROADCAST_LINES)
+    if few:  # each document gets the numbers of its lines, so that no other line leaves it
+        lists = where.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
+        some = docs.select("doc_id", "text").join(F.broadcast(lists), "doc_id")
+        return written(some.mapInArrow(_wanted_words, "h long, words array<int>").dropDuplicates(["h"]), "words")
     some = only(docs, where.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
     lines = some.mapInArrow(_line_words, "doc_id long, line_no int, h long, words array<int>")
-    return written(lines.join(F.broadcast(where) if few else where, ["doc_id", "line_no", "h"], "left_semi").select("h", "words").dropDuplicates(["h"]), "words")
+    return written(lines.join(where, ["doc_id", "line_no", "h"], "left_semi").select("h", "words").dropDuplicates(["h"]), "words")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -173,3 +173,11 @@ def test_lines_of_short_words_and_other_scripts_are_found(spark):
     for kind in kinds:
         hits = [i in gone for i, k in found.items() if k == kind]
         assert sum(hits) >= 0.95 * len(hits), (kind, sum(hits) / len(hits))
+
+
+def test_words_come_alike_with_and_without_broadcast(spark, monkeypatch):
+    rows = [(i // 2, f"{'alpha beta gamma delta epsilon zeta eta theta iota kappa '[: 60 - i % 3]}\nplain {i % 7} one two three four five six seven") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted(tuple(r) for r in L.report(df).collect())
+    monkeypatch.setattr(L, "BROADCAST_LINES", 0)
+    assert sorted(tuple(r) for r in L.report(df).collect()) == first
