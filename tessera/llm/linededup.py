@@ -477,14 +477,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, removed): for every document with a line to remove, its lines that take part and the numbers (from 0) of those that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = written(docs.mapInArrow(_lines, "doc_id long, line_no int, h long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary"), "lines")
-    classes = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(c).alias(c) for c in SIMS], F.min("n").alias("n"), F.min("words").alias("words"), F.first("blocks").alias("blocks"), F.count("*").alias("size")), "classes")
-    keys = classes.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks").mapInArrow(_keys, "key long, h long, sim long, n int")
+    # what later steps don't need goes as soon as the step before is written
+    full = written(docs.mapInArrow(_lines, "doc_id long, line_no int, h long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary"), "lines")
+    keyed = written(full.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(c).alias(c) for c in SIMS], F.min("n").alias("n"), F.min("words").alias("words"), F.first("blocks").alias("blocks"), F.count("*").alias("size")), "classes")
+    lines = written(full.select("doc_id", "line_no", "h"), "lines")
+    dropped(full)
+    keys = keyed.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks").mapInArrow(_keys, "key long, h long, sim long, n int")
     # n is the number of words from here on
     met = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _OUT), "met")
+    classes = written(keyed.drop("blocks"), "classes")
+    dropped(keyed)
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "near")
+    hot = written(met.where("b is null"), "hot")
+    dropped(met)
     found = components(_verified(pairs, classes, docs))
-    hot = met.where("b is null")
+    dropped(pairs)
     if not hot.isEmpty():
         more = _in_blocks(hot, found, classes, docs)
         if more is not None and not more.isEmpty():  # what is found stands for its links
