@@ -31,6 +31,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import itertools
 from itertools import combinations
 
 import numpy as np
@@ -48,7 +49,9 @@ SIMILARITY = 0.85
 #: Blocks of a long line that are keys: the most edits allowed leave one of them whole with probability 0.95.
 KEYED = 11
 WINDOW = 8  # members of a key that are compared exhaustively in passing; beyond that with the pivot first
-BLOCK = 1024
+BLOCK = 4096
+STRIP = 1 << 20  # pairs of members that are compared at once
+PAIRS = 4_000_000  # pairs whose words are on disk at once
 #: Lines whose numbers may be broadcast, 12 bytes each and a document's share.
 BROADCAST_LINES = 2_000_000
 SIMS = ("sim", "sim1", "sim2", "sim3")
@@ -279,36 +282,54 @@ def bits_apart(n: np.ndarray) -> np.ndarray:
     return 256 * share + 1.3 * 16 * np.sqrt(share * (1 - share))
 
 
-def _block_links(pdf):
-    """One pair of blocks of a key's members: the links between members of different labels, each pair under the smallest key that both have."""
-    import pandas as pd
-
-    first, second = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    alone = not len(second)  # a block with itself
-    second = first if alone else second
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    if not len(first):
-        return none
-    n, m = (d.n.to_numpy(np.int64) for d in (first, second))
-    long = np.maximum(n[:, None], m[None])
-    ok = (np.minimum(n[:, None], m[None]) >= SIMILARITY * long - 1e-9) & (first.label.to_numpy()[:, None] != second.label.to_numpy()[None])
-    if alone:
-        ok &= np.arange(len(n))[:, None] < np.arange(len(n))[None]
-    i, j = np.nonzero(ok)
-    apart = np.zeros(i.size, np.int64)
-    for c in SIMS:
-        apart += np.bitwise_count(first[c].to_numpy(np.int64).view(np.uint64)[i] ^ second[c].to_numpy(np.int64).view(np.uint64)[j])
-    near = np.flatnonzero(apart <= bits_apart(long[i, j]))
-    i, j = i[near], j[near]
-    key, of, to = int(pdf.key.iloc[0]), [set(k) for k in first["keys"]], [set(k) for k in second["keys"]]
-    once = np.array([min(of[x] & to[y]) == key for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-    i, j = i[once], j[once]
-    wa, wb = list(first.words), list(second.words)
-    same = np.array([], bool)
-    for k in range(0, i.size, 4096):
-        same = np.append(same, _similar([wa[x] for x in i[k : k + 4096]], [wb[y] for y in j[k : k + 4096]]))
-    a, b = first.h.to_numpy()[i[same]], second.h.to_numpy()[j[same]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a.size else none
+#: No length allows more.
+_MOST_APART = float(bits_apart(np.arange(7, 20_000)).max())
+
+
+def _near(h, label, n, sims, split: int) -> np.ndarray:
+    """(2, pairs): of the members before ``split`` with those from it on (or with each other, if none come after) the pairs of different labels whose lengths and SimHashes of 256 bits allow a link; a strip of rows at a time."""
+    alone = split == h.size  # a block with itself
+    second = slice(0 if alone else split, h.size)
+    hb, lb, m, other = h[second], label[second], n[second], [s[second] for s in sims]
+    out = [np.empty((2, 0), np.int64)]
+    strip = max(1, STRIP // max(1, hb.size))
+    for x in range(0, split, strip):
+        rows = slice(x, min(split, x + strip))
+        apart = sum(np.bitwise_count(sims[c][rows, None] ^ other[c][None]) for c in (0, 1))
+        i, j = np.nonzero(apart <= _MOST_APART)  # half of the bits leaves few
+        apart, i = apart[i, j].astype(np.int64), i + x
+        ok = (label[i] != lb[j]) & (i < j) if alone else label[i] != lb[j]
+        apart, i, j = apart[ok], i[ok], j[ok]
+        for c in (2, 3):
+            apart += np.bitwise_count(sims[c][i] ^ other[c][j])
+        long = np.maximum(n[i], m[j])
+        ok = (apart <= bits_apart(long)) & (np.minimum(n[i], m[j]) >= SIMILARITY * long - 1e-9)
+        i, j = h[i[ok]], hb[j[ok]]
+        out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+    return np.concatenate(out, axis=1)
+
+
+def _block_pairs(batches):
+    """Rows sorted by key, i, j and side -> the pairs of each group that need words.  A group whose end has not come yet is carried on."""
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is None:
+            if held is None:
+                return
+            cols, ends = held, [held[0].size]
+        else:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            ends = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1).tolist()
+        begin, found = 0, [np.empty((2, 0), np.int64)]
+        for end in ends:
+            side, h, label, n, *sims = (c[begin:end] for c in cols[3:])
+            found.append(_near(h, label, n.astype(np.int64), [s.view(np.uint64) for s in sims], int(np.searchsorted(side, 1))))
+            begin = end
+        held = [c[begin:] for c in cols]
+        x, y = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
 def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -316,19 +337,22 @@ def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
 
     Members are dealt into blocks of about BLOCK, and every pair of blocks of a
     key is a group of its own, so a group's size is bounded whatever the key's.
+    Members meet by their SimHashes alone; only pairs that these leave need words.
     """
     m = hot.select(F.col("a").alias("h"), "key").distinct().join(found.select(F.col("id").alias("h"), F.col("component").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
     sizes = m.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "nb")
-    m = written(m.join(sizes, "key"), "members")
-    if m.isEmpty():
+    members = written(m.join(sizes, "key"), "members")
+    dropped(hot)
+    if members.isEmpty():
         return None
-    own = m.groupBy("h").agg(F.collect_set("key").alias("keys"))
-    lines = _words_of(own.select("h"), classes, docs)
-    facts = own.join(classes.select("h", F.col("words").alias("n"), *SIMS), "h").join(lines, "h")
+    m = members.join(classes.select("h", F.col("words").alias("n"), *SIMS), "h")
     m = m.withColumn("blk", F.pmod(F.xxhash64("h", "key"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    m = m.select("key", "h", "label", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"))
-    links = written(m.join(facts, "h").groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct(), "links")
-    dropped(lines)
+    m = m.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "h", "label", "n", *SIMS)
+    m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    near = written(m.mapInArrow(_block_pairs, "a long, b long").distinct(), "near")
+    dropped(members)
+    links = _verified(near, classes, docs)
+    dropped(near)
     return links
 
 
@@ -465,11 +489,16 @@ def _words_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class hashes whose lines are similar enough."""
+    """The pairs (a, b), a written table, of class hashes whose lines are similar enough."""
     lines = _words_of(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), classes, docs)
     a = lines.select(F.col("h").alias("a"), F.col("words").alias("wa"))
     b = lines.select(F.col("h").alias("b"), F.col("words").alias("wb"))
-    links = written(pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(_alike, "a long, b long"), "links")
+    parts = max(1, -(-pairs.count() // PAIRS))
+    links = None
+    for i in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i) if parts > 1 else pairs
+        part = written(some.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(_alike, "a long, b long"), "links")
+        links = part if links is None else links.union(part)
     dropped(lines)
     return links
 

@@ -181,3 +181,28 @@ def test_words_come_alike_with_and_without_broadcast(spark, monkeypatch):
     first = sorted(tuple(r) for r in L.report(df).collect())
     monkeypatch.setattr(L, "BROADCAST_LINES", 0)
     assert sorted(tuple(r) for r in L.report(df).collect()) == first
+
+
+def test_crowded_keys_meet_by_fingerprints_alone(monkeypatch):
+    """Groups over several batches, strips of few rows: the pairs of different labels near enough, from rows without words."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, (6, 4))
+    rows = []
+    for key, i, j in [(1, 0, 0), (1, 0, 1), (2, 0, 0), (2, 1, 1), (3, 0, 1)]:
+        for side in (0, 1) if i != j else (0,):
+            for _ in range(30):
+                sims = base[rng.integers(6)] ^ (1 << rng.integers(0, 63, 4))
+                rows.append((key, i, j, side, int(rng.integers(1 << 40)), int(rng.integers(5)), int(rng.integers(20, 26)), *sims.tolist()))
+    rows.append((4, 0, 1, 1, 7, 7, 20, 0, 0, 0, 0))  # the other block is empty
+    want = set()
+    for x in rows:
+        for y in rows:
+            own = x[:3] == y[:3] and x[5] != y[5] and x[4] != y[4] and (x[3] < y[3] or x[1] == x[2]) and min(x[6], y[6]) >= L.SIMILARITY * max(x[6], y[6]) - 1e-9
+            if own and sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x[7:], y[7:], strict=True)) <= L.bits_apart(np.array([max(x[6], y[6])]))[0]:
+                want.add((min(x[4], y[4]), max(x[4], y[4])))
+    monkeypatch.setattr(L, "STRIP", 64)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
+    table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f"c{i}" for i in range(11)])
+    for step in (7, 40, 1000):
+        got = [p for b in L._block_pairs(table.slice(i, step) for i in range(0, len(rows), step)) for p in zip(*b.to_pydict().values(), strict=True)]
+        assert want and set(got) == want
