@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+
 
 def interval_join(points: DataFrame, t: str, events: DataFrame, onset: str, before: float, after: float, on: list[str] | None = None) -> DataFrame:
     """Points with every event whose window [onset - before, onset + after) holds them.
@@ -63,10 +67,27 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], t: str, values: list
 
 
 def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, axes: list[str], radius: float) -> DataFrame:
-    """key, the nearest target within the radius and its distance; ties go to the smallest target; none gives no row."""
-    j = radius_join(points.select(key, *axes), targets.select(target, *axes), axes, radius)
-    best = j.groupBy(key).agg(F.min(F.struct("distance", F.col(f"other_{target}").alias("target"))).alias("m"))
-    return best.select(key, F.col("m.target").alias(target), F.col("m.distance").alias("distance"))
+    """key, the nearest target within the radius and its distance; ties go to the smallest target; none gives no row.
+
+    Of targets in one place the smallest stands for all.  The radius grows from
+    one whose cells hold about one target, twice as long each round; a point that
+    has found a target is done, so what is compared follows the points and not
+    the pairs within the radius.
+    """
+    q = written(targets.select(target, *axes).groupBy(*axes).agg(F.min(target).alias(target)), "targets")
+    cells = q.select(*[F.floor(F.col(x) / radius).alias(x) for x in axes]).distinct().count()
+    halves = max(0, math.ceil(math.log2(max(1, q.count() / max(1, cells))) / len(axes)))
+    rest, out = points.select(key, *axes), None
+    for i in range(halves, -1, -1):
+        reach = radius / 2**i
+        # the targets are dealt to the neighbouring cells: a point's candidates meet in one task, and the aggregate leaves one row of them
+        j = radius_join(q, rest, axes, reach).select(F.col(f"other_{key}").alias(key), "distance", target)
+        best = j.groupBy(key).agg(F.min(F.struct("distance", target)).alias("m")).select(key, F.col(f"m.{target}").alias(target), "m.distance")
+        if not i:
+            return best if out is None else out.union(best)
+        best = written(best.where(F.col("distance") <= 0.999 * reach), "nearest")  # at the very edge a nearer one may lie a cell farther
+        out = best if out is None else out.union(best)
+        rest = written(rest.join(best.select(key), key, "left_anti"), "points")
 
 
 def last_match(left: DataFrame, right: DataFrame, value: str, pos: str, exact: bool = False) -> DataFrame:

@@ -397,3 +397,22 @@ def test_searchlight_query_covers_the_whole_grid(spark):
     got = __spark_entry__.queries()["searchlight_accuracy"](spark, DATA)
     cells = spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("l_partkey % 32 AS x", "l_suppkey % 32 AS y").distinct()
     assert {(r.x, r.y) for r in got.collect()} == {(r.x, r.y) for r in cells.collect()}
+
+
+def test_nearest_of_crowded_targets_compares_few_pairs(spark):
+    """All points see all targets within the radius; still each is compared with few, and ties go to the smallest."""
+    from tessera.operators import joins as J
+
+    p = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 37 % 101 / 10).alias("x"), (F.col("id") * 53 % 97 / 10).alias("y"))
+    q = spark.range(400).select((400 - F.col("id")).alias("t"), (F.col("id") * 29 % 89 / 10).alias("x"), (F.col("id") * 31 % 83 / 10).alias("y"))
+    got = {r.k: (r.t, r.distance) for r in J.nearest(p, "k", q, "t", ["x", "y"], 30.0).collect()}
+    targets = q.collect()
+    want = {r.k: min((math.sqrt((r.x - o.x) ** 2 + (r.y - o.y) ** 2), o.t) for o in targets)[::-1] for r in p.collect()}
+    assert got == want
+    seen, plain = [], J.radius_join
+    J.radius_join = lambda a, b, axes, radius: (seen.append((j := plain(a, b, axes, radius)).count()), j)[1]
+    try:
+        J.nearest(p, "k", q, "t", ["x", "y"], 30.0).collect()
+    finally:
+        J.radius_join = plain
+    assert sum(seen) < 0.1 * 600 * 400
