@@ -24,6 +24,18 @@ def good(x: Col) -> Column:
     return F.when(~F.isnan(x) & ~x.isin(float("inf"), float("-inf")), x)
 
 
+def steady_sum(x: Col) -> Column:
+    """The sum of a column's doubles, the same in whatever order they come: of values below 10^12 six decimals are added exactly, and what they leave out has hardly an error."""
+    x = col(x).cast("double")
+    whole = F.coalesce(x.try_cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+    return F.sum(whole).cast("double") + F.sum(x - whole.cast("double"))
+
+
+def steady_mean(x: Col) -> Column:
+    x = col(x)
+    return F.try_divide(steady_sum(x), F.count(x))
+
+
 def is_bad(x: Col) -> Column:
     """Whether ``x`` is null, NaN or infinite."""
     return good(x).isNull()

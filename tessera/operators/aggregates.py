@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import Col, col, good
+from ..functions.scalars import Col, col, good, steady_sum
 
 
 def conditional_sum(df: DataFrame, n: int, key: Col, value: Col) -> DataFrame:
@@ -62,7 +62,7 @@ def safe_variance(x: Col) -> Column:
 
 def harmonic_mean(x: Col) -> Column:
     g = good(x)
-    return F.try_divide(F.count(g), F.sum(F.try_divide(F.lit(1.0), g)))
+    return F.try_divide(F.count(g), steady_sum(F.try_divide(F.lit(1.0), g)))  # reciprocals of both signs nearly cancel
 
 
 def root_mean_square(x: Col) -> Column:

@@ -399,6 +399,15 @@ def test_searchlight_query_covers_the_whole_grid(spark):
     assert {(r.x, r.y) for r in got.collect()} == {(r.x, r.y) for r in cells.collect()}
 
 
+def test_sums_do_not_depend_on_the_order(spark):
+    from tessera.functions.scalars import steady_mean, steady_sum
+
+    rows = [0.1, 0.2, 0.3, 1e11, 33.33, -1e11, 1e-9, None, 7.77] * 5
+    sums = {repr(spark.createDataFrame([(v,) for v in order], "v double").coalesce(1).agg(steady_sum("v").alias("s")).first().s) for order in (rows, rows[::-1], sorted(rows, key=lambda v: v or 0))}
+    assert len(sums) == 1 and math.isclose(float(sums.pop()), math.fsum(v for v in rows if v is not None), rel_tol=1e-15)
+    assert spark.createDataFrame([(None,)], "v double").agg(steady_mean("v").alias("s")).first().s is None
+
+
 def test_nearest_of_crowded_targets_compares_few_pairs(spark):
     """All points see all targets within the radius; still each is compared with few, and ties go to the smallest."""
     from tessera.operators import joins as J
