@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import scalars as S
 from .operators import designs as D
 from .operators import maps as G
 from .queries import GRID, SECONDS, _grid, month, query, r, rounded, seconds
@@ -22,7 +23,7 @@ def _protocol(t) -> DataFrame:
 
 
 def _betas(t) -> DataFrame:
-    return t("lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("p"), F.col("l_linenumber").alias("v")).agg((F.avg("l_extendedprice") / 1000).alias("beta"))
+    return t("lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("p"), F.col("l_linenumber").alias("v")).agg((S.steady_mean("l_extendedprice") / 1000).alias("beta"))
 
 
 def _series(t) -> DataFrame:
