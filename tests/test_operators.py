@@ -425,3 +425,13 @@ def test_nearest_of_crowded_targets_compares_few_pairs(spark):
     finally:
         J.radius_join = plain
     assert sum(seen) < 0.1 * 600 * 400
+
+
+def test_near_singular_and_singular_inverses(spark):
+    from tessera.functions import matrices as K
+
+    rows = [([1.0, 2.0, 2.0, 4.0],), ([2.5, 4.0, 6.0, 9.599],), (None,), ([2.0],), ([1.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 4.0],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "m array<double>").coalesce(1).select(K.inverse("m")).collect()]
+    assert [round(v, 9) for v in got[0]] == [0.04, 0.08, 0.08, 0.16]
+    assert got[1][0] == 9.599 / (2.5 * 9.599 - 4.0 * 6.0)
+    assert got[2] is None and got[3] == [0.5] and got[4][8] == 0.25
