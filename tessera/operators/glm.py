@@ -235,6 +235,7 @@ def whitened(series: DataFrame, design: DataFrame, names: Names, y: str, order:
     """
     lags = LAGS[:order]
     by = [*names.run, *names.key]
+    series = written(series.select(*by, names.time, y), "series")  # read three times
     plain, most = prepared(design, names)
     a = written(lag_coefficients(series, plain, most, names, y, order), "lags")
     in_time = Window.partitionBy(*by).orderBy(names.time)
