@@ -112,8 +112,8 @@ def density_null(points: DataFrame, key: str, study: str, weight: str, axes: lis
     """b (1 to ``draws``) and highest: the greatest weighted share of studies over the cells when every point is dealt to a random cell, for the null of ``point_density``.
 
     A point's cells depend on its integer ``key``, the draw and the seed alone.
-    Cells are numbered by ranges of their order, a point of a draw meets its
-    number, and a study counts once a cell; sums come before every shuffle.
+    Cells are numbered by ranges of their order, and a study counts once a number
+    before it meets its cell, so no shuffle is larger than draws x studies x cells.
     Points without a key are left out; a draw without points gives 0.
     """
     order = [F.col(a).asc() for a in axes]
@@ -123,11 +123,11 @@ def density_null(points: DataFrame, key: str, study: str, weight: str, axes: lis
     numbered = grid.join(parts, "_p").select(*axes, (F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).alias("_i"))
     n = grid.count()
     k = F.col(key).cast("long") % PRIME
-    u = ((k * k + 12_345) % PRIME * 31 + F.col("b") * 7919 + seed * 104_729) % PRIME
-    for c in (12_345, 67_891, 24_680):
-        u = (u * u + c) % PRIME
-    p = points.where(F.col(key).isNotNull()).select(key, study, weight, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    p = p.withColumn("_u", u).select("b", study, weight, F.expr(f"_u * {n} div {PRIME}").alias("_i"))
+    p = points.where(F.col(key).isNotNull()).select((k * k).alias("_u"), study, weight, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
+    p = p.withColumn("_u", ((F.col("_u") + 12_345) % PRIME * 31 + F.col("b") * 7919 + seed * 104_729) % PRIME)
+    for c in (12_345, 67_891, 24_680):  # a column each time: one expression would hold all its powers of two
+        p = p.withColumn("_u", (F.col("_u") * F.col("_u") + c) % PRIME)
+    p = p.select("b", study, weight, F.expr(f"_u * {n} div {PRIME}").alias("_i")).groupBy("b", study, "_i").agg(F.max(weight).alias(weight))
     reach = int(radius)
     near = [o for o in product(range(-reach, reach + 1), repeat=len(axes)) if sum(v * v for v in o) <= radius * radius]
     shift = F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(o)]) for o in near])
