@@ -18,8 +18,9 @@ resembles no other, since one edit is too much.  Pairs that meet are compared if
 their SimHashes of all distinct words differ in at most ``RADIUS`` of 64 bits, which
 three edits in twenty hardly ever exceed; members of a crowded block, all of which
 are compared, by a SimHash of 256 bits, in no more than the most edits allowed at
-their length change in nine of ten cases (fewer edits: in nearly all).  The edit
-similarity decides.  The first
+their length change in nine of ten cases (fewer edits: in nearly all); members that
+this leaves meet again in their blocks, there with 16 bits of each word's hash.  The
+edit similarity decides.  The first
 occurrence by (doc_id, line number) of a connected group stays; every other one goes.
 
 Defined results: lines of fewer than ``MIN_CHARS`` normalised characters always
@@ -55,6 +56,9 @@ PAIRS = 4_000_000  # pairs whose words are on disk at once
 #: Lines whose numbers may be broadcast, 12 bytes each and a document's share.
 BROADCAST_LINES = 2_000_000
 SIMS = ("sim", "sim1", "sim2", "sim3")
+#: Words of a line that meets others in a crowded block with its words; longer ones meet by fingerprints alone and are decided later.
+SHORT = 512
+DECIDED = 1 << 16  # pairs of members whose words are compared at once
 #: Lines whose words are sorted at once: their number and 46 bits of a word's hash fit into one integer.
 LINES = 1 << 18
 
@@ -287,12 +291,12 @@ _MOST_APART = float(bits_apart(np.arange(7, 20_000)).max())
 
 
 def _near(h, label, n, sims, split: int) -> np.ndarray:
-    """(2, pairs): of the members before ``split`` with those from it on (or with each other, if none come after) the pairs of different labels whose lengths and SimHashes of 256 bits allow a link; a strip of rows at a time."""
+    """(2, pairs), places of members: of the members before ``split`` with those from it on (or with each other, if none come after) the pairs of different labels whose lengths and SimHashes of 256 bits allow a link; a strip of rows at a time."""
     alone = split == h.size  # a block with itself
     second = slice(0 if alone else split, h.size)
-    hb, lb, m, other = h[second], label[second], n[second], [s[second] for s in sims]
+    lb, m, other = label[second], n[second], [s[second] for s in sims]
     out = [np.empty((2, 0), np.int64)]
-    strip = max(1, STRIP // max(1, hb.size))
+    strip = max(1, STRIP // max(1, lb.size))
     for x in range(0, split, strip):
         rows = slice(x, min(split, x + strip))
         apart = sum(np.bitwise_count(sims[c][rows, None] ^ other[c][None]) for c in (0, 1))
@@ -304,13 +308,26 @@ def _near(h, label, n, sims, split: int) -> np.ndarray:
             apart += np.bitwise_count(sims[c][i] ^ other[c][j])
         long = np.maximum(n[i], m[j])
         ok = (apart <= bits_apart(long)) & (np.minimum(n[i], m[j]) >= SIMILARITY * long - 1e-9)
-        i, j = h[i[ok]], hb[j[ok]]
-        out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+        out.append(np.stack([i[ok], j[ok] + second.start]))
     return np.concatenate(out, axis=1)
 
 
+def _undecided(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of members may be similar by 16 bits of each word's hash; equal bits of different words only bring lines nearer.  Members without words may."""
+    out = np.ones(i.size, bool)
+    has = np.array([w is not None for w in words], bool)
+    own = np.flatnonzero(has[i] & has[j])
+    at, place = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+    lists = [np.frombuffer(words[k], np.uint16) for k in at]
+    for x in range(0, own.size, DECIDED):
+        part = own[x : x + DECIDED]
+        a, b = place[x : x + part.size], place[own.size + x : own.size + x + part.size]
+        out[part] = _similar([lists[k] for k in a], [lists[k] for k in b])
+    return out
+
+
 def _block_pairs(batches):
-    """Rows sorted by key, i, j and side -> the pairs of each group that need words.  A group whose end has not come yet is carried on."""
+    """Rows sorted by key, i, j and side -> the pairs of each group that fingerprints and short words (the last column, if there is one) leave.  A group whose end has not come yet is carried on."""
     held = None
     for b in itertools.chain(batches, [None]):
         if b is None:
@@ -324,20 +341,39 @@ def _block_pairs(batches):
             ends = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1).tolist()
         begin, found = 0, [np.empty((2, 0), np.int64)]
         for end in ends:
-            side, h, label, n, *sims = (c[begin:end] for c in cols[3:])
-            found.append(_near(h, label, n.astype(np.int64), [s.view(np.uint64) for s in sims], int(np.searchsorted(side, 1))))
+            side, h, label, n, *more = (c[begin:end] for c in cols[3:])
+            i, j = _near(h, label, n.astype(np.int64), [s.view(np.uint64) for s in more[: len(SIMS)]], int(np.searchsorted(side, 1)))
+            for words in more[len(SIMS) :]:
+                ok = _undecided(words, i, j)
+                i, j = i[ok], j[ok]
+            found.append(np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j])]))
             begin = end
         held = [c[begin:] for c in cols]
         x, y = np.concatenate(found, axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
+def _block_members(batches):
+    """The members of the pairs that ``_block_pairs`` leaves."""
+    for b in _block_pairs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(_distinct(np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()])))], names=["h"])
+
+
+def _dealt(members: DataFrame, more: list[str]) -> DataFrame:
+    """Rows of groups, each a pair of blocks of a key, in the order that ``_block_pairs`` takes."""
+    m = members.withColumn("blk", F.pmod(F.xxhash64("h", "key"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    m = m.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "h", "label", "n", *SIMS, *more)
+    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+
 def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links between hot keys' members that no link joins yet; keys of one group end here.
 
     Members are dealt into blocks of about BLOCK, and every pair of blocks of a
     key is a group of its own, so a group's size is bounded whatever the key's.
-    Members meet by their SimHashes alone; only pairs that these leave need words.
+    Members meet by their SimHashes alone first; those that these leave in a pair
+    fetch their words and meet again, so what leaves a group the first time is
+    members, and the second time links (and pairs of very long lines).
     """
     m = hot.select(F.col("a").alias("h"), "key").distinct().join(found.select(F.col("id").alias("h"), F.col("component").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
     sizes = m.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "nb")
@@ -345,19 +381,27 @@ def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     dropped(hot)
     if members.isEmpty():
         return None
-    m = members.join(classes.select("h", F.col("words").alias("n"), *SIMS), "h")
-    m = m.withColumn("blk", F.pmod(F.xxhash64("h", "key"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    m = m.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "h", "label", "n", *SIMS)
-    m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    near = written(m.mapInArrow(_block_pairs, "a long, b long").distinct(), "near")
+    marked = members.join(classes.select("h", F.col("words").alias("n"), *SIMS), "h")
+    some = written(_dealt(marked, []).mapInArrow(_block_members, "h long").distinct(), "some")
+    words = _words_of(some, classes, docs)
+    near = written(_dealt(marked.join(words.select("h", "short"), "h"), ["short"]).mapInArrow(_block_pairs, "a long, b long").distinct(), "near")
     dropped(members)
-    links = _verified(near, classes, docs)
+    dropped(some)
+    links = _verified(near, words)
     dropped(near)
+    dropped(words)
     return links
 
 
+def _two_ways(words: list[np.ndarray]) -> list[pa.Array]:
+    """Lines' words as 32 bits of each hash, and as 16 for lines of up to SHORT words."""
+    off = np.concatenate([[0], np.cumsum([w.size for w in words])]).astype(np.int32)
+    flat = np.concatenate([*words, np.empty(0, np.uint64)])
+    return [pa.ListArray.from_arrays(pa.array(off), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.array([(w >> np.uint64(48)).astype(np.uint16).tobytes() if w.size <= SHORT else None for w in words], pa.binary())]
+
+
 def _line_words(batches):
-    """h and the words (32-bit hashes) of every line."""
+    """h and the words of every line, two ways."""
     with np.errstate(over="ignore"):
         for batch in few_rows(batches):
             ids, texts = batch.column(0), _lower(batch.column(1).to_pylist())
@@ -366,13 +410,12 @@ def _line_words(batches):
                 if found is None:
                     continue
                 doc, number, h, _, n_words, words = found
-                off = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array((words >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), lists], names=["doc_id", "line_no", "h", "words"])
+                lists = _two_ways(np.split(words, np.cumsum(n_words)[:-1]))
+                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), *lists], names=["doc_id", "line_no", "h", "words", "short"])
 
 
 def _wanted_words(batches):
-    """h and the words (32-bit hashes) of the lines in ``wanted``, (line number, h) of a document."""
+    """h and the words, two ways, of the lines in ``wanted``, (line number, h) of a document."""
     with np.errstate(over="ignore"):
         for batch in few_rows(batches):
             texts, wanted = _lower(batch.column(1).to_pylist()), batch.column(2)
@@ -388,8 +431,7 @@ def _wanted_words(batches):
                 at = np.array([place.get(p, -1) for p in zip(of.tolist(), line.tolist(), strict=True)], np.int64)
                 at = at[(at >= 0) & (h.view(np.int64)[at] == key)]  # of several texts under one doc_id, the one that has the line
                 off = np.concatenate([[0], np.cumsum(n_words)])
-                lists = pa.array([(words[off[k] : off[k + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in at], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[at]), lists], names=["h", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[at]), *_two_ways([words[off[k] : off[k + 1]] for k in at])], names=["h", "words", "short"])
 
 
 def _few_edits(a: np.ndarray, b: np.ndarray) -> bool:
@@ -422,16 +464,46 @@ def _few_edits(a: np.ndarray, b: np.ndarray) -> bool:
     return False
 
 
+def _parts(own: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """``own`` in runs of about a million words."""
+    return [p for p in np.split(own, np.flatnonzero(np.diff(np.cumsum(size[own]) >> 20)) + 1) if p.size]
+
+
+def _lacking(pa_: np.ndarray, x: np.ndarray, pb: np.ndarray, y: np.ndarray, pairs: int) -> np.ndarray:
+    """For each pair of lines, the words (counted as often as they come) that one line lacks of the other, the more of both ways: no fewer edits do.  Words are told apart by 32 bits."""
+    low = np.int64(0xFFFFFFFF)
+    v = np.sort(np.concatenate([(pa_ << 33) | ((x & low) << 1), (pb << 33) | ((y & low) << 1) | 1]))
+    if not v.size:
+        return np.zeros(pairs)
+    first = np.flatnonzero(np.diff(v >> 1, prepend=-1))
+    count = np.add.reduceat(1 - 2 * (v & 1), first)
+    of = v[first] >> 33
+    return np.maximum(np.bincount(of, np.maximum(count, 0), pairs), np.bincount(of, np.maximum(-count, 0), pairs))
+
+
 def _similar(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """For each pair of lines: whether their edit similarity suffices.  Short lines: banded tables of many pairs at once."""
-    n, m = np.array([x.size for x in a]), np.array([x.size for x in b])
+    """For each pair of lines: whether their edit similarity suffices.  Places that differ and words that one line lacks decide most; the others by banded tables of many pairs at once, long lines one by one."""
+    n, m = np.array([x.size for x in a], np.int64), np.array([x.size for x in b], np.int64)
     long = np.maximum(n, m)
     most = ((1 - SIMILARITY) * long + 1e-9).astype(int)
     ok = np.abs(n - m) <= most
-    for i in np.flatnonzero(ok & (long > 256)):
+    open_ = np.zeros(ok.size, bool)
+    for part in _parts(np.flatnonzero(ok), n + m):
+        x, y = (np.concatenate([v[i] for i in part]).astype(np.int64) for v in (a, b))
+        pair = np.arange(part.size)
+        same = n[part] == m[part]
+        xs, ys = x[np.repeat(same, n[part])], y[np.repeat(same, m[part])]
+        apart = np.full(part.size, 1 << 40)
+        apart[same] = np.bincount(np.repeat(pair[same], n[part][same]), xs != ys, part.size)[same]
+        left = apart > most[part]  # those that differ in few places are similar
+        xl, yl = x[np.repeat(left, n[part])], y[np.repeat(left, m[part])]
+        lacks = _lacking(np.repeat(pair[left], n[part][left]), xl, np.repeat(pair[left], m[part][left]), yl, part.size)
+        ok[part] = ~left | (lacks <= most[part])
+        open_[part] = left & (lacks <= most[part])
+    for i in np.flatnonzero(open_ & (long > 256)):
         ok[i] = _few_edits(a[i], b[i])
     for lo, hi in ((1, 24), (25, 64), (65, 128), (129, 256)):
-        own = np.flatnonzero(ok & (long >= lo) & (long <= hi))
+        own = np.flatnonzero(open_ & (long >= lo) & (long <= hi))
         for s in range(0, own.size, 4096):
             part = own[s : s + 4096]
             ok[part] = _banded([a[i] for i in part], [b[i] for i in part], most[part])
@@ -470,7 +542,7 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.nd
 
 def _alike(batches):
     for batch in batches:
-        a, b = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("wa", "wb"))
+        a, b = (np.split(batch.column(c).flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(batch.column(c).value_lengths()))[:-1]) for c in ("wa", "wb"))
         ok = pa.array(_similar(a, b)) if batch.num_rows else pa.array([], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
@@ -482,15 +554,14 @@ def _words_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     if few:  # each document gets the numbers of its lines, so that no other line leaves it
         lists = where.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
         some = docs.select("doc_id", "text").join(F.broadcast(lists), "doc_id")
-        return written(some.mapInArrow(_wanted_words, "h long, words array<int>").dropDuplicates(["h"]), "words")
+        return written(some.mapInArrow(_wanted_words, "h long, words array<int>, short binary").dropDuplicates(["h"]), "words")
     some = only(docs, where.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
-    lines = some.mapInArrow(_line_words, "doc_id long, line_no int, h long, words array<int>")
-    return written(lines.join(where, ["doc_id", "line_no", "h"], "left_semi").select("h", "words").dropDuplicates(["h"]), "words")
+    lines = some.mapInArrow(_line_words, "doc_id long, line_no int, h long, words array<int>, short binary")
+    return written(lines.join(where, ["doc_id", "line_no", "h"], "left_semi").select("h", "words", "short").dropDuplicates(["h"]), "words")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, of class hashes whose lines are similar enough."""
-    lines = _words_of(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), classes, docs)
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b), a written table, of class hashes whose lines, in a written table of words, are similar enough."""
     a = lines.select(F.col("h").alias("a"), F.col("words").alias("wa"))
     b = lines.select(F.col("h").alias("b"), F.col("words").alias("wb"))
     parts = max(1, -(-pairs.count() // PAIRS))
@@ -499,7 +570,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i) if parts > 1 else pairs
         part = written(some.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(_alike, "a long, b long"), "links")
         links = part if links is None else links.union(part)
-    dropped(lines)
     return links
 
 
@@ -519,8 +589,10 @@ def removals(docs: DataFrame) -> DataFrame:
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "near")
     hot = written(met.where("b is null"), "hot")
     dropped(met)
-    found = components(_verified(pairs, classes, docs))
+    words = _words_of(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), classes, docs)
+    found = components(_verified(pairs, words))
     dropped(pairs)
+    dropped(words)
     if not hot.isEmpty():
         more = _in_blocks(hot, found, classes, docs)
         if more is not None and not more.isEmpty():  # what is found stands for its links

@@ -206,3 +206,42 @@ def test_crowded_keys_meet_by_fingerprints_alone(monkeypatch):
     for step in (7, 40, 1000):
         got = [p for b in L._block_pairs(table.slice(i, step) for i in range(0, len(rows), step)) for p in zip(*b.to_pydict().values(), strict=True)]
         assert want and set(got) == want
+
+
+def test_similar_decides_all_kinds_of_pairs():
+    """Replaced, inserted, moved and doubled words, wide and narrow hashes: as the full table."""
+    rng = random.Random(12)
+    a, b = [], []
+    for _ in range(400):
+        x = [rng.choice((rng.randrange(12), rng.getrandbits(31), -rng.getrandbits(31))) for _ in range(rng.randint(1, 70))]
+        y = list(x)
+        for _ in range(rng.randint(0, 1 + len(x) // 5)):
+            q = rng.randrange(len(y) + 1)
+            y[q : q + rng.randint(0, 1)] = [rng.choice(x)] * rng.randint(0, 1)
+        if rng.random() < 0.1:
+            rng.shuffle(y)
+        if y:
+            a.append(np.array(x, np.int32))
+            b.append(np.array(y, np.int32))
+    want = [distance(x.tolist(), y.tolist()) <= L.most_edits(max(x.size, y.size)) for x, y in zip(a, b, strict=True)]
+    assert L._similar(a, b).tolist() == want and 50 < sum(want) < len(want) - 50
+
+
+def test_what_leaves_a_crowded_group_are_links_and_not_pairs():
+    """Lines alike by fingerprints of which few are linked: pairs without a link don't leave the group, those of long lines do."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 16, 40).astype(np.uint16)
+    words = []
+    for _ in range(200):
+        w = base.copy()
+        w[rng.choice(40, 7, replace=False)] = rng.integers(0, 1 << 16, 7)
+        words.append(w)
+    words += [words[5].copy(), words[6][1:].copy()]
+    n = len(words)
+    short = [w.tobytes() for w in words] + [None, None]
+    cols = [[1] * (n + 2), [0] * (n + 2), [0] * (n + 2), [0] * (n + 2), list(range(n + 2)), list(range(n + 2)), [40] * (n + 2), *[[9] * (n + 2)] * 4]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(short, pa.binary())], [f"c{i}" for i in range(12)])
+    got = {p for x in L._block_pairs([batch]) for p in zip(*x.to_pydict().values(), strict=True)}
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if distance(words[i].tolist(), words[j].tolist()) <= L.most_edits(40)}
+    assert {(5, 200), (6, 201)} <= want and got == want | {(i, j) for j in (n, n + 1) for i in range(j)}
