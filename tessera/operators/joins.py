@@ -27,8 +27,12 @@ def interval_join(points: DataFrame, t: str, events: DataFrame, onset: str, befo
 
 
 def radius_join(a: DataFrame, b: DataFrame, axes: list[str], radius: float) -> DataFrame:
-    """Pairs (a.*, b.* as other_*) no farther apart than ``radius``: an equi-join on grid cells of that size, each point of ``a`` in all neighbouring cells."""
-    d = a
+    """Pairs (a.*, b.* as other_*) no farther apart than ``radius``: an equi-join on grid cells of that size, each point of ``a`` in all neighbouring cells.
+
+    The pairs can be many times the points, so ``a`` is dealt over all cores, however few its files.
+    """
+    spark = a.sparkSession
+    d = a.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for x in axes:
         c = F.floor(F.col(x) / radius)
         d = d.withColumn(f"_c_{x}", F.explode(F.sequence(c - 1, c + 1)))
