@@ -121,6 +121,10 @@ def glm_autoregressive(t):
     return d.select("r", "k", r("a1", 2).alias("a1"), r("a2", 2).alias("a2"), r("beta", 4).alias("beta"), r("se", 4).alias("se"), r("t", 3).alias("t"))
 
 
+#: Keys of a volume file: its array is built in one task, and its extents are numbers of 16 bits.
+SPAN = 4096
+
+
 def _header(key: tuple, shape: tuple) -> dict:
     box = {"XStart": 0, "XEnd": shape[1], "YStart": 0, "YEnd": shape[2], "ZStart": 0, "ZEnd": shape[3]}
     return {"FileVersion": 3, "NameOfSourceFMR": "", "NrOfLinkedPRTs": 0, "NrOfCurrentPRT": 0, "DataType": 2, "NrOfVolumes": shape[0], "Resolution": 1, **box, "Convention": 1, "ReferenceSpace": 3, "TR": 2000.0}
@@ -131,15 +135,21 @@ WITH k AS (SELECT unnest(range(max(l_suppkey)+1)) AS x FROM lineitem), y AS (SEL
 SELECT r, x::INT AS x, count(*) FILTER (l_suppkey IS NOT NULL) > 0 AS shipped, coalesce(sum(l_quantity),0)+0.0 AS quantity FROM y CROSS JOIN k LEFT JOIN lineitem ON year(l_shipdate)=r AND l_suppkey=x AND month(l_shipdate) BETWEEN 4 AND 9 AND l_linenumber<=4 GROUP BY 1,2
 """)
 def volume_ranges(t):
-    """A volume file for each year is written from the table; a box of months and lines is read back by ranges."""
-    d = t("lineitem")
-    cells = d.groupBy(F.year("l_shipdate").alias("r"), (F.month("l_shipdate") - 1).alias("t"), F.col("l_suppkey").alias("x"), (F.col("l_linenumber") - 1).alias("y"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("z"))
+    """Volume files for each year, one for every SPAN keys, are written from the table; a box of months and lines is read back by ranges."""
+    d = t("lineitem").withColumn("r", F.year("l_shipdate"))
+    n = int(d.agg(F.max("l_suppkey")).first()[0]) + 1
+    k = F.col("l_suppkey")
+    cells = d.where(k.isNotNull()).select("r", F.floor(k / SPAN).alias("block"), (F.month("l_shipdate") - 1).alias("t"), (k % SPAN).alias("x"), (F.col("l_linenumber") - 1).alias("y"), F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("z"), F.col("l_quantity").alias("value"))
+    zero = F.lit(0).cast("int")
+    every = d.select("r").distinct().crossJoin(F.broadcast(d.sparkSession.range(-(-n // SPAN)).withColumnRenamed("id", "block")))  # blocks without a row in a year have a file, too
+    cells = cells.unionByName(every.select("r", "block", zero.alias("t"), zero.cast("long").alias("x"), zero.alias("y"), zero.alias("z"), F.lit(0.0).alias("value")))
     folder = f"{shared_dir(d.sparkSession)}/tables/volumes-{uuid.uuid4().hex}"
-    shape = (12, int(d.agg(F.max("l_suppkey")).first()[0]) + 1, 7, 3)
-    R.write_cells(cells.agg(F.sum("l_quantity").alias("value")), ["r"], "vtc", _header, shape, folder)
+    sums = cells.groupBy("r", "block", "t", "x", "y", "z").agg(F.sum("value").alias("value"))
+    R.write_cells(sums, ["r", "block"], "vtc", _header, (12, min(n, SPAN), 7, 3), folder)
     box = R.read_cells(d.sparkSession, folder, "vtc", {"t": (3, 9), "y": (0, 4)})
-    year = F.regexp_extract("path", r"(\d+)\.vtc$", 1).cast("int")
-    return box.groupBy(year.alias("r"), "x").agg((F.max("value") > 0).alias("shipped"), F.sum("value").alias("quantity"))
+    part = [F.regexp_extract("path", r"(\d+)-(\d+)\.vtc$", g).cast("int") for g in (1, 2)]
+    box = box.select(part[0].alias("r"), (part[1] * SPAN + F.col("x")).alias("x"), "value").where(F.col("x") < n)
+    return box.groupBy("r", "x").agg((F.max("value") > 0).alias("shipped"), F.sum("value").alias("quantity"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(median(l_extendedprice),6)+0.0 AS median, count(*) AS n FROM lineitem GROUP BY 1,2")
