@@ -41,6 +41,12 @@ def r(x: Column | str, digits: int = 6) -> Column:
     return F.round(S.col(x), digits) + F.lit(0.0)
 
 
+def r_fast(x: str, digits: int) -> Column:
+    """``r`` of a double that is not negative, by the arithmetic of the SQL's round (ties up) and without a decimal number for each row."""
+    t = F.col(x) * F.lit(10.0**digits)
+    return (F.rint(t) + F.when(t - F.rint(t) == 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+
+
 def rounded(data: DataFrame, digits: int = 6, **more: int) -> DataFrame:
     """All double columns rounded."""
     return data.select(*[r(c, more.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in data.dtypes])
@@ -921,7 +927,7 @@ def interpolate_map(t):
 @query("SELECT q.vec_id AS query, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),5)+0.0 AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id%20=0) q")
 def query_distances(t):
     e = t("embeddings")
-    return V.distances_to(e, "vec_id", "embedding", e.where("vec_id % 20 = 0")).select("query", "vec_id", r("distance", 5).alias("distance"))
+    return V.distances_to(e, "vec_id", "embedding", e.where("vec_id % 20 = 0")).select("query", "vec_id", r_fast("distance", 5).alias("distance"))
 
 
 @query("""

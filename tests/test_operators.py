@@ -294,6 +294,28 @@ def test_distances_in_blocks(spark):
     assert whole == parts and len(whole) == 800
 
 
+def test_distances_are_dealt_over_tasks(spark, tmp_path):
+    """One small file makes many pairs: several tasks build them, whatever its files, and nothing is broadcast."""
+    spark.range(3000).selectExpr("id AS k", "array(cast(id % 7 AS float), cast(id % 50 AS float)) AS v").coalesce(1).write.parquet(f"{tmp_path}/v")
+    d = spark.read.parquet(f"{tmp_path}/v")
+    j = V.distances_to(d, "k", "v", d.where("k % 5 = 0"))
+    assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString()
+    by_task = {r[0]: r[1] for r in j.groupBy(F.spark_partition_id()).count().collect()}
+    assert sum(by_task.values()) == 600 * 3000 and max(by_task.values()) <= 600 * 3000 / 2
+    assert j.where(F.expr("abs(distance - sqrt(pow(query % 7 - k % 7, 2) + pow(query % 50 - k % 50, 2))) > 1e-9 OR distance IS NULL")).count() == 0
+
+
+def test_distances_of_odd_vectors(spark):
+    """Null where a vector is null, holds a null, or the lengths differ; queries and rows of other types and keys."""
+    rows = [(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, []), (5, [0.0, None]), (None, [0.0, 0.0]), (6, [float("nan"), 0.0]), (6, [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "k long, v array<float>")
+    q = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0]), ("c", []), ("d", None), ("e", [None])], "k string, v array<double>")
+    got = sorted(((r.query, r.k, repr(r.distance)) for r in V.distances_to(d, "k", "v", q, 2).collect()), key=str)
+    own = {"a": {(1, "5.0"), (None, "0.0"), (6, "nan"), (6, "1.0")}, "b": {(3, "0.0")}, "c": {(4, "0.0")}, "d": set(), "e": set()}
+    assert len(got) == 40 and {x: {(k, t) for y, k, t in got if y == x and t != "None"} for x in "abcde"} == own
+    assert V.distances_to(d, "k", "v", q.where("false")).count() == V.distances_to(d.where("false"), "k", "v", q).count() == 0
+
+
 def test_frames():
     from tessera.functions import frames as G
 
