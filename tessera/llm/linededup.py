@@ -59,6 +59,10 @@ SIMS = ("sim", "sim1", "sim2", "sim3")
 #: Words of a line that meets others in a crowded block with its words; longer ones meet by fingerprints alone and are decided later.
 SHORT = 512
 DECIDED = 1 << 16  # pairs of members whose words are compared at once
+#: Pairs in one banded table, and words of the longest line in one; longer lines are compared one by one.
+TABLES, TABLED = 2048, 2048
+#: Members of a group that is compared together with others of its kind.
+FEW = 128
 #: Lines whose words are sorted at once: their number and 46 bits of a word's hash fit into one integer.
 LINES = 1 << 18
 
@@ -72,22 +76,42 @@ def most_edits(n: int) -> int:
 SCHEMES = [(7, 4, 2), (14, 5, 1), (20, 7, 1), (30, 9, 1), *((n, round(n / 3.2), 1) for n in (int(45 * 1.5**i) for i in range(30)))]
 
 
-#: For each byte, its bits as eight counters of one byte.
-_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0].copy()
-
-
 def simhash(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each non-empty run of feature hashes: a bit is set if more than half of them have it."""
+    """64-bit SimHash of each non-empty run of feature hashes (one or several rows of them): a bit is set if more than half of them have it.
+
+    The counts of a run's 64 bits are held as planes, a plane a binary digit, and all
+    runs add their next feature at once, the longest runs first.
+    """
+    rows = np.atleast_2d(h)
     n = np.diff(off)
-    out = np.empty((n.size, 8), np.uint8)
-    raw, half = h.view(np.uint8).reshape(-1, 8), (np.minimum(n, 255) // 2).astype(np.uint8)[:, None]
-    for i in range(8 if n.size else 0):
-        total = np.add.reduceat(_COUNTERS[raw[:, i]], off[:-1])
-        out[:, i] = np.packbits(total.view(np.uint8).reshape(-1, 8) > half, axis=1)[:, 0]
-    for i in np.flatnonzero(n > 255):  # a counter of one byte holds no more
-        total = sum(np.unpackbits(raw[a : min(a + 65536, off[i + 1])], axis=1).sum(axis=0, dtype=np.int64) for a in range(off[i], off[i + 1], 65536))
-        out[i] = np.packbits(total * 2 > n[i])
-    return out.view(np.uint64)[:, 0]
+    out = np.zeros((rows.shape[0], n.size), np.uint64)
+    short = np.flatnonzero(n <= 255)
+    short = short[np.argsort((255 - n[short]).astype(np.uint8), kind="stable")]
+    size, start = n[short], off[:-1][short]
+    planes: list[np.ndarray] = []
+    active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # runs of more features than that
+    for i, k in enumerate(active):
+        carry = rows[:, start[:k] + i]
+        if i + 1 == 1 << len(planes):  # the counts get a digit
+            planes.append(np.zeros((rows.shape[0], short.size), np.uint64))
+        for p in planes[:-1]:
+            own = p[:, :k]
+            up = own & carry
+            own ^= carry
+            carry = up
+        planes[-1][:, :k] ^= carry
+    more, equal = np.zeros((rows.shape[0], short.size), np.uint64), np.full(short.size, ~np.uint64(0))
+    for d in range(len(planes) - 1, -1, -1):
+        half = -((size >> (d + 1)) & 1).astype(np.uint64)  # the digit of half the features, for all bits
+        more |= equal & planes[d] & ~half
+        equal = equal & ~(planes[d] ^ half)
+    out[:, short] = more
+    for i in np.flatnonzero(n > 255):
+        for r, raw in enumerate(rows):
+            raw = np.ascontiguousarray(raw[off[i] : off[i + 1]]).view(np.uint8).reshape(-1, 8)
+            total = sum(np.unpackbits(raw[x : x + 65536], axis=1).sum(axis=0, dtype=np.int64) for x in range(0, len(raw), 65536))
+            out[r, i] = np.packbits(total * 2 > n[i]).view(np.uint64)[0]
+    return out.reshape(*h.shape[:-1], n.size)
 
 
 def _distinct(v: np.ndarray) -> np.ndarray:
@@ -111,7 +135,7 @@ def _fingerprints(h: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, pa.Ar
         line, top = (v >> np.uint64(46)).astype(np.int64), (v >> np.uint64(22)) & np.uint64((1 << 24) - 1)
         word = mix(v & np.uint64((1 << 46) - 1))
         off = np.append(np.flatnonzero(np.diff(line, prepend=-1)), v.size)
-        sims.append(np.stack([simhash(mix(word + np.uint64(i)) if i else word, off) for i in range(4)], axis=1))
+        sims.append(simhash(np.stack([mix(word + np.uint64(i)) if i else word for i in range(4)]), off).T)
         own = np.searchsorted(first, n, "right") - 1
         longer = np.searchsorted(first, (n / SIMILARITY + 1e-9).astype(int), "right") - 1
         found = []
@@ -243,7 +267,7 @@ def _compare(batches):
                 ph, ps, pn = np.where(mine, carry["ph"], ph), np.where(mine, np.uint64(carry["ps"]), ps), np.where(mine, carry["pn"], pn)
             a, bb, sa, sb, na, nb = (np.concatenate(p) for p in ((a, ph), (bb, h[far]), (sa, ps), (sb, sim[far]), (na, pn), (nb, n[far])))
         ok = (np.bitwise_count(sa ^ sb) <= RADIUS) & (np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb) - 1e-9)
-        yield _pairs_out(np.minimum(a, bb)[ok], np.maximum(a, bb)[ok])
+        yield _out(np.minimum(a, bb)[ok], np.maximum(a, bb)[ok], None)
         # members of hot keys, for what the window has not compared
         hot_run = np.zeros(first.size, bool)
         hot_run[run[far]] = True
@@ -253,7 +277,7 @@ def _compare(batches):
         elif old and hot_run[0]:
             hot = hot[hot >= old]
         if hot.size:
-            yield _hot_out(key[hot], h[hot], sim[hot], n[hot])
+            yield _out(h[hot], None, key[hot])
         # carry the last key on
         at = int(first[-1])
         same = old > 0 and first.size == 1
@@ -264,20 +288,11 @@ def _compare(batches):
         }
 
 
-_OUT = "a long, b long, key long, sim long, n int"
-
-
-def _out(cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "sim", "n"])
+_OUT = "a long, b long, key long"
 
 
-def _pairs_out(a, b):
-    z = a.size
-    return _out([pa.array(a), pa.array(b), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int32())])
-
-
-def _hot_out(key, h, sim, n):
-    return _out([pa.array(h), pa.nulls(h.size, pa.int64()), pa.array(key), pa.array(sim.view(np.int64)), pa.array(n.astype(np.int32))])
+def _out(*cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(cols[0].size, pa.int64()) if c is None else pa.array(c) for c in cols], names=["a", "b", "key"])
 
 
 def bits_apart(n: np.ndarray) -> np.ndarray:
@@ -290,25 +305,45 @@ def bits_apart(n: np.ndarray) -> np.ndarray:
 _MOST_APART = float(bits_apart(np.arange(7, 20_000)).max())
 
 
+def _close(apart, i, j, h, label, n, sims) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j) of members of different labels, ``apart`` in the first two words, those whose lengths and SimHashes of 256 bits allow a link."""
+    for c in (2, 3):
+        apart = apart + np.bitwise_count(sims[c][i] ^ sims[c][j])
+    long = np.maximum(n[i], n[j])
+    ok = (apart <= bits_apart(long)) & (np.minimum(n[i], n[j]) >= SIMILARITY * long - 1e-9)
+    return i[ok], j[ok]
+
+
 def _near(h, label, n, sims, split: int) -> np.ndarray:
     """(2, pairs), places of members: of the members before ``split`` with those from it on (or with each other, if none come after) the pairs of different labels whose lengths and SimHashes of 256 bits allow a link; a strip of rows at a time."""
     alone = split == h.size  # a block with itself
-    second = slice(0 if alone else split, h.size)
-    lb, m, other = label[second], n[second], [s[second] for s in sims]
+    begin = 0 if alone else split
+    lb, other = label[begin:], [s[begin:] for s in sims]
     out = [np.empty((2, 0), np.int64)]
     strip = max(1, STRIP // max(1, lb.size))
     for x in range(0, split, strip):
         rows = slice(x, min(split, x + strip))
-        apart = sum(np.bitwise_count(sims[c][rows, None] ^ other[c][None]) for c in (0, 1))
+        first = x if alone else 0  # those before have met these rows
+        apart = np.bitwise_count(sims[0][rows, None] ^ other[0][None, first:])
+        apart += np.bitwise_count(sims[1][rows, None] ^ other[1][None, first:])
         i, j = np.nonzero(apart <= _MOST_APART)  # half of the bits leaves few
-        apart, i = apart[i, j].astype(np.int64), i + x
+        apart, i, j = apart[i, j].astype(np.int64), i + x, j + first
         ok = (label[i] != lb[j]) & (i < j) if alone else label[i] != lb[j]
-        apart, i, j = apart[ok], i[ok], j[ok]
-        for c in (2, 3):
-            apart += np.bitwise_count(sims[c][i] ^ other[c][j])
-        long = np.maximum(n[i], m[j])
-        ok = (apart <= bits_apart(long)) & (np.minimum(n[i], m[j]) >= SIMILARITY * long - 1e-9)
-        out.append(np.stack([i[ok], j[ok] + second.start]))
+        out.append(np.stack(_close(apart[ok], i[ok], j[ok] + begin, h, label, n, sims)))
+    return np.concatenate(out, axis=1)
+
+
+def _near_in_small(h, label, n, sims, size: np.ndarray) -> np.ndarray:
+    """The same of many small groups, one behind the other, each of ``size`` members that meet each other: members d places apart, for all groups at once."""
+    end = np.cumsum(size).repeat(size)
+    out = [np.empty((2, 0), np.int64)]
+    i = np.arange(h.size)
+    for d in range(1, int(size.max(initial=0))):
+        i = i[i + d < end[i]]
+        j = i + d
+        apart = np.bitwise_count(sims[0][i] ^ sims[0][j]) + np.bitwise_count(sims[1][i] ^ sims[1][j])
+        ok = np.flatnonzero((apart <= _MOST_APART) & (label[i] != label[j]))
+        out.append(np.stack(_close(apart[ok].astype(np.int64), i[ok], j[ok], h, label, n, sims)))
     return np.concatenate(out, axis=1)
 
 
@@ -339,15 +374,19 @@ def _block_pairs(batches):
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             ends = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1).tolist()
-        begin, found = 0, [np.empty((2, 0), np.int64)]
-        for end in ends:
-            side, h, label, n, *more = (c[begin:end] for c in cols[3:])
-            i, j = _near(h, label, n.astype(np.int64), [s.view(np.uint64) for s in more[: len(SIMS)]], int(np.searchsorted(side, 1)))
+        ends = np.array(ends, np.int64)
+        size = np.diff(ends, prepend=0)
+        begin, found = int(ends[-1]) if ends.size else 0, [np.empty((2, 0), np.int64)]
+        small = (size <= FEW) & (cols[1][ends - 1] == cols[2][ends - 1])
+        for one in [None, *np.flatnonzero(~small).tolist()]:
+            rows = np.flatnonzero(small.repeat(size)) if one is None else slice(int(ends[one] - size[one]), int(ends[one]))
+            side, h, label, n, *more = (c[rows] for c in cols[3:])
+            n, sims = n.astype(np.int64), [s.view(np.uint64) for s in more[: len(SIMS)]]
+            i, j = _near_in_small(h, label, n, sims, size[small]) if one is None else _near(h, label, n, sims, int(np.searchsorted(side, 1)))
             for words in more[len(SIMS) :]:
                 ok = _undecided(words, i, j)
                 i, j = i[ok], j[ok]
             found.append(np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j])]))
-            begin = end
         held = [c[begin:] for c in cols]
         x, y = np.concatenate(found, axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
@@ -375,10 +414,9 @@ def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     fetch their words and meet again, so what leaves a group the first time is
     members, and the second time links (and pairs of very long lines).
     """
-    m = hot.select(F.col("a").alias("h"), "key").distinct().join(found.select(F.col("id").alias("h"), F.col("component").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    m = hot.join(found.select(F.col("id").alias("h"), F.col("component").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
     sizes = m.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "nb")
     members = written(m.join(sizes, "key"), "members")
-    dropped(hot)
     if members.isEmpty():
         return None
     marked = members.join(classes.select("h", F.col("words").alias("n"), *SIMS), "h")
@@ -500,44 +538,78 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         lacks = _lacking(np.repeat(pair[left], n[part][left]), xl, np.repeat(pair[left], m[part][left]), yl, part.size)
         ok[part] = ~left | (lacks <= most[part])
         open_[part] = left & (lacks <= most[part])
-    for i in np.flatnonzero(open_ & (long > 256)):
+    for i in np.flatnonzero(open_ & (long > TABLED)):
         ok[i] = _few_edits(a[i], b[i])
-    for lo, hi in ((1, 24), (25, 64), (65, 128), (129, 256)):
-        own = np.flatnonzero(open_ & (long >= lo) & (long <= hi))
-        for s in range(0, own.size, 4096):
-            part = own[s : s + 4096]
-            ok[part] = _banded([a[i] for i in part], [b[i] for i in part], most[part])
+    own = np.flatnonzero(open_ & (long <= TABLED))
+    own = own[np.argsort(long[own], kind="stable")]
+    for run in _alike_sizes(long[own]):
+        part = own[run]
+        ok[part] = _banded([a[i] for i in part], [b[i] for i in part], most[part])
     return ok
 
 
+def _alike_sizes(size: np.ndarray) -> list[slice]:
+    """Runs of an ascending array: each of few pairs and of sizes that are not far apart, so that a table fits them all."""
+    out, a = [], 0
+    while a < size.size:
+        b = int(np.searchsorted(size, 1.25 * size[a] + 4, "right"))
+        b = min(b, a + max(1, min(TABLES, (1 << 20) // int(size[b - 1]))))
+        out.append(slice(a, b))
+        a = b
+    return out
+
+
 def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether pairs differ by at most ``most`` edits.  Pairs are columns, cells are rows: a step is a few operations on long runs.
+
+    A path off the diagonals between the first and the last costs two edits a step, so
+    the band is about as wide as ``most``.  Cell c of step i holds the distance of
+    a[:i] and b[:i + c - low], less c, so an inserted word is a plain minimum.
+    Pairs that can't end in time are left out on the way.
+    """
+    a, b = [u if u.size <= v.size else v for u, v in zip(a, b, strict=True)], [v if u.size <= v.size else u for u, v in zip(a, b, strict=True)]
     n, m = np.array([x.size for x in a]), np.array([x.size for x in b])
-    k = int(most.max())
-    rows, width = int(n.max()), 2 * k + 1
-    x = np.full((len(a), rows), 1 << 40, np.int64)
-    y = np.full((len(a), max(rows, int(m.max())) + 2 * k + 1), 1 << 41, np.int64)  # b, shifted by k
-    for i, (u, v) in enumerate(zip(a, b, strict=True)):
-        x[i, : u.size] = u
-        y[i, k : k + v.size] = v
-    far = np.int16(1 << 12)
-    # cell c of row i is the distance of a[:i] and b[:i + c - k]
-    row = np.where(np.arange(width) >= k, np.arange(width) - k, far).astype(np.int16)[None, :].repeat(len(a), 0)
-    out = np.full(len(a), far, np.int16)
-    at = m - n + k
+    most, more = np.asarray(most), m - n
+    out = np.zeros(n.size, bool)
+    pairs = np.flatnonzero(more <= most)
+    if not pairs.size:
+        return out
+    low, high = int(((most - more)[pairs] // 2).max()), int(((most + more)[pairs] // 2).max())
+    rows, width = int(n[pairs].max()), low + high + 1
+    x, y = np.zeros((rows, pairs.size), np.int32), np.zeros((max(rows + width, low + int(m[pairs].max())), pairs.size), np.int32)  # y: b, shifted by low; what is beyond the ends decides nothing
+    for at, i in enumerate(pairs):
+        x[: n[i], at] = a[i]
+        y[low : low + m[i], at] = b[i]
+    far = 1 << 14
+    c = np.arange(width)[:, None]
+    row = np.where(c >= low, -low, far).astype(np.int16).repeat(pairs.size, 1)
+    own = n[pairs]
     for i in range(rows + 1):
-        end = np.flatnonzero(n == i)
-        out[end] = row[end, at[end]]
+        end = np.flatnonzero(own == i)
+        if end.size:
+            at = more[pairs[end]] + low
+            out[pairs[end]] = row[at, end] + at <= most[pairs[end]]
         if i == rows:
             break
-        new = row + (x[:, i, None] != y[:, i : i + width])
-        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
-        if i + 1 <= k:
-            new[:, : k - i - 1] = far
-            new[:, k - i - 1] = i + 1
-        for c in range(1, width):
-            np.minimum(new[:, c], new[:, c - 1] + 1, out=new[:, c])
+        if i % 16 == 15:
+            stay = own > i
+            stay &= (row + c + np.abs(c - low - more[pairs])).min(axis=0) <= most[pairs]
+            if not stay.any():
+                break
+            if 4 * stay.sum() <= 3 * stay.size:
+                pairs, own, x, y, row = pairs[stay], own[stay], x[:, stay], y[:, stay], row[:, stay]
+        new = row + (x[i] != y[i : i + width])
+        np.minimum(new[:-1], row[1:] + np.int16(2), out=new[:-1])
+        if i < low:
+            new[: low - i - 1] = far
+            new[low - i - 1] = 2 * (i + 1) - low
+        if pairs.size < 64:
+            np.minimum.accumulate(new, axis=0, out=new)
+        else:
+            for z in range(1, width):
+                np.minimum(new[z], new[z - 1], out=new[z])
         row = new
-    return out <= most
+    return out
 
 
 def _alike(batches):
@@ -578,17 +650,14 @@ def removals(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # what later steps don't need goes as soon as the step before is written
     full = written(docs.mapInArrow(_lines, "doc_id long, line_no int, h long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary"), "lines")
-    keyed = written(full.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(c).alias(c) for c in SIMS], F.min("n").alias("n"), F.min("words").alias("words"), F.first("blocks").alias("blocks"), F.count("*").alias("size")), "classes")
+    classes = written(full.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(c).alias(c) for c in SIMS], F.min("n").alias("n"), F.min("words").alias("words"), F.first("blocks").alias("blocks"), F.count("*").alias("size")), "classes")
     lines = written(full.select("doc_id", "line_no", "h"), "lines")
     dropped(full)
-    keys = keyed.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks").mapInArrow(_keys, "key long, h long, sim long, n int")
+    keys = classes.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks").mapInArrow(_keys, "key long, h long, sim long, n int")
     # n is the number of words from here on
     met = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _OUT), "met")
-    classes = written(keyed.drop("blocks"), "classes")
-    dropped(keyed)
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "near")
-    hot = written(met.where("b is null"), "hot")
-    dropped(met)
+    hot = met.where("b is null").select(F.col("a").alias("h"), "key")  # a member comes once under a key
     words = _words_of(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), classes, docs)
     found = components(_verified(pairs, words))
     dropped(pairs)
@@ -597,7 +666,8 @@ def removals(docs: DataFrame) -> DataFrame:
         more = _in_blocks(hot, found, classes, docs)
         if more is not None and not more.isEmpty():  # what is found stands for its links
             found = components(more.union(found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
-    group = classes.join(found.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("group", F.coalesce("component", "h"))
+    dropped(met)
+    group = classes.select("h", "first", "size").join(found.select(F.col("id").alias("h"), "component"), "h", "left").where("component is not null or size > 1").withColumn("group", F.coalesce("component", "h"))
     keep = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("size").alias("size")).where("size > 1")
     gone = group.join(keep.select("group", "keep"), "group").select("h", "keep")
     out = lines.join(gone, "h").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))

@@ -245,3 +245,52 @@ def test_what_leaves_a_crowded_group_are_links_and_not_pairs():
     got = {p for x in L._block_pairs([batch]) for p in zip(*x.to_pydict().values(), strict=True)}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if distance(words[i].tolist(), words[j].tolist()) <= L.most_edits(40)}
     assert {(5, 200), (6, 201)} <= want and got == want | {(i, j) for j in (n, n + 1) for i in range(j)}
+
+
+def test_simhash_counts_every_bit():
+    """Runs of one to several hundred features, one or several rows: a bit is set if more than half of a run's features have it."""
+    rng = np.random.default_rng(9)
+    n = np.concatenate([rng.integers(1, 20, 300), [1, 2, 3, 4, 127, 128, 254, 255, 256, 257, 700], rng.integers(1, 260, 40)])
+    off = np.concatenate([[0], np.cumsum(n)])
+    h = rng.integers(0, 1 << 63, (3, off[-1])).astype(np.uint64) << np.uint64(1)
+    h[:, ::2] |= np.uint64(1)
+    bits = (h[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    want = np.array([[sum(1 << j for j in np.flatnonzero(2 * bits[r, a:b].sum(axis=0, dtype=np.int64) > b - a).tolist()) for a, b in zip(off, off[1:], strict=False)] for r in range(3)], np.uint64)
+    assert (L.simhash(h, off) == want).all() and (L.simhash(h[1], off) == want[1]).all()
+    assert L.simhash(np.empty((2, 0), np.uint64), np.zeros(1, np.int64)).shape == (2, 0)
+
+
+def test_long_lines_are_decided_in_tables():
+    """Lines of some hundred words that no count decides: as the full table, and of fewer steps than pairs times diagonals one by one."""
+    rng = random.Random(6)
+    a, b = [], []
+    for i in range(60):
+        x = [rng.randrange(400) for _ in range(rng.choice((30, 90, 200, 300)))]
+        y = list(x)
+        for _ in range(rng.randint(0, 2 * L.most_edits(len(x)))):
+            y.insert(rng.randrange(len(y)), y.pop(rng.randrange(len(y))))  # moved: no word is lacking
+        if i % 3 == 0:
+            y = y[rng.randint(0, 9) :]
+        a.append(np.array(x, np.int32) - 200)
+        b.append(np.array(y, np.int32) - 200)
+    want = [distance(x.tolist(), y.tolist()) <= L.most_edits(max(x.size, y.size)) for x, y in zip(a, b, strict=True)]
+    tables, L._few_edits = L._few_edits, None  # none is compared one by one
+    try:
+        assert L._similar(a, b).tolist() == L._similar(b, a).tolist() == want and 10 < sum(want) < len(want) - 10
+    finally:
+        L._few_edits = tables
+
+
+def test_small_groups_are_compared_together(monkeypatch):
+    """Crowded keys of few members: one comparison for all of them, with the pairs of one by one."""
+    rng = np.random.default_rng(2)
+    rows = sorted((int(rng.integers(40)), int(rng.integers(1 << 40)), int(rng.integers(3)), 20, *(int(x) for x in rng.integers(0, 2, 4) << rng.integers(0, 50, 4))) for _ in range(900))
+    key, h, label, n, *sims = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4], strict=True))
+    none = pa.array([0] * 900, pa.int64())
+    batch = pa.RecordBatch.from_arrays([key, none, none, none.cast(pa.int32()), h, label, n, *sims], [f"c{i}" for i in range(11)])
+    pairs = lambda: {p for x in L._block_pairs([batch.slice(0, 333), batch.slice(333)]) for p in zip(*x.to_pydict().values(), strict=True)}
+    near, calls = L._near, []
+    monkeypatch.setattr(L, "_near", lambda *x: calls.append(1) or near(*x))
+    together, few = pairs(), len(calls)
+    monkeypatch.setattr(L, "FEW", 0)
+    assert together == pairs() and together and few == 0 and len(calls) == 40
