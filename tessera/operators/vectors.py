@@ -119,6 +119,18 @@ def distances_to(df: DataFrame, key: str, vec: str, queries: DataFrame, block: i
     return both.mapInArrow(_pair_distances, f"query {id_type.simpleString()}, `{key}` {key_type.simpleString()}, distance double")
 
 
+def _few_distances(df: DataFrame, key: str, vec: str, queries: DataFrame, block: int) -> DataFrame:
+    """``distances_to`` for few queries, such as means: the rows are not shuffled, the queries are broadcast in blocks."""
+    q = queries.select(F.col(key).alias("query"), F.col(vec).alias("_q"))
+    blocks = max(1, -(-q.count() // block))
+    out = None
+    for i in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) if blocks > 1 else q
+        part = df.crossJoin(F.broadcast(some)).select("query", key, euclidean(vec, "_q").alias("distance"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def class_means(df: DataFrame, label: str, vec: str) -> DataFrame:
     """label and the mean vector of its rows, from sums per position."""
     e = df.select(label, F.posexplode(vec).alias("i", "v")).groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
@@ -134,7 +146,7 @@ def class_dissimilarity(df: DataFrame, label: str, vec: str) -> DataFrame:
 
 def nearest_mean(df: DataFrame, key: str, vec: str, means: DataFrame, label: str, block: int = BLOCK) -> DataFrame:
     """key and the class of the nearest mean vector; the classes are counted and broadcast in blocks, and a row meets its nearest of each block only."""
-    d = distances_to(df.select(F.col(key).alias("_key"), F.col(vec).alias("_vec")), "_key", "_vec", means.select(F.col(label).alias("_key"), F.col("mean").alias("_vec")), block)
+    d = _few_distances(df.select(F.col(key).alias("_key"), F.col(vec).alias("_vec")), "_key", "_vec", means.select(F.col(label).alias("_key"), F.col("mean").alias("_vec")), block)
     return d.groupBy("_key").agg(F.min(F.struct("distance", "query")).alias("m")).select(F.col("_key").alias(key), F.col("m.query").alias("predicted"))
 
 
