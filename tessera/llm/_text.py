@@ -34,17 +34,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BYTE_WORD = np.where(_SPACE, np.uint64(0), _BYTE)
-_POW = np.ones(1, np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_POW = {_BASE: np.ones(1, np.uint64), pow(_BASE, -1, 1 << 64): np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd base; grown on demand to the longest run seen."""
-    global _POW
-    while _POW.size < n:
-        base = np.uint64(0xD6E8FEB86659FD93)
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    """At least n powers of an odd base; grown on demand to the longest run seen."""
+    out = _POW[base]
+    while out.size < n:
         with np.errstate(over="ignore"):
-            _POW = np.concatenate([_POW, _POW * (_POW[-1] * base)])
-    return _POW
+            out = np.concatenate([out, out * (out[-1] * np.uint64(base))])
+    _POW[base] = out
+    return out
 
 
 def _encode(texts: list) -> list[bytes]:
@@ -79,15 +80,22 @@ class Words:
         return np.repeat(np.arange(self.off.size - 1), np.diff(self.off))
 
 
+#: Bytes of a buffer whose places all have their power in a table.
+PLACES = 1 << 21
+
+
 def hash_runs(a: np.ndarray, start: np.ndarray, byte: np.ndarray) -> np.ndarray:
     """A hash of each run that begins at ``start`` and lasts to the next start; bytes that map to 0 at its end count for nothing."""
     if not start.size:
         return np.empty(0, np.uint64)
+    v = byte[a]
+    if a.size <= PLACES:  # powers of the place in the buffer, less the run's own place
+        v *= _powers(a.size)[: a.size]
+        return mix(np.add.reduceat(v, start) * _powers(a.size, pow(_BASE, -1, 1 << 64))[start])
     at = np.zeros(a.size, np.int64)
     at[start] = start
     rel = np.arange(a.size)
     rel -= np.maximum.accumulate(at)
-    v = byte[a]
     longest = int(np.max(np.diff(np.append(start, a.size))))
     first = int(start[0])
     v *= _powers(max(longest, first + 1))[rel]

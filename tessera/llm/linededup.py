@@ -51,7 +51,7 @@ SIMILARITY = 0.85
 KEYED = 11
 WINDOW = 8  # members of a key that are compared exhaustively in passing; beyond that with the pivot first
 BLOCK = 4096
-STRIP = 1 << 20  # pairs of members that are compared at once
+STRIP = 1 << 18  # pairs of members that are compared at once
 PAIRS = 4_000_000  # pairs whose words are on disk at once
 #: Lines whose numbers may be broadcast, 12 bytes each and a document's share.
 BROADCAST_LINES = 2_000_000
@@ -76,30 +76,66 @@ def most_edits(n: int) -> int:
 SCHEMES = [(7, 4, 2), (14, 5, 1), (20, 7, 1), (30, 9, 1), *((n, round(n / 3.2), 1) for n in (int(45 * 1.5**i) for i in range(30)))]
 
 
-def simhash(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each non-empty run of feature hashes (one or several rows of them): a bit is set if more than half of them have it.
+#: Features of a run that are counted in passing; longer runs are cut into pieces, whose counts are added.
+PIECE = 32
+
+
+def _counted(rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """For runs of descending size, how many of their features have each of 64 bits, a plane for each binary digit.  All runs add their next two features at once."""
+    planes = [np.zeros((rows.shape[0], size.size), np.uint64)]
+    active = np.append(np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left"), 0)  # runs of more features than that
+    for i in range(0, active.size - 1, 2):
+        k, two = active[i], active[i + 1]
+        own, a, b = planes[0][:, :k], rows[:, start[:k] + i], rows[:, start[:two] + (i + 1)]
+        carry = own & a
+        own ^= a
+        carry[:, :two] |= own[:, :two] & b
+        own[:, :two] ^= b
+        if (i + 2).bit_length() > len(planes):  # the counts get a digit
+            planes.append(np.zeros((rows.shape[0], size.size), np.uint64))
+        for p in planes[1:-1]:
+            own = p[:, :k]
+            up = own & carry
+            own ^= carry
+            carry = up
+        planes[-1][:, :k] ^= carry
+    return planes
 
-    The counts of a run's 64 bits are held as planes, a plane a binary digit, and all
-    runs add their next feature at once, the longest runs first.
-    """
+
+def simhash(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each non-empty run of feature hashes (one or several rows of them): a bit is set if more than half of them have it."""
     rows = np.atleast_2d(h)
     n = np.diff(off)
     out = np.zeros((rows.shape[0], n.size), np.uint64)
     short = np.flatnonzero(n <= 255)
     short = short[np.argsort((255 - n[short]).astype(np.uint8), kind="stable")]
     size, start = n[short], off[:-1][short]
-    planes: list[np.ndarray] = []
-    active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # runs of more features than that
-    for i, k in enumerate(active):
-        carry = rows[:, start[:k] + i]
-        if i + 1 == 1 << len(planes):  # the counts get a digit
+    pieces = -(-size // PIECE)
+    first = np.cumsum(pieces) - pieces
+    begin = PIECE * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    part = np.minimum(np.repeat(size, pieces) - begin, PIECE)
+    order = np.argsort((PIECE - part).astype(np.uint8), kind="stable")
+    place = np.empty(order.size, np.int64)
+    place[order] = np.arange(order.size)
+    counts = _counted(rows, (np.repeat(start, pieces) + begin)[order], part[order])
+    planes = [c[:, place[first]] for c in counts]
+    for k in range(1, int(pieces.max(initial=0))):
+        m = int(np.searchsorted(-pieces, -k, "left"))  # runs of more pieces than that
+        at = place[first[:m] + k]
+        carry = np.zeros((rows.shape[0], m), np.uint64)
+        if (PIECE * (k + 1)).bit_length() > len(planes):
             planes.append(np.zeros((rows.shape[0], short.size), np.uint64))
-        for p in planes[:-1]:
-            own = p[:, :k]
-            up = own & carry
+        for d, p in enumerate(planes):
+            own = p[:, :m]
+            if d < len(counts):
+                more = counts[d][:, at]
+                both = own & more
+                own ^= more
+                both |= own & carry
+            else:
+                both = own & carry
             own ^= carry
-            carry = up
-        planes[-1][:, :k] ^= carry
+            carry = both
     more, equal = np.zeros((rows.shape[0], short.size), np.uint64), np.full(short.size, ~np.uint64(0))
     for d in range(len(planes) - 1, -1, -1):
         half = -((size >> (d + 1)) & 1).astype(np.uint64)  # the digit of half the features, for all bits
@@ -210,15 +246,106 @@ def _lines(batches):
                 )
 
 
-def _keys(batches):
-    """A class once under each of its keys."""
-    for b in batches:
-        h, sim, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        blocks = b.column(3).to_pylist()
-        row = np.repeat(np.arange(h.size), [len(g) // 6 for g in blocks])
-        key = np.zeros((row.size, 8), np.uint8)
-        key[:, :6] = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 6)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[:, 0]), pa.array(h[row]), pa.array(sim[row]), pa.array(n[row])], names=["key", "h", "sim", "n"])
+#: Columns of a class, at the last of its lines in order.
+_CLASS = "first_doc long, first_line int, size long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary"
+
+
+def _classes(batches):
+    """Rows of ``_lines`` sorted by h, doc_id and line number -> every line, and at the last one of a class what the class has.  A batch's last line waits for the next batch."""
+    last, first, before = None, None, 0
+    for b in itertools.chain((b for b in batches if b.num_rows), [None]):
+        if b is None and last is None:
+            return
+        b = last if b is None else b if last is None else pa.concat_batches([last, b])
+        final = b is last
+        doc, line, h = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(begin, h.size))
+        docs, lines = doc[begin], line[begin]
+        if last is not None:  # the first line here goes on with its class
+            docs[:1], lines[:1] = first
+            size[0] += before
+        rows = h.size if final else h.size - 1
+        ends = np.append(begin[1:], h.size) - 1
+        mine = slice(0, ends.size if final else ends.size - 1)
+        at = np.full(rows, -1)
+        at[ends[mine]] = np.arange(ends.size)[mine]
+        no = at < 0
+        of, own = pa.array(at, mask=no), pa.array(np.arange(rows), mask=no)
+        yield pa.RecordBatch.from_arrays([*(b.column(i).slice(0, rows) for i in range(3)), *(pa.array(c).take(of) for c in (docs, lines, size)), *(b.column(i).take(own) for i in range(3, b.num_columns))], names=["doc_id", "line_no", "h", "first_doc", "first_line", "size", *b.schema.names[3:]])
+        last, first, before = b.slice(b.num_rows - 1), (docs[-1], lines[-1]), size[-1] - 1
+
+
+#: A class under one of its keys.
+MEMBER = np.dtype([("key", "<i8"), ("h", "<i8"), ("sim", "<i8"), ("n", "<i4")])
+#: Keys that leave a task at once, and members of a range of keys that may wait for the others of it.
+AT_ONCE, WAITING = 1 << 18, 1 << 22
+
+
+def _keys(bits: int):
+    """The classes under each of their keys, a row for those of a range of keys; ``bits`` of a key name its range."""
+
+    def run(batches):
+        parts, many = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                h, sim, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                blocks = b.column(3).to_pylist()
+                row = np.repeat(np.arange(h.size), [len(g) // 6 for g in blocks])
+                key = np.zeros((row.size, 8), np.uint8)
+                key[:, :6] = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 6)
+                m = np.empty(row.size, MEMBER)
+                m["key"], m["h"], m["sim"], m["n"] = key.view(np.int64)[:, 0], h[row], sim[row], n[row]
+                parts.append(m)
+                many += m.size
+            if many and (b is None or many >= AT_ONCE):
+                m = np.concatenate(parts)
+                part = m["key"] >> (46 - bits)
+                order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
+                part = part[order]
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                at = (np.append(begin, m.size) * MEMBER.itemsize).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.Array.from_buffers(pa.binary(), begin.size, [None, pa.py_buffer(at), pa.py_buffer(m[order])])], names=["part", "members"])
+                parts, many = [], 0
+
+    return run
+
+
+def _in_order(batches):
+    """Rows of ``_keys`` sorted by range -> members sorted by key, those of a key by their SimHash, so that most of what is near meets in passing.  Members of a range wait for the others; if they are too many, those of crowded keys go on, but for some that show what comes after them that its key is crowded, too."""
+    held, part = np.empty(0, MEMBER), None
+    for b in itertools.chain((b for b in batches if b.num_rows), [None]):
+        if b is None:
+            now, held = held, held[:0]
+        else:
+            parts, blobs = b.column(0).to_numpy(), b.column(1)
+            at = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + parts.size + 1]
+            m = np.frombuffer(blobs.buffers()[2], MEMBER, (at[-1] - at[0]) // MEMBER.itemsize, at[0])
+            split = (at[np.searchsorted(parts, parts[-1])] - at[0]) // MEMBER.itemsize  # where the last range begins
+            if part == parts[-1]:
+                now, held = held[:0], np.concatenate([held, m])
+            else:
+                now, held = np.concatenate([held, m[:split]]), m[split:].copy()
+            part = parts[-1]
+        waiting = []
+        if held.size > WAITING:
+            _, of, size = np.unique(held["key"], return_inverse=True, return_counts=True)
+            order = np.argsort(of, kind="stable")
+            place = np.empty(held.size, np.int64)
+            place[order] = np.arange(held.size) - np.repeat(np.cumsum(size) - size, size)
+            crowded = size[of] > 2 * WINDOW
+            waiting, held = [held[crowded]], held[~crowded | (place <= 2 * WINDOW)]
+        for m in (now, *waiting):
+            by = (m["key"].astype(np.uint64) << np.uint64(18)) | (m["sim"].view(np.uint64) >> np.uint64(46))
+            order = np.argsort(by)
+            same = np.diff(by[order] >> np.uint64(18), prepend=~np.uint64(0), append=~np.uint64(0)) == 0
+            m = m[order[same[1:] | same[:-1]]]  # most keys have one member, which meets none
+            if m.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(m[c])) for c in MEMBER.names], names=list(MEMBER.names))
+
+
+def _met(batches):
+    return _compare(_in_order(batches))
 
 
 def _compare(batches):
@@ -306,43 +433,66 @@ _MOST_APART = float(bits_apart(np.arange(7, 20_000)).max())
 
 
 def _close(apart, i, j, h, label, n, sims) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (i, j) of members of different labels, ``apart`` in the first two words, those whose lengths and SimHashes of 256 bits allow a link."""
-    for c in (2, 3):
-        apart = apart + np.bitwise_count(sims[c][i] ^ sims[c][j])
+    """Of pairs (i, j) of members of different labels, ``apart`` in the first three words, those whose lengths and SimHashes of 256 bits allow a link."""
+    apart = apart + np.bitwise_count(sims[3][i] ^ sims[3][j])
     long = np.maximum(n[i], n[j])
     ok = (apart <= bits_apart(long)) & (np.minimum(n[i], n[j]) >= SIMILARITY * long - 1e-9)
     return i[ok], j[ok]
 
 
 def _near(h, label, n, sims, split: int) -> np.ndarray:
-    """(2, pairs), places of members: of the members before ``split`` with those from it on (or with each other, if none come after) the pairs of different labels whose lengths and SimHashes of 256 bits allow a link; a strip of rows at a time."""
+    """(2, pairs), places of members: of the members before ``split`` with those from it on (or with each other, if none come after) the pairs of different labels whose lengths and SimHashes of 256 bits allow a link; a strip of rows at a time, and only with those of like lengths."""
     alone = split == h.size  # a block with itself
-    begin = 0 if alone else split
-    lb, other = label[begin:], [s[begin:] for s in sims]
     out = [np.empty((2, 0), np.int64)]
-    strip = max(1, STRIP // max(1, lb.size))
-    for x in range(0, split, strip):
-        rows = slice(x, min(split, x + strip))
-        first = x if alone else 0  # those before have met these rows
-        apart = np.bitwise_count(sims[0][rows, None] ^ other[0][None, first:])
-        apart += np.bitwise_count(sims[1][rows, None] ^ other[1][None, first:])
-        i, j = np.nonzero(apart <= _MOST_APART)  # half of the bits leaves few
-        apart, i, j = apart[i, j].astype(np.int64), i + x, j + first
-        ok = (label[i] != lb[j]) & (i < j) if alone else label[i] != lb[j]
-        out.append(np.stack(_close(apart[ok], i[ok], j[ok] + begin, h, label, n, sims)))
+    if (label == label[:1]).all():
+        return out[0]
+    mine = np.argsort(n[:split], kind="stable")
+    others = mine if alone else split + np.argsort(n[split:], kind="stable")
+    size, theirs = n[others], [s[others] for s in sims[:3]]
+    differ, count, more = np.empty(STRIP, np.uint64), np.empty(STRIP, np.uint8), np.empty(STRIP, np.uint8)
+    x = 0
+    while x < split:
+        shortest = n[mine[x]]
+        first = int(np.searchsorted(size, SIMILARITY * shortest - 1e-6))
+        strip = max(1, min(STRIP // max(1, others.size - first), split - x))
+        rows = mine[x : x + strip]
+        last = int(np.searchsorted(size, n[rows[-1]] / SIMILARITY + 1e-6, "right"))
+        first = max(first, x + 1 if alone else 0)  # those before have met these rows
+        wide = max(0, last - first)
+        if wide:
+            parts = [b[: rows.size * wide] for b in (differ, count, more)] if rows.size * wide <= STRIP else [np.empty(rows.size * wide, t) for t in (np.uint64, np.uint8, np.uint8)]
+            table, apart, again = (p.reshape(rows.size, wide) for p in parts)
+            for c in range(3):
+                np.bitwise_count(np.bitwise_xor(sims[c][rows, None], theirs[c][None, first:last], out=table), out=again if c else apart)
+                if c:
+                    apart += again
+            at = np.flatnonzero(parts[1] <= _MOST_APART)  # three quarters of the bits leave few
+            i, j = at // wide, at % wide + first
+            if alone:
+                at, i, j = (c[j > i + x] for c in (at, i, j))
+            i, j = rows[i], others[j]
+            ok = label[i] != label[j]
+            out.append(np.stack(_close(parts[1][at[ok]].astype(np.int64), i[ok], j[ok], h, label, n, sims)))
+        x += strip
     return np.concatenate(out, axis=1)
 
 
 def _near_in_small(h, label, n, sims, size: np.ndarray) -> np.ndarray:
-    """The same of many small groups, one behind the other, each of ``size`` members that meet each other: members d places apart, for all groups at once."""
-    end = np.cumsum(size).repeat(size)
+    """The same of many small groups, one behind the other, each of ``size`` members that meet each other: members d places apart, for all groups at once, the larger groups first."""
+    order = np.argsort(-size, kind="stable")
+    many = size[order]
+    ends = np.cumsum(many)
+    at = np.repeat((np.cumsum(size) - size)[order] - (ends - many), many) + np.arange(h.size)
+    group = np.repeat(np.arange(size.size), many)
+    own = [s[at] for s in sims[:3]]
     out = [np.empty((2, 0), np.int64)]
-    i = np.arange(h.size)
     for d in range(1, int(size.max(initial=0))):
-        i = i[i + d < end[i]]
-        j = i + d
-        apart = np.bitwise_count(sims[0][i] ^ sims[0][j]) + np.bitwise_count(sims[1][i] ^ sims[1][j])
-        ok = np.flatnonzero((apart <= _MOST_APART) & (label[i] != label[j]))
+        m = ends[np.searchsorted(-many, -d, "left") - 1]  # members of groups of more than d
+        apart = sum(np.bitwise_count(s[: m - d] ^ s[d:m]) for s in own)
+        i = np.flatnonzero(apart <= _MOST_APART)
+        i = i[group[i] == group[i + d]]
+        apart, i, j = apart[i], at[i], at[i + d]
+        ok = label[i] != label[j]
         out.append(np.stack(_close(apart[ok].astype(np.int64), i[ok], j[ok], h, label, n, sims)))
     return np.concatenate(out, axis=1)
 
@@ -405,7 +555,7 @@ def _dealt(members: DataFrame, more: list[str]) -> DataFrame:
     return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
 
-def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between hot keys' members that no link joins yet; keys of one group end here.
 
     Members are dealt into blocks of about BLOCK, and every pair of blocks of a
@@ -414,23 +564,32 @@ def _in_blocks(hot: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     fetch their words and meet again, so what leaves a group the first time is
     members, and the second time links (and pairs of very long lines).
     """
-    m = hot.join(found.select(F.col("id").alias("h"), F.col("component").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
-    sizes = m.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "nb")
-    members = written(m.join(sizes, "key"), "members")
-    if members.isEmpty():
-        return None
-    marked = members.join(classes.select("h", F.col("words").alias("n"), *SIMS), "h")
-    some = written(_dealt(marked, []).mapInArrow(_block_members, "h long").distinct(), "some")
+    marked = classes.select("h", F.col("words").alias("n"), *SIMS).join(found.select(F.col("id").alias("h"), F.col("component").alias("label")), "h", "left")
+    members = written(hot.join(marked, "h").select("key", "h", F.coalesce("label", "h").alias("label"), "n", *SIMS), "members")
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", "nb")
+    sizes = written(sizes, "sizes")
+    few = small_enough(sizes)
+    sized = F.broadcast(sizes) if few else sizes
+    some = written(_dealt(members.join(sized, "key"), []).mapInArrow(_block_members, "h long").distinct(), "some")
     words = _words_of(some, classes, docs)
-    near = written(_dealt(marked.join(words.select("h", "short"), "h"), ["short"]).mapInArrow(_block_pairs, "a long, b long").distinct(), "near")
-    dropped(members)
-    dropped(some)
+    near = written(_dealt(only(members, some, "h").join(words.select("h", "short"), "h").join(sized, "key"), ["short"]).mapInArrow(_block_pairs, "a long, b long").distinct(), "near")
+    for table in (members, sizes, some):
+        dropped(table)
     links = _verified(near, words)
     dropped(near)
     dropped(words)
     return links
 
 
+def _joined_groups(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found``, (id, component), after more links: only the groups that these join are gone through again."""
+    ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(between)
+    new = top.select("id").join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return found.union(new).join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
 def _two_ways(words: list[np.ndarray]) -> list[pa.Array]:
     """Lines' words as 32 bits of each hash, and as 16 for lines of up to SHORT words."""
     off = np.concatenate([[0], np.cumsum([w.size for w in words])]).astype(np.int32)
@@ -453,23 +612,27 @@ def _line_words(batches):
 
 
 def _wanted_words(batches):
-    """h and the words, two ways, of the lines in ``wanted``, (line number, h) of a document."""
+    """h and the words, two ways, of the lines in ``wanted``, (line number, h) of a document; no other line is looked at."""
     with np.errstate(over="ignore"):
         for batch in few_rows(batches):
-            texts, wanted = _lower(batch.column(1).to_pylist()), batch.column(2)
-            for x, y in groups(texts):
-                found = _lines_of(texts[x:y])
+            texts, wanted = batch.column(1).to_pylist(), batch.column(2)
+            asked = np.concatenate([[0], np.cumsum(np.asarray(wanted.value_lengths()))])
+            numbers, keys = (wanted.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("line_no", "h"))
+            lines, key = [], []
+            for t, a, b in zip(texts, asked, asked[1:], strict=False):
+                own = t.lower().split("\n") if isinstance(t, str) else []
+                for i, k in zip(numbers[a:b].tolist(), keys[a:b].tolist(), strict=True):
+                    if i < len(own):
+                        lines.append(own[i])
+                        key.append(k)
+            for x, y in groups(lines):
+                found = _lines_of(lines[x:y])
                 if found is None:
                     continue
-                doc, number, h, _, n_words, words = found
-                asked = wanted.slice(x, y - x)
-                of = np.repeat(np.arange(y - x), np.asarray(asked.value_lengths()))
-                line, key = (asked.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("line_no", "h"))
-                place = {(d, i): k for k, (d, i) in enumerate(zip(doc.tolist(), number.tolist(), strict=True))}
-                at = np.array([place.get(p, -1) for p in zip(of.tolist(), line.tolist(), strict=True)], np.int64)
-                at = at[(at >= 0) & (h.view(np.int64)[at] == key)]  # of several texts under one doc_id, the one that has the line
+                line, _, h, _, n_words, words = found
                 off = np.concatenate([[0], np.cumsum(n_words)])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[at]), *_two_ways([words[off[k] : off[k + 1]] for k in at])], names=["h", "words", "short"])
+                same = np.flatnonzero(h.view(np.int64) == np.array(key[x:y], np.int64)[line])  # of several texts under one doc_id, the one that has the line
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[same]), *_two_ways([words[off[k] : off[k + 1]] for k in same])], names=["h", "words", "short"])
 
 
 def _few_edits(a: np.ndarray, b: np.ndarray) -> bool:
@@ -621,7 +784,7 @@ def _alike(batches):
 
 def _words_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """h and the words of the classes in ``used``, from the documents that hold their first occurrence, written."""
-    where = written(classes.join(used, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "used")
+    where = written(classes.join(used, "h", "left_semi").select("h", F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line_no")), "used")
     few = small_enough(where, BROADCAST_LINES)
     if few:  # each document gets the numbers of its lines, so that no other line leaves it
         lists = where.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
@@ -649,13 +812,13 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, removed): for every document with a line to remove, its lines that take part and the numbers (from 0) of those that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # what later steps don't need goes as soon as the step before is written
-    full = written(docs.mapInArrow(_lines, "doc_id long, line_no int, h long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary"), "lines")
-    classes = written(full.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(c).alias(c) for c in SIMS], F.min("n").alias("n"), F.min("words").alias("words"), F.first("blocks").alias("blocks"), F.count("*").alias("size")), "classes")
-    lines = written(full.select("doc_id", "line_no", "h"), "lines")
-    dropped(full)
-    keys = classes.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks").mapInArrow(_keys, "key long, h long, sim long, n int")
+    found = docs.mapInArrow(_lines, "doc_id long, line_no int, h long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary")
+    full = written(found.repartition("h").sortWithinPartitions("h", "doc_id", "line_no").mapInArrow(_classes, f"doc_id long, line_no int, h long, {_CLASS}"), "lines")
+    lines, classes = full.select("doc_id", "line_no", "h"), full.where("size is not null").drop("doc_id", "line_no")
+    keyed = classes.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks")
+    bits = min(30, max(12, (full.count() // (AT_ONCE // 12)).bit_length()))
     # n is the number of words from here on
-    met = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _OUT), "met")
+    met = written(keyed.mapInArrow(_keys(bits), "part long, members binary").repartition("part").sortWithinPartitions("part").mapInArrow(_met, _OUT), "met")
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "near")
     hot = met.where("b is null").select(F.col("a").alias("h"), "key")  # a member comes once under a key
     words = _words_of(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), classes, docs)
@@ -664,10 +827,11 @@ def removals(docs: DataFrame) -> DataFrame:
     dropped(words)
     if not hot.isEmpty():
         more = _in_blocks(hot, found, classes, docs)
-        if more is not None and not more.isEmpty():  # what is found stands for its links
-            found = components(more.union(found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
+        if not more.isEmpty():
+            found = written(_joined_groups(found, more), "found")
     dropped(met)
-    group = classes.select("h", "first", "size").join(found.select(F.col("id").alias("h"), "component"), "h", "left").where("component is not null or size > 1").withColumn("group", F.coalesce("component", "h"))
+    group = classes.select("h", F.struct(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line_no")).alias("first"), "size").join(found.select(F.col("id").alias("h"), "component"), "h", "left").where("component is not null or size > 1").withColumn("group", F.coalesce("component", "h"))
+    group = written(group.select("h", "first", "size", "group"), "group")
     keep = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("size").alias("size")).where("size > 1")
     gone = group.join(keep.select("group", "keep"), "group").select("h", "keep")
     out = lines.join(gone, "h").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))
@@ -718,5 +882,5 @@ def deduplicate(docs: DataFrame, emptied: bool = True) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed for every document."""
-    d, own = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")), removals(docs))
+    d, own = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")), removals(docs))
     return d.select("doc_id", "n_lines", F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(own, F.array().cast("array<int>")).alias("removed"))

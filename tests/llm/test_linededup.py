@@ -294,3 +294,37 @@ def test_small_groups_are_compared_together(monkeypatch):
     together, few = pairs(), len(calls)
     monkeypatch.setattr(L, "FEW", 0)
     assert together == pairs() and together and few == 0 and len(calls) == 40
+
+
+def test_keys_leave_a_task_by_ranges_and_meet_whole(monkeypatch):
+    """Few rows for many keys; every key of several members comes whole, crowded ones also where a range has too many members to wait."""
+    rng = np.random.default_rng(5)
+    key = np.concatenate([rng.integers(0, 1 << 46, 3000), rng.integers(0, 40, 2000) * (1 << 30) + 7])
+    rng.shuffle(key)
+    n = key.size
+    h, sim = rng.permutation(n), rng.integers(-(2**63), 2**63 - 1, n)
+    blocks = pa.array([int(k).to_bytes(8, "little")[:6] for k in key], pa.binary())
+    source = pa.RecordBatch.from_arrays([pa.array(h), pa.array(sim), pa.array(np.full(n, 9, np.int32)), blocks], names=["h", "sim", "n", "blocks"])
+    values, size = np.unique(key, return_counts=True)
+    size = size[np.searchsorted(values, key)]
+    for once, waiting in ((1 << 18, 1 << 22), (700, 60)):
+        monkeypatch.setattr(L, "AT_ONCE", once)
+        monkeypatch.setattr(L, "WAITING", waiting)
+        rows = pa.Table.from_batches(list(L._keys(5)([source.slice(0, 1200), source.slice(1200)]))).sort_by("part").combine_chunks()
+        assert rows.num_rows <= 32 * -(-n // once)
+        got = pa.Table.from_batches(list(L._in_order(rows.to_batches(max_chunksize=3)))).to_pandas()
+        assert set(zip(got.key, got.h, strict=True)) == {(k, i) for k, i, s in zip(key.tolist(), h.tolist(), size, strict=True) if s > 1}
+        met = pa.Table.from_batches(list(L._met(iter(rows.to_batches(max_chunksize=3))))).to_pandas()
+        hot = met[met.b.isna()]
+        assert set(zip(hot.key.astype(int), hot.a, strict=True)) == {(k, i) for k, i, s in zip(key.tolist(), h.tolist(), size, strict=True) if s > L.WINDOW + 1}
+
+
+def test_only_wanted_lines_are_hashed(monkeypatch):
+    """Of a document's lines only those that are compared become words again."""
+    text = "\n".join(f"line {i} of a document with words" for i in range(500))
+    h = L._lines_of([text])[2].view(np.int64)
+    wanted = pa.array([[{"line_no": 7, "h": int(h[7])}, {"line_no": 400, "h": int(h[400])}, {"line_no": 3, "h": 1}]], pa.list_(pa.struct([("line_no", pa.int32()), ("h", pa.int64())])))
+    lines, seen = L._lines_of, []
+    monkeypatch.setattr(L, "_lines_of", lambda t: seen.extend(t) or lines(t))
+    got = pa.Table.from_batches(list(L._wanted_words([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), wanted], names=["doc_id", "text", "wanted"])])))
+    assert got["h"].to_pylist() == [h[7], h[400]] and sum(map(len, seen)) < 200
