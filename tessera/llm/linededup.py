@@ -37,6 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,6 +230,7 @@ def _lines_of(texts: list):
 
 
 def _lines(batches):
+    """Every line of MIN_CHARS or more.  Of equal lines in a group of texts the first by (doc_id, line number) has their number and their fingerprints, the others have neither."""
     with np.errstate(over="ignore"):
         for batch in few_rows(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -237,30 +239,61 @@ def _lines(batches):
                 if found is None:
                     continue
                 doc, number, h, n_chars, n_words, words = found
-                keep = n_chars >= MIN_CHARS
-                sim, blocks = _fingerprints(words, n_words)
-                blocks = blocks.filter(pa.array(keep))
+                keep = np.flatnonzero(n_chars >= MIN_CHARS)
+                if not keep.size:
+                    continue
+                own = ids.slice(x, y - x).to_numpy()[doc[keep]]
+                order = np.lexsort((number[keep], own, h[keep]))
+                begin = np.flatnonzero(np.diff(h[keep][order], prepend=~h[keep][order[:1]]))
+                copies = np.zeros(keep.size, np.int64)
+                copies[order[begin]] = np.diff(np.append(begin, keep.size))
+                first = np.flatnonzero(copies)
+                mark = np.zeros(n_words.size, bool)
+                mark[keep[first]] = True
+                sim, blocks = _fingerprints(words[np.repeat(mark, n_words)], n_words[mark])
+                at = np.full(keep.size, -1)
+                at[first] = np.arange(first.size)
+                no = at < 0
+                at = pa.array(at, mask=no)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(x, y - x).take(pa.array(doc[keep])), pa.array(number[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), *(pa.array(x) for x in sim[keep].view(np.int64).T.copy()), pa.array(n_chars[keep].astype(np.int32)), pa.array(n_words[keep].astype(np.int32)), blocks],
-                    names=["doc_id", "line_no", "h", *SIMS, "n", "words", "blocks"],
+                    [pa.array(own), pa.array(number[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(copies, mask=no), *(pa.array(c, mask=no) for c in _spread(sim.view(np.int64).T, first, keep.size)), pa.array(n_chars[keep].astype(np.int32), mask=no), pa.array(n_words[keep].astype(np.int32), mask=no), blocks.take(at)],
+                    names=["doc_id", "line_no", "h", "copies", *SIMS, "n", "words", "blocks"],
                 )
 
 
+def _spread(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``size`` places that hold the given values at ``at``."""
+    out = np.zeros((rows.shape[0], size), rows.dtype)
+    out[:, at] = rows
+    return out
+
+
 #: Columns of a class, at the last of its lines in order.
 _CLASS = "first_doc long, first_line int, size long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary"
 
 
 def _classes(batches):
-    """Rows of ``_lines`` sorted by h, doc_id and line number -> every line, and at the last one of a class what the class has.  A batch's last line waits for the next batch."""
+    """Rows of ``_lines``, those with copies sorted by h, doc_id and line number -> every line, and at the last one of a class what the class has.  A batch's last line with copies waits for the next batch."""
+    names = ["doc_id", "line_no", "h", "first_doc", "first_line", "size", *SIMS, "n", "words", "blocks"]
     last, first, before = None, None, 0
-    for b in itertools.chain((b for b in batches if b.num_rows), [None]):
-        if b is None and last is None:
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            own = b.column(3).is_valid()
+            more = b.filter(own)
+            rest = b.filter(pc.invert(own))
+            if rest.num_rows:
+                none = [pa.nulls(rest.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rest.columns[:3], *none, *rest.columns[4:]], names=names)
+            b = more
+            if not b.num_rows:
+                continue
+        elif last is None:
             return
         b = last if b is None else b if last is None else pa.concat_batches([last, b])
         final = b is last
-        doc, line, h = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        doc, line, h, copies = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(begin, h.size))
+        size = np.add.reduceat(copies, begin)
         docs, lines = doc[begin], line[begin]
         if last is not None:  # the first line here goes on with its class
             docs[:1], lines[:1] = first
@@ -272,8 +305,8 @@ def _classes(batches):
         at[ends[mine]] = np.arange(ends.size)[mine]
         no = at < 0
         of, own = pa.array(at, mask=no), pa.array(np.arange(rows), mask=no)
-        yield pa.RecordBatch.from_arrays([*(b.column(i).slice(0, rows) for i in range(3)), *(pa.array(c).take(of) for c in (docs, lines, size)), *(b.column(i).take(own) for i in range(3, b.num_columns))], names=["doc_id", "line_no", "h", "first_doc", "first_line", "size", *b.schema.names[3:]])
-        last, first, before = b.slice(b.num_rows - 1), (docs[-1], lines[-1]), size[-1] - 1
+        yield pa.RecordBatch.from_arrays([*(b.column(i).slice(0, rows) for i in range(3)), *(pa.array(c).take(of) for c in (docs, lines, size)), *(b.column(i).take(own) for i in range(4, b.num_columns))], names=names)
+        last, first, before = b.slice(b.num_rows - 1), (docs[-1], lines[-1]), size[-1] - copies[-1]
 
 
 #: A class under one of its keys.
@@ -789,10 +822,19 @@ def _words_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     if few:  # each document gets the numbers of its lines, so that no other line leaves it
         lists = where.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
         some = docs.select("doc_id", "text").join(F.broadcast(lists), "doc_id")
-        return written(some.mapInArrow(_wanted_words, "h long, words array<int>, short binary").dropDuplicates(["h"]), "words")
+        return _once(written(some.mapInArrow(_wanted_words, "h long, words array<int>, short binary"), "words"), where)
     some = only(docs, where.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
     lines = some.mapInArrow(_line_words, "doc_id long, line_no int, h long, words array<int>, short binary")
-    return written(lines.join(where, ["doc_id", "line_no", "h"], "left_semi").select("h", "words", "short").dropDuplicates(["h"]), "words")
+    return _once(written(lines.join(where, ["doc_id", "line_no", "h"], "left_semi").select("h", "words", "short"), "words"), where)
+
+
+def _once(words: DataFrame, where: DataFrame) -> DataFrame:
+    """A written table of words with each h of ``where`` once: there are more rows only if documents are repeated."""
+    if words.count() <= where.count():
+        return words
+    one = written(words.dropDuplicates(["h"]), "words")
+    dropped(words)
+    return one
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -812,8 +854,9 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, removed): for every document with a line to remove, its lines that take part and the numbers (from 0) of those that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # what later steps don't need goes as soon as the step before is written
-    found = docs.mapInArrow(_lines, "doc_id long, line_no int, h long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary")
-    full = written(found.repartition("h").sortWithinPartitions("h", "doc_id", "line_no").mapInArrow(_classes, f"doc_id long, line_no int, h long, {_CLASS}"), "lines")
+    found = docs.mapInArrow(_lines, "doc_id long, line_no int, h long, copies long, sim long, sim1 long, sim2 long, sim3 long, n int, words int, blocks binary")
+    dealt = F.when(F.col("copies").isNull(), F.xxhash64("doc_id", "line_no")).otherwise(F.col("h"))  # copies that a group has counted are dealt anywhere, so a common line crowds no task
+    full = written(found.repartition(dealt).sortWithinPartitions("h", "doc_id", "line_no").mapInArrow(_classes, f"doc_id long, line_no int, h long, {_CLASS}"), "lines")
     lines, classes = full.select("doc_id", "line_no", "h"), full.where("size is not null").drop("doc_id", "line_no")
     keyed = classes.where(F.length("blocks") > 0).select("h", "sim", F.col("words").alias("n"), "blocks")
     bits = min(30, max(12, (full.count() // (AT_ONCE // 12)).bit_length()))

@@ -328,3 +328,24 @@ def test_only_wanted_lines_are_hashed(monkeypatch):
     monkeypatch.setattr(L, "_lines_of", lambda t: seen.extend(t) or lines(t))
     got = pa.Table.from_batches(list(L._wanted_words([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), wanted], names=["doc_id", "text", "wanted"])])))
     assert got["h"].to_pylist() == [h[7], h[400]] and sum(map(len, seen)) < 200
+
+
+def test_copies_of_a_common_line_crowd_no_task():
+    """Of a group's copies one row carries the count and the fingerprints; classes have all lines, their first place and their size however batches are cut."""
+    rng = random.Random(4)
+    common = "the same line in every document of all"
+    texts = [f"{common}\nown line number {i} of this one\n{common}\nshort" for i in range(50)]
+    ids = list(range(50))
+    rng.shuffle(ids)
+    docs = lambda a, b: pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(texts[a:b])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(list(L._lines([docs(0, 20), docs(20, 50)])))
+    assert rows.num_rows == 150 and rows["copies"].null_count == rows["blocks"].null_count == 98
+    assert sorted(rows["copies"].drop_null().to_pylist()) == [1] * 50 + [40, 60]
+    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("line_no", "ascending")]).combine_chunks()
+    for step in (1, 7, 200):
+        got = pa.Table.from_batches(list(L._classes(iter(rows.to_batches(max_chunksize=step)))))
+        assert sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "line_no", "h")), strict=True)) == sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "line_no", "h")), strict=True))
+        classes = got.filter(got["size"].is_valid()).to_pylist()
+        assert len(classes) == 51 and sum(c["size"] for c in classes) == 150 and all(c["blocks"] is not None for c in classes)
+        assert [(c["first_doc"], c["first_line"]) for c in classes if c["size"] == 100] == [(0, 0)]
+    assert list(L._classes(iter([]))) == []
